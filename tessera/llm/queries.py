@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, media_jpeg, token_binary, token_counts, warc_zip
+from . import decontaminate, language_id, media_jpeg, near_dedup, token_binary, token_counts, warc_zip
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_jpeg.decode_media(media_jpeg.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.judged(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     names = F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ",")
@@ -45,7 +49,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", remainder(0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_jpeg_media, op5_decontamination, op8_warc_archives, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_jpeg_media, op4_near_duplicates, op5_decontamination, op8_warc_archives, op9_language_id)}
 
 _WARC = """
 WITH p AS (
@@ -64,6 +68,27 @@ FROM b
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_NEAR = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * i >= 75 * (na.n + nb.n - i)
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM w
+  UNION
+  SELECT doc_id, b AS r FROM reach JOIN links ON r = a
+)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 _DECONTAMINATION = f"""
 WITH i AS (
   SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL
@@ -87,4 +112,4 @@ SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGIN
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op5_decontamination": _DECONTAMINATION, "op8_warc_archives": _WARC}
+ORACLES = {"op4_near_duplicates": _NEAR, "op5_decontamination": _DECONTAMINATION, "op8_warc_archives": _WARC}
