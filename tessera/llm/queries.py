@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, media_jpeg, near_dedup, token_binary, token_counts, warc_zip
+from . import decontaminate, language_id, media_jpeg, mixing, near_dedup, token_binary, token_counts, warc_zip
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,6 +39,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -49,7 +53,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", remainder(0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_jpeg_media, op4_near_duplicates, op5_decontamination, op8_warc_archives, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_jpeg_media, op4_near_duplicates, op5_decontamination, op6_source_mix, op8_warc_archives, op9_language_id)}
 
 _WARC = """
 WITH p AS (
