@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, media_jpeg, mixing, near_dedup, token_binary, token_counts, warc_zip
+from . import decontaminate, kneser_ney, language_id, media_jpeg, mixing, near_dedup, token_binary, token_counts, warc_zip
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -53,7 +53,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", remainder(0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_jpeg_media, op4_near_duplicates, op5_decontamination, op6_source_mix, op8_warc_archives, op9_language_id)}
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = kneser_ney.score(docs, kneser_ney.fit(docs.where(~remainder(1))))
+    names = "n_tokens", "n_known", "train_tokens"
+    return scored.select("doc_id", remainder(1).alias("held_out"), *names, F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_jpeg_media, op4_near_duplicates, op5_decontamination, op6_source_mix, op8_warc_archives, op9_language_id, op10_kneser_ney)}
 
 _WARC = """
 WITH p AS (
@@ -116,4 +123,54 @@ SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGIN
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op4_near_duplicates": _NEAR, "op5_decontamination": _DECONTAMINATION, "op8_warc_archives": _WARC}
+#: crc32 of doc_id as text, bit by bit; DuckDB has no such function.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: CASE WHEN d % 2 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295)"
+)
+
+_KNESER_NEY = """
+WITH w AS (
+  SELECT doc_id, pmod5, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '') AS w
+  FROM (SELECT *, CRC_VALUE % 5 AS pmod5 FROM documents)
+), t AS (
+  SELECT doc_id, pmod5 <> 1 AS train, unnest(w) AS w, unnest(list_prepend(NULL, w[:len(w) - 1])) AS h, unnest(range(len(w))) AS p FROM w
+), u AS (
+  SELECT w, count(*) AS c FROM t WHERE train GROUP BY w
+), tot AS (
+  SELECT sum(c) AS n, count(*) AS v FROM u
+), b AS (
+  SELECT h, w, count(*) AS c FROM t WHERE train GROUP BY h, w
+), r AS (
+  SELECT w, count(*) AS a FROM b GROUP BY w
+), nb AS (
+  SELECT count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, count(*) FILTER (c = 3) AS n3, count(*) FILTER (c = 4) AS n4 FROM b
+), nr AS (
+  SELECT count(*) FILTER (a = 1) AS n1, count(*) FILTER (a = 2) AS n2, count(*) FILTER (a = 3) AS n3, count(*) FILTER (a = 4) AS n4, count(*) FILTER (a > 2) AS more, sum(a)::DOUBLE AS al FROM r
+), y AS (
+  SELECT 'b' AS k, n1 / (n1 + 2 * n2) AS y, n1, n2, n3, n4 FROM nb UNION ALL SELECT 'r', n1 / (n1 + 2 * n2), n1, n2, n3, n4 FROM nr
+), d AS (
+  SELECT k,
+    least(greatest(CASE WHEN n1 > 0 AND n2 > 0 THEN 1 - 2 * y * n2 / n1 ELSE 0.5 END, 0.05), 1)::DOUBLE AS d1,
+    least(greatest(CASE WHEN n2 > 0 AND n3 > 0 THEN 2 - 3 * y * n3 / n2 ELSE 1.0 END, 0.05), 2)::DOUBLE AS d2,
+    least(greatest(CASE WHEN n3 > 0 AND n4 > 0 THEN 3 - 4 * y * n4 / n3 ELSE 1.5 END, 0.05), 3)::DOUBLE AS d3 FROM y
+), db AS (SELECT * FROM d WHERE k = 'b'), dr AS (SELECT * FROM d WHERE k = 'r'
+), eps AS (
+  SELECT (d1 * n1 + d2 * n2 + d3 * more) / al / (v + 1) AS e FROM nr, dr, tot
+), pc AS (
+  SELECT w, (a - CASE a WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) / al + e AS pc FROM r, dr, nr, eps
+), g AS (
+  SELECT h, sum(c) AS c, sum(CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) / sum(c) AS g FROM b, db GROUP BY h
+), s AS (
+  SELECT t.doc_id, t.train, u.c AS uc, n, v,
+    coalesce((b.c - CASE b.c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) / g.c, 0) + coalesce(g.g, 1) * coalesce(pc.pc, e) AS p
+  FROM t CROSS JOIN tot CROSS JOIN db CROSS JOIN eps
+  LEFT JOIN u ON u.w = t.w LEFT JOIN pc ON pc.w = t.w LEFT JOIN g ON g.h IS NOT DISTINCT FROM t.h
+  LEFT JOIN b ON b.w = t.w AND b.h IS NOT DISTINCT FROM t.h
+)
+SELECT doc_id, NOT any_value(train) AS held_out, count(*) AS n_tokens, count(uc) AS n_known, any_value(n)::BIGINT AS train_tokens,
+  round(sum(log10((coalesce(uc, 0) + 0.5) / (n + 0.5 * (v + 1)))), 6) AS base_score, round(sum(log10(p)), 6) AS score
+FROM s GROUP BY doc_id
+""".replace("CRC_VALUE", _CRC)
+
+ORACLES = {"op10_kneser_ney": _KNESER_NEY, "op4_near_duplicates": _NEAR, "op5_decontamination": _DECONTAMINATION, "op8_warc_archives": _WARC}
