@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import TwoGenerations, arrow_rows, cut, texts_as_bytes
@@ -234,10 +235,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
 
 
 def deduplicated(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One document of each component of ``found``: ``docs`` whose id names its component, one row per id.
-
-    Rows without id stay if their set has no row with an id (all copies of such a set stay, having no name to keep).
+    """One document of each component of ``found``: the rows of ``docs`` whose id names their component, one row per id
+    (of several the one with the smallest text). Rows without id have no name to be kept or dropped by, so they stay.
     ``docs`` keeps its columns, whatever their names.
     """
     kept = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    named = docs.where(docs["doc_id"].isNotNull())
+    named = named.join(kept, named["doc_id"] == kept["kept_id"], "left_semi")
+    place = F.row_number().over(W.partitionBy(named["doc_id"]).orderBy(named["text"]))
+    mark = "_".join([*docs.columns, "place"])  # a name that no column has
+    one = named.withColumn(mark, place).where(F.col(f"`{mark}`") == 1).drop(mark)
+    return one.unionAll(docs.where(docs["doc_id"].isNull()))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, language_id, media_jpeg, mixing, near_dedup, token_binary, token_counts, warc_zip
+from . import decontaminate, kneser_ney, language_id, media_jpeg, mixing, near_dedup, substring_dedup, token_binary, token_counts, warc_zip
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,6 +43,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -60,7 +64,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", remainder(1).alias("held_out"), *names, F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_jpeg_media, op4_near_duplicates, op5_decontamination, op6_source_mix, op8_warc_archives, op9_language_id, op10_kneser_ney)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_jpeg_media, op4_near_duplicates, op5_decontamination, op6_source_mix, op7_substring_dedup, op8_warc_archives, op9_language_id, op10_kneser_ney)}
 
 _WARC = """
 WITH p AS (
