@@ -1,4 +1,4 @@
 """All named queries; importing the modules registers them."""
 
-from . import verification  # noqa: F401
+from . import classification, verification  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
