@@ -5,10 +5,12 @@ Documents are first folded into classes of equal shingle sets. A class has ``ban
 share a bucket. With 32 bands of 4 rows a pair of similarity 0.75 shares none with probability 5e-6.
 
 Within a bucket only stars are compared at first: every member with the smallest. Pairs whose signatures say 0.5 or
-more (0.75 less over six standard errors) are confirmed on the full sets, and the confirmed links are joined into
+more (0.75 less six standard errors) are confirmed on the full sets, and the confirmed links are joined into
 components. Links that the stars cannot have seen lie between members of one bucket in different components; those
-buckets are then compared across components, in blocks, and only pairs that pass the signature leave a task. So no
-link between different texts that share a bucket is lost, and no group is expanded into all its pairs.
+buckets are then compared across components, in blocks, and only links leave a task. So no link between different texts
+that share a bucket is lost, and no group is expanded into all its pairs.
+
+Joins with texts and sets are merge joins at every size: their sides grow with the corpus.
 
 Buckets, classes and hubs may be huge: they are aggregated map-side to their smallest member and joined back, and
 Spark splits skewed join sides. Components come from alternating large-star and small-star over the links; each round
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import TwoGenerations, arrow_rows, cut, texts_as_bytes
 
-BLOCK = 2048  #: members of a bucket on one side of a block comparison
+BLOCK = 1024  #: members of a bucket on one side of a block comparison
 
 
 class _WordHashes(TwoGenerations):
@@ -113,7 +115,7 @@ def likely(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
                 keep = pa.array((np.stack(sa) == np.stack(sb)).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,7 +132,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(n > 0 and m > 0 and 100 * both >= percent * (n + m - both))
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -163,31 +165,45 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     )
 
 
-def across(members: DataFrame, signatures: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Likely pairs between components inside buckets of ``members(bucket, node, component)`` that hold several.
+def across(members: DataFrame, sets: DataFrame, bands: int, percent: int, least: float, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` between components, inside buckets of ``members(bucket, band, node, component)`` that hold several.
 
-    Members outside the bucket's largest component are compared with all members of other components. Both sides are
-    cut into blocks of about ``block`` members, and a block of one side meets a block of the other in a task of its own.
+    Members outside the bucket's largest component are compared with all members of other components: by signature, then
+    on the full sets of ``sets(node, signature, shingles)``, so that only links leave a task. A pair is compared in the
+    first band that it shares. Both sides are cut into blocks of about ``block`` members, and a block of one side meets
+    a block of the other in a task of its own.
     """
     counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
     buckets = buckets.select(
         "bucket", F.col("top.component").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("high")
     )
-    rows = members.join(buckets, "bucket").join(signatures, "node")
+    rows = members.join(buckets, "bucket").join(sets.hint("merge"), "node")
     cell = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
-    few = rows.where("component <> top").select("bucket", "node", "component", "signature", cell("high").alias("y"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), F.lit(True).alias("few"))
-    all_ = rows.select("bucket", "node", "component", "signature", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("y"), cell("wide").alias("x"), F.lit(False).alias("few"))
+    names = "bucket", "band", "node", "component", "signature", "shingles"
+    few = rows.where("component <> top").select(*names, cell("high").alias("y"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), F.lit(True).alias("few"))
+    all_ = rows.select(*names, F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("y"), cell("wide").alias("x"), F.lit(False).alias("few"))
 
     def compare(table):
         few = np.array(table.column("few").to_pylist(), bool)
-        node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
+        node, part, band = table.column("node").to_numpy(), table.column("component").to_numpy(), table.column("band")[0].as_py()
         signature = np.stack([np.frombuffer(x, "<u2") for x in table.column("signature").to_pylist()])
+        shingles = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         rest, a, b = np.flatnonzero(~few), [], []
         for i in np.flatnonzero(few):
-            near = rest[(part[rest] != part[i]) & ((signature[rest] == signature[i]).mean(axis=1) >= least)]
-            a += [min(node[i], x) for x in node[near].tolist()]
-            b += [max(node[i], x) for x in node[near].tolist()]
+            equal = signature[rest] == signature[i]
+            near = np.flatnonzero((part[rest] != part[i]) & (equal.mean(axis=1) >= least))
+            near = rest[near[equal[near].reshape(len(near), bands, signature.shape[1] // bands).all(axis=2).argmax(axis=1) == band]]
+            if not len(near):
+                continue
+            sizes = np.array([len(shingles[k]) for k in near])
+            flat = np.concatenate([shingles[k] for k in near])
+            own = shingles[i]
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for k in near[100 * both >= percent * (len(own) + sizes - both)].tolist():
+                a.append(min(node[i], node[k]))
+                b.append(max(node[i], node[k]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return few.unionAll(all_).groupBy("bucket", "y", "x").applyInArrow(compare, "a long, b long").distinct()
@@ -208,26 +224,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     classes = cut(classes, "near-classes")
     signatures = classes.where("node is not null").select("node", "signature")
     width = 2 * rows
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(bands)])
-    placed = signatures.select("node", F.explode(keys).alias("bucket"))
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)).alias("bucket")) for i in range(bands)])
+    placed = signatures.select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.bucket")
     shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("bucket", "hub")
-    members = cut(placed.join(shared, "bucket").select("bucket", "node", "hub"), "near-members")
+    members = cut(placed.join(shared.hint("merge"), "bucket").select("bucket", "band", "node", "hub"), "near-members")
+    needed = members.select("node").distinct()
+    sets = shingle_sets(texts.join(needed.hint("merge"), texts["doc_id"] == needed["node"], "left_semi"), size)
+    sets = cut(sets.join(signatures.hint("merge"), "node"), "near-sets")
 
     error = (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
     least = percent / 100 - 6 * error
-    stars = cut(likely(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), signatures, least), "near-stars")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = cut(shingle_sets(texts.join(needed, "doc_id", "left_semi"), size), "near-sets")
-        return cut(confirmed(pairs, sets, percent), "near-links")
-
-    links = check(stars)
+    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = cut(confirmed(likely(pairs, sets, least), sets, percent), "near-links")
     parts = components(links)
-    labelled = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    more = cut(across(labelled, signatures, least), "near-across")
+    labelled = members.join(parts, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+    more = cut(across(labelled, sets, bands, percent, least), "near-across")
     if more.head(1):
-        parts = components(links.unionAll(check(more)))
+        parts = components(links.unionAll(more))
     ids = classes.join(parts, "node", "left").select(F.col("set_key").alias("class_key"), F.coalesce("component", "node").alias("component_id"))
     out = found.join(ids, (F.col("set_key") == F.col("class_key")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
