@@ -269,22 +269,26 @@ def r15_model_gate(spark, folder):
     return rounded(m.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.round("mean_erc", 9)), "dataset")).cast("long")))
 
 
-def verdict(rows_):
-    """The ordered tree on accuracies ``both, s, v``, the share only one gets right and the cross-prediction."""
-    gain = F.col("both") - F.greatest("s", "v")
+def verdict():
+    """The ordered tree on accuracies ``both, s, v``, percent that only one side explains and the better
+    cross-prediction."""
+    gain, least_unique = F.col("both") - F.greatest("s", "v"), F.least("s_unique", "v_unique")
+    # The gates of the tree.
     return (
-        F.when((gain >= 0.01) & (F.col("unique") >= 0.05), "BOTH_NEEDED").when((gain < 0.002) & (F.col("cross") >= 0.9), "ONE_SUFFICES").when(F.col("cross") < 0.6, "TRULY_INDEPENDENT")
-        .when(gain >= 0.005, "COMPLEMENTARY").when(F.col("cross") >= 0.8, "LARGELY_REDUNDANT").otherwise("INCONCLUSIVE")
+        F.when((gain <= 0.01) & (F.col("cross") > 0.75), "ONE_SUFFICES").when((gain > 0.01) & (least_unique > 2.0), "BOTH_NEEDED").when((gain > 0.01) & (least_unique < 1.0), "MARGINAL_BENEFIT")
+        .when(F.col("cross") < 0.65, "TRULY_INDEPENDENT").when(gain > 0.005, "BOTH_RECOMMENDED").otherwise("EITHER_SUFFICIENT")
     )
 
 
-@query(f"WITH {L}, m AS (SELECT dataset, avg((((score >= 50) OR (score_v >= 50)) = (label = 1))::INT) AS b, avg(((score >= 50) = (label = 1))::INT) AS s, avg(((score_v >= 50) = (label = 1))::INT) AS v, avg((((score >= 50) = (label = 1)) <> ((score_v >= 50) = (label = 1)))::INT) AS u, avg(((score >= 50) = (score_v >= 50))::INT) AS x FROM l GROUP BY dataset) SELECT dataset, CASE WHEN b - greatest(s, v) >= 0.01 AND u >= 0.05 THEN 'BOTH_NEEDED' WHEN b - greatest(s, v) < 0.002 AND x >= 0.9 THEN 'ONE_SUFFICES' WHEN x < 0.6 THEN 'TRULY_INDEPENDENT' WHEN b - greatest(s, v) >= 0.005 THEN 'COMPLEMENTARY' WHEN x >= 0.8 THEN 'LARGELY_REDUNDANT' ELSE 'INCONCLUSIVE' END AS verdict FROM m")
+@query(f"WITH {L}, m AS (SELECT dataset, avg((((score >= 50) OR (score_v >= 50)) = (label = 1))::INT) AS b, avg(((score >= 50) = (label = 1))::INT) AS s, avg(((score_v >= 50) = (label = 1))::INT) AS v, 100 * avg(((score >= 50) = (label = 1) AND (score_v >= 50) <> (label = 1))::INT) AS su, 100 * avg(((score >= 50) <> (label = 1) AND (score_v >= 50) = (label = 1))::INT) AS vu, avg(((score >= 50) = (score_v >= 50))::INT) AS x FROM l GROUP BY dataset) SELECT dataset, CASE WHEN b - greatest(s, v) <= 0.01 AND x > 0.75 THEN 'ONE_SUFFICES' WHEN b - greatest(s, v) > 0.01 AND least(su, vu) > 2 THEN 'BOTH_NEEDED' WHEN b - greatest(s, v) > 0.01 AND least(su, vu) < 1 THEN 'MARGINAL_BENEFIT' WHEN x < 0.65 THEN 'TRULY_INDEPENDENT' WHEN b - greatest(s, v) > 0.005 THEN 'BOTH_RECOMMENDED' ELSE 'EITHER_SUFFICIENT' END AS verdict FROM m")
 def e26_verdicts(spark, folder):
     """A verdict for each dataset on whether two scores are needed."""
     s, v, t = F.col("score") >= 50, F.col("score_v") >= 50, F.col("label") == 1
     share = lambda c: F.avg(c.cast("int"))
-    m = rows(spark, folder).groupBy("dataset").agg(share((s | v) == t).alias("both"), share(s == t).alias("s"), share(v == t).alias("v"), share((s == t) != (v == t)).alias("unique"), share(s == v).alias("cross"))
-    return m.select("dataset", verdict(m).alias("verdict"))
+    m = rows(spark, folder).groupBy("dataset").agg(
+        share((s | v) == t).alias("both"), share(s == t).alias("s"), share(v == t).alias("v"), (100 * share((s == t) & (v != t))).alias("s_unique"), (100 * share((s != t) & (v == t))).alias("v_unique"), share(s == v).alias("cross")
+    )
+    return m.select("dataset", verdict().alias("verdict"))
 
 
 @query(f"WITH {L}, z AS (SELECT row_idx, (score >= 50) <> (score_v >= 50) AS disagree, unnest([score::DOUBLE, score_v::DOUBLE, (row_idx % 17)::DOUBLE]) AS x, unnest(['score', 'score_v', 'other']) AS feature FROM l), g AS (SELECT feature, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM z GROUP BY feature), a AS (SELECT disagree, feature, avg((x - m) / s) AS z FROM z JOIN g USING (feature) GROUP BY ALL) SELECT disagree, feature, round(z, 6) AS z, row_number() OVER (PARTITION BY disagree ORDER BY round(abs(z), 9) DESC, feature) AS place FROM a")
