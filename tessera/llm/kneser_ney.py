@@ -35,7 +35,8 @@ from .common import arrow_rows, cut, read_blobs, shared_dir, texts_as_bytes, wri
 END = b""  #: the token behind each text; no word is empty
 SEGMENT = 1 << 20  #: ids in a unigram file
 FILE_ROWS = 2 << 20  #: rows in a vocabulary or bigram file
-HELD = 4 << 20  #: tokens that are counted together
+HELD = 2 << 20  #: tokens that are counted together
+SENT = 1 << 16  #: rows of one Arrow batch to Spark
 HEAD = struct.Struct("<Q")
 
 
@@ -187,10 +188,10 @@ def count_words(texts: DataFrame) -> DataFrame:
             counts.append(np.bincount(tokens, minlength=len(words)))
             held += len(words)
             if held >= HELD:
-                yield _summed(np.concatenate(hashes), np.concatenate(counts), "hash")
+                yield from sent(_summed(np.concatenate(hashes), np.concatenate(counts), "hash"))
                 hashes, counts, held = [], [], 0
         if hashes:
-            yield _summed(np.concatenate(hashes), np.concatenate(counts), "hash")
+            yield from sent(_summed(np.concatenate(hashes), np.concatenate(counts), "hash"))
 
     return texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
@@ -202,6 +203,12 @@ def _summed(keys: np.ndarray, counts: np.ndarray, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys[head]), pa.array(np.add.reduceat(counts, head))], names=[name, "n"])
 
 
+def sent(batch: pa.RecordBatch):
+    """``batch`` in parts, so that the JVM holds few of its bytes at a time."""
+    for at in range(0, batch.num_rows, SENT):
+        yield batch.slice(at, SENT)
+
+
 def _sorted_runs(batches, name: str):
     """Sorted distinct keys with summed counts from batches sorted by key, at most about ``FILE_ROWS`` together."""
     keys, counts, held = [], [], 0
@@ -255,8 +262,11 @@ def fit(docs: DataFrame) -> Model:
         held, n = [], 0
 
         def close():
-            batch = _summed(np.concatenate(held), np.ones(n, np.int64), "key")
-            key = batch.column("key").to_numpy()
+            key = np.concatenate(held)
+            held.clear()
+            key.sort()
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            counts, key = np.diff(np.append(head, len(key))), key[head]
             context, word = key >> 32, key & 0xFFFFFFFF
             known = context < v
             at, many = np.full(len(key), float(tokens)), np.full(len(key), float(ends))
@@ -265,17 +275,17 @@ def fit(docs: DataFrame) -> Model:
             at[known] = vocabulary.take("before", place) + mass[part]
             many[known] = vocabulary.take("count", place)
             dealt = np.minimum((at + many * (word / v)) * (parts / (tokens + ends)), parts - 1).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(dealt), *batch.columns], names=["part", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(key), pa.array(counts)], names=["part", "key", "n"])
 
         for _, found, token, lengths in slices(batches, []):
             ids = _ids(vocabulary, found)[token]
             held.append(_contexts(ids, lengths, v) << 32 | ids)
             n += len(ids)
             if n >= HELD:
-                yield close()
-                held, n = [], 0
+                yield from sent(close())
+                n = 0
         if n:
-            yield close()
+            yield from sent(close())
 
     def bigram_files(batches):
         for k, n in _sorted_runs(batches, "key"):
@@ -293,14 +303,14 @@ def fit(docs: DataFrame) -> Model:
     def continuations(batches):
         for key, _ in contents(batches):
             word, n = np.unique(key & 0xFFFFFFFF, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["id", "n"])
+            yield from sent(pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["id", "n"]))
 
     def contexts(batches):
         for key, count in contents(batches):
             context = key >> 32
             head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
             sums = [np.add.reduceat((count == k if k < 5 else count > 2).astype(np.int64), head) for k in (1, 2, 5, 3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array(context[head]), *map(pa.array, sums)], names=["id", "n1", "n2", "more", "n3", "n4"])
+            yield from sent(pa.RecordBatch.from_arrays([pa.array(context[head]), *map(pa.array, sums)], names=["id", "n1", "n2", "more", "n3", "n4"]))
 
     files = read_blobs(spark, path2).select("content")
     again = cut(files.mapInArrow(continuations, "id long, n long").groupBy("id").agg(F.sum("n").alias("again")), "lm-again")
