@@ -18,10 +18,10 @@ EDGES = [50, 100, 150, 200, 250, 300, 350, 400, 450]
 
 def _hist_sql() -> str:
     bin_ = " + ".join(f"(value >= {e})::INT" for e in EDGES)
-    hists = ", ".join(f"round(CASE WHEN n < 10 THEN 0 ELSE h{k} END, 5) AS \"Hist{k}\"" for k in range(10))
+    hists = ", ".join(f"round(CASE WHEN n < 10 THEN 0 ELSE h{k} END, 9) AS \"Hist{k}\"" for k in range(10))
     aggs = ", ".join(f"avg((b = {k})::INT) AS h{k}" for k in range(10))
     stats = {"Mean": "mean", "Std": "sd", "Skew": "CASE WHEN m2 = 0 THEN 0 ELSE m3 / m2 ** 1.5 END", "Kurt": "CASE WHEN m2 = 0 THEN 0 ELSE m4 / m2 ** 2 - 3 END", "Median": "q[3]", "IQR": "q[4] - q[2]", "P5": "q[1]", "P95": "q[5]", "Range": "rg"}
-    rest = ", ".join(f"round(CASE WHEN n < 10 THEN 0 ELSE {e} END, 5) AS \"{k}\"" for k, e in stats.items())
+    rest = ", ".join(f"round(CASE WHEN n < 10 THEN 0 ELSE {e} END, 9) AS \"{k}\"" for k, e in stats.items())
     return f"""WITH {FR}, d AS (SELECT rec_id, value, {bin_} AS b, value - avg(value) OVER (PARTITION BY rec_id) AS c FROM fr),
 a AS (SELECT rec_id, count(*) AS n, {aggs}, avg(value) AS mean, stddev_pop(value) AS sd, avg(c ** 2) AS m2, avg(c ** 3) AS m3, avg(c ** 4) AS m4, quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q, max(value) - min(value) AS rg FROM d GROUP BY rec_id)
 SELECT rec_id, n, {hists}, {rest} FROM a"""
@@ -30,7 +30,7 @@ SELECT rec_id, n, {hists}, {rest} FROM a"""
 @query(_hist_sql())
 def h1_histogram_features(spark, folder):
     """The 19 statistics of a recording's frames."""
-    return rounded(st.histogram_features(src.frames(spark, folder), "rec_id", "value", EDGES), 5)
+    return rounded(st.histogram_features(src.frames(spark, folder), "rec_id", "value", EDGES), 9)
 
 
 @query(f"WITH {M} SELECT feature, unnest(range(101))::INT AS k, round(unnest(quantile_cont(value, list_transform(range(101), lambda i: i / 100))), 6) AS value FROM m GROUP BY feature")
