@@ -20,6 +20,7 @@ import functools
 import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import TwoGenerations, arrow_rows, cut, read_blobs, shared_dir, write_blobs
-from .token_counts import PRETOKEN
 
 MAGIC = b"TKV1"
 HEAD = struct.Struct("<4sIIIIQQ")
@@ -39,11 +39,12 @@ LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3).astype(np.uint8)
 
 def rank_by_frequency(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(ranks of ids, id of each rank)``; the most frequent id has rank 0, ties go to the smaller id."""
-    distinct, where, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -counts))
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    return rank[where], distinct[order].astype("<u4")
+    counts = np.bincount(ids)
+    distinct = np.flatnonzero(counts)
+    names = distinct[np.argsort(-counts[distinct], kind="stable")]
+    rank = np.zeros(len(counts), np.uint32)
+    rank[names] = np.arange(len(names), dtype=np.uint32)
+    return rank[ids], names.astype("<u4")
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -99,15 +100,15 @@ def read_file(content: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
     return partition, sequence, doc_ids, counts, names[unpack(control, data, n_ids)] if n_ids else np.empty(0, "<u4")
 
 
-class _Ids(TwoGenerations):
-    """Memo from a pre-token to its ids as bytes; missing ones are encoded by the library, without special tokens."""
+class _Chunks(TwoGenerations):
+    """Memo from what stands between two single spaces to the library's ids of it with the space before it."""
 
     def __init__(self, tokenizer, limit: int):
         super().__init__(limit)
-        self.tokenizer = tokenizer
+        self.encode = tokenizer.encode
 
-    def make(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def make(self, chunk: str) -> bytes:
+        return array("I", self.encode(" " + chunk, add_special_tokens=False).ids).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -118,20 +119,25 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encoder(path: str, memo: int = 300_000):
-    """A function from text to its ids as little-endian 32-bit bytes, as the library's ``encode`` of the whole text.
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, memo: int = 600_000):
+    """A function from a text to its ids as little-endian 32-bit bytes, as the library encodes the whole text.
 
-    The pre-tokens of byte-level BPE are encoded alone, so memoising them gives the library's result; texts that hold
-    one of the file's special strings go to the library whole.
+    A pre-token of byte-level BPE holds a space as its first character only, unless white space follows white space, and
+    pre-tokens are encoded alone. So the chunks between single spaces are encoded and memoised one by one; texts with
+    white space behind white space or with one of the file's special strings go to the library whole. A worker keeps
+    the function and its memo from task to task.
     """
     tokenizer = _tokenizer(path)
-    ids, find = _Ids(tokenizer, memo), regex.compile(PRETOKEN).findall
+    double, chunks = regex.compile(r"\s\s").search, _Chunks(tokenizer, memo)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    ids = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in special):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(ids.__getitem__, find(text)))
+        if double(text) or any(s in text for s in special):
+            return ids(text)
+        first, *rest = text.split(" ")
+        return ids(first) + b"".join(map(chunks.__getitem__, rest))
 
     return encode
 
