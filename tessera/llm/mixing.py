@@ -100,7 +100,8 @@ def slots_of(sources: DataFrame, shards: int, seed: int) -> DataFrame:
                 shard = shards_of(first, first + len(slot), slots, shards, (seed, source))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), source, np.int32)), pa.array(slot), pa.array(shard), pa.array(turn), pa.array(block)], names=["source_no", "slot", "shard", "pass", "block"])
 
-    return chunks.repartition("source_no", "first").mapInArrow(run, "source_no int, slot long, shard long, pass long, block long")
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.repartition(parts, "source_no", "first").mapInArrow(run, "source_no int, slot long, shard long, pass long, block long")
 
 
 def pieces(docs: DataFrame, keys: list[str], block_words: int = 64, shards: int = 64, seed: int = 1) -> DataFrame:
@@ -130,7 +131,8 @@ def pieces(docs: DataFrame, keys: list[str], block_words: int = 64, shards: int
     cuts = cuts.withColumn("word", F.when(some, low - F.col("start")).otherwise(0)).withColumn("words", F.when(some, high - low).otherwise(0))
     times = slots_of(sources, shards, seed).groupBy("source_no", "block").agg(F.count("*").alias("n"))
     times = times.select(F.col("source_no").alias("t_source"), F.col("block").alias("t_block"), "n")
-    joined = cuts.join(times, (F.col("source_no") == F.col("t_source")) & (F.col("block") == F.col("t_block")), "left")
+    # both sides grow with the corpus: never a broadcast, however well they compress
+    joined = cuts.hint("merge").join(times, (F.col("source_no") == F.col("t_source")) & (F.col("block") == F.col("t_block")), "left")
     return joined.select(
         *keys, F.col("m_doc").alias("doc_id"), "source", "source_no", "start", "size", "source_size", "target", "word", "words", F.coalesce("n", F.lit(0)).cast("long").alias("times")
     )
