@@ -56,7 +56,8 @@ class Benchmark:
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of all suffixes that start with a word above 0, sorted by their first ``depth`` words at least."""
+    """Positions of all suffixes that start with a word above 0, sorted by at least their first ``depth`` words, as far as
+    the first 0 among them."""
     at = np.flatnonzero(words)
     if not len(at):
         return at
