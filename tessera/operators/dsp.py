@@ -1,0 +1,269 @@
+"""Recordings to measures: WAV decoding, normalisation, voice activity and per-frame spectral measures.
+
+One Arrow stage decodes a recording and computes all its measures, sharing its spectra; it emits an array of frame values
+for each measure, and the 19 statistics of an array are native expressions on the row, so there is no shuffle.
+A recording that fails gives a row with its error.
+
+Pitch- and formant-based measures need trackers that are not available here and are left out.
+"""
+
+from __future__ import annotations
+
+import io
+import wave
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .statistics import BOUNDARIES, LEAST_FRAMES
+
+RATE, SHORTEST, LONGEST = 16000, 1.0, 120.0
+FRAME, HOP = 512, 160
+EPS = 1e-12
+MEASURES = ["FrameSNR", "FrameSF", "FrameMFCCVar", "FrameSE", "FrameSR", "FrameSS", "FrameSBW", "FrameSFlux", "FrameE", "FrameAC", "FrameSSkew", "FrameSKurt", "FrameSCF", "FrameSHR", "FrameZCR", "FrameDeltaMFCC", "FrameDeltaDeltaMFCC"]
+
+
+def decode_wav(content: bytes, mono: str = "mean") -> tuple[np.ndarray, int]:
+    """O1, O2: samples in -1..1 and their rate; channels are averaged or the ``first`` is taken."""
+    with wave.open(io.BytesIO(content)) as w:
+        n, width, rate, raw = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.readframes(w.getnframes())
+    if width == 1:
+        x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    elif width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / float(1 << 23)
+    else:
+        x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]) / float(1 << (8 * width - 1))
+    x = x.reshape(-1, n)
+    return (x[:, 0] if mono == "first" else x.mean(axis=1)), rate
+
+
+def resample(x: np.ndarray, rate: int, to: int = RATE, zeros: int = 6, rolloff: float = 0.99, beta: float = 14.769656459379492) -> np.ndarray:
+    """Kaiser-windowed sinc interpolation, evaluated at the output times in blocks."""
+    if rate == to:
+        return x
+    cut = min(rate, to) * rolloff
+    half = int(np.ceil(zeros * rate / cut))
+    n = int(np.ceil(len(x) * to / rate))
+    padded = np.concatenate([np.zeros(half), x, np.zeros(half + 1)])
+    out = np.empty(n)
+    for a in range(0, n, 1 << 14):
+        t = np.arange(a, min(n, a + (1 << 14))) * (rate / to)
+        first = np.floor(t).astype(int)
+        k = np.arange(-half, half + 1)
+        d = (t - first)[:, None] - k
+        u = np.clip(d * cut / rate / zeros, -1, 1)
+        kernel = np.sinc(d * cut / rate) * np.i0(beta * np.sqrt(1 - u * u)) / np.i0(beta) * cut / rate
+        out[a : a + len(t)] = (padded[first[:, None] + k + half] * kernel).sum(axis=1)
+    return out
+
+
+def prepare(content: bytes, mono: str = "mean") -> np.ndarray:
+    """O1: decoded, finite, 16 kHz, cropped around its centre to two minutes; ``ValueError`` below a second."""
+    x, rate = decode_wav(content, mono)
+    x = resample(np.where(np.isfinite(x), x, 0.0), rate)
+    if len(x) < SHORTEST * RATE:
+        raise ValueError(f"too short: {len(x) / RATE:.2f} s")
+    most = int(LONGEST * RATE)
+    at = max(0, len(x) // 2 - most // 2) if len(x) > most else 0
+    return x[at : at + most]
+
+
+def normalise(x: np.ndarray) -> np.ndarray:
+    """V0: no offset, peak at 0.95."""
+    x = x - x.mean()
+    return x / (np.abs(x).max() + 1e-8) * 0.95
+
+
+def voice_mask(x: np.ndarray, half: int = 5) -> np.ndarray:
+    """V1-V3: frames within 40 dB of the loudest and above -60 dB, smoothed by a median of 11 with mirrored edges."""
+    if len(x) < FRAME:
+        return np.zeros(0, bool)
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    db = 20 * np.log10(np.maximum(np.sqrt((frames**2).mean(axis=1)), 1e-10))
+    mask = db > max(db.max() - 40.0, -60.0)
+    n = len(mask)
+    place = np.arange(-half, n + half)
+    place = np.where(place < 0, -1 - place, place) % (2 * n)
+    place = np.where(place >= n, 2 * n - 1 - place, place)
+    total = np.concatenate([[0], np.cumsum(mask[place])])
+    return total[2 * half + 1 :] - total[: -2 * half - 1] >= half + 1
+
+
+def speech_only(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """V5: a hop of samples for each speech frame, runs parted by a hop of silence."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    runs = [x[a * HOP : b * HOP] for a, b in zip(edges[::2], edges[1::2])]
+    gap = np.zeros(HOP)
+    return np.concatenate([p for k, r in enumerate(runs) for p in ([gap, r] if k else [r])]) if runs else np.zeros(0)
+
+
+def aligned(mask: np.ndarray, n: int) -> np.ndarray:
+    """V6: the mask at ``n`` evenly spaced places, half to even."""
+    if len(mask) == n or not len(mask):
+        return mask if len(mask) else np.zeros(n, bool)
+    return mask[np.round(np.linspace(0, len(mask) - 1, n)).astype(int)]
+
+
+def mel_filters(bins: int, bands: int, low: float, high: float) -> np.ndarray:
+    """Triangles of equal area, evenly spaced on a scale that is linear to 1 kHz and logarithmic above."""
+    log_step = np.log(6.4) / 27
+    to_mel = lambda f: np.where(f < 1000, f * 3 / 200, 15 + np.log(np.maximum(f, 1e-9) / 1000) / log_step)
+    to_hz = lambda m: np.where(m < 15, m * 200 / 3, 1000 * np.exp(log_step * (m - 15)))
+    edges = to_hz(np.linspace(to_mel(np.array(low)), to_mel(np.array(high)), bands + 2))
+    f = np.linspace(0, RATE / 2, bins)
+    up = (f - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
+    down = (edges[2:, None] - f) / (edges[2:] - edges[1:-1])[:, None]
+    return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
+
+
+def cepstra(power: np.ndarray, keep: int = 14, bands: int = 40) -> np.ndarray:
+    """Mel cepstra: orthonormal cosine transform of mel energies in dB, at most 80 dB below the loudest."""
+    db = 10 * np.log10(np.maximum(1e-10, mel_filters(power.shape[0], bands, 20, 8000) @ power))
+    db = np.maximum(db, db.max() - 80)
+    k = np.arange(keep)[:, None]
+    basis = np.cos(np.pi * k * (2 * np.arange(bands) + 1) / (2 * bands)) * np.where(k == 0, np.sqrt(1 / bands), np.sqrt(2 / bands))
+    return basis @ db
+
+
+def slopes(c: np.ndarray, order: int, width: int = 9) -> np.ndarray:
+    """Savitzky-Golay derivative of degree and order ``order``; the ends use the fit of the first and last window."""
+    half, n = width // 2, c.shape[1]
+    if n < width:
+        return np.zeros_like(c)
+    t = np.arange(-half, half + 1, dtype=float)
+    fit = np.linalg.pinv(np.vander(t, order + 1, increasing=True))  # coefficients from a window
+    factor = 1.0 if order == 1 else 2.0
+    windows = np.lib.stride_tricks.sliding_window_view(c, width, axis=1)
+    out = np.empty_like(c)
+    out[:, half : n - half] = factor * windows @ fit[order]
+    out[:, :half] = (factor * (windows[:, 0] @ fit[order]))[:, None]
+    out[:, n - half :] = (factor * (windows[:, -1] @ fit[order]))[:, None]
+    return out
+
+
+def frame_measures(x: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
+    """Values of each measure in the speech frames of a normalised waveform."""
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    padded = np.concatenate([np.zeros(FRAME // 2), x, np.zeros(FRAME // 2)])
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)
+    spectrum = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP] * hann, axis=1).T
+    power, mag = np.abs(spectrum) ** 2, np.abs(spectrum)
+    bins = power.shape[0]
+    f = np.linspace(0, RATE / 2, bins)[:, None]
+    rms = np.sqrt((frames**2).mean(axis=1))
+    out: dict[str, np.ndarray] = {}
+
+    loud = rms**2
+    floor = max(np.percentile(loud[loud > 0], 10), EPS) if (loud > 0).any() else EPS
+    out["FrameSNR"] = np.clip(10 * np.log10(loud / floor + EPS), -10, 60)
+    out["FrameE"] = 20 * np.log10(rms + EPS)
+    out["FrameSF"] = np.clip(np.exp(np.log(power + EPS).mean(axis=0)) / (power.mean(axis=0) + EPS), 0, 1)
+    share = power / (power.sum(axis=0) + EPS)
+    out["FrameSE"] = -(share * np.log(share + EPS)).sum(axis=0) / np.log(bins)
+    run = np.cumsum(power, axis=0)
+    out["FrameSR"] = f[np.minimum((run < 0.85 * (run[-1] + EPS)).sum(axis=0), bins - 1), 0]
+    k = np.arange(bins)[:, None] - (bins - 1) / 2
+    out["FrameSS"] = (k * np.log(power + EPS)).sum(axis=0) / ((k**2).sum() + EPS)
+    middle = (f * share).sum(axis=0)
+    spread = np.sqrt((share * (f - middle) ** 2).sum(axis=0) + EPS)
+    out["FrameSSkew"] = (share * ((f - middle) / spread) ** 3).sum(axis=0)
+    out["FrameSKurt"] = (share * ((f - middle) / spread) ** 4).sum(axis=0) - 3
+    out["FrameSCF"] = power.max(axis=0) / (power.mean(axis=0) + EPS)
+    total = mag.sum(axis=0)
+    weight = mag / np.where(total > 0, total, 1)
+    centroid = (f * weight).sum(axis=0)
+    out["FrameSBW"] = np.sqrt((weight * (f - centroid) ** 2).sum(axis=0))
+    direction = mag / (np.linalg.norm(mag, axis=0) + EPS)
+    out["FrameSFlux"] = np.concatenate([[0.0], np.linalg.norm(np.diff(direction, axis=1), axis=0)])
+
+    size = 2 * FRAME
+    acf = np.fft.irfft(np.abs(np.fft.rfft(frames, size, axis=1)) ** 2, size, axis=1)[:, :FRAME]
+    energy = (frames**2).sum(axis=1)
+    quiet = energy < EPS
+    acf = acf / (energy + EPS)[:, None]
+    low, high = RATE // 500, min(RATE // 60, FRAME - 1)
+    peak_at = low + acf[:, low : high + 1].argmax(axis=1)
+    peak = acf[np.arange(len(acf)), peak_at]
+    out["FrameAC"] = np.where(quiet, 0, peak)
+    lags = np.arange(FRAME)
+    near = (lags >= 2 * peak_at[:, None] - high // 10) & (lags < 2 * peak_at[:, None] + high // 10)
+    sub = np.where(near, acf, -np.inf).max(axis=1)
+    out["FrameSHR"] = np.clip(np.where(quiet | ~near.any(axis=1), 0, sub / (peak + EPS)), 0, 2)
+
+    edge = np.pad(x, FRAME // 2, mode="edge")
+    cross = np.abs(np.diff(np.signbit(edge).astype(np.int8), prepend=np.signbit(edge[:1]).astype(np.int8)))
+    sums = np.lib.stride_tricks.sliding_window_view(cross, FRAME)[::HOP].copy()
+    sums[:, 0] = 0  # a frame's first sample has no predecessor in it
+    out["FrameZCR"] = sums.mean(axis=1)
+
+    c = cepstra(power)
+    out["FrameMFCCVar"] = c[1:14].var(axis=0)
+    out["FrameDeltaMFCC"] = slopes(c, 1)[1:14].var(axis=0)
+    out["FrameDeltaDeltaMFCC"] = slopes(c, 2)[1:14].var(axis=0)
+    return {k: v[aligned(mask, len(v))] for k, v in out.items()}
+
+
+def analyse(recordings: DataFrame, mono: str = "mean") -> DataFrame:
+    """``rec_id, error, total_duration_sec, speech_duration_sec, speech_ratio, peak, clipped_share, measures`` of
+    ``recordings(rec_id, content)``; ``measures map<string, array<double>>`` holds the speech frames' values."""
+    names = "error string, total_duration_sec double, speech_duration_sec double, speech_ratio double, peak double, clipped_share double, measures map<string, array<double>>"
+    kind = recordings.schema["rec_id"].dataType.simpleString()
+
+    def run(batches):
+        maps = pa.map_(pa.string(), pa.list_(pa.float64()))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = [None] * 7
+                try:
+                    raw = prepare(batch.column("content")[k].as_py(), mono)
+                    x = normalise(raw)
+                    mask = voice_mask(x)
+                    n, total = int(mask.sum()), max(len(mask), 1)
+                    values = {m: v.tolist() for m, v in frame_measures(x, mask).items()}
+                    row = [None, len(mask) * HOP / RATE, n * HOP / RATE, n / total, float(np.abs(raw).max()), float((np.abs(raw) >= 0.99).mean()), list(values.items())]
+                except (ValueError, KeyError, EOFError, wave.Error, TypeError, AttributeError) as e:
+                    row[0] = f"{type(e).__name__}: {e}"
+                kinds = [pa.string(), *[pa.float64()] * 5, maps]
+                yield pa.RecordBatch.from_arrays([batch.column("rec_id").slice(k, 1), *(pa.array([v], t) for v, t in zip(row, kinds))], names=["rec_id", *(c.split()[0] for c in names.split(", ")[:6]), "measures"])
+
+    return recordings.select("rec_id", "content").mapInArrow(run, f"rec_id {kind}, {names}")
+
+
+def array_statistics(x: Column, boundaries: list[float]) -> dict[str, Column]:
+    """H1 on an array column: its 19 statistics, 0 below ten values."""
+    n = F.size(x).cast("double")
+    clean = F.transform(x, lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v))
+    s = F.array_sort(clean)
+    total = lambda g: F.aggregate(clean, F.lit(0.0), lambda a, v: a + g(v))
+    below = [F.size(F.filter(clean, lambda v, e=e: v < e)) for e in boundaries]
+    counts = [below[0], *(b - a for a, b in zip(below, below[1:])), F.size(x) - below[-1]]
+
+    def percentile(p: float) -> Column:
+        at = (n - 1) * p
+        lo, hi = F.element_at(s, (F.floor(at) + 1).cast("int")), F.element_at(s, (F.ceil(at) + 1).cast("int"))
+        return lo + (hi - lo) * (at - F.floor(at))
+
+    mean = total(lambda v: v) / n
+    m2, m3, m4 = (total(lambda v, k=k: F.pow(v - mean, F.lit(float(k)))) / n for k in (2, 3, 4))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    flat = m2 <= 1e-24
+    out = {f"Hist{k}": c / n for k, c in enumerate(counts)}
+    out |= {
+        "Mean": mean, "Std": F.sqrt(m2), "Skew": zero(F.when(~flat, F.try_divide(m3, F.pow(m2, F.lit(1.5))))), "Kurt": zero(F.when(~flat, F.try_divide(m4, m2 * m2) - 3)), "Median": percentile(0.5),
+        "IQR": percentile(0.75) - percentile(0.25), "P5": percentile(0.05), "P95": percentile(0.95), "Range": F.array_max(clean) - F.array_min(clean),
+    }
+    return {k: F.when(F.size(x) < LEAST_FRAMES, 0.0).otherwise(c) for k, c in out.items()}
+
+
+def features(analysed: DataFrame) -> DataFrame:
+    """``rec_id, feature, value``: the statistics of every measure of every recording without error."""
+    rows = analysed.where("error is null").select("rec_id", F.explode("measures").alias("measure", "x"))
+    out = None
+    for m in MEASURES:
+        stats = array_statistics(F.col("x"), [float(b) for b in BOUNDARIES[m]])
+        pairs = F.array(*[F.struct(F.lit(f"{m}_{k}").alias("feature"), c.alias("value")) for k, c in stats.items()])
+        out = F.when(F.col("measure") == m, pairs) if out is None else out.when(F.col("measure") == m, pairs)
+    return rows.select("rec_id", F.explode(out).alias("f")).select("rec_id", "f.feature", "f.value")
