@@ -30,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import TwoGenerations, arrow_rows, cut, read_blobs, shared_dir, write_blobs
+from .token_counts import PRETOKEN, byte_symbols
 
 MAGIC = b"TKV1"
 HEAD = struct.Struct("<4sIIIIQQ")
@@ -100,15 +101,32 @@ def read_file(content: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
     return partition, sequence, doc_ids, counts, names[unpack(control, data, n_ids)] if n_ids else np.empty(0, "<u4")
 
 
+class _Pieces(TwoGenerations):
+    """Memo from a pre-token to the ids that the library's model gives it."""
+
+    def __init__(self, tokenizer, limit: int):
+        super().__init__(limit)
+        self.model, self.symbols = tokenizer.model, dict(enumerate(byte_symbols()))
+
+    def make(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))]).tobytes()
+
+
 class _Chunks(TwoGenerations):
-    """Memo from what stands between two single spaces to the library's ids of it with the space before it."""
+    """Memo from what stands between two spaces to the ids of it with the space before it; 0 where white space at its
+    edges would join the spaces around it."""
 
     def __init__(self, tokenizer, limit: int):
         super().__init__(limit)
-        self.encode = tokenizer.encode
+        self.pieces, self.find = _Pieces(tokenizer, 20_000), regex.compile(PRETOKEN).findall
 
-    def make(self, chunk: str) -> bytes:
-        return array("I", self.encode(" " + chunk, add_special_tokens=False).ids).tobytes()
+    def make(self, chunk: str) -> bytes | int:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            return 0
+        first, *rest = self.find(" " + chunk)
+        if not rest:
+            return self.pieces.make(first)
+        return self.pieces.make(first) + b"".join(map(self.pieces.__getitem__, rest))
 
 
 @functools.lru_cache(maxsize=2)
@@ -120,24 +138,28 @@ def _tokenizer(path: str):
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, memo: int = 600_000):
+def encoder(path: str, memo: int = 800_000):
     """A function from a text to its ids as little-endian 32-bit bytes, as the library encodes the whole text.
 
-    A pre-token of byte-level BPE holds a space as its first character only, unless white space follows white space, and
-    pre-tokens are encoded alone. So the chunks between single spaces are encoded and memoised one by one; texts with
-    white space behind white space or with one of the file's special strings go to the library whole. A worker keeps
-    the function and its memo from task to task.
+    A pre-token of byte-level BPE holds a space as its first character only, unless white space touches that space, and
+    the model encodes pre-tokens alone. So the chunks between spaces are encoded and memoised one by one, first and last
+    chunk apart. Texts where white space touches a space inside, or with one of the file's special strings, go to the
+    library whole. A worker keeps the function and its memo from task to task.
     """
     tokenizer = _tokenizer(path)
-    double, chunks = regex.compile(r"\s\s").search, _Chunks(tokenizer, memo)
+    chunks = _Chunks(tokenizer, memo)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     ids = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(text: str) -> bytes:
-        if double(text) or any(s in text for s in special):
-            return ids(text)
         first, *rest = text.split(" ")
-        return ids(first) + b"".join(map(chunks.__getitem__, rest))
+        if not rest or first[-1:].isspace() or rest[-1][:1].isspace() or not rest[-1] or any(s in text for s in special):
+            return ids(text)
+        last = rest.pop()
+        try:
+            return ids(first) + b"".join(map(chunks.__getitem__, rest)) + ids(" " + last)
+        except TypeError:  # a 0 among the chunks
+            return ids(text)
 
     return encode
 
