@@ -22,7 +22,7 @@ from .statistics import BOUNDARIES, LEAST_FRAMES
 RATE, SHORTEST, LONGEST = 16000, 1.0, 120.0
 FRAME, HOP = 512, 160
 EPS = 1e-12
-MEASURES = ["FrameSNR", "FrameSF", "FrameMFCCVar", "FrameSE", "FrameSR", "FrameSS", "FrameSBW", "FrameSFlux", "FrameE", "FrameAC", "FrameSSkew", "FrameSKurt", "FrameSCF", "FrameSHR", "FrameZCR", "FrameDeltaMFCC", "FrameDeltaDeltaMFCC"]
+MEASURES = ["FrameSNR", "FrameSF", "FrameMFCCVar", "FrameCPP", "FrameGNE", "FrameSE", "FrameSR", "FrameSS", "FrameSBW", "FrameSFlux", "FrameE", "FrameAC", "FrameSSkew", "FrameSKurt", "FrameSCF", "FrameSHR", "FrameZCR", "FrameDeltaMFCC", "FrameDeltaDeltaMFCC"]
 
 
 def decode_wav(content: bytes, mono: str = "mean") -> tuple[np.ndarray, int]:
@@ -144,6 +144,30 @@ def slopes(c: np.ndarray, order: int, width: int = 9) -> np.ndarray:
     return out
 
 
+def burg(frames: np.ndarray, order: int = 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linear prediction of each row by Burg's lattice: coefficients (the first is 1), reflections and residual power."""
+    f, b = frames[:, 1:].copy(), frames[:, :-1].copy()
+    a = np.zeros((len(frames), order + 1))
+    a[:, 0] = 1
+    power = (frames**2).mean(axis=1)
+    reflections = np.zeros((len(frames), order))
+    for m in range(order):
+        k = -2 * (f * b).sum(axis=1) / ((f**2).sum(axis=1) + (b**2).sum(axis=1) + EPS)
+        reflections[:, m] = k
+        a[:, : m + 2] += k[:, None] * a[:, : m + 2][:, ::-1]
+        power = power * (1 - k * k)
+        f, b = (f + k[:, None] * b)[:, 1:], (b + k[:, None] * f)[:, :-1]
+    return a, reflections, power
+
+
+def predicted(frames: np.ndarray, lpc: np.ndarray) -> np.ndarray:
+    """Residual of each row under its prediction filter, starting at rest."""
+    out = np.zeros_like(frames)
+    for k in range(lpc.shape[1]):
+        out[:, k:] += lpc[:, k, None] * frames[:, : frames.shape[1] - k]
+    return out
+
+
 def frame_measures(x: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
     """Values of each measure in the speech frames of a normalised waveform."""
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
@@ -199,6 +223,16 @@ def frame_measures(x: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
     sums[:, 0] = 0  # a frame's first sample has no predecessor in it
     out["FrameZCR"] = sums.mean(axis=1)
 
+    quef = np.fft.irfft(np.log(np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1)) ** 2 + EPS), axis=1)
+    q = np.arange(FRAME) - (FRAME - 1) / 2
+    rise = (quef @ q) / (q @ q)
+    over = quef - quef.mean(axis=1, keepdims=True) - rise[:, None] * q
+    top = low + quef[:, low:high].argmax(axis=1)
+    out["FrameCPP"] = over[np.arange(len(quef)), top]
+    lpc, _, _ = burg(frames * np.hamming(FRAME))
+    left = predicted(frames, lpc)
+    out["FrameGNE"] = np.where(quiet, 0, np.clip(1 - (left**2).sum(axis=1) / (energy + EPS), 0, 1))
+
     c = cepstra(power)
     out["FrameMFCCVar"] = c[1:14].var(axis=0)
     out["FrameDeltaMFCC"] = slopes(c, 1)[1:14].var(axis=0)
@@ -207,27 +241,30 @@ def frame_measures(x: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def analyse(recordings: DataFrame, mono: str = "mean") -> DataFrame:
-    """``rec_id, error, total_duration_sec, speech_duration_sec, speech_ratio, peak, clipped_share, measures`` of
-    ``recordings(rec_id, content)``; ``measures map<string, array<double>>`` holds the speech frames' values."""
-    names = "error string, total_duration_sec double, speech_duration_sec double, speech_ratio double, peak double, clipped_share double, measures map<string, array<double>>"
+    """``rec_id, error, total_duration_sec, speech_duration_sec, speech_ratio, peak, clipped_share, measures, whole`` of
+    ``recordings(rec_id, content)``; ``measures map<string, array<double>>`` holds the speech frames' values, ``whole``
+    the features of the whole recording (``waveform.py``)."""
+    names = "error string, total_duration_sec double, speech_duration_sec double, speech_ratio double, peak double, clipped_share double, measures map<string, array<double>>, whole map<string, double>"
     kind = recordings.schema["rec_id"].dataType.simpleString()
 
+    from .waveform import whole_features
+
     def run(batches):
-        maps = pa.map_(pa.string(), pa.list_(pa.float64()))
+        maps, flat = pa.map_(pa.string(), pa.list_(pa.float64())), pa.map_(pa.string(), pa.float64())
         for batch in batches:
             for k in range(batch.num_rows):
-                row = [None] * 7
+                row = [None] * 8
                 try:
                     raw = prepare(batch.column("content")[k].as_py(), mono)
                     x = normalise(raw)
                     mask = voice_mask(x)
                     n, total = int(mask.sum()), max(len(mask), 1)
                     values = {m: v.tolist() for m, v in frame_measures(x, mask).items()}
-                    row = [None, len(mask) * HOP / RATE, n * HOP / RATE, n / total, float(np.abs(raw).max()), float((np.abs(raw) >= 0.99).mean()), list(values.items())]
+                    row = [None, len(mask) * HOP / RATE, n * HOP / RATE, n / total, float(np.abs(raw).max()), float((np.abs(raw) >= 0.99).mean()), list(values.items()), list(whole_features(x, raw, mask).items())]
                 except (ValueError, KeyError, EOFError, wave.Error, TypeError, AttributeError) as e:
                     row[0] = f"{type(e).__name__}: {e}"
-                kinds = [pa.string(), *[pa.float64()] * 5, maps]
-                yield pa.RecordBatch.from_arrays([batch.column("rec_id").slice(k, 1), *(pa.array([v], t) for v, t in zip(row, kinds))], names=["rec_id", *(c.split()[0] for c in names.split(", ")[:6]), "measures"])
+                kinds = [pa.string(), *[pa.float64()] * 5, maps, flat]
+                yield pa.RecordBatch.from_arrays([batch.column("rec_id").slice(k, 1), *(pa.array([v], t) for v, t in zip(row, kinds))], names=["rec_id", *(c.split()[0] for c in names.split(", ")[:6]), "measures", "whole"])
 
     return recordings.select("rec_id", "content").mapInArrow(run, f"rec_id {kind}, {names}")
 

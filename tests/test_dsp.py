@@ -4,7 +4,7 @@ import wave
 import numpy as np
 import pytest
 
-from tessera.operators import dsp
+from tessera.operators import dsp, waveform
 from tessera.operators.statistics import STATISTICS
 
 RATE = 16000
@@ -83,3 +83,39 @@ def test_recordings_to_features(spark):
         have = [f[1, f"{m}_{s}"] for s in ("Mean", "Std", "Median", "IQR", "P5", "P95", "Range")]
         assert np.allclose(have, want, rtol=1e-9, atol=1e-12)
         assert all(f[2, f"{m}_{s}"] == 0 for s in STATISTICS)
+
+
+def test_prediction_recovers_a_known_filter():
+    rng = np.random.default_rng(3)
+    a = np.array([1.0, -1.2, 0.6])
+    e = rng.standard_normal(6000)
+    x = np.zeros(6000)
+    for n in range(6000):
+        x[n] = e[n] - a[1] * x[n - 1] - a[2] * x[n - 2]
+    lpc, reflections, power = dsp.burg(x[None, 1000:], 2)
+    assert np.allclose(lpc[0], a, atol=0.05) and abs(power[0] - 1) < 0.1 and abs(reflections[0, 1] - 0.6) < 0.05
+    assert abs(dsp.predicted(x[None, 1000:], a[None])[0, 2:].std() - e[1002:].std()) < 1e-9
+    c = waveform.prediction_cepstra(np.array([[1.0, -0.5]]), 4)[0]
+    assert np.allclose(c, [0.5**n / n for n in range(1, 5)])
+    lsf = waveform.spectral_frequencies(np.append(a, np.zeros(12)))
+    assert (np.diff(lsf[lsf > 0]) > 0).all()
+
+
+def test_whole_features_of_known_signals():
+    tone, hiss = sine(), np.random.default_rng(0).standard_normal(48000) * 0.1
+    made = {}
+    for name, raw in (("tone", tone), ("hiss", hiss), ("silence", np.zeros(48000))):
+        x = dsp.normalise(raw)
+        made[name] = waveform.whole_features(x, raw, dsp.voice_mask(x))
+    assert len({len(m) for m in made.values()}) == 1 and len(made["tone"]) > 130
+    assert all(np.isfinite(list(m.values())).all() for m in made.values())
+    assert made["tone"]["GlobalBandwidth"] < 1000 < made["hiss"]["GlobalBandwidth"]
+    assert made["hiss"]["SpectralEntropy"] > made["tone"]["SpectralEntropy"] and made["hiss"]["LPCResidualEnergy"] > made["tone"]["LPCResidualEnergy"]
+    assert made["silence"]["GlobalEnergy"] == -60 and made["silence"]["GlobalVADRatio"] == 0
+    t = np.arange(48000) / RATE
+    beat = (1 + np.sin(2 * np.pi * 4 * t)) * np.sin(2 * np.pi * 300 * t) * 0.4
+    assert waveform.modulation(beat, np.ones(290))["GlobalReverb"] > 0.9
+    half = np.where(t < 1.5, 0.001 * tone, tone)
+    x = dsp.normalise(half)
+    assert waveform.whole_features(x, half, dsp.voice_mask(x))["SegmentalSNR"] > 30
+    assert np.allclose(waveform.envelope(np.sin(2 * np.pi * 100 * t))[100:-100], 1, atol=1e-6)
