@@ -22,7 +22,7 @@ from .statistics import BOUNDARIES, LEAST_FRAMES
 RATE, SHORTEST, LONGEST = 16000, 1.0, 120.0
 FRAME, HOP = 512, 160
 EPS = 1e-12
-MEASURES = ["FrameSNR", "FrameSF", "FrameMFCCVar", "FrameCPP", "FrameGNE", "FrameSE", "FrameSR", "FrameSS", "FrameSBW", "FrameSFlux", "FrameE", "FrameAC", "FrameSSkew", "FrameSKurt", "FrameSCF", "FrameSHR", "FrameZCR", "FrameDeltaMFCC", "FrameDeltaDeltaMFCC"]
+MEASURES = ["FrameSNR", "FrameSF", "FrameMFCCVar", "FrameCPP", "FrameGNE", "FrameSE", "FrameSR", "FrameSS", "FrameSC", "FrameSBW", "FrameSFlux", "FrameE", "FrameAC", "FrameSSkew", "FrameSKurt", "FrameSCF", "FrameSHR", "FrameZCR", "FrameDeltaMFCC", "FrameDeltaDeltaMFCC"]
 
 
 def decode_wav(content: bytes, mono: str = "mean") -> tuple[np.ndarray, int]:
@@ -128,6 +128,26 @@ def cepstra(power: np.ndarray, keep: int = 14, bands: int = 40) -> np.ndarray:
     return basis @ db
 
 
+def contrast(mag: np.ndarray, bands: int = 6, lowest: float = 200.0, quantile: float = 0.02) -> np.ndarray:
+    """Mean over octave bands of the dB difference between the largest and smallest ``quantile`` of a band's bins.
+
+    A band takes the bin below it too, the last one all bins above; all but the last give up their top bin to the next.
+    """
+    f = np.linspace(0, RATE / 2, len(mag))
+    edges = np.concatenate([[0.0], lowest * 2.0 ** np.arange(bands + 1)])
+    decibel = lambda x: np.maximum(d := 10 * np.log10(np.maximum(x, 1e-10)), d.max() - 80)
+    peaks, valleys = [], []
+    for k in range(bands + 1):
+        inside = np.flatnonzero((f >= edges[k]) & (f <= edges[k + 1]))
+        first, last = inside[0] - (k > 0), len(f) - 1 if k == bands else inside[-1]
+        size = last - first + 1
+        rows = np.sort(mag[first : last + (k == bands)], axis=0)
+        n = max(int(np.rint(quantile * size)), 1)
+        valleys.append(rows[:n].mean(axis=0))
+        peaks.append(rows[-n:].mean(axis=0))
+    return (decibel(np.stack(peaks)) - decibel(np.stack(valleys))).mean(axis=0)
+
+
 def slopes(c: np.ndarray, order: int, width: int = 9) -> np.ndarray:
     """Savitzky-Golay derivative of degree and order ``order``; the ends use the fit of the first and last window."""
     half, n = width // 2, c.shape[1]
@@ -200,6 +220,7 @@ def frame_measures(x: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
     weight = mag / np.where(total > 0, total, 1)
     centroid = (f * weight).sum(axis=0)
     out["FrameSBW"] = np.sqrt((weight * (f - centroid) ** 2).sum(axis=0))
+    out["FrameSC"] = contrast(mag)
     direction = mag / (np.linalg.norm(mag, axis=0) + EPS)
     out["FrameSFlux"] = np.concatenate([[0.0], np.linalg.norm(np.diff(direction, axis=1), axis=0)])
 

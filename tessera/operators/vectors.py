@@ -127,3 +127,30 @@ def embedding_qa(e: DataFrame) -> DataFrame:
     )
     dims = e.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     return norms.crossJoin(dims.agg(F.min("m").alias("dim_mean_min"), F.max("m").alias("dim_mean_max"), F.min("s").alias("dim_std_min"), F.max("s").alias("dim_std_max")))
+
+
+def embed(recordings: DataFrame, load, batch: int = 32) -> DataFrame:
+    """``rec_id, embedding array<float>`` of ``recordings(rec_id, samples array<float>)`` by a speaker network.
+
+    ``load()`` runs once in a worker and returns a function from a zero-padded ``(n, longest)`` float array and the
+    relative lengths to an ``(n, dim)`` array; no network ships here. Recordings are batched ``batch`` at a time; one
+    without samples has a null embedding.
+    """
+    kind = recordings.schema["rec_id"].dataType.simpleString()
+
+    def run(batches):
+        network = load()
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                samples = [np.asarray(x if x is not None else [], np.float32) for x in part.column("samples").to_pylist()]
+                own = [k for k, x in enumerate(samples) if len(x)]
+                out: list = [None] * len(samples)
+                if own:
+                    longest = max(len(samples[k]) for k in own)
+                    padded = np.stack([np.pad(samples[k], (0, longest - len(samples[k]))) for k in own])
+                    for k, v in zip(own, network(padded, np.array([len(samples[k]) / longest for k in own], np.float32))):
+                        out[k] = np.asarray(v, np.float32).tolist()
+                yield pa.RecordBatch.from_arrays([part.column("rec_id"), pa.array(out, pa.list_(pa.float32()))], names=["rec_id", "embedding"])
+
+    return recordings.select("rec_id", "samples").mapInArrow(run, f"rec_id {kind}, embedding array<float>")

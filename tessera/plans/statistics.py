@@ -253,3 +253,12 @@ def f12_selected_with_default(spark, folder):
     have = {"discount": "l_discount", "tax": "l_tax"}
     row = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_idx"), *[F.col(have[c]).cast("double").alias(c) if c in have else F.lit(0.0).alias(c) for c in ("discount", "tax", "missing")])
     return row.where(~F.exists(F.array("discount", "tax"), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
+
+
+@query()
+def x8_permuted_block(spark, folder):
+    """Correlations of the features once the price and tax of each row come from another row."""
+    l = src.table(spark, folder, "part")
+    wide = l.select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 11).cast("double").alias("other"))
+    p = st.permuted_block(wide, "p_partkey", ["price", "other"], 3)
+    return rounded(p.agg(F.count("*").alias("n"), correlation(F.col("size"), F.col("price")).alias("across"), correlation(F.col("price"), F.col("other")).alias("within")))

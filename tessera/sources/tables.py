@@ -90,6 +90,14 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", F.regexp_extract("path", r"(sp\d{4})", 1).alias("speaker_id"))
 
 
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """``done, total, rate`` of lines such as ``[120/4000] ... 2.5 files/s`` in progress logs; other lines go."""
+    lines = spark.read.text(path)
+    part = lambda k: F.regexp_extract("value", r"\[?(\d+)\s*/\s*(\d+)\]?.*?([\d.]+)\s*files/s", k)
+    rows = lines.select(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")).where("a <> ''")
+    return rows.select(F.col("a").cast("long").alias("done"), F.col("b").cast("long").alias("total"), F.col("c").cast("double").alias("rate"))
+
+
 def write_report(df: DataFrame, path: str, form: str = "parquet") -> None:
     """``parquet``, ``csv`` with a header or ``json``, replacing what is there."""
     w = df.write.mode("overwrite")

@@ -64,6 +64,13 @@ def test_measures_of_known_signals():
     assert abs(dsp.frame_measures(x, np.ones(298, bool))["FrameAC"][10] - acf[32:267].max()) < 1e-9
 
 
+def test_contrast_of_flat_and_peaky_spectra():
+    flat = dsp.contrast(np.ones((257, 3)))
+    peaky = np.full((257, 3), 1e-3)
+    peaky[::16] = 1.0
+    assert np.allclose(flat, 0) and (dsp.contrast(peaky) > 15).all()
+
+
 def test_slopes_of_polynomials():
     t = np.arange(30.0)
     assert np.allclose(dsp.slopes(np.stack([3 * t + 1]), 1), 3) and np.allclose(dsp.slopes(np.stack([2 * t * t]), 2), 4)
