@@ -142,11 +142,35 @@ def prune_redundant(matrix: DataFrame, strength: dict[str, float], limit: float
     return sorted(f for f in strength if f not in gone)
 
 
+def percentile_ranks(sample: DataFrame, table: DataFrame) -> DataFrame:
+    """``sample`` with ``rank``, the number of percentiles at or below the value, 100 at most; features without
+    percentiles go. The table has a row per feature, so it goes to the tasks whole; ranks are binary searches."""
+    import numpy as np
+    import pyarrow as pa
+
+    known = {r["feature"]: np.array(r["pct"], float) for r in table.select("feature", "pct").collect()}
+    names = sample.columns
+
+    def run(batches):
+        for batch in batches:
+            feature = batch.column("feature").dictionary_encode()
+            value, code = batch.column("value").to_numpy(zero_copy_only=False), feature.indices.to_numpy(zero_copy_only=False)
+            rank = np.full(len(value), -1, np.int32)
+            for k, f in enumerate(feature.dictionary.to_pylist()):
+                if f in known:
+                    at = code == k
+                    rank[at] = np.minimum(np.searchsorted(known[f], value[at], side="right"), 100)
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], names=[*names, "rank"])
+            yield out.filter(pa.array(rank >= 0))
+
+    from pyspark.sql import types as T
+
+    return sample.mapInArrow(run, T.StructType([*sample.schema.fields, T.StructField("rank", T.IntegerType())]))
+
+
 def limiting_factors(sample: DataFrame, table: DataFrame, importance: DataFrame, top: int = 5) -> DataFrame:
-    """Per sample the ``top`` features by importance * (1 - rank / 100), rank the number of percentiles at or below
-    the value, 100 at most; ties go by name."""
-    rank = F.least(F.size(F.filter("pct", lambda p: p <= F.col("value"))), F.lit(100))
-    rows = sample.join(F.broadcast(table), "feature").join(F.broadcast(importance), "feature").withColumn("rank", rank)
+    """Per sample the ``top`` features by importance * (1 - rank / 100); ties go by name."""
+    rows = percentile_ranks(sample, table).join(F.broadcast(importance), "feature")
     rows = rows.withColumn("urgency", F.col("importance") * (1 - F.col("rank") / 100.0))
     place = F.row_number().over(W.partitionBy("row_idx").orderBy(F.desc(F.round("urgency", 9)), "feature", "value"))
     return rows.withColumn("place", place).where(F.col("place") <= top).select("row_idx", "place", "feature", "value", "rank", "importance", "urgency")
@@ -154,8 +178,7 @@ def limiting_factors(sample: DataFrame, table: DataFrame, importance: DataFrame,
 
 def category_scores(sample: DataFrame, table: DataFrame, categories: DataFrame) -> DataFrame:
     """Mean rank of a sample's features by category, half to even."""
-    rank = F.least(F.size(F.filter("pct", lambda p: p <= F.col("value"))), F.lit(100))
-    rows = sample.join(F.broadcast(table), "feature").join(F.broadcast(categories), "feature", "left").withColumn("rank", rank)
+    rows = percentile_ranks(sample, table).join(F.broadcast(categories), "feature", "left")
     return rows.groupBy("row_idx", F.coalesce("category", F.lit("other")).alias("category")).agg(F.bround(F.avg("rank")).cast("int").alias("score"))
 
 
