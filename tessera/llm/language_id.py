@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TwoGenerations, arrow_rows
+from .common import TwoGenerations, arrow_rows, cut
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -47,6 +47,7 @@ class Model:
     grams: dict[str, int]  # row of gram_scores
     gram_scores: np.ndarray
     order: int
+    memo: TwoGenerations | None = None
 
     def row(self, word: str) -> np.ndarray:
         """Scores of one word in each language."""
@@ -92,7 +93,8 @@ def fit(labelled: DataFrame, per_language: int = 5000, order: int = 4, entries:
 
     counts = sample.select("lang", "text").mapInArrow(count, "kind int, lang string, key string, n long")
     by_key = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns"))
-    kept = {kind: by_key.where((F.col("kind") == kind) & (F.col("total") >= least)).orderBy(F.desc("total"), "key").limit(entries).select("key", "ns").collect() for kind in (0, 1)}
+    by_key = cut(by_key.where(F.col("total") >= least), "language-counts")  # read once for words, once for n-grams
+    kept = {kind: by_key.where(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(entries).select("key", "ns").collect() for kind in (0, 1)}
     tables = {}
     for kind, found in kept.items():
         n = np.array([[r["ns"].get(k, 0) for k in languages] for r in found], np.float64).reshape(-1, len(languages))
@@ -133,7 +135,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        rows = _Rows(model)
+        rows = model.memo = model.memo or _Rows(model)  # a worker keeps the model, so the memo lasts from task to task
         for keys, texts in arrow_rows(batches, "doc_id", "text", step=512):
             index = _Index()
             found = [np.fromiter(map(index.__getitem__, words_of(t)), np.int64) for t in texts]
