@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.semantics import average_rank, correlation, excess_kurtosis, finite, moment_skew, ratio
+from ..functions.semantics import correlation, excess_kurtosis, finite, moment_skew, ratio
 
 # The nine inner boundaries of each frame-level histogram.
 BOUNDARIES = {
@@ -96,9 +96,78 @@ def histogram_features(frames: DataFrame, key: str, value: str, boundaries: list
     return a.select(key, "n", *[F.when(F.col("n") < LEAST_FRAMES, 0.0).otherwise(F.col(s)).alias(s) for s in STATISTICS])
 
 
+def ranked_values(long: DataFrame, buckets: int = 256) -> DataFrame:
+    """``feature, value, c, n, upto``: for each distinct value of a feature how often it occurs, how many values the
+    feature has, and how many are up to it, without a feature's values ever meeting in one task.
+
+    Values are counted (map-side first), so ties are one row. Approximate quantiles cut each feature into ``buckets``
+    ranges; sums of the ranges before and a window within a range give the running count. The ranges only balance the
+    work; the counts are exact. Their bounds, ``buckets`` numbers a feature, go to the tasks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    counted = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("c"))
+    marks = F.percentile_approx("value", F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(8 * buckets))
+    cuts = {r["feature"]: np.unique(r["m"]) for r in long.groupBy("feature").agg(marks.alias("m")).collect() if r["m"]}
+
+    def place(batches):
+        for batch in batches:
+            value, part = batch.column("value").to_numpy(), np.zeros(batch.num_rows, np.int32)
+            for f, at in by_feature(batch):
+                part[at] = np.searchsorted(cuts[f], value[at], side="right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=["feature", "value", "c", "part"])
+
+    placed = counted.mapInArrow(place, "feature string, value double, c long, part int")
+    parts = placed.groupBy("feature", "part").agg(F.sum("c").alias("pc"))
+    one = W.partitionBy("feature")
+    parts = parts.select("feature", "part", (F.sum("pc").over(one.orderBy("part")) - F.col("pc")).alias("before"), F.sum("pc").over(one).alias("n"))
+    upto = F.col("before") + F.sum("c").over(W.partitionBy("feature", "part").orderBy("value"))
+    return placed.join(F.broadcast(parts), ["feature", "part"]).select("feature", "value", "c", "n", upto.alias("upto"))
+
+
+def by_feature(batch):
+    """The features of an Arrow batch, each with the places of its rows."""
+    import numpy as np
+
+    codes = batch.column("feature").dictionary_encode()
+    at = codes.indices.to_numpy(zero_copy_only=False)
+    for k, f in enumerate(codes.dictionary.to_pylist()):
+        yield f, np.flatnonzero(at == k)
+
+
+def exact_percentiles(long: DataFrame, shares: list[float]) -> DataFrame:
+    """``feature, pct array<double>``: linearly interpolated percentiles at ascending ``shares``, whose ranks are picked
+    out of ``ranked_values`` in Arrow tasks."""
+    import numpy as np
+    import pyarrow as pa
+
+    ranked = ranked_values(long)
+
+    def pick(batches):
+        p = np.array(shares)
+        for batch in batches:
+            value, c, n, upto = (batch.column(k).to_numpy() for k in ("value", "c", "n", "upto"))
+            for f, at in by_feature(batch):
+                position = (n[at[0]] - 1) * p
+                for high, want in ((False, np.floor(position)), (True, np.ceil(position))):
+                    first, last = np.searchsorted(want, upto[at] - c[at]), np.searchsorted(want, upto[at])
+                    for k in np.flatnonzero(last > first):
+                        hit = np.arange(first[k], last[k], dtype=np.int32)
+                        m = len(hit)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([f] * m, pa.string()), pa.array(hit), pa.array([high] * m), pa.array(np.full(m, value[at[k]])), pa.array(position[hit] - np.floor(position[hit]))], names=["feature", "k", "high", "value", "f"]
+                        )
+
+    picked = ranked.mapInArrow(pick, "feature string, k int, high boolean, value double, f double")
+    low, high = F.max(F.when(~F.col("high"), F.col("value"))), F.max(F.when(F.col("high"), F.col("value")))
+    points = picked.groupBy("feature", "k").agg((low + (high - low) * F.max("f")).alias("v"))
+    return points.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("a")).select("feature", F.transform("a", lambda x: x["v"]).alias("pct"))
+
+
 def percentile_table(long: DataFrame) -> DataFrame:
     """``feature, pct array<double>`` of the percentiles 0..100."""
-    return long.groupBy("feature").agg(F.percentile("value", F.array(*[F.lit(k / 100) for k in range(101)])).alias("pct"))
+    return exact_percentiles(long, [k / 100 for k in range(101)])
 
 
 def varying(long: DataFrame) -> DataFrame:
@@ -111,7 +180,13 @@ def spearman_to_targets(long: DataFrame, targets: DataFrame, names: list[str]) -
     and mean absolute value."""
     both = long.join(targets, "row_idx")
     t = both.unpivot(["row_idx", "feature", "value"], names, "target", "y").where("y is not null and value is not null")
-    ranked = t.withColumn("rx", average_rank("value", "feature", "target")).withColumn("ry", average_rank("y", "feature", "target"))
+    t = t.select("feature", "target", F.col("value").alias("x"), "y", F.concat_ws("|", "feature", "target").alias("g"))
+
+    def ranks(column: str, name: str) -> DataFrame:
+        r = ranked_values(t.select(F.col("g").alias("feature"), F.col(column).alias("value")))
+        return r.select(F.col("feature").alias("g"), F.col("value").alias(column), (F.col("upto") - (F.col("c") - 1) / 2.0).alias(name))
+
+    ranked = t.join(ranks("x", "rx"), ["g", "x"]).join(ranks("y", "ry"), ["g", "y"])
     rho = ranked.groupBy("feature", "target").agg(F.when(F.count("*") < 10, 0.0).otherwise(correlation(F.col("rx"), F.col("ry"))).alias("rho"))
     wide = rho.groupBy("feature").agg(*[F.max(F.when(F.col("target") == n, F.col("rho"))).alias(f"rho_{n}") for n in names], F.avg("rho").alias("mean_rho"), F.avg(F.abs("rho")).alias("mean_abs_rho"))
     return wide
