@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,3 +94,26 @@ class TwoGenerations(dict):
             self.clear()
         self[key] = value
         return value
+
+
+_KEPT: dict = {}
+
+
+@contextlib.contextmanager
+def kept(key, make: Callable, seconds: float = 3.0):
+    """``make()``, which the worker keeps for the next task that asks for ``key``; once none has for some seconds, it goes.
+
+    So memos last through a stage and do not weigh on the stages after it.
+    """
+    value, timer = _KEPT.pop(key, (None, None))
+    if timer is not None:
+        timer.cancel()
+    if value is None:
+        value = make()
+    try:
+        yield value
+    finally:
+        timer = threading.Timer(seconds, _KEPT.pop, (key, None))
+        timer.daemon = True
+        _KEPT[key] = (value, timer)
+        timer.start()

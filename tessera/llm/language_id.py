@@ -15,6 +15,7 @@ Prediction is one narrow Arrow stage over the scan.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TwoGenerations, arrow_rows, cut
+from .common import TwoGenerations, arrow_rows, cut, kept
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -47,7 +48,7 @@ class Model:
     grams: dict[str, int]  # row of gram_scores
     gram_scores: np.ndarray
     order: int
-    memo: TwoGenerations | None = None
+    name: str = ""
 
     def row(self, word: str) -> np.ndarray:
         """Scores of one word in each language."""
@@ -104,7 +105,7 @@ def fit(labelled: DataFrame, per_language: int = 5000, order: int = 4, entries:
             at = widths == width
             scores[at] = np.log((n[at] + smooth) / (n[at].sum(axis=0) + smooth * (at.sum() + 1)))
         tables[kind] = ({r["key"]: i for i, r in enumerate(found)}, scores)
-    return Model(languages, *tables[0], *tables[1], order)
+    return Model(languages, *tables[0], *tables[1], order, uuid.uuid4().hex)
 
 
 class _Rows(TwoGenerations):
@@ -135,7 +136,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        rows = model.memo = model.memo or _Rows(model)  # a worker keeps the model, so the memo lasts from task to task
+        with kept(("language", model.name), lambda: _Rows(model)) as rows:
+            yield from predictions(batches, model, rows)
+
+    def predictions(batches, model, rows):
         for keys, texts in arrow_rows(batches, "doc_id", "text", step=512):
             index = _Index()
             found = [np.fromiter(map(index.__getitem__, words_of(t)), np.int64) for t in texts]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, arrow_rows, cut, read_blobs, shared_dir, write_blobs
+from .common import TwoGenerations, arrow_rows, cut, kept, read_blobs, shared_dir, write_blobs
 from .token_counts import PRETOKEN, byte_symbols
 
 MAGIC = b"TKV1"
@@ -137,14 +137,13 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, memo: int = 600_000):
     """A function from a text to its ids as little-endian 32-bit bytes, as the library encodes the whole text.
 
     A pre-token of byte-level BPE holds a space as its first character only, unless white space touches that space, and
     the model encodes pre-tokens alone. So the chunks between spaces are encoded and memoised one by one, first and last
     chunk apart. Texts where white space touches a space inside, or with one of the file's special strings, go to the
-    library whole. A worker keeps the function and its memo from task to task.
+    library whole.
     """
     tokenizer = _tokenizer(path)
     chunks = _Chunks(tokenizer, memo)
@@ -175,8 +174,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def run(batches):
         from pyspark import TaskContext
 
-        partition, sequence = TaskContext.get().partitionId(), 0
-        encode = encoder(tokenizer_path)
+        with kept(("encoder", tokenizer_path), lambda: encoder(tokenizer_path)) as encode:
+            yield from files(batches, TaskContext.get().partitionId(), encode)
+
+    def files(batches, partition, encode):
+        sequence = 0
         keys, counts, parts, held = [], [], [], 0
 
         def flush():
