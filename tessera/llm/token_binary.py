@@ -51,11 +51,14 @@ def rank_by_frequency(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     values = values.astype("<u4")
-    size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    code[: len(values)] = size - 1
-    control = (code.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(axis=1).astype(np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    used = np.ones((len(values), width), bool)
+    code = np.zeros((-(-len(values) // 4), 4), np.uint8)
+    for k in range(1, width):
+        used[:, k] = values >= 1 << (8 * k)
+        code.reshape(-1)[: len(values)] += used[:, k]
+    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
+    data = values.view(np.uint8).reshape(-1, 4)[:, :width][used]
     return control.tobytes(), data.tobytes()
 
 
@@ -154,9 +157,9 @@ def encoder(path: str, memo: int = 600_000):
         first, *rest = text.split(" ")
         if not rest or first[-1:].isspace() or rest[-1][:1].isspace() or not rest[-1] or any(s in text for s in special):
             return ids(text)
-        last = rest.pop()
+        last = ids(" " + rest.pop()) if rest[-1][-1:].isspace() else b""  # white space that ends the text stays apart
         try:
-            return ids(first) + b"".join(map(chunks.__getitem__, rest)) + ids(" " + last)
+            return ids(first) + b"".join(map(chunks.__getitem__, rest)) + last
         except TypeError:  # a 0 among the chunks
             return ids(text)
 
