@@ -166,7 +166,7 @@ def mcnemar(df, a, b):
     return c.withColumn("p_value", F.when(F.col("n01") + F.col("n10") == 0, 1.0).otherwise(_erfc(F.sqrt(F.col("chi2") / 2))))
 
 
-@query(f"WITH {L}, d AS (SELECT score - score_v AS d FROM l) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, 0.016667 AS alpha FROM d")
+@query(f"WITH {L}, d AS (SELECT score - score_v AS d FROM l) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, 0.016667::DOUBLE AS alpha FROM d")
 def e22_paired_t(spark, folder):
     """Paired t statistic; alpha is Bonferroni's for three comparisons."""
     d = (F.col("score") - F.col("score_v")).cast("double")

@@ -124,7 +124,7 @@ def _percentiles(spark, folder):
     return st.percentile_table(src.measures(spark, folder)).select("feature", F.transform("pct", lambda x: F.round(x, 9)).alias("pct"))
 
 
-@query(f"WITH {RANKS}, {IMP}, u AS (SELECT row_idx, feature, value, rank, importance, importance * (1 - rank / 100) AS urgency FROM rk JOIN im USING (feature)), p AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY round(urgency, 9) DESC, feature, value) AS place FROM u) SELECT row_idx, place::INT AS place, feature, round(value, 6) AS value, rank::INT AS rank, round(importance, 6) AS importance, round(urgency, 6) AS urgency FROM p WHERE place <= 2")
+@query(f"WITH {RANKS}, {IMP}, u AS (SELECT row_idx, feature, value, rank, importance, importance * (1 - rank / 100) AS urgency FROM rk JOIN im USING (feature)), p AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY round(urgency, 9) DESC, feature, value) AS place FROM u) SELECT row_idx, place::INT AS place, feature, round(value, 6) AS value, rank::INT AS rank, round(importance::DOUBLE, 6) AS importance, round(urgency::DOUBLE, 6) AS urgency FROM p WHERE place <= 2")
 def m14_limiting_factors(spark, folder):
     """The two features that limit each sample most."""
     return rounded(st.limiting_factors(src.measures(spark, folder), _percentiles(spark, folder), _importance(spark), 2))

@@ -40,7 +40,7 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
 
     e = table(spark, folder, "events")
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("rec_id"), (F.row_number().over(order) - 1).alias("frame"), "value", (F.col("event_type") != "error").alias("speech"))
+    return e.select(F.col("user_id").alias("rec_id"), (F.row_number().over(order) - 1).cast("long").alias("frame"), "value", (F.col("event_type") != "error").alias("speech"))
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,8 +55,8 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """``row_idx, dataset, label, score``: labelled samples with an integer score 0..100."""
     d, l = table(spark, folder, "documents"), table(spark, folder, "labels")
-    score = (F.col("n_chars") * 7 % 101).cast("int")
-    return l.join(d, "doc_id").select(F.col("doc_id").alias("row_idx"), F.col("source").alias("dataset"), F.col("quality").alias("label"), score.alias("score"), (F.col("n_chars") * 13 % 101).cast("int").alias("score_v"))
+    score = (F.col("n_chars") * 7 % 101).cast("long")
+    return l.join(d, "doc_id").select(F.col("doc_id").alias("row_idx"), F.col("source").alias("dataset"), F.col("quality").alias("label"), score.alias("score"), (F.col("n_chars") * 13 % 101).cast("long").alias("score_v"))
 
 
 def measures(spark: SparkSession, folder: str) -> DataFrame:
