@@ -44,7 +44,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"), window=51)
 
 
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,41 @@
-"""Substring deduplication by hashing lines and their sentences.
+"""Substring deduplication by hashing lines, runs of their sentences, and windows of words.
 
 A text is parted into units: lines, and within lines sentences (an end mark and white space); what then still has more
 than ``LONG`` words is parted behind words whose hash is divisible by ``CUT``, so that equal passages part alike wherever
-they stand. Units tile the text, so offsets stay those of the original. A unit's digest is that of its lower-cased words;
-units below ``least`` words are never removed.
+they stand. Units tile the text, so offsets stay those of the original. A digest is that of lower-cased words.
 
-Digests are grouped globally with map-side minima; of equal units the one of the smallest doc_id stays, within a document
+Digests are taken of the units of ``least`` words, of the shortest runs of ``least`` words that begin or end with a
+shorter unit, and of paragraphs. Any run of whole units of ``least`` words in all is covered by those inside it; so a
+repeated line goes as a whole, however short its sentences are. Less than ``least`` words never go on their own.
+
+Passages that begin or end inside a unit go, to the word, if they have ``window`` words: every place in a window of that
+many words that an earlier document has, or the same document further up. Windows are not hashed everywhere. Of each half
+of one, the ``least`` neighbouring words of the smallest hash are its anchor, which depends on these words only; only
+windows of which all anchors occur twice are hashed, so no repeated window is missed and little else is hashed.
+
+Digests are grouped globally with map-side minima; of equal ones that of the smallest doc_id stays, within a document
 the first. Only digests of more than one document are joined back, and Spark splits the join of a hot digest, so no
 group of equal units meets in one task. Spans are gathered per document and joined to the texts once.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut
+from .common import TwoGenerations, arrow_rows, cut
 
 BREAK = re.compile(r"[.!?]+\s+|\n\s*")
 LONG, CUT = 40, 16
+WORD = re.compile(r"\S+[^\S\n]*")
+KEYS = ["doc_id", "text_key"]
+UNITS = "doc_id long, text_key long, start int, end int, half long, rest long, again boolean"
 
 
 def units_of(text: str) -> list[tuple[int, int, list[str]]]:
@@ -50,70 +63,220 @@ def units_of(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
+def runs_of(text: str, least: int) -> list[tuple[int, int, str]]:
+    """``(start, end, lower-cased words)``, in order, of the units of ``least`` words, the shortest runs of as many that
+    begin or end with a shorter unit, and paragraphs."""
+    units = [(start, end, len(words), " ".join(words)) for start, end, words in units_of(text) if words]
+    sizes, last = [u[2] for u in units], len(units) - 1
+    found, first = set(), 0
+    for k, n in enumerate(sizes):
+        if n >= least:
+            found.add((k, k))
+        else:
+            to, held = k, n
+            while held < least and to < last:
+                to += 1
+                held += sizes[to]
+            if held >= least:
+                found.add((k, to))
+            to, held = k, n
+            while held < least and to:
+                to -= 1
+                held += sizes[to]
+            if held >= least:
+                found.add((to, k))
+        if k == last or text.count("\n", units[k][0], units[k + 1][0]) > 1:
+            if k > first and sum(sizes[first : k + 1]) >= least:
+                found.add((first, k))
+            first = k + 1
+    return [(units[i][0], units[j][1], units[i][3] if i == j else " ".join([u[3] for u in units[i : j + 1]])) for i, j in sorted(found)]
+
+
+def hashed(rows: list) -> pa.RecordBatch:
+    keys, marks, starts, ends, digests, again = zip(*rows)
+    halves = np.frombuffer(b"".join(digests), np.int64)
+    columns = [pa.array(keys, pa.int64()), pa.array(marks, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(halves[::2]), pa.array(halves[1::2]), pa.array(again, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, names=[*KEYS, "start", "end", "half", "rest", "again"])
+
+
+def marked(key, mark, parts):
+    """Rows of ``UNITS`` of one document's ``(start, end, digest)`` in ascending order. ``again`` marks those that the
+    document has had before; those that overlap the first one like them are left out, for else nothing of it might stay."""
+    ends: dict[bytes, int] = {}
+    for start, end, digest in parts:
+        if start >= ends.setdefault(digest, end) or ends[digest] == end:
+            yield key, mark, start, end, digest, ends[digest] != end
+
+
 def units(docs: DataFrame, least: int) -> DataFrame:
-    """``doc_id, text_key, start, end, words, digest, again`` of the units of at least ``least`` words of
-    ``docs(doc_id, text_key, text)``; ``again`` marks those that the document has had before."""
+    """``UNITS`` of ``runs_of`` the texts of ``docs(doc_id, text_key, text)``."""
 
     def run(batches):
-        for keys, marks, texts in arrow_rows(batches, "doc_id", "text_key", "text", step=256):
+        for keys, marks, texts in arrow_rows(batches, *KEYS, "text", step=256):
             rows = []
             for key, mark, text in zip(keys, marks, texts):
-                seen: set[bytes] = set()
-                for start, end, words in units_of(text or ""):
-                    if len(words) >= least:
-                        digest = xxhash.xxh3_128_digest(" ".join(words))
-                        rows.append((key, mark, start, end, len(words), digest, digest in seen))
-                        seen.add(digest)
+                rows += marked(key, mark, ((start, end, xxhash.xxh3_128_digest(words)) for start, end, words in runs_of(text or "", least)))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
-                names = ["doc_id", "text_key", "start", "end", "words", "digest", "again"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                yield hashed(rows)
+
+    return docs.mapInArrow(run, UNITS)
+
+
+class _Hashes(TwoGenerations):
+    def make(self, word):
+        return xxhash.xxh3_64_intdigest(word)
+
+
+def half_of(window: int, least: int) -> int:
+    """Of how many places for ``least`` words, half of those of a window, the anchor is taken."""
+    return (window - least + 2) // 2
+
+
+def sliding(best: np.ufunc, values: np.ndarray, size: int) -> np.ndarray:
+    """``best`` of each ``size`` neighbours."""
+    width = 1
+    while width < size:
+        step = min(width, size - width)
+        values = best(values[:-step], values[step:])
+        width += step
+    return values
+
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, start int, end int, words int, digest binary, again boolean")
+def anchors_of(words: list[str], hashes: _Hashes, window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' hashes, each half window's anchor, and the anchors' hashes by place, so that one at two places is twice there."""
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n, size = len(h) - least + 1, half_of(window, least)
+    grams = np.zeros(n, np.uint64)
+    for k in range(least):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    grams = (grams ^ (grams >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    grams ^= grams >> np.uint64(32)
+    smallest = sliding(np.minimum, grams, size)
+    edge = np.zeros(size - 1, np.uint64)
+    at = sliding(np.maximum, np.concatenate([edge, smallest, edge]), size) == grams
+    return h, smallest.view(np.int64), grams[at].view(np.int64)
 
 
-def repeats(docs: DataFrame, least: int = 8) -> DataFrame:
-    """The units that go: ``doc_id, text_key, start int, end int, words int, first_doc long``, of which ``first_doc`` keeps
-    one (null if no document with a unit like it has an id)."""
-    found = cut(units(docs, least), "substring-units")
+def windows(docs: DataFrame, window: int, least: int) -> DataFrame:
+    """``UNITS`` of the windows of ``window`` words of which all anchors occur twice in ``docs(doc_id, text_key, text)``."""
+
+    def anchors(batches):
+        hashes = _Hashes(1 << 18)
+        for keys, marks, texts in arrow_rows(batches, *KEYS, "text", step=256):
+            owners, found, twice = [], [], []
+            for key, mark, text in zip(keys, marks, texts):
+                words = (text or "").lower().split()
+                if len(words) >= window:
+                    values, counts = np.unique(anchors_of(words, hashes, window, least)[2], return_counts=True)
+                    owners += [(key, mark)] * len(values)
+                    found.append(values)
+                    twice.append(counts > 1)
+            if owners:
+                ids, marks = zip(*owners)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(np.concatenate(found)), pa.array(np.concatenate(twice))], names=[*KEYS, "anchor", "twice"])
+
+    def around(batches):
+        hashes = _Hashes(1 << 18)
+        for keys, marks, texts, wanted in arrow_rows(batches, *KEYS, "text", "anchors", step=64):
+            rows = []
+            for key, mark, text, known in zip(keys, marks, texts, wanted):
+                spots = [m.span() for m in WORD.finditer(text)]
+                h, smallest, _ = anchors_of(text.lower().split(), hashes, window, least)
+                held = np.isin(smallest, np.array(known, np.int64))
+                starts = np.flatnonzero(sliding(np.minimum, held, window - least + 2 - half_of(window, least))).tolist()
+                rows += marked(key, mark, ((spots[p][0], spots[p + window - 1][1], xxhash.xxh3_128_digest(h[p : p + window].tobytes())) for p in starts))
+            if rows:
+                yield hashed(rows)
+
+    found = cut(docs.mapInArrow(anchors, "doc_id long, text_key long, anchor long, twice boolean"), "substring-anchors")
+    twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select(F.col("anchor").alias("g_anchor"))
+    known = found.join(twice, F.col("anchor") == F.col("g_anchor")).groupBy(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key")).agg(F.collect_set("anchor").alias("anchors"))
+    near = docs.join(known, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("text_key") == F.col("g_key")))
+    return near.select(*KEYS, "text", "anchors").mapInArrow(around, UNITS)
+
+
+def settled(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """``df`` written and read back; the shuffle files behind it, and the files of ``done``, go before the next are made."""
+    out = cut(df, "substring-part")
+    jvm = df.sparkSession.sparkContext._jvm
+    for name in {f.rsplit("/", 1)[0] for d in done for f in d.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+    return out
+
+
+def recurring(found: DataFrame) -> DataFrame:
+    """Of the written ``found`` (``UNITS``) those whose half digest recurs: few of the units, for which little is moved."""
     fresh = found.where("not again")
-    groups = fresh.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_key"))).alias("first_key"))
-    groups = groups.where("n > 1").select(F.col("digest").alias("g_digest"), "first_doc", "first_key")
+    twice = fresh.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select(F.col("half").alias("g_half"))
+    return fresh.join(twice, F.col("half") == F.col("g_half")).select(found.columns).unionAll(found.where("again"))
+
+
+def repeats(found: DataFrame) -> DataFrame:
+    """Of the written ``found`` (``UNITS``) those that go: ``doc_id, text_key, start int, end int, first_doc long``, the
+    smallest document with one like it (null if no such document has an id)."""
+    fresh = found.where("not again").drop("again")
+    groups = fresh.groupBy("half", "rest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_key"))).alias("first_key"))
+    groups = groups.where("n > 1").select(F.col("half").alias("g_half"), F.col("rest").alias("g_rest"), "first_doc", "first_key")
     later = F.when(F.col("first_doc").isNotNull(), ~F.col("doc_id").eqNullSafe(F.col("first_doc"))).otherwise(F.col("text_key") != F.col("first_key"))
-    gone = fresh.join(groups, F.col("digest") == F.col("g_digest")).where(later)
-    names = "doc_id", "text_key", "start", "end", "words"
+    gone = fresh.join(groups, (F.col("half") == F.col("g_half")) & (F.col("rest") == F.col("g_rest"))).where(later)
+    names = "doc_id", "text_key", "start", "end"
     return gone.select(*names, "first_doc").unionAll(found.where("again").select(*names, F.col("doc_id").alias("first_doc")))
 
 
-def deduplicated(docs: DataFrame, least: int = 8) -> DataFrame:
+def joined_spans(gone: list[dict]) -> list[dict]:
+    """Ascending spans without overlap of ``gone``, ascending; those that meet and have the same first document are one."""
+    out, at = [], 0
+    for g in gone:
+        start, end = max(at, g["start"]), g["end"]
+        if start < end:
+            if out and out[-1]["end"] == start and out[-1]["first_doc"] == g["first_doc"]:
+                out[-1]["end"] = end
+            else:
+                out.append({"start": start, "end": end, "first_doc": g["first_doc"]})
+            at = end
+    return out
+
+
+def deduplicated(docs: DataFrame, least: int = 8, window: int | None = None) -> DataFrame:
     """``doc_id, changed boolean, n_removed long, removed_words long, spans, text`` for each row of ``docs(doc_id, text, ...)``.
 
-    ``spans array<struct<start, end, first_doc>>`` are the removed units in characters of the original text, ascending,
-    each with the document that keeps it; ``text`` is what is left. Null texts stay null and empty ones empty, without
-    spans. Rows of one id count as one document: units that it keeps stay in each of its rows. Rows without id rank
-    behind all others, among themselves by a hash of the text. Other columns are not read.
+    ``spans array<struct<start, end, first_doc>>`` are what is removed, in characters of the original text, ascending and
+    without overlap, each with the earliest document that has it; ``text`` is what is left. Without ``window`` only whole
+    units go; with it, repeated passages of as many words go as well, to the word. Null texts stay null and empty ones
+    empty, without spans. Rows of one id count as one document: units that it keeps stay in each of its rows. Rows
+    without id rank behind all others, among themselves by a hash of the text. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    gone = repeats(rows, least).groupBy("doc_id", "text_key").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("start", "end", "first_doc", "words")))).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key"), "gone")
+    found = settled(units(rows, least))
+    found = settled(recurring(found), found)
+    gone = settled(repeats(found), found)
+    if window:
+        found = settled(windows(rows, window, least))
+        gone = gone.unionAll(settled(repeats(found), found))
+    gone = gone.groupBy(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc"))).alias("gone"))
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("text_key") == F.col("g_key")), "left")
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, spans, removed = [], [], []
             for text, gone in zip(batch.column("text"), batch.column("gone")):
-                text, at, parts = text.as_py(), 0, []
+                text, at, parts, n, held = text.as_py(), 0, [], 0, []
                 if text is not None and gone.is_valid:
-                    for g in gone.as_py():
+                    held = joined_spans(gone.as_py())
+                    for g in held:
                         parts.append(text[at : g["start"]])
                         at = g["end"]
+                        n += len(text[g["start"] : at].split())
                     text = "".join(parts) + text[at:]
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("gone"), pa.array(out, pa.string())], names=["doc_id", "gone", "text"])
+                spans.append(held)
+                removed.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(spans, batch.schema.field("gone").type), pa.array(out, pa.string())], names=["doc_id", "removed_words", "spans", "text"])
 
-    schema = joined.select("doc_id", "gone", "text").schema
+    schema = "doc_id long, removed_words long, spans array<struct<start: int, end: int, first_doc: long>>, text string"
     done = joined.select("doc_id", "gone", "text").mapInArrow(run, schema)
-    none = F.coalesce("gone", F.array().cast(schema["gone"].dataType))
-    spans = F.transform(none, lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), g["first_doc"].alias("first_doc")))
-    removed = F.aggregate(none, F.lit(0).cast("long"), lambda acc, g: acc + g["words"])
-    return done.select("doc_id", F.col("gone").isNotNull().alias("changed"), F.size(none).cast("long").alias("n_removed"), removed.alias("removed_words"), spans.alias("spans"), "text")
+    size = F.size("spans").cast("long")
+    return done.select("doc_id", (size > 0).alias("changed"), size.alias("n_removed"), "removed_words", "spans", "text")

@@ -141,3 +141,51 @@ def test_repeats_of_awkward_rows(spark):
     by = {r.doc_id: r for r in got}
     assert by[2].text == "" and by[4].text is None and by[1].text == docs.BASE
     assert substring_dedup.deduplicated(docs.empty(spark)).count() == 0
+
+
+def brute_places(rows, window=51):
+    """Which words of each document stand in a line of eight words, or a window, that an earlier document or place has."""
+    had, out = {}, {}
+    for i, text in sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0)):
+        words = text.lower().split()
+        gone, new, at = [False] * len(words), [], 0
+        lines = [(sum(len(x.split()) for x in text.split("\n")[:k]), len(line.split())) for k, line in enumerate(text.split("\n"))]
+        for p, n in [(p, n) for p, n in lines if n >= 8] + [(p, window) for p in range(len(words) - window + 1)]:
+            key = (n == window, *words[p : p + n])
+            if key in had and (had[key][0] != i or had[key][1] + n <= p):
+                gone[p : p + n] = [True] * n
+            had.setdefault(key, (i, p))
+        out[i] = gone
+    return out
+
+
+def places_gone(row, text):
+    return [any(s.start <= m.start() < s.end for s in row.spans) for m in re.finditer(r"\S+", text)]
+
+
+def test_whole_lines_and_windows_go(spark):
+    """By places, not by units: short sentences, ends of unbroken passages, lines across documents and within one."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: " ".join(f"{'abcdefgh'[int(rng.integers(8))]}{int(rng.integers(1 << 40))}" for _ in range(n))
+    short = "It is so. We know it. You do not. They may yet see. Nobody else did."
+    passages = [fresh(51 + 7 * k) for k in range(12)]
+    mixed = "On it. " + ". ".join(fresh(6) for _ in range(9)) + ". So it is"
+    rows = [(k, f"{fresh(9)} {p} {fresh(30)}\n{short}\n{fresh(12)}") for k, p in enumerate([*passages, mixed])]
+    rows += [(100 + k, f"{fresh(5)} {p} {fresh(3 + k)}") for k, p in enumerate([*passages, mixed])]
+    rows += [(200, f"{fresh(70)}\n{short}"), (201, "x " * 130), (202, passages[3] + " and " + passages[3]), (203, fresh(200)), (204, passages[1][: len(passages[1]) // 2])]
+    got = {r.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), window=51).collect()}
+    want = brute_places(rows)
+    for i, text in rows:
+        places = places_gone(got[i], text)
+        assert places == want[i], i
+        assert got[i].removed_words == sum(places)
+        assert got[i].text == "".join(text[a:b] for a, b in zip([0, *(s.end for s in got[i].spans)], [*(s.start for s in got[i].spans), len(text)]))
+    assert all(short not in got[i].text for i in got if i) and sum(want[100]) == 51 and not any(want[203])
+
+
+def test_short_sentences_of_a_repeated_line_go(spark):
+    """Without windows too; a paragraph goes however its lines are wrapped, and a line of few words stays."""
+    line = "It is so. We know it. You do not. They may yet see."
+    rows = [(1, f"{line}\nmore here\n\nfive words and then some\nothers, in all of eleven"), (2, f"before\n{line}\nmore here"), (3, "five words and then\nsome others, in all of eleven"), (4, "more here")]
+    got = {r.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].text for i in (1, 2, 3, 4)] == [rows[0][1], "before\n", "", "more here"]
