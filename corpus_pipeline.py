@@ -8,18 +8,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, language_id, mixing, near_dedup, token_binary
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, numbered, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters (null and empty texts too) or of uncertain language go; labels train the classifier."""
+    """Documents without letters (null and empty texts too) or of uncertain language go; labels train the classifier.
+
+    Each row is judged alone, whether its id is null, repeated or its own."""
     docs = docs.select(*COLUMNS)
-    return language_id.identified(docs, language_id.predict(docs, language_id.fit(docs)))
+    rows = numbered(docs, "language-rows")
+    predicted = language_id.predict(rows.select(F.col("row_key").alias("doc_id"), "text"), language_id.fit(docs))
+    return language_id.identified(rows, predicted, key="row_key").drop("row_key")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth of their words or more inside benchmark passages of 13 words go."""
-    return decontaminate.decontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    """Documents with a twentieth of their words or more inside benchmark passages of 13 words go, each row judged alone."""
+    rows = numbered(docs.select(*COLUMNS), "decontamination-rows")
+    return decontaminate.decontaminated(rows, table(spark, sf_dir, "benchmark"), key="row_key").drop("row_key")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

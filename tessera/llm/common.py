@@ -43,6 +43,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a key of its rows, ``row_key long``, written once so that every later read has the same keys."""
+    return cut(df.withColumn("row_key", F.monotonically_increasing_id()), name)
+
+
 def write_blobs(df: DataFrame, column: str, path: str) -> None:
     """Write each row's binary value as one file, followed by one byte 0x0A that the text sink appends.
 

@@ -258,8 +258,10 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without contaminated documents; rows that share a contaminated row's id go too, rows without id stay
-    unless a row without id is contaminated. ``docs`` keeps its columns, whatever their names."""
-    bad = judged(contamination(docs, benchmark, **options)).where("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without contaminated documents; rows that share a contaminated row's ``key`` go too, rows without it stay
+    unless a row without it is contaminated. So each row is judged alone under a key of rows, as ``common.numbered`` gives.
+    ``docs`` keeps its columns, whatever their names."""
+    keyed = docs.select(F.col(key).alias("doc_id"), "text")
+    bad = judged(contamination(keyed, benchmark, **options)).where("contaminated").select(F.col("doc_id").alias("bad_id"))
+    return docs.join(bad, docs[key].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -159,11 +159,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def identified(docs: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
+def identified(docs: DataFrame, predicted: DataFrame, least: float = 0.5, key: str = "doc_id") -> DataFrame:
     """``docs`` without those that language identification rejects: no letters, or a score below ``least``.
 
-    Predictions are joined by id; where an id repeats, its best score decides. Rows without id are kept if any row
-    without id is. ``docs`` keeps its columns, whatever their names.
+    Predictions, whose ``doc_id`` holds values of the column ``key``, are joined by it; where one repeats, its best score
+    decides, and rows without it are kept if any row without it is. So each row is judged alone under a key of rows, as
+    ``common.numbered`` gives. ``docs`` keeps its columns, whatever their names.
     """
     good = predicted.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(F.col("doc_id").alias("good_id"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["good_id"]), "left_semi")
+    return docs.join(good, docs[key].eqNullSafe(good["good_id"]), "left_semi")

@@ -58,3 +58,17 @@ def test_awkward_rows_pass_every_stage(spark, small):
             d = cut(stage(spark, d, small), f"awkward-{name}")
             d.count()
     assert np.isfinite(decontaminate.judged(decontaminate.contamination(docs.table(spark), spark.read.parquet(f"{small}/benchmark.parquet"))).agg({"n_hit": "sum"}).head()[0])
+
+
+def test_rows_of_null_or_shared_ids_are_judged_alone(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet").select(*cp.COLUMNS)
+    passage = max((r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect() if r.text), key=len)
+    clean = "Nothing of this text stands in any benchmark, and it says so in plain words."
+    rows = [(i, t, "en", "a", len(t)) for i in (None, 7_000_001) for t in (passage, clean)]
+    texts = lambda df: sorted((r.doc_id or 0, r.text) for r in df.collect())
+    assert texts(cp.decontamination(spark, spark.createDataFrame(rows, d.schema), small)) == [(0, clean), (7_000_001, clean)]
+    junk = [(i, "12345 678 !!! ...", "en", "a", 17) for i in (None, 7_000_001)]
+    extra = d.limit(1).collect()[0].text
+    added = spark.createDataFrame([*junk, *((i, extra, "en", "a", len(extra)) for i in (None, 7_000_001))], d.schema)
+    kept = cp.language(spark, d.unionByName(added), small).where("doc_id is null or doc_id = 7000001")
+    assert texts(kept) == [(0, extra), (7_000_001, extra)]
