@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +18,23 @@ from pyspark.sql import functions as F
 FILE_BYTES = 16 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. One that is read in fewer partitions than there are cores, as few row groups of a small
-    file are, is dealt out evenly, since most operators work on the partitions of the scan."""
+def table(spark: SparkSession, sf_dir: str, name: str, least_parts: int = 0) -> DataFrame:
+    """A table of the folder. ``least_parts``: where the scan has fewer partitions, as one of a few row groups has, its
+    rows are dealt out evenly to so many (one shuffle of the table); 0 leaves the partitions of the scan."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if not least_parts or df.rdd.getNumPartitions() >= least_parts else df.repartition(least_parts)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Where the setting is absent (tests, a laptop) a temporary folder of this machine is set once for the session.
+    Where the setting is absent, one process (a local master: tests, a laptop) sets a temporary folder of its machine once
+    for the session; on a cluster, whose machines would not see each other's, this raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -48,6 +52,15 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return cut(df.withColumn("row_key", F.monotonically_increasing_id()), name)
 
 
+def discard(*written: DataFrame) -> None:
+    """Delete the files of results of ``cut`` that no later plan reads: those made of them are written by now."""
+    for df in written:
+        jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+
+
 def write_blobs(df: DataFrame, column: str, path: str) -> None:
     """Write each row's binary value as one file, followed by one byte 0x0A that the text sink appends.
 
@@ -72,6 +85,20 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], *names: str, step: int = 1024)
             yield [part.column(n).to_pylist() for n in names]
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], *names: str, limit: int = 4 << 20, rows: int = 1024) -> Iterator[list[list]]:
+    """Column lists of at most ``rows`` rows with about ``limit`` bytes of the last column, or one value of it."""
+    for batch in batches:
+        sizes = [x or 0 for x in pc.binary_length(batch.column(names[-1])).to_pylist()]
+        at = held = 0
+        for i, s in enumerate(sizes):
+            if i > at and (held + s > limit or i - at == rows):
+                yield [batch.column(n).slice(at, i - at).to_pylist() for n in names]
+                at, held = i, 0
+            held += s
+        if len(sizes) > at:
+            yield [batch.column(n).slice(at).to_pylist() for n in names]
+
+
 def texts_as_bytes(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns with ``text`` as UTF-8 bytes, null as empty."""
     return docs.select(*names, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
@@ -80,9 +107,12 @@ def texts_as_bytes(docs: DataFrame, *names: str) -> DataFrame:
 class TwoGenerations(dict):
     """A bounded memo: once ``limit`` new keys are in, they become the old generation and the former old one goes.
 
-    Subclasses compute a missing value in ``make``. Frequent keys are promoted on every turn, so they stay.
+    Subclasses compute a missing value in ``make``. Frequent keys are promoted on every turn, so they stay. Keys longer
+    than ``longest`` are computed each time, so the memo's bytes are bounded too.
     """
 
+    longest = 64
+
     def __init__(self, limit: int):
         super().__init__()
         self.limit, self.old = limit, {}
@@ -91,6 +121,8 @@ class TwoGenerations(dict):
         raise NotImplementedError
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -1,29 +1,37 @@
-"""Mixing sources to target weights by drawing fixed-length blocks.
-
-The words of a source's documents, in ascending ``doc_id``, form one stream that is cut into blocks of ``block_words``.
-A source gets as many slots as its target needs. Its slots are dealt to the output shards by a multinomial draw: the
-count of each half of the shards is drawn from the count of the whole, with a generator seeded by source and shard
-range, so any part of the draw can be made anywhere and reruns agree, and a source's counts sum to its slots. Slot k of
-a source takes block ``p(k mod blocks)``, where ``p`` is a keyed pseudorandom permutation (a Feistel network) that changes
-with every pass over the source. Blocks are joined with the documents by index.
-
-Positions in a source's stream are prefix sums over a range partitioning by (source, doc_id): sums within a partition
-by one window, sums of partitions by another over a row per partition and source. So no source, however hot, meets in
-one task; slots are made in chunks of ``CHUNK``, and the join key is (source, block), which is even.
+"""Mixing sources to target weights: output shards draw sources multinomially, and slots take blocks by permutations.
+
+The words of a source's documents, in ascending ``doc_id``, form one stream that is cut into blocks of ``block_words``. A
+source gets as many slots as its target needs; all slots together fill output shards of ``shard_blocks`` blocks. Each shard
+draws how many blocks it takes of every source from a multinomial over the sources' shares of the slots, by a generator
+seeded with the shard's number, so any shard can be drawn anywhere and reruns agree.
+
+A source's slots are numbered through the shards in a keyed order. What the draws give a source beyond its slots is not
+filled, and what they leave of its slots goes to a closing shard behind the others; that is about the square root of its
+slots either way, so shards are full but for a few blocks and every source meets its target. Slot k of a source takes
+block ``p(k mod blocks)``, where ``p`` is a pseudorandom permutation (a Feistel network) keyed by seed, dealing, source and
+pass over the source. Blocks are joined with the documents by index; what is taken is counted from the shards.
+
+Positions in a source's stream are prefix sums over a range partitioning by (source, doc_id, hash of the text): sums within
+a partition by one window, sums of partitions by another over a row per partition and source. So neither a hot source nor
+a hot id meets in one task. A shard's draw is a row of counts, at most ``shard_blocks`` slots each; the join key is
+(source, block), which is even. One row per source is the only thing that meets in one task and in the draws' tasks.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut
+from .common import arrow_rows, byte_slices, cut
 
-CHUNK = 1 << 16  #: slots that are made at once
+RUN = 256  #: shards that a task draws at once
 WORD = r"[^\x20\x09-\x0D]+"
+WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 REPEATS = 3  #: most times that a source is taken
 
 
@@ -48,23 +56,6 @@ def permuted(index: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shards_of(first: int, last: int, slots: int, shards: int, key: tuple[int, ...]) -> np.ndarray:
-    """Shard of each slot ``first..last-1`` of a source whose ``slots`` are dealt multinomially to ``shards``."""
-    out = np.zeros(last - first, np.int64)
-    todo = [(0, shards, 0, slots)]
-    while todo:
-        lo, hi, at, n = todo.pop()
-        if not n or at >= last or at + n <= first:
-            continue
-        if hi - lo == 1:
-            out[max(at, first) - first : min(at + n, last) - first] = lo
-            continue
-        mid = (lo + hi) // 2
-        left = int(np.random.default_rng([*key, lo, hi]).binomial(n, (mid - lo) / (hi - lo)))
-        todo += [(lo, mid, at, left), (mid, hi, at + left, n - left)]
-    return out
-
-
 def sources_of(sizes: DataFrame, block_words: int) -> DataFrame:
     """A row per source of ``sizes(source, size)``: ``source, source_no, source_size, target, blocks, slots``.
 
@@ -86,38 +77,68 @@ def sources_of(sizes: DataFrame, block_words: int) -> DataFrame:
     return by.select("source", "source_no", "source_size", "target", "blocks", F.least(slots, REPEATS * F.col("blocks")).alias("slots"))
 
 
-def slots_of(sources: DataFrame, shards: int, seed: int) -> DataFrame:
-    """``source_no int, slot long, shard long, pass long, block long`` for every slot of ``sources``."""
-    chunks = sources.where("slots > 0").select("source_no", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("slots") - 1).cast("long"), F.lit(CHUNK).cast("long"))).alias("first"))
+def draw(shard: int, size: int, slots: np.ndarray, seed: int) -> np.ndarray:
+    """How many of its ``size`` blocks a shard takes of each source: multinomial over the sources' shares of the slots."""
+    return np.random.default_rng([seed, shard]).multinomial(size, slots / slots.sum())
+
+
+def draws_of(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
+    """``source_no int, shard long, first long, n long, blocks long, slots long``: the slots ``first`` to ``first + n - 1``
+    of a source are in that shard. Every slot of ``sources`` is in one."""
+    some = sources.where("slots > 0").select("source_no", F.col("slots").alias("s"))
+    row = some.agg(F.array_sort(F.collect_list(F.struct("source_no", "s"))).alias("of"), F.sum("s").alias("total")).where("total > 0")
+    runs = row.select("of", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / shard_blocks), F.lit(RUN).cast("long"))).alias("at"))
 
     def run(batches):
-        for columns in arrow_rows(batches, "source_no", "blocks", "slots", "first"):
-            for source, blocks, slots, first in zip(*columns):
-                slot = np.arange(first, min(first + CHUNK, slots))
+        for of, totals, ats in arrow_rows(batches, "of", "total", "at", step=1):
+            number, slots = (np.array([x[k] for x in of[0]], np.int64) for k in ("source_no", "s"))
+            for shard in range(ats[0], min(ats[0] + RUN, -(-totals[0] // shard_blocks))):
+                n = draw(shard, min(shard_blocks, totals[0] - shard * shard_blocks), slots, seed)
+                k = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(number[k].astype(np.int32)), pa.array(np.full(len(k), shard)), pa.array(n[k])], names=["source_no", "shard", "n"])
+
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = runs.repartition(parts, "at").mapInArrow(run, "source_no int, shard long, n long")
+    order = W.partitionBy("source_no").orderBy(F.xxhash64("source_no", "shard", F.lit(seed)), "shard").rowsBetween(W.unboundedPreceding, -1)
+    drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    of = sources.select(F.col("source_no").alias("d_source"), "blocks", "slots")
+    placed = drawn.join(of, F.col("source_no") == F.col("d_source"))
+    placed = placed.withColumn("n", F.least("n", F.greatest(F.col("slots") - F.col("first"), F.lit(0).cast("long")))).where("n > 0")
+    got = drawn.groupBy("source_no").agg(F.sum("n").alias("got"))
+    left = of.where("slots > 0").join(got, F.col("d_source") == F.col("source_no"), "left").select("d_source", "blocks", "slots", F.coalesce("got", F.lit(0).cast("long")).alias("got")).where("got < slots")
+    closing = left.select(F.col("d_source").alias("source_no"), F.lit(-1).cast("long").alias("shard"), F.col("got").alias("first"), (F.col("slots") - F.col("got")).alias("n"), "blocks", "slots")
+    return placed.select("source_no", "shard", "first", "n", "blocks", "slots").unionAll(closing)
+
+
+def slots_of(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
+    """``source_no int, slot long, shard long, block long`` for every slot of ``sources``; the closing shard is -1."""
+    chunk = 1 << 16
+    chunks = draws_of(sources, shard_blocks, seed).withColumn("at", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(chunk).cast("long"))))
+
+    def run(batches):
+        for columns in arrow_rows(batches, "source_no", "shard", "blocks", "at", "end"):
+            for source, shard, blocks, first, end in zip(*columns):
+                slot = np.arange(first, min(first + chunk, end))
                 turn, index, block = slot // blocks, slot % blocks, np.empty(len(slot), np.int64)
                 for t in np.unique(turn).tolist():
-                    block[turn == t] = permuted(index[turn == t], blocks, (seed, source, t))
-                shard = shards_of(first, first + len(slot), slots, shards, (seed, source))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), source, np.int32)), pa.array(slot), pa.array(shard), pa.array(turn), pa.array(block)], names=["source_no", "slot", "shard", "pass", "block"])
+                    block[turn == t] = permuted(index[turn == t], blocks, (seed, shard_blocks, source, t))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), source, np.int32)), pa.array(slot), pa.array(np.full(len(slot), shard)), pa.array(block)], names=["source_no", "slot", "shard", "block"])
 
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return chunks.repartition(parts, "source_no", "first").mapInArrow(run, "source_no int, slot long, shard long, pass long, block long")
+    rows = chunks.select("source_no", "shard", "blocks", "at", (F.col("first") + F.col("n")).alias("end"))
+    return rows.repartition(parts, "source_no", "shard", "at").mapInArrow(run, "source_no int, slot long, shard long, block long")
 
 
-def pieces(docs: DataFrame, keys: list[str], block_words: int = 64, shards: int = 64, seed: int = 1) -> DataFrame:
-    """Which words of which documents the mix takes, and how often.
+def pieces(keys: list[str], sources: DataFrame, rows: DataFrame, block_words: int) -> DataFrame:
+    """The words of each block: a row per document and block that it reaches into.
 
-    ``docs(doc_id, source, text, *keys)``. A row per document and block that it reaches into: ``keys``, ``doc_id, source,
-    size, source_size, target, word long`` (first word of the piece in the document), ``words long, times long`` (0 to
-    3). Documents without words have one row of no words. Null texts have none; null sources are a source of their own.
+    ``rows(*keys, m_doc, m_mark, source, size)``. Returns ``keys, m_doc, source_no, start, size, source_size, target, block,
+    word long`` (first word of the piece in the document), ``words long``. Documents without words have one row of block -1.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(*keys, F.col("doc_id").alias("m_doc"), F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
-    sources = cut(sources_of(rows, block_words), "mix-sources")
     numbered = rows.join(sources.select(F.col("source").alias("s_source"), "source_no", "source_size", "target"), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
-    ordered = numbered.repartitionByRange("source_no", "m_doc").withColumn("part", F.spark_partition_id())
-    ordered = cut(ordered, "mix-ordered")
-    inside = W.partitionBy("part", "source_no").orderBy("m_doc", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = ["m_doc", "m_mark", "size", *keys]
+    ordered = cut(numbered.repartitionByRange("source_no", *within).withColumn("part", F.spark_partition_id()), "mix-ordered")
+    inside = W.partitionBy("part", "source_no").orderBy(*within).rowsBetween(W.unboundedPreceding, -1)
     parts = ordered.groupBy("part", "source_no").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("source_no").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select(F.col("part").alias("p_part"), F.col("source_no").alias("p_source"), before.alias("before"))
@@ -128,57 +149,101 @@ def pieces(docs: DataFrame, keys: list[str], block_words: int = 64, shards: int
     cuts = placed.withColumn("block", F.explode(touched))
     low, high = F.greatest("start", F.col("block") * block_words), F.least("end", (F.col("block") + 1) * block_words)
     some = F.col("size") > 0
-    cuts = cuts.withColumn("word", F.when(some, low - F.col("start")).otherwise(0)).withColumn("words", F.when(some, high - low).otherwise(0))
-    times = slots_of(sources, shards, seed).groupBy("source_no", "block").agg(F.count("*").alias("n"))
-    times = times.select(F.col("source_no").alias("t_source"), F.col("block").alias("t_block"), "n")
+    return cuts.select(
+        *keys, "m_doc", "source", "source_no", "start", "size", "source_size", "target", "block",
+        F.when(some, low - F.col("start")).otherwise(0).alias("word"), F.when(some, high - low).otherwise(0).alias("words"),
+    )
+
+
+def planned(docs: DataFrame, keys: list[str], block_words: int, shard_blocks: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``pieces`` of ``docs(doc_id, source, text, *keys)``, and ``slots_of`` its sources."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(*keys, F.col("doc_id").alias("m_doc"), F.xxhash64("text").alias("m_mark"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    rows = cut(rows, "mix-sizes")
+    sources = cut(sources_of(rows, block_words), "mix-sources")
+    return pieces(keys, sources, rows, block_words), slots_of(sources, shard_blocks, seed)
+
+
+def counted(cuts: DataFrame, slots: DataFrame) -> DataFrame:
+    """``pieces`` with ``times long``: in how many slots of the shards their block stands."""
+    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("n")).select(F.col("source_no").alias("t_source"), F.col("block").alias("t_block"), "n")
     # both sides grow with the corpus: never a broadcast, however well they compress
     joined = cuts.hint("merge").join(times, (F.col("source_no") == F.col("t_source")) & (F.col("block") == F.col("t_block")), "left")
-    return joined.select(
-        *keys, F.col("m_doc").alias("doc_id"), "source", "source_no", "start", "size", "source_size", "target", "word", "words", F.coalesce("n", F.lit(0)).cast("long").alias("times")
-    )
+    return joined.drop("t_source", "t_block").withColumn("times", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
 
 
-def mix(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, block_words: int = 64, shard_blocks: int = 1 << 14, seed: int = 1) -> DataFrame:
     """``doc_id, size long, source_size long, target double, taken long`` for each row of ``docs(doc_id, source, text, ...)``.
 
     Sources weigh 1, 2, 3 in turn of their code point order (null last) and share the total size; targets stop at three
     times the source's size and the excess is shared again by weight. A source's taken words differ from its target by
-    less than two blocks; a document is taken at most three times. Rows of no words are returned with 0 taken; repeated
-    rows are rows of their own; an empty table gives an empty result.
+    less than two blocks; a document is taken at most three times. Null texts have no words, null sources are a source of
+    their own; rows of no words are returned with 0 taken; repeated rows are rows of their own, and of rows of equal id
+    and text any may stand for the other; an empty table gives an empty result. Other columns are not read.
     """
-    found = pieces(docs, [], block_words, shards, seed)
-    key = ["source_no", "start", "doc_id", "size", "source_size", "target"]
+    found = counted(*planned(docs, [], block_words, shard_blocks, seed))
+    key = ["source_no", "start", "m_doc", "size", "source_size", "target"]
     some = found.where("size > 0").groupBy(*key).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    none = found.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return some.select("doc_id", "size", "source_size", "target", "taken").unionAll(none)
+    none = found.where("size = 0").select("m_doc", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    return some.select("m_doc", "size", "source_size", "target", "taken").unionAll(none).withColumnRenamed("m_doc", "doc_id")
+
+
+def _spans(text: str | None) -> tuple[bytes, list[tuple[int, int]]]:
+    raw = (text or "").encode()
+    return raw, [m.span() for m in WORD_BYTES.finditer(raw)]
 
 
-def mixed_documents(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 1) -> DataFrame:
+def mixed_shards(docs: DataFrame, block_words: int = 64, shard_blocks: int = 1 << 14, seed: int = 1) -> DataFrame:
+    """The mixed corpus itself: ``shard long, place long, source string, block long, text string``, a row per slot.
+
+    ``place`` numbers a shard's blocks in a keyed order from 0; the closing shard is -1. A block's text is its documents'
+    pieces behind each other, parted by newlines; white space inside pieces stays. No words give no rows.
+    """
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("mix_row"), "doc_id", "source", F.col("text").cast("string").alias("text")), "mix-rows")
+    cuts, slots = planned(rows, ["mix_row"], block_words, shard_blocks, seed)
+    plan = cuts.where("words > 0").groupBy("mix_row").agg(F.first("source").alias("p_source"), F.first("source_no").alias("p_number"), F.array_sort(F.collect_list(F.struct("block", "start", "word", "words"))).alias("p_plan"))
+    joined = rows.select("mix_row", "text").join(plan, "mix_row").select("p_source", "p_number", "p_plan", "text")
+
+    def run(batches):
+        for sources, numbers, plans, texts in byte_slices(batches, "p_source", "p_number", "p_plan", "text"):
+            out = []
+            for source, number, plan, text in zip(sources, numbers, plans, texts):
+                raw, spans = _spans(text)
+                out += [(source, number, p["block"], p["start"], raw[spans[p["word"]][0] : spans[p["word"] + p["words"] - 1][1]].decode()) for p in plan]
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["source", "b_source", "b_block", "start", "piece"])
+
+    parts = joined.mapInArrow(run, "source string, b_source int, b_block long, start long, piece string")
+    # at most block_words pieces each
+    blocks = parts.groupBy("source", "b_source", "b_block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), "\n").alias("text"))
+    filled = slots.hint("merge").join(blocks, (F.col("source_no") == F.col("b_source")) & (F.col("block") == F.col("b_block")))
+    place = F.row_number().over(W.partitionBy("shard").orderBy(F.xxhash64("shard", "source_no", "slot", F.lit(seed)), "source_no", "slot")) - 1
+    return filled.select("shard", place.cast("long").alias("place"), "source", "block", "text")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = 64, shard_blocks: int = 1 << 14, seed: int = 1) -> DataFrame:
     """``docs(doc_id, text, source, ...)`` with each text replaced by the words that the mix takes of it.
 
     Pieces follow each other in the document's order, a piece taken n times stands n times, pieces are parted by a
     newline; white space inside pieces stays. Documents of which nothing is taken go. ``n_chars``, where ``docs`` has
-    it, counts the new text. Other columns stay as they are.
+    it, counts the new text. Other columns stay as they are, whatever their names.
     """
-    rows = cut(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix-rows")
-    found = pieces(rows, ["mix_row"], block_words, shards, seed).where("times > 0 and words > 0")
+    schema, names = docs.schema, docs.columns
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("mix_row"), F.struct(*[docs[f"`{c}`"] for c in names]).alias("row")), "mix-rows")
+    cuts, slots = planned(rows.select("mix_row", "row.doc_id", "row.source", "row.text"), ["mix_row"], block_words, shard_blocks, seed)
+    found = counted(cuts.where("words > 0"), slots).where("times > 0")
     plan = found.groupBy("mix_row").agg(F.array_sort(F.collect_list(F.struct("word", "words", "times"))).alias("plan"))
-    joined = rows.join(plan, "mix_row")
-    kept = [c for c in docs.columns]
-
-    import re
-
-    word = re.compile(rb"[^\x20\x09-\x0D]+")
+    joined = rows.join(plan, "mix_row").select("row", "plan", F.col("row.text").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text, plan in zip(batch.column("text").to_pylist(), batch.column("plan").to_pylist()):
-                raw = text.encode()
-                spans = [m.span() for m in word.finditer(raw)]
-                out.append(b"\n".join(raw[spans[p["word"]][0] : spans[p["word"] + p["words"] - 1][1]] for p in plan for _ in range(p["times"])).decode())
-            columns = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays(columns, names=kept)
-
-    mixed = joined.select(*kept, "plan").mapInArrow(run, docs.select(*kept).schema)
-    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in kept else mixed
+            row, out = batch.column("row"), []
+            for text, plan in zip(batch.column("text"), batch.column("plan")):
+                raw, spans = _spans(text.as_py())
+                out.append(b"\n".join(raw[spans[p["word"]][0] : spans[p["word"] + p["words"] - 1][1]] for p in plan.as_py() for _ in range(p["times"])).decode())
+            columns = {n: row.field(k) for k, n in enumerate(names)} | {"text": pa.array(out, pa.string())}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t) for t in out], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return joined.mapInArrow(run, schema)

@@ -180,26 +180,65 @@ def test_mix_meets_targets_and_limits(spark):
         assert r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 and 0 <= r.taken <= 3 * r.size
         taken[s] = taken.get(s, 0) + r.taken
     assert all(abs(taken[s] - want[s]) <= 2 * 64 for s in sizes)
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(d.repartition(7)).collect()), key=str)
+    again = mixing.mix(d.repartition(7)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
+    other = lambda **k: {(r.doc_id, r.size): r.taken for r in mixing.mix(d, **k).collect()}
+    base = other(block_words=16, shard_blocks=50)
+    assert base != other(block_words=16, shard_blocks=70) and base != other(block_words=16, shard_blocks=50, seed=2)
+
+
+def test_shards_follow_the_draw(spark):
+    """Counts of the shards by a plain replay of the draws, and the texts of the shards against the documents."""
+    rows = [(k, " ".join(f"d{k}w{i}" for i in range(50 + 13 * k % 200)), "abc"[min(k % 5, 2)]) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, seed, words = 40, 3, 8
+    streams = {s: [w for i, t, src in sorted(rows) if src == s for w in t.split()] for s in "abc"}
+    targets = shares({s: len(v) for s, v in streams.items()})
+    slots = {s: round(targets[s] * -(-len(v) // words) / len(v)) for s, v in streams.items()}
+    total, left, want = sum(slots.values()), dict(slots), {}
+    p = np.array([slots[s] for s in "abc"])
+    draws = {k: np.random.default_rng([seed, k]).multinomial(min(size, total - k * size), p / p.sum()) for k in range(-(-total // size))}
+    for j, s in enumerate("abc"):
+        drawn = sum(int(n[j]) for n in draws.values())
+        left[s] = max(0, slots[s] - drawn)
+        want[s] = (min(drawn, slots[s]), left[s])
+    got = mixing.mixed_shards(d, block_words=words, shard_blocks=size, seed=seed).collect()
+    assert len(got) == total
+    per = {}
+    for r in got:
+        per[r.shard, r.source] = per.get((r.shard, r.source), 0) + 1
+        assert r.text.split() == streams[r.source][words * r.block : words * (r.block + 1)]
+    for j, s in enumerate("abc"):
+        assert per.get((-1, s), 0) == want[s][1] and sum(n for (k, src), n in per.items() if src == s and k >= 0) == want[s][0]
+        trimmed = [k for k in draws if per.get((k, s), 0) != draws[k][j]]
+        assert not trimmed or sum(int(n[j]) for n in draws.values()) > slots[s]
+    for k in {r.shard for r in got}:
+        places = sorted(r.place for r in got if r.shard == k)
+        assert places == list(range(len(places)))
+    taken = {r.doc_id: r.taken for r in mixing.mix(d, words, size, seed).collect()}
+    seen = {}
+    for r in got:
+        for w in r.text.split():
+            i = int(w[1:].split("w")[0])
+            seen[i] = seen.get(i, 0) + 1
+    assert {i: n for i, n in taken.items() if n} == seen
+    assert mixing.mixed_shards(docs.empty(spark)).count() == 0
 
 
 def test_mixed_documents(spark):
     d = docs.table(spark)
     found = {(r.doc_id, r.size): r.taken for r in mixing.mix(d).collect() if r.doc_id is not None}
-    mixed = mixing.mixed_documents(d)
-    assert mixed.columns == d.columns
+    mixed = mixing.mixed_documents(d.selectExpr("*", "'p' as plan", "1 as mix_row", "'q' as row"))
+    assert mixed.columns == [*d.columns, "plan", "mix_row", "row"]
     rows = mixed.collect()
     assert {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows if r.doc_id is not None} == {i: t for (i, _), t in found.items() if t}
-    assert all(r.n_chars == len(r.text) for r in rows)
+    assert all(r.n_chars == len(r.text) and (r.plan, r.mix_row, r.row) == ("p", 1, "q") for r in rows)
     assert mixing.mix(docs.empty(spark)).count() == 0 and mixing.mixed_documents(docs.empty(spark)).count() == 0
 
 
-def test_permutations_and_shares_of_slots():
+def test_permutations():
     for n in (1, 2, 3, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, (1, 2)).tolist()) == list(range(n))
-    whole = mixing.shards_of(0, 5000, 5000, 16, (3, 4))
-    parts = np.concatenate([mixing.shards_of(a, min(a + 700, 5000), 5000, 16, (3, 4)) for a in range(0, 5000, 700)])
-    assert (whole == parts).all() and np.bincount(whole).std() < 60 and len(set(whole)) == 16
 
 
 def test_language_id(spark, small):
