@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_as_bytes
+from .common import byte_slices, texts_as_bytes
 
 WIDTH = 192  #: blocks in a row of the encoder's frames
 MAX_ROWS = 8191  #: block rows of a frame: 65,528 lines
@@ -330,20 +330,6 @@ def thumbnail_hash(images: list[np.ndarray]) -> str:
     return np.packbits(grid[:, 1:] > grid[:, :-1]).tobytes().hex()
 
 
-def slices(batches, *names: str):
-    """Lists of the named columns with about ``SLICE`` bytes of the last one, or one value of it."""
-    for batch in batches:
-        sizes = [len(x) if x is not None else 0 for x in (y.as_buffer() for y in batch.column(names[-1]))]
-        at = held = 0
-        for i, s in enumerate(sizes):
-            if i > at and held + s > SLICE:
-                yield [batch.column(n).slice(at, i - at).to_pylist() for n in names]
-                at, held = i, 0
-            held += s
-        if len(sizes) > at:
-            yield [batch.column(n).slice(at).to_pylist() for n in names]
-
-
 def encode_media(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_bytes long, media binary``: each whole text, padded with spaces to a positive multiple of 192 bytes.
 
@@ -353,7 +339,7 @@ def encode_media(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        for keys, texts in slices(batches, "doc_id", "text"):
+        for keys, texts in byte_slices(batches, "doc_id", "text", limit=SLICE):
             payloads = [t + b" " * (-len(t) % width or width * (not t)) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, batches_type[0]), pa.array([len(t) for t in texts], pa.int64()), pa.array(encode_payloads(payloads), pa.binary())],
@@ -382,7 +368,7 @@ def decode_media(rows: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for keys, n_bytes, media in slices(batches, "doc_id", "n_bytes", "media"):
+        for keys, n_bytes, media in byte_slices(batches, "doc_id", "n_bytes", "media", limit=SLICE):
             present = [m for m in media if m is not None]
             images = iter(thumbnails(present))
             out = []

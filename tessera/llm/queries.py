@@ -17,48 +17,63 @@ def remainder(k: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == k, F.lit(False))
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table; one that the scan reads in fewer partitions than there are cores is dealt out to all of them."""
+    return table(spark, sf_dir, name, least_parts=spark.sparkContext.defaultParallelism)
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    """Bytes and tokens of every document; null, empty and very long texts, null and repeated ids are a row each."""
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_binary.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    """Start, length and checksum of every document's ids in the files; a null text has the end id alone, null ids first."""
+    return token_binary.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_jpeg.decode_media(media_jpeg.encode_media(table(spark, sf_dir, "documents")))
+    """Every document's text as JPEG media and what is read back from them; a null text is stored as an empty one."""
+    return media_jpeg.decode_media(media_jpeg.encode_media(read(spark, sf_dir, "documents"))).drop("error")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    """The component of every document over links of 0.75; texts without words stand alone."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.judged(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    """Benchmark words in every document; null and empty texts have none, items without id are not listed."""
+    found = decontaminate.judged(decontaminate.contamination(read(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     names = F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """Words that the mix takes of every document, counted from the output shards; null sources are one source, the last."""
+    return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"), window=51)
+    """Repeated lines, paragraphs and passages of over 50 words that every document loses; null texts lose nothing."""
+    return substring_dedup.deduplicated(read(spark, sf_dir, "documents"), passage=51)
 
 
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_zip.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The records of all pages as read back from archives; a null page is an empty payload."""
+    return warc_zip.archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The language of every document, learned from four fifths of them; texts without letters are ``und``."""
+    docs = read(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~remainder(0)))
     return language_id.predict(docs, model).select("doc_id", remainder(0).alias("held_out"), "lang_pred", "score")
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Scores of all documents under a model of four fifths of them; null and empty texts are the end token alone."""
+    docs = read(spark, sf_dir, "documents")
     scored = kneser_ney.score(docs, kneser_ney.fit(docs.where(~remainder(1))))
     names = "n_tokens", "n_known", "train_tokens"
     return scored.select("doc_id", remainder(1).alias("held_out"), *names, F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))

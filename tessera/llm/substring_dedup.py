@@ -1,17 +1,13 @@
-"""Substring deduplication by hashing lines, runs of their sentences, and windows of words.
+"""Substring deduplication by hashing lines and paragraphs, and passages inside them.
 
-A text is parted into units: lines, and within lines sentences (an end mark and white space); what then still has more
-than ``LONG`` words is parted behind words whose hash is divisible by ``CUT``, so that equal passages part alike wherever
-they stand. Units tile the text, so offsets stay those of the original. A digest is that of lower-cased words.
+Units are normalised (lower-cased words) and hashed to 128 bits: every line, and every paragraph (lines up to an empty
+one), of ``least`` words or more. Lines are never cut, so one goes as a whole or stays as a whole.
 
-Digests are taken of the units of ``least`` words, of the shortest runs of ``least`` words that begin or end with a
-shorter unit, and of paragraphs. Any run of whole units of ``least`` words in all is covered by those inside it; so a
-repeated line goes as a whole, however short its sentences are. Less than ``least`` words never go on their own.
-
-Passages that begin or end inside a unit go, to the word, if they have ``window`` words: every place in a window of that
-many words that an earlier document has, or the same document further up. Windows are not hashed everywhere. Of each half
-of one, the ``least`` neighbouring words of the smallest hash are its anchor, which depends on these words only; only
-windows of which all anchors occur twice are hashed, so no repeated window is missed and little else is hashed.
+A passage that begins and ends inside lines is no unit. With ``passage`` set, fragments of ``k = (passage + 1) // 2``
+words are hashed as well, on the text's stream of words whatever its lines: of each ``passage - k + 1`` neighbouring
+fragments the one of the smallest rolling hash. Which fragment that is depends on these words only, and every run of
+``passage`` words holds such a group, so no repeated passage of that length is missed, while a fragment is hashed for
+every seventh or so of a line's words. What a document shares in fewer than ``k`` words beyond whole units stays.
 
 Digests are grouped globally with map-side minima; of equal ones that of the smallest doc_id stays, within a document
 the first. Only digests of more than one document are joined back, and Spark splits the join of a hot digest, so no
@@ -20,7 +16,6 @@ group of equal units meets in one task. Spans are gathered per document and join
 
 from __future__ import annotations
 
-import gc
 import re
 
 import numpy as np
@@ -29,199 +24,124 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, arrow_rows, cut
+from .common import TwoGenerations, byte_slices, cut, discard
 
-BREAK = re.compile(r"[.!?]+\s+|\n\s*")
-LONG, CUT = 40, 16
-WORD = re.compile(r"\S+[^\S\n]*")
+WORD = re.compile(r"\S+")
 KEYS = ["doc_id", "text_key"]
 UNITS = "doc_id long, text_key long, start int, end int, half long, rest long, again boolean"
 
 
-def units_of(text: str) -> list[tuple[int, int, list[str]]]:
-    """``(start, end, lower-cased words)`` of the units; they follow each other from 0 to the end of the text."""
-    ends = [m.end() for m in BREAK.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    out, start = [], 0
-    for end in ends:
-        words = text[start:end].lower().split()
-        if len(words) <= LONG:
-            if end > start:
-                out.append((start, end, words))
-        else:
-            begin, held = start, []
-            for m in re.finditer(r"\s*\S+\s*", text[start:end]):
-                word = m.group().strip().lower()
-                held.append(word)
-                if xxhash.xxh3_64_intdigest(word) % CUT == 0:
-                    out.append((begin, start + m.end(), " ".join(held).split()))
-                    begin, held = start + m.end(), []
-            if begin < end:
-                out.append((begin, end, " ".join(held).split()))
-        start = end
-    return out
-
-
-def runs_of(text: str, least: int) -> list[tuple[int, int, str]]:
-    """``(start, end, lower-cased words)``, in order, of the units of ``least`` words, the shortest runs of as many that
-    begin or end with a shorter unit, and paragraphs."""
-    units = [(start, end, len(words), " ".join(words)) for start, end, words in units_of(text) if words]
-    sizes, last = [u[2] for u in units], len(units) - 1
-    found, first = set(), 0
-    for k, n in enumerate(sizes):
-        if n >= least:
-            found.add((k, k))
-        else:
-            to, held = k, n
-            while held < least and to < last:
-                to += 1
-                held += sizes[to]
-            if held >= least:
-                found.add((k, to))
-            to, held = k, n
-            while held < least and to:
-                to -= 1
-                held += sizes[to]
-            if held >= least:
-                found.add((to, k))
-        if k == last or text.count("\n", units[k][0], units[k + 1][0]) > 1:
-            if k > first and sum(sizes[first : k + 1]) >= least:
-                found.add((first, k))
-            first = k + 1
-    return [(units[i][0], units[j][1], units[i][3] if i == j else " ".join([u[3] for u in units[i : j + 1]])) for i, j in sorted(found)]
-
-
-def hashed(rows: list) -> pa.RecordBatch:
-    keys, marks, starts, ends, digests, again = zip(*rows)
-    halves = np.frombuffer(b"".join(digests), np.int64)
-    columns = [pa.array(keys, pa.int64()), pa.array(marks, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(halves[::2]), pa.array(halves[1::2]), pa.array(again, pa.bool_())]
-    return pa.RecordBatch.from_arrays(columns, names=[*KEYS, "start", "end", "half", "rest", "again"])
-
-
-def marked(key, mark, parts):
-    """Rows of ``UNITS`` of one document's ``(start, end, digest)`` in ascending order. ``again`` marks those that the
-    document has had before; those that overlap the first one like them are left out, for else nothing of it might stay."""
-    ends: dict[bytes, int] = {}
-    for start, end, digest in parts:
-        if start >= ends.setdefault(digest, end) or ends[digest] == end:
-            yield key, mark, start, end, digest, ends[digest] != end
-
-
-def units(docs: DataFrame, least: int) -> DataFrame:
-    """``UNITS`` of ``runs_of`` the texts of ``docs(doc_id, text_key, text)``."""
-
-    def run(batches):
-        for keys, marks, texts in arrow_rows(batches, *KEYS, "text", step=256):
-            rows = []
-            for key, mark, text in zip(keys, marks, texts):
-                rows += marked(key, mark, ((start, end, xxhash.xxh3_128_digest(words)) for start, end, words in runs_of(text or "", least)))
-            if rows:
-                yield hashed(rows)
-
-    return docs.mapInArrow(run, UNITS)
-
-
 class _Hashes(TwoGenerations):
     def make(self, word):
         return xxhash.xxh3_64_intdigest(word)
 
 
-def half_of(window: int, least: int) -> int:
-    """Of how many places for ``least`` words, half of those of a window, the anchor is taken."""
-    return (window - least + 2) // 2
+def lines_of(text: str, least: int) -> list[tuple[int, int, str]]:
+    """``(start, end, lower-cased words)`` of the lines and of the paragraphs of several lines, with ``least`` words or
+    more. Spans of lines go to behind their newline, so nothing is left of a line that goes."""
+    out, at, first, held, count = [], 0, 0, [], 0
+
+    def close(end: int) -> None:
+        if len(held) > 1 and count >= least:
+            out.append((first, end, "\n".join(held)))
+
+    for line in text.split("\n"):
+        end = min(at + len(line) + 1, len(text))
+        words = line.lower().split()
+        if words:
+            first = first if held else at
+            held.append(" ".join(words))
+            count += len(words)
+            if len(words) >= least:
+                out.append((at, end, held[-1]))
+        elif held:
+            close(at)
+            held, count = [], 0
+        at = end
+    close(at)
+    return out
 
 
-def sliding(best: np.ufunc, values: np.ndarray, size: int) -> np.ndarray:
-    """``best`` of each ``size`` neighbours."""
+def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
+    """The smallest of each ``size`` neighbours."""
     width = 1
     while width < size:
         step = min(width, size - width)
-        values = best(values[:-step], values[step:])
+        values = np.minimum(values[:-step], values[step:])
         width += step
     return values
 
 
-def anchors_of(words: list[str], hashes: _Hashes, window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words' hashes, each half window's anchor, and the anchors' hashes by place, so that one at two places is twice there."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n, size = len(h) - least + 1, half_of(window, least)
-    grams = np.zeros(n, np.uint64)
-    for k in range(least):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    grams = (grams ^ (grams >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+def fragments_of(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words, ascending, of the chosen fragments among the words' hashes, and the fragments' rolling hashes."""
+    k = (passage + 1) // 2
+    group = passage - k + 1
+    n = len(words) - k + 1
+    if n < group:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    # the hash of k words from those of 1, 2, 4, ... words: a polynomial modulo 2**64
+    base, grams, width = np.uint64(0x9E3779B97F4A7C15), None, 0
+    power, block, size = base, words, 1
+    for bit in range(k.bit_length()):
+        if k >> bit & 1:
+            grams = block.copy() if grams is None else grams[: len(block) - width] * power + block[width:]
+            width += size
+        block = block[: len(block) - size] * power + block[size:]
+        power, size = power * power, size * 2
+    grams = (grams[:n] ^ (grams[:n] >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     grams ^= grams >> np.uint64(32)
-    smallest = sliding(np.minimum, grams, size)
-    edge = np.zeros(size - 1, np.uint64)
-    at = sliding(np.maximum, np.concatenate([edge, smallest, edge]), size) == grams
-    return h, smallest.view(np.int64), grams[at].view(np.int64)
+    least = sliding_least(grams, group)
+    edge = np.zeros(group - 1, np.uint64)
+    highest = np.concatenate([edge, least, edge])
+    at = ~sliding_least(~highest, group) == grams  # the smallest of some group that it is in
+    places = np.flatnonzero(at)
+    return places, grams[places]
 
 
-def windows(docs: DataFrame, window: int, least: int) -> DataFrame:
-    """``UNITS`` of the windows of ``window`` words of which all anchors occur twice in ``docs(doc_id, text_key, text)``."""
+def units(docs: DataFrame, least: int, passage: int | None) -> DataFrame:
+    """``UNITS`` of the texts of ``docs(doc_id, text_key, text)``. ``again`` marks units that the document has had before;
+    of fragments those that overlap the first one like them are left out, for else nothing of it might stay."""
 
-    def anchors(batches):
-        hashes = _Hashes(1 << 18)
-        for keys, marks, texts in arrow_rows(batches, *KEYS, "text", step=256):
-            owners, found, twice = [], [], []
-            for key, mark, text in zip(keys, marks, texts):
-                words = (text or "").lower().split()
-                if len(words) >= window:
-                    values, counts = np.unique(anchors_of(words, hashes, window, least)[2], return_counts=True)
-                    owners += [(key, mark)] * len(values)
-                    found.append(values)
-                    twice.append(counts > 1)
-            if owners:
-                ids, marks = zip(*owners)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(np.concatenate(found)), pa.array(np.concatenate(twice))], names=[*KEYS, "anchor", "twice"])
-
-    def around(batches):
+    def run(batches):
         hashes = _Hashes(1 << 18)
-        for keys, marks, texts, wanted in arrow_rows(batches, *KEYS, "text", "anchors", step=64):
-            rows = []
-            for key, mark, text, known in zip(keys, marks, texts, wanted):
-                spots = [m.span() for m in WORD.finditer(text)]
-                h, smallest, _ = anchors_of(text.lower().split(), hashes, window, least)
-                held = np.isin(smallest, np.array(known, np.int64))
-                starts = np.flatnonzero(sliding(np.minimum, held, window - least + 2 - half_of(window, least))).tolist()
-                rows += marked(key, mark, ((spots[p][0], spots[p + window - 1][1], xxhash.xxh3_128_digest(h[p : p + window].tobytes())) for p in starts))
-            if rows:
-                yield hashed(rows)
+        with np.errstate(over="ignore"):
+            for keys, marks, texts in byte_slices(batches, *KEYS, "text", rows=256):
+                rows, digests = [], []
+                for key, mark, text in zip(keys, marks, texts):
+                    seen: dict[bytes, int] = {}
+                    parts = [(a, b, xxhash.xxh3_128_digest(w)) for a, b, w in lines_of(text or "", least)]
+                    if passage:
+                        spots = [m.span() for m in WORD.finditer(text or "")]
+                        if len(spots) >= passage:
+                            words = np.fromiter(map(hashes.__getitem__, text.lower().split()), np.uint64, len(spots))
+                            k = (passage + 1) // 2
+                            places, grams = fragments_of(words, passage)
+                            raw = words.tobytes()
+                            second = [xxhash.xxh3_64_digest(raw[8 * p : 8 * (p + k)]) for p in places.tolist()]
+                            parts += [(spots[p][0], spots[p + k - 1][1], g + s) for p, g, s in zip(places.tolist(), map(bytes, grams.view("V8")), second)]
+                    for start, end, digest in parts:
+                        upto = seen.setdefault(digest, end)
+                        if upto == end or start >= upto:
+                            rows.append((key, mark, start, end, upto != end))
+                            digests.append(digest)
+                if rows:
+                    ids, marks_, starts, ends, again = zip(*rows)
+                    halves = np.frombuffer(b"".join(digests), np.int64)
+                    columns = [pa.array(ids, pa.int64()), pa.array(marks_, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(halves[::2]), pa.array(halves[1::2]), pa.array(again, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*KEYS, "start", "end", "half", "rest", "again"])
 
-    found = cut(docs.mapInArrow(anchors, "doc_id long, text_key long, anchor long, twice boolean"), "substring-anchors")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select(F.col("anchor").alias("g_anchor"))
-    known = found.join(twice, F.col("anchor") == F.col("g_anchor")).groupBy(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key")).agg(F.collect_set("anchor").alias("anchors"))
-    near = docs.join(known, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("text_key") == F.col("g_key")))
-    return near.select(*KEYS, "text", "anchors").mapInArrow(around, UNITS)
-
-
-def settled(df: DataFrame, *done: DataFrame) -> DataFrame:
-    """``df`` written and read back; the shuffle files behind it, and the files of ``done``, go before the next are made."""
-    out = cut(df, "substring-part")
-    jvm = df.sparkSession.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for d in done for f in d.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
-    return out
-
-
-def recurring(found: DataFrame) -> DataFrame:
-    """Of the written ``found`` (``UNITS``) those whose half digest recurs: few of the units, for which little is moved."""
-    fresh = found.where("not again")
-    twice = fresh.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select(F.col("half").alias("g_half"))
-    return fresh.join(twice, F.col("half") == F.col("g_half")).select(found.columns).unionAll(found.where("again"))
+    return docs.mapInArrow(run, UNITS)
 
 
 def repeats(found: DataFrame) -> DataFrame:
     """Of the written ``found`` (``UNITS``) those that go: ``doc_id, text_key, start int, end int, first_doc long``, the
     smallest document with one like it (null if no such document has an id)."""
     fresh = found.where("not again").drop("again")
-    groups = fresh.groupBy("half", "rest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_key"))).alias("first_key"))
+    key = F.when(F.col("doc_id").isNull(), F.col("text_key"))
+    groups = fresh.groupBy("half", "rest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min(key).alias("first_key"))
     groups = groups.where("n > 1").select(F.col("half").alias("g_half"), F.col("rest").alias("g_rest"), "first_doc", "first_key")
     later = F.when(F.col("first_doc").isNotNull(), ~F.col("doc_id").eqNullSafe(F.col("first_doc"))).otherwise(F.col("text_key") != F.col("first_key"))
-    gone = fresh.join(groups, (F.col("half") == F.col("g_half")) & (F.col("rest") == F.col("g_rest"))).where(later)
+    gone = fresh.join(groups.hint("merge"), (F.col("half") == F.col("g_half")) & (F.col("rest") == F.col("g_rest"))).where(later)
     names = "doc_id", "text_key", "start", "end"
     return gone.select(*names, "first_doc").unionAll(found.where("again").select(*names, F.col("doc_id").alias("first_doc")))
 
@@ -240,22 +160,20 @@ def joined_spans(gone: list[dict]) -> list[dict]:
     return out
 
 
-def deduplicated(docs: DataFrame, least: int = 8, window: int | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, least: int = 8, passage: int | None = None) -> DataFrame:
     """``doc_id, changed boolean, n_removed long, removed_words long, spans, text`` for each row of ``docs(doc_id, text, ...)``.
 
     ``spans array<struct<start, end, first_doc>>`` are what is removed, in characters of the original text, ascending and
-    without overlap, each with the earliest document that has it; ``text`` is what is left. Without ``window`` only whole
-    units go; with it, repeated passages of as many words go as well, to the word. Null texts stay null and empty ones
-    empty, without spans. Rows of one id count as one document: units that it keeps stay in each of its rows. Rows
-    without id rank behind all others, among themselves by a hash of the text. Other columns are not read.
+    without overlap, each with the earliest document that has it; ``text`` is what is left. Without ``passage`` only whole
+    lines and paragraphs go; with it, of every repeated run of so many words or more at least half of ``passage`` goes,
+    and all but less than that at either end. Null texts stay null and empty ones empty, without spans. Rows of one id are
+    one document: units that it keeps stay in each of its rows. Rows without id rank behind all others, among themselves by
+    a hash of the text; those of equal text are one document. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = settled(units(rows, least))
-    found = settled(recurring(found), found)
-    gone = settled(repeats(found), found)
-    if window:
-        found = settled(windows(rows, window, least))
-        gone = gone.unionAll(settled(repeats(found), found))
+    found = cut(units(rows, least, passage), "substring-units")
+    gone = cut(repeats(found), "substring-repeats")
+    discard(found)
     gone = gone.groupBy(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc"))).alias("gone"))
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("text_key") == F.col("g_key")), "left")
 

@@ -104,37 +104,6 @@ def test_components_of_random_graphs(spark):
     assert {r.node: r.component for r in got} == {x: find(x) for x in linked} and len(got) == len(linked)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["One two three. ", "A longer sentence of some eight words or more here. ", "\n", "\n\n", "tail", "x " * 50, "é! ", ""]), max_size=8))
-def test_units_tile_the_text(parts):
-    text = "".join(parts)
-    units = substring_dedup.units_of(text)
-    assert "".join(text[a:b] for a, b, _ in units) == text
-    assert all(text[a:b].lower().split() == w for a, b, w in units)
-
-
-def test_repeats_against_brute_force(spark):
-    passage = "This passage of quite a few words is repeated in several documents, mid line. It has a second sentence that is long enough too."
-    unbroken = " ".join(f"u{i}" for i in range(120))
-    rows = [(3, f"Own words here. {passage} And more."), (1, f"{passage}\nAnother line that only this document has, of course."), (2, f"start {unbroken} end"), (7, f"other beginning {unbroken} other end"), (4, f"{passage} {passage}"), (5, None), (6, ""), (8, "Short. Short. Short."), (None, passage)]
-    got = {r.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    seen, want = set(), {}
-    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        kept = []
-        for a, b, w in substring_dedup.units_of(text or ""):
-            key = " ".join(w)
-            if len(w) < 8 or key not in seen:
-                kept.append(text[a:b])
-            seen.add(key)
-        want[i] = None if text is None else "".join(kept)
-    assert {i: r.text for i, r in got.items()} == want
-    assert not got[1].changed and got[4].changed and got[None].text == ""
-    assert got[7].removed_words > 60, "an unbroken passage is found inside its line"
-    for i, r in got.items():
-        text = dict(rows)[i] or ""
-        assert all(text[s.start : s.end] for s in r.spans)
-
-
 def test_repeats_of_awkward_rows(spark):
     got = substring_dedup.deduplicated(docs.table(spark)).collect()
     assert len(got) == len(docs.ROWS)
@@ -143,49 +112,83 @@ def test_repeats_of_awkward_rows(spark):
     assert substring_dedup.deduplicated(docs.empty(spark)).count() == 0
 
 
-def brute_places(rows, window=51):
-    """Which words of each document stand in a line of eight words, or a window, that an earlier document or place has."""
-    had, out = {}, {}
+def repeated_places(rows, least=8, passage=51):
+    """For each document, by place: which words stand in a line or paragraph that an earlier document, or the same one
+    further up, has; which in so repeated a run of half a passage; and the first words of repeated whole passages."""
+    half, had, out = (passage + 1) // 2, {}, {}
     for i, text in sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0)):
-        words = text.lower().split()
-        gone, new, at = [False] * len(words), [], 0
-        lines = [(sum(len(x.split()) for x in text.split("\n")[:k]), len(line.split())) for k, line in enumerate(text.split("\n"))]
-        for p, n in [(p, n) for p, n in lines if n >= 8] + [(p, window) for p in range(len(words) - window + 1)]:
-            key = (n == window, *words[p : p + n])
+        words, at, spans, block = text.lower().split(), 0, [], []
+        for line in [*text.split("\n"), ""]:
+            n = len(line.split())
+            if n:
+                block.append((at, n))
+            elif block:
+                spans += [("unit", *b) for b in block]
+                if len(block) > 1:
+                    spans.append(("unit", block[0][0], at - block[0][0]))
+                block = []
+            at += n
+        spans = [(k, p, n) for k, p, n in spans if n >= least] + [("run", p, half) for p in range(len(words) - half + 1)] + [("run", p, passage) for p in range(len(words) - passage + 1)]
+        unit, run, whole = set(), set(), []
+        for kind, p, n in spans:
+            key = (kind, *words[p : p + n])
             if key in had and (had[key][0] != i or had[key][1] + n <= p):
-                gone[p : p + n] = [True] * n
+                (unit if kind == "unit" else run).update(range(p, p + n))
+                if kind == "run" and n == passage:
+                    whole.append(p)
             had.setdefault(key, (i, p))
-        out[i] = gone
+        out[i] = unit, run, whole
     return out
 
 
 def places_gone(row, text):
-    return [any(s.start <= m.start() < s.end for s in row.spans) for m in re.finditer(r"\S+", text)]
+    return {k for k, m in enumerate(re.finditer(r"\S+", text)) if any(s.start <= m.start() < s.end for s in row.spans)}
 
 
-def test_whole_lines_and_windows_go(spark):
-    """By places, not by units: short sentences, ends of unbroken passages, lines across documents and within one."""
+def test_lines_and_passages_against_brute_force(spark):
+    """By places, not by the operator's units: lines across documents and within one, passages that begin anywhere."""
     rng = np.random.default_rng(5)
     fresh = lambda n: " ".join(f"{'abcdefgh'[int(rng.integers(8))]}{int(rng.integers(1 << 40))}" for _ in range(n))
     short = "It is so. We know it. You do not. They may yet see. Nobody else did."
     passages = [fresh(51 + 7 * k) for k in range(12)]
-    mixed = "On it. " + ". ".join(fresh(6) for _ in range(9)) + ". So it is"
+    mixed = "On it. " + ". ".join(fresh(6) for _ in range(9)) + ".\nSo it is"
     rows = [(k, f"{fresh(9)} {p} {fresh(30)}\n{short}\n{fresh(12)}") for k, p in enumerate([*passages, mixed])]
     rows += [(100 + k, f"{fresh(5)} {p} {fresh(3 + k)}") for k, p in enumerate([*passages, mixed])]
-    rows += [(200, f"{fresh(70)}\n{short}"), (201, "x " * 130), (202, passages[3] + " and " + passages[3]), (203, fresh(200)), (204, passages[1][: len(passages[1]) // 2])]
-    got = {r.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), window=51).collect()}
-    want = brute_places(rows)
-    for i, text in rows:
-        places = places_gone(got[i], text)
-        assert places == want[i], i
-        assert got[i].removed_words == sum(places)
-        assert got[i].text == "".join(text[a:b] for a, b in zip([0, *(s.end for s in got[i].spans)], [*(s.start for s in got[i].spans), len(text)]))
-    assert all(short not in got[i].text for i in got if i) and sum(want[100]) == 51 and not any(want[203])
-
-
-def test_short_sentences_of_a_repeated_line_go(spark):
-    """Without windows too; a paragraph goes however its lines are wrapped, and a line of few words stays."""
+    rows += [(200, f"{fresh(70)}\n{short}"), (201, "x " * 130), (202, passages[3] + " and " + passages[3]), (203, fresh(200)), (204, " ".join(passages[1].split()[:25])), (205, None), (206, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = repeated_places(rows)
+    for passage in (51, None):
+        got = {r.doc_id: r for r in substring_dedup.deduplicated(frame, passage=passage).collect()}
+        assert len(got) == len(rows) and got[205].text is None and got[206].text == ""
+        for i, text in rows:
+            if not text:
+                continue
+            unit, run, whole = want[i]
+            gone = places_gone(got[i], text)
+            assert unit <= gone <= (unit | run if passage else unit), i
+            for p in whole if passage else ():
+                assert len(gone & set(range(p, p + 51))) >= 26, (i, p)
+            assert got[i].removed_words == len(gone) and got[i].changed == bool(gone)
+            assert got[i].text == "".join(text[a:b] for a, b in zip([0, *(s.end for s in got[i].spans)], [*(s.start for s in got[i].spans), len(text)]))
+        assert all(short not in got[i].text for i in got if i and i < 205) and not got[203].changed and not got[204].changed
+
+
+def test_fragments_are_chosen_by_their_words():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    places, grams = substring_dedup.fragments_of(words, 51)
+    assert all(np.any((places >= p) & (places <= p + 25)) for p in range(len(words) - 50)) and len(places) < 60
+    inner, same = substring_dedup.fragments_of(words[40:140], 51)
+    known = dict(zip(places.tolist(), grams.tolist()))
+    assert {p + 40: g for p, g in zip(inner.tolist(), same.tolist()) if 25 <= p <= 49} == {p: g for p, g in known.items() if 65 <= p <= 89}
+    assert len(substring_dedup.fragments_of(words[:50], 51)[0]) == 0 and len(substring_dedup.fragments_of(words[:51], 51)[0]) >= 1
+
+
+def test_rows_without_id_and_paragraphs(spark):
+    """Rows without id and of equal text are one document; a paragraph goes however its lines are wrapped."""
     line = "It is so. We know it. You do not. They may yet see."
-    rows = [(1, f"{line}\nmore here\n\nfive words and then some\nothers, in all of eleven"), (2, f"before\n{line}\nmore here"), (3, "five words and then\nsome others, in all of eleven"), (4, "more here")]
-    got = {r.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i].text for i in (1, 2, 3, 4)] == [rows[0][1], "before\n", "", "more here"]
+    rows = [(1, f"{line}\nmore here\n\nfive words and then some\nothers, in all of eleven"), (2, f"before\n{line}\nmore here"), (3, "five words and then some\nothers, in all of eleven"), (4, "more here"), (None, f"{line} Own end."), (None, f"{line} Own end.")]
+    got = substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = {r.doc_id: r.text for r in got}
+    assert [text[i] for i in (1, 2, 3, 4)] == [rows[0][1], "before\nmore here", "", "more here"]
+    assert [r.text for r in got if r.doc_id is None] == [f"{line} Own end."] * 2
