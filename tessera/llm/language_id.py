@@ -2,36 +2,42 @@
 
 Training counts, per language, the words and the character n-grams (orders 1 to ``order``, word ends marked) of a
 sample of labelled documents. The sample is the documented bound of the classifier: about ``per_language`` documents
-of each label, chosen by a hash of the id, whole texts. Counting is a map-side count and one shuffle of counts.
+of each label, chosen by a hash of the id, whole texts; every word and n-gram of the sample is kept.
+
+Keys are hashed to 64 bits where they are counted, so a shuffle moves numbers. Spark turns the counts into log relative
+frequencies, which workers map as sorted arrays (``mapped``): neither counts nor scores pass through the driver, which
+holds the labels and a total per order and label.
 
 A known word scores the log of its relative frequency in each language. An unseen word scores the mean log frequency
 of its known n-grams of the longest order that has any. The sum over a document's words gives, by softmax, the
-probability of each language; the score is the largest one.
-
-The model holds at most ``entries`` words and ``entries`` n-grams (the most frequent), so its broadcast is bounded.
-Prediction is one narrow Arrow stage over the scan.
+probability of each language; the score is the largest one. Prediction is one narrow Arrow stage over the scan.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TwoGenerations, arrow_rows, cut, kept
+from .common import byte_slices, cut, kept, shared_dir
+from .mapped import Mapped, pack, written
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
+FILE_ROWS = 1 << 19  #: keys in a file of the model
+MEMO = 200_000  #: words whose scores a worker remembers
 
 
 def words_of(text: str | None) -> list[str]:
+    """Letters with the marks on them, lower-cased; digits, also those like ``½``, are no letters."""
     return LETTERS.findall(text.lower()) if text else []
 
 
@@ -40,78 +46,124 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def hash_of(kind: int, key: str) -> int:
+    """64 bits of a word (kind 0) or of an n-gram of ``kind`` characters, as a signed number."""
+    return xxhash.xxh3_64_intdigest(key.encode(), kind) - (1 << 63)
+
+
 @dataclass
 class Model:
+    """Labels in order, and the files of ``hash, scores`` that hold the log frequencies of words and n-grams."""
+
     languages: list[str]
-    words: dict[str, int]  # row of word_scores
-    word_scores: np.ndarray
-    grams: dict[str, int]  # row of gram_scores
-    gram_scores: np.ndarray
+    files: list[tuple[str, int, int]]
     order: int
     name: str = ""
 
-    def row(self, word: str) -> np.ndarray:
-        """Scores of one word in each language."""
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_scores[at]
-        for n in range(min(self.order, len(word) + 2), 0, -1):
-            known = [k for k in map(self.grams.get, grams_of(word, n)) if k is not None]
-            if known:
-                return self.gram_scores[known].sum(axis=0) / len(known)
-        return np.zeros(len(self.languages), np.float32)
-
-
-def fit(labelled: DataFrame, per_language: int = 5000, order: int = 4, entries: int = 100_000, least: int = 2, smooth: float = 0.5) -> Model:
+    def open(self) -> Mapped:
+        return Mapped(self.files, {"hash": "<i8", "scores": f"({len(self.languages)},)<f4"})
+
+    def found(self, arrays: Mapped, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and the scores of those."""
+        distinct, where = np.unique(hashes, return_inverse=True)
+        places = arrays.find("hash", distinct)
+        hit = places >= 0
+        scores = np.zeros((len(distinct), len(self.languages)), np.float32)
+        if hit.any():
+            scores[hit] = arrays.take("scores", places[hit])
+        return hit[where], scores[where]
+
+    def rows(self, arrays: Mapped, words: list[str]) -> np.ndarray:
+        """Scores of the words in each language; 0 where neither a word nor any of its n-grams is known."""
+        known, out = self.found(arrays, np.array([hash_of(0, w) for w in words], np.int64))
+        out = out.astype(np.float64)
+        left = np.flatnonzero(~known)
+        for n in range(self.order, 0, -1):
+            if not len(left):
+                break
+            grams = [grams_of(words[i], n) for i in left.tolist()]
+            owner = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            hit, scores = self.found(arrays, np.array([hash_of(n, g) for gs in grams for g in gs], np.int64))
+            if hit.any():
+                count = np.bincount(owner[hit], minlength=len(left))
+                total = np.stack([np.bincount(owner[hit], weights=scores[hit, k], minlength=len(left)) for k in range(len(self.languages))], axis=1)
+                some = count > 0
+                out[left[some]] = total[some] / count[some, None]
+                left = left[~some]
+        return out
+
+
+def fit(labelled: DataFrame, per_language: int = 5000, order: int = 4, smooth: float = 0.5) -> Model:
     """Train on ``labelled(doc_id, text, lang, ...)``; rows without text or lang are left out.
 
-    ``per_language``: expected documents sampled of each language (all of them where there are fewer). ``entries``: most
-    words and most n-grams kept, by count; ``least``: the smallest count kept. No rows give a model without languages.
+    ``per_language``: expected documents sampled of each language (all of them where there are fewer); what the model
+    holds is bounded by this sample. Repeated ids are sampled together, rows without id too. No rows give a model without
+    languages. The driver holds the distinct labels, the classes of the model.
     """
+    spark = labelled.sparkSession
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    labels = sizes.orderBy("lang").collect()
+    languages = [r["lang"] for r in labels]
     if not languages:
-        return Model([], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32), order)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))])[F.col("lang")]
+        return Model([], [], order)
+    share = F.create_map(*[F.lit(x) for r in labels for x in (r["lang"], min(1.0, per_language / r["n"]))])[F.col("lang")]
     sample = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+    number = {k: i for i, k in enumerate(languages)}
 
     def count(batches):
-        for langs, texts in arrow_rows(batches, "lang", "text"):
+        for langs, texts in byte_slices(batches, "lang", "text"):
             words: Counter = Counter()
             for lang, text in zip(langs, texts):
-                words.update((lang, w) for w in words_of(text))
-            grams: Counter = Counter()
+                words.update((number[lang], w) for w in words_of(text))
+            found: Counter = Counter()
             for (lang, word), n in words.items():
+                found[hash_of(0, word), 0, lang] += n
                 for k in range(1, order + 1):
                     for g in grams_of(word, k):
-                        grams[lang, g] += n
-            for kind, found in ((0, words), (1, grams)):
-                if found:
-                    (langs_, keys), ns = zip(*found), list(found.values())
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(ns), pa.int32()), pa.array(langs_), pa.array(keys), pa.array(ns, pa.int64())], names=["kind", "lang", "key", "n"])
-
-    counts = sample.select("lang", "text").mapInArrow(count, "kind int, lang string, key string, n long")
-    by_key = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns"))
-    by_key = cut(by_key.where(F.col("total") >= least), "language-counts")  # read once for words, once for n-grams
-    kept = {kind: by_key.where(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(entries).select("key", "ns").collect() for kind in (0, 1)}
-    tables = {}
-    for kind, found in kept.items():
-        n = np.array([[r["ns"].get(k, 0) for k in languages] for r in found], np.float64).reshape(-1, len(languages))
-        widths = np.array([len(r["key"]) for r in found]) if kind else np.zeros(len(found), int)
-        scores = np.zeros(n.shape, np.float32)
-        for width in set(widths.tolist()):  # n-grams of each order have their own totals
-            at = widths == width
-            scores[at] = np.log((n[at] + smooth) / (n[at].sum(axis=0) + smooth * (at.sum() + 1)))
-        tables[kind] = ({r["key"]: i for i, r in enumerate(found)}, scores)
-    return Model(languages, *tables[0], *tables[1], order, uuid.uuid4().hex)
-
-
-class _Rows(TwoGenerations):
-    def __init__(self, model: Model, limit: int = 300_000):
-        super().__init__(limit)
-        self.make = model.row
+                        found[hash_of(k, g), k, lang] += n
+            if found:
+                hashes, kinds, langs_ = zip(*found)
+                columns = [pa.array(hashes, pa.int64()), pa.array(kinds, pa.int8()), pa.array(langs_, pa.int32()), pa.array(list(found.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "kind", "lang", "n"])
+
+    counts = sample.select("lang", "text").mapInArrow(count, "hash long, kind byte, lang int, n long")
+    by_key = counts.groupBy("hash", "kind").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(len(languages))])
+    by_key = cut(by_key, "language-counts")  # read for the totals of each order, then for the scores
+    totals = {r["kind"]: r for r in by_key.groupBy("kind").agg(F.count("*").alias("keys"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(languages))]).collect()}
+    base = {kind: np.array([r[f"n{k}"] + smooth * (r["keys"] + 1) for k in range(len(languages))]) for kind, r in totals.items()}
+
+    def files(batches):  # one file a partition of about FILE_ROWS keys
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            hashes, kinds = table.column("hash").to_numpy(), table.column("kind").to_numpy()
+            n = np.stack([table.column(f"n{k}").to_numpy() for k in range(len(languages))], axis=1).astype(np.float64)
+            scores = np.zeros(n.shape, "<f4")
+            for kind, below in base.items():
+                scores[kinds == kind] = np.log((n[kinds == kind] + smooth) / below)
+            yield pa.RecordBatch.from_arrays([pa.array([pack(hash=hashes, scores=scores)], pa.binary())], names=["blob"])
+
+    parts = max(1, -(-sum(r["keys"] for r in totals.values()) // FILE_ROWS))
+    blobs = by_key.repartitionByRange(parts, "hash").sortWithinPartitions("hash").mapInArrow(files, "blob binary")
+    return Model(languages, written(blobs, shared_dir(spark, "language-model")), order, uuid.uuid4().hex)
+
+
+class _Scorer:
+    """The mapped model and the scores of words seen lately."""
+
+    def __init__(self, model: Model):
+        self.model, self.arrays, self.memo = model, model.open(), {}
+
+    def matrix(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.memo]
+        fresh = dict(zip(new, self.model.rows(self.arrays, new))) if new else {}
+        out = np.stack([fresh[w] if w in fresh else self.memo[w] for w in words])
+        if len(self.memo) + len(fresh) > MEMO:
+            self.memo.clear()
+        self.memo.update((w, r) for w, r in fresh.items() if len(w) <= 64)
+        return out
 
 
 class _Index(dict):
@@ -126,8 +178,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Texts that are null or have no letter, and all texts under a model without languages, give ``und`` and 0. Ties go to
     the language that sorts first. Rows with null or repeated ids are predicted like any other.
     """
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -135,26 +185,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     kind = to_arrow_type(schema[0].dataType)
 
     def run(batches):
-        model = shared.value
-        with kept(("language", model.name), lambda: _Rows(model)) as rows:
-            yield from predictions(batches, model, rows)
-
-    def predictions(batches, model, rows):
-        for keys, texts in arrow_rows(batches, "doc_id", "text", step=512):
-            index = _Index()
-            found = [np.fromiter(map(index.__getitem__, words_of(t)), np.int64) for t in texts]
-            matrix = np.stack([rows[w] for w in index]).astype(np.float64) if index and model.languages else None
-            names, scores = [], []
-            for ids in found:
-                if matrix is None or not len(ids):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = matrix[ids].sum(axis=0)
-                best = int(total.argmax())
-                names.append(model.languages[best])
-                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+        with kept(("language", model.name), lambda: _Scorer(model)) as scorer:
+            for keys, texts in byte_slices(batches, "doc_id", "text", rows=512):
+                index = _Index()
+                found = [np.fromiter(map(index.__getitem__, words_of(t)), np.int64) for t in texts]
+                matrix = scorer.matrix(list(index)) if index and model.languages else None
+                names, scores = [], []
+                for ids in found:
+                    if matrix is None or not len(ids):
+                        names.append(UNKNOWN)
+                        scores.append(0.0)
+                        continue
+                    total = matrix[ids].sum(axis=0)
+                    best = int(total.argmax())
+                    names.append(model.languages[best])
+                    scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

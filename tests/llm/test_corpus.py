@@ -247,8 +247,42 @@ def test_language_id(spark, small):
     model = language_id.fit(train)
     right = language_id.predict(held, model).join(held.select("doc_id", "lang"), "doc_id").selectExpr("avg(cast(lang_pred = lang as int)) a").head()["a"]
     assert right > 0.97
-    rare = "Wörterbuchsprachig"
-    assert model.row(rare.lower()).shape == (len(model.languages),)
+
+
+def test_language_scores_against_brute_force(spark):
+    """A model of a few texts, scored by plain dictionaries of words and n-grams."""
+    texts = [(1, "the cat and the dog", "en"), (2, "the dog ran", "en"), (3, "le chat et le chien", "fr"), (4, "un chien court", "fr"), (5, "हिन्दी में पाठ", "hi"), (6, None, "fr"), (7, "lost", None)]
+    order, smooth, languages = 4, 0.5, ["en", "fr", "hi"]
+    counts = {}
+    for _, text, lang in texts:
+        for w in (text or "").split() if lang else []:
+            for kind, keys in [(0, [w]), *((n, language_id.grams_of(w, n)) for n in range(1, order + 1))]:
+                for key in keys:
+                    row = counts.setdefault(kind, {}).setdefault(key, [0, 0, 0])
+                    row[languages.index(lang)] += 1
+    log = lambda kind, key: np.log((np.array(counts[kind][key]) + smooth) / (np.sum(list(counts[kind].values()), axis=0) + smooth * (len(counts[kind]) + 1)))
+
+    def want(text):
+        total = np.zeros(3)
+        for w in text.split():
+            if w in counts[0]:
+                total = total + log(0, w)
+                continue
+            for n in range(order, 0, -1):
+                rows = [log(n, g) for g in language_id.grams_of(w, n) if g in counts[n]]
+                if rows:
+                    total = total + np.mean(rows, axis=0)
+                    break
+        return languages[int(total.argmax())], 1 / np.exp(total - total.max()).sum()
+
+    asked = ["the cat", "chienne chats", "dogs and cats", "zzzz", "हिन्दी पाठ", "un the le qqq"]
+    model = language_id.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"), order=order, smooth=smooth)
+    frame = spark.createDataFrame([*enumerate(asked), (90, "½ ²"), (91, "①"), (92, None), (93, "12 ³")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(frame, model).collect()}
+    for k, text in enumerate(asked):
+        assert got[k][0] == want(text)[0] and abs(got[k][1] - want(text)[1]) < 1e-5, text
+    assert {got[k] for k in (90, 91, 92, 93)} == {("und", 0.0)}
+    assert language_id.words_of("हिन्दी ½x") == ["हिन्दी", "x"]
 
 
 def test_language_id_of_awkward_rows(spark):
