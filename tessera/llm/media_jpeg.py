@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -153,10 +153,12 @@ def parse_frames(media: bytes) -> list[Frame]:
     while at < n:
         if media[at : at + 2] != b"\xff\xd8":
             raise ValueError("no start of image")
-        frame, at = Frame(), at + 2
-        while True:
-            while at < n and media[at : at + 2] == b"\xff\xff":
+        frame, first, at = Frame(), None, at + 2
+        while True:  # segments and scans, up to the end of the image
+            while media[at : at + 2] == b"\xff\xff":
                 at += 1
+            if media[at : at + 2] == b"\xff\xd9":
+                break
             if at + 4 > n or media[at] != 0xFF:
                 raise ValueError("markers end early")
             marker, size = media[at + 1], int.from_bytes(media[at + 2 : at + 4], "big")
@@ -167,7 +169,7 @@ def parse_frames(media: bytes) -> list[Frame]:
                     raise ValueError("only 8-bit samples")
                 frame.height, frame.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
                 frame.parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
-            elif marker in (0xC1, 0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xD0)) and marker != 0xCC:
+            elif marker in (0xC1, 0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
                 raise ValueError("not a baseline frame")
             elif marker == 0xDB:
                 while body:
@@ -184,20 +186,22 @@ def parse_frames(media: bytes) -> list[Frame]:
             elif marker == 0xDA:
                 ids = [p[0] for p in frame.parts]
                 frame.scan = [(ids.index(body[1 + 2 * k]), body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
-                break
-        end = at
-        while True:  # the scan ends at the first marker that is neither a stuffed zero nor a restart
-            end = media.find(b"\xff", end)
-            if end < 0 or end + 1 >= n:
-                raise ValueError("the scan ends early")
-            if media[end + 1] != 0 and not 0xD0 <= media[end + 1] <= 0xD7:
-                break
-            end += 2
-        frame.data = (at, end)
-        if media[end : end + 2] != b"\xff\xd9":
-            raise ValueError("only images of one scan")
-        frames.append(frame)
-        at = end + 2
+                end = at
+                while True:  # a scan ends at the first marker that is neither a stuffed zero nor a restart
+                    end = media.find(b"\xff", end)
+                    if end < 0 or end + 1 >= n:
+                        raise ValueError("the scan ends early")
+                    if media[end + 1] != 0 and not 0xD0 <= media[end + 1] <= 0xD7:
+                        break
+                    end += 2
+                frame.data = (at, end)
+                if first is None and any(k == 0 for k, _, _ in frame.scan):  # the scan of the luminance, with its tables
+                    first = replace(frame, quant=frame.quant, huffman=dict(frame.huffman))
+                at = end
+        if first is None:
+            raise ValueError("no scan of the first component")
+        frames.append(first)
+        at += 2
     return frames
 
 
@@ -316,18 +320,30 @@ def thumbnails(media: list[bytes]) -> list[list[np.ndarray]]:
 
 
 def thumbnail_hash(images: list[np.ndarray]) -> str:
-    """64-bit difference hash, as hex, of the first thumbnail: means of an 8 x 9 grid of cells, compared along rows."""
-    image = images[0].astype(np.float64)
-    rows = np.linspace(0, image.shape[0], 9).astype(int)
-    cols = np.linspace(0, image.shape[1], 10).astype(int)
-    total = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
-    r0, r1, c0, c1 = rows[:-1], np.maximum(rows[1:], rows[:-1] + 1), cols[:-1], np.maximum(cols[1:], cols[:-1] + 1)
-    r1, c1 = np.minimum(r1, image.shape[0]), np.minimum(c1, image.shape[1])
-    r0, c0 = np.minimum(r0, r1 - 1), np.minimum(c0, c1 - 1)
-    sums = total[r1][:, c1] - total[r0][:, c1] - total[r1][:, c0] + total[r0][:, c0]
-    grid = sums / np.outer(r1 - r0, c1 - c0)
-    return np.packbits(grid[:, 1:] > grid[:, :-1]).tobytes().hex()
+    """64-bit difference hash, as hex, of each thumbnail: means of an 8 x 9 grid of cells, compared along rows."""
+    out = []
+    for image in images:
+        rows = np.linspace(0, image.shape[0], 9).astype(int)
+        cols = np.linspace(0, image.shape[1], 10).astype(int)
+        total = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
+        total[1:, 1:] = image.astype(np.float64).cumsum(axis=0).cumsum(axis=1)
+        r0, r1, c0, c1 = rows[:-1], np.maximum(rows[1:], rows[:-1] + 1), cols[:-1], np.maximum(cols[1:], cols[:-1] + 1)
+        r1, c1 = np.minimum(r1, image.shape[0]), np.minimum(c1, image.shape[1])
+        r0, c0 = np.minimum(r0, r1 - 1), np.minimum(c0, c1 - 1)
+        sums = total[r1][:, c1] - total[r0][:, c1] - total[r1][:, c0] + total[r0][:, c0]
+        grid = sums / np.outer(r1 - r0, c1 - c0)
+        out.append(np.packbits(grid[:, 1:] > grid[:, :-1]).tobytes().hex())
+    return "-".join(out)
+
+
+def safe_thumbnails(media: list[bytes]) -> list[list[np.ndarray] | str]:
+    """``thumbnails``, or the error's text for each value that is no baseline JPEG."""
+    try:
+        return thumbnails(media)
+    except (ValueError, IndexError, KeyError) as e:
+        if len(media) == 1:
+            return [str(e) or type(e).__name__]
+        return [x for m in media for x in safe_thumbnails([m])]
 
 
 def encode_media(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -357,10 +373,12 @@ def decode_media(rows: DataFrame) -> DataFrame:
     """Decode ``media`` of ``rows(doc_id, n_bytes, media)``: pixel dimensions, frames, thumbnail digests and its hash.
 
     Returns ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width,
-    height, frames``; everything after ``n_bytes`` comes from the media bytes alone. Null media give nulls.
+    height, frames, error``; everything after ``n_bytes`` comes from the media bytes alone. ``feature`` is the size and the
+    hash of every frame's thumbnail. Null media give nulls; so do values that are no baseline JPEG, with the reason in
+    ``error``, and the rows beside them are decoded.
     """
     kind = rows.schema["doc_id"].dataType
-    names = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, frames int"
+    names = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, frames int, error string"
     schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string(names).fields])
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -369,18 +387,17 @@ def decode_media(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for keys, n_bytes, media in byte_slices(batches, "doc_id", "n_bytes", "media", limit=SLICE):
-            present = [m for m in media if m is not None]
-            images = iter(thumbnails(present))
+            images = iter(safe_thumbnails([m for m in media if m is not None]))
             out = []
             for m in media:
-                if m is None:
-                    out.append([None] * 9)
+                pictures = None if m is None else next(images)
+                if not pictures or isinstance(pictures, str):
+                    out.append([*[None] * 3, *([None] * 2 if m is None else [len(m), hashlib.sha256(m).hexdigest()]), *[None] * 4, pictures if isinstance(pictures, str) else None if m is None else "no image"])
                     continue
-                pictures = next(images)
                 payload = b"".join(p.tobytes() for p in pictures)
                 across, down = 8 * max(p.shape[1] for p in pictures), 8 * sum(p.shape[0] for p in pictures)
                 mark = thumbnail_hash(pictures)
-                out.append([len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{across}x{down}:{mark}", across, down, len(pictures)])
+                out.append([len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{across}x{down}:{mark}", across, down, len(pictures), None])
             columns = [keys, n_bytes, *map(list, zip(*out))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], names=arrow.names)
 

@@ -59,6 +59,17 @@ def test_colour_image_with_subsampling_and_ac_symbols():
     image = mj.thumbnails([media])[0][0]
     assert image.tolist() == [[148, 88], [188, 128]]
 
+    def scan(part, values):
+        coded, before = [], 0
+        for value in values:
+            coded += [number(dc, value - before), word(ac, 0x00)]
+            before = value
+        return segment(0xDA, bytes([1, part, 0x00, 0, 63, 0])) + bits(coded)
+
+    head = media[: media.index(b"\xff\xda")]
+    several = head + scan(3, [-7]) + scan(1, [10, -20, 30, 0]) + segment(0xC4, bytes([0x00, 1, *[0] * 15, 0])) + scan(2, [0]) + b"\xff\xd9"
+    assert mj.thumbnails([several])[0][0].tolist() == image.tolist(), "scans of one component each, tables redefined behind"
+
 
 def test_what_is_not_baseline_is_refused():
     good = mj.encode_payloads([b"a" * 192])[0]
@@ -78,7 +89,19 @@ def test_awkward_rows(spark):
         assert r.tail_crc32 == zlib.crc32(payload[-16:])
     assert mj.decode_media(mj.encode_media(docs.empty(spark))).count() == 0
     nothing = mj.decode_media(spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")).collect()[0]
-    assert nothing.media_sha256 is None
+    assert nothing.media_sha256 is None and nothing.error is None
+
+
+def test_broken_values_and_all_frames(spark, monkeypatch):
+    good = mj.encode_payloads([b"a" * 192, b"b" * 384])
+    rows = [(1, 0, good[0]), (2, 0, b"GIF89a"), (3, 0, good[1][:-30]), (4, 0, good[1]), (5, 0, b"")]
+    got = {r.doc_id: r for r in mj.decode_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert {i: r.payload_bytes for i, r in got.items()} == {1: 192, 2: None, 3: None, 4: 384, 5: None}
+    assert {i for i, r in got.items() if r.error} == {2, 3, 5} and got[2].media_bytes == 6
+    monkeypatch.setattr(mj, "MAX_ROWS", 2)
+    wave = lambda k: bytes((i * k) % 251 for i in range(192 * 5))
+    one, two = (mj.thumbnail_hash(mj.thumbnails(mj.encode_payloads([p]))[0]) for p in (wave(7), wave(7)[: 192 * 4] + wave(3)[:192]))
+    assert len(one.split("-")) == 3 and one.split("-")[:2] == two.split("-")[:2] and one != two
 
 
 def test_op3_equal_texts_equal_values(spark, small):
