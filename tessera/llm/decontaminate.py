@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, cut, texts_as_bytes
+from .common import byte_slices, cut, texts_as_bytes
 
 #: A-Z become lower case, digits, a-z and all bytes of non-ASCII characters stay, all other bytes separate words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -33,10 +33,14 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Benchmark:
-    """Items as one array of word numbers (from 1) with a 0 behind each item."""
-
-    def __init__(self, items: list[tuple[int | None, bytes]], window: int):
-        parsed = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
+    """Items as one array of word numbers (from 1) with a 0 behind each. Items of equal words are one, with all their ids,
+    so what they share is found once; ``ids`` has the ids of each, those of one id ascending and null left out."""
+
+    def __init__(self, items: list[tuple[object, bytes]], window: int):
+        same: dict[tuple, list] = {}
+        for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0)):
+            same.setdefault(tuple(words_of(text)), []).append(i)
+        parsed = [([i for i in ids if i is not None], words) for words, ids in same.items() if words]
         self.number: dict[bytes, int] = {}
         flat: list[int] = []
         owner: list[int] = []
@@ -175,11 +179,12 @@ def shard_hits(docs: list[np.ndarray], bench: Benchmark) -> list[tuple[list[tupl
 _SPANS = "array<struct<start: int, end: int>>"
 
 
-def _block_hits(docs: DataFrame, bench: Benchmark, shard_words: int) -> DataFrame:
+def _block_hits(docs: DataFrame, bench: Benchmark, shard_words: int, kind: T.DataType) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bench)
     keys = [c for c in docs.columns if c != "text"]
-    result = T._parse_datatype_string(f"n_words long, spans {_SPANS}, item_ids array<long>, longest_words int, longest_item long, longest_at int")
-    schema = T.StructType([*(docs.schema[c] for c in keys), *result.fields])
+    result = T._parse_datatype_string(f"n_words long, spans {_SPANS}, longest_words int, longest_at int")
+    n_words, spans, words, at = result.fields
+    schema = T.StructType([*(docs.schema[c] for c in keys), n_words, spans, T.StructField("item_ids", T.ArrayType(kind)), words, T.StructField("longest_item", kind), at])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -192,12 +197,12 @@ def _block_hits(docs: DataFrame, bench: Benchmark, shard_words: int) -> DataFram
         def flush():
             out = []
             for key, words, (spans, items, best) in zip(rows, held, shard_hits(held, bench)):
-                ids = sorted({bench.ids[i] for i in items if bench.ids[i] is not None})
-                longest = (best[0], bench.ids[best[1]], best[2]) if best else (0, None, None)
+                ids = sorted({k for i in items for k in bench.ids[i]})
+                longest = (best[0], (bench.ids[best[1]] or [None])[0], best[2]) if best else (0, None, None)
                 out.append((*key, len(words), [{"start": a, "end": b} for a, b in spans], ids, *longest))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], names=arrow.names)
 
-        for *found, texts in arrow_rows(batches, *keys, "text", step=256):
+        for *found, texts in byte_slices(batches, *keys, "text", rows=256):
             for *key, text in zip(*found, texts):
                 words = words_of(text)
                 ids = np.fromiter(map(number, words, repeat(0)), np.int32, len(words))
@@ -217,14 +222,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard
     """A row for each row of ``docs(doc_id, text, ...)``, from ``benchmark(item_id, text, ...)``:
 
     ``doc_id, n_words long, spans array<struct<start, end>>`` (word ranges inside any occurrence of a window),
-    ``item_ids array<long>`` (items with occurring windows, ascending), ``longest_words, longest_item, longest_at`` (the
-    longest verbatim match of a window or more: its words, item and first word in the document; the smallest item, then
-    the first place on ties).
+    ``item_ids`` (items with occurring windows, ascending, in an array of the type of ``item_id``, a number or a string),
+    ``longest_words, longest_item, longest_at`` (the longest verbatim match of a window or more: its words, item and first
+    word in the document; on ties the smallest item, items without id last, then the first place).
 
     Null and empty texts have no words and no hits, on either side. Items without id mark words and are not listed;
     repeated items count once. Repeated rows and null ids of ``docs`` give a row each. Empty tables are no hits at all.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    kind = benchmark.schema["item_id"].dataType
+    items = benchmark.select("item_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).head()["n"]
     blocks = max(1, -(-size // block_bytes))
 
@@ -233,13 +239,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard
         return Benchmark([(r["item_id"], bytes(r["text"])) for r in rows], window)
 
     if blocks == 1:
-        return _block_hits(texts_as_bytes(docs, "doc_id"), block(0), shard_words)
+        return _block_hits(texts_as_bytes(docs, "doc_id"), block(0), shard_words, kind)
     rows = cut(texts_as_bytes(docs, "doc_id").withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
-    parts = [cut(_block_hits(rows, block(k), shard_words), "decontaminate-block") for k in range(blocks)]
+    parts = [cut(_block_hits(rows, block(k), shard_words, kind), "decontaminate-block") for k in range(blocks)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionAll(p)
-    best = F.max(F.struct("longest_words", (-F.col("longest_item")).alias("item"), (-F.col("longest_at")).alias("at")))
+    best = F.min(F.struct((-F.col("longest_words")).alias("less"), F.col("longest_item").isNull().alias("nameless"), F.col("longest_item").alias("item"), F.col("longest_at").alias("at")))
     merged = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("b"),
@@ -249,7 +255,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard
         "concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))) "
         "else concat(acc, array(x)) end)"
     )
-    return merged.select("doc_id", "n_words", union.alias("spans"), "item_ids", F.col("b.longest_words").alias("longest_words"), (-F.col("b.item")).alias("longest_item"), (-F.col("b.at")).alias("longest_at"))
+    return merged.select("doc_id", "n_words", union.alias("spans"), "item_ids", (-F.col("b.less")).alias("longest_words"), F.col("b.item").alias("longest_item"), F.col("b.at").alias("longest_at"))
 
 
 def judged(found: DataFrame, share: int = 20) -> DataFrame:

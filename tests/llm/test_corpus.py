@@ -63,6 +63,17 @@ def test_contamination_of_random_texts(spark):
     assert sorted([(r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in got], key=str) == brute(documents, items)
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 20])
+def test_string_ids_and_ties_of_items(spark, block_bytes):
+    d = spark.createDataFrame([(1, f"a {SHORT} b"), (2, "yes or no")], "doc_id string, text string")
+    b = spark.createDataFrame([(None, SHORT), ("b", SHORT), ("a2", SHORT), ("a10", "yes"), ("z", "YES!"), ("n", "no way")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(d, b, block_bytes=block_bytes).collect()}
+    assert got["1"].item_ids == ["a2", "b"] and (got["1"].longest_words, got["1"].longest_item, got["1"].longest_at) == (5, "a2", 1)
+    assert got["2"].item_ids == ["a10", "z"] and got["2"].longest_item == "a10"
+    only = decontaminate.contamination(d, b.where("item_id is null"), block_bytes=block_bytes).where("doc_id = '1'").head()
+    assert only.item_ids == [] and only.longest_item is None and only.longest_words == 5
+
+
 def test_suffix_arrays_are_sorted():
     rng = np.random.default_rng(2)
     for high in (2, 4, 50):
