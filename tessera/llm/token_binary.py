@@ -17,6 +17,7 @@ a row per document and one per file are left for the prefix sums.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import zlib
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, arrow_rows, cut, kept, read_blobs, shared_dir, write_blobs
-from .token_counts import PRETOKEN, byte_symbols
+from .common import TwoGenerations, arrow_rows, byte_slices, cut, kept, read_blobs, shared_dir, write_blobs
+from .token_counts import PRETOKEN, byte_symbols, checked
 
 MAGIC = b"TKV1"
 HEAD = struct.Struct("<4sIIIIQQ")
@@ -149,6 +150,7 @@ def encoder(path: str, memo: int = 600_000):
     library whole.
     """
     tokenizer = _tokenizer(path)
+    checked(json.loads(tokenizer.to_str()))
     chunks = _Chunks(tokenizer, memo)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     ids = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -169,8 +171,8 @@ def encoder(path: str, memo: int = 600_000):
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 0, file_tokens: int = 4 << 20) -> None:
     """Write all texts of ``docs(doc_id, text, ...)`` to ``path``, each document's ids followed by ``end_id`` if given.
 
-    ``doc_id`` is an integer. Null texts are empty. Null ids come first; rows of one id are ordered by text, so reruns
-    over the same rows give the same stream. Other columns are not read; an empty table writes no token file.
+    ``doc_id`` is an integer. Null texts are empty. Null ids come first; rows of one id are ordered by a hash of the text and the text, so
+    reruns over the same rows give the same stream. Other columns are not read; an empty table writes no token file.
     """
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
@@ -190,7 +192,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             sequence, keys, counts, parts, held = sequence + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
 
-        for doc_ids, texts in arrow_rows(batches, "doc_id", "text", step=256):
+        for doc_ids, texts in byte_slices(batches, "doc_id", "text", rows=256):
             for doc_id, text in zip(doc_ids, texts):
                 ids = encode(text or "") + end
                 if held and held + len(ids) // 4 > file_tokens:
@@ -203,15 +205,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = "doc_id", F.xxhash64("text"), "text"  # the hash parts a hot id over several ranges
+    ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     write_blobs(ordered.mapInArrow(run, "blob binary"), "blob", path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """A row per document from the files: ``doc_id, start long, n_tokens long, ids_crc32 long`` (and ``ids array<int>``).
 
-    ``start`` counts the ids of all documents before it. The files' totals (a row per file) are summed by a window over
-    files only.
+    ``start`` counts the ids of all documents before it: totals of files are summed within a partition, totals of
+    partitions (a row each) by one window.
     """
     columns = "part long, seq long, doc_id long, within long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
@@ -234,8 +237,10 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
     rows = cut(read_blobs(spark, path).select("content").mapInArrow(run, columns), "token-rows")
     files = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = files.select(F.col("part").alias("f_part"), F.col("seq").alias("f_seq"), before.alias("file_start"))
+    before = lambda order: F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n").alias("n")).select(F.col("part").alias("p_part"), before(W.orderBy("part")).alias("part_start"))
+    files = files.withColumn("inside", before(W.partitionBy("part").orderBy("seq"))).join(parts, F.col("part") == F.col("p_part"))
+    starts = files.select(F.col("part").alias("f_part"), F.col("seq").alias("f_seq"), (F.col("part_start") + F.col("inside")).alias("file_start"))
     joined = rows.join(starts, (F.col("part") == F.col("f_part")) & (F.col("seq") == F.col("f_seq")))
     return joined.select("doc_id", (F.col("file_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 

@@ -34,12 +34,24 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+def checked(spec: dict) -> dict:
+    """``spec`` of a tokenizer file, if it is what these operators take for granted: byte-level BPE with the pattern
+    above, no prefix space, no normaliser, merges that are not ignored."""
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    right = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    right = right and not spec.get("normalizer") and model.get("type", "BPE") == "BPE"
+    right = right and not any(model.get(k) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    if not right:
+        raise ValueError("not a plain byte-level BPE tokenizer")
+    return spec
+
+
 class MergeTable:
     """Merge ranks of a tokenizer file: ``pair[left * size + right] -> rank`` and the symbol that a rank makes."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f))
         names: dict[str, int] = {}
         number = lambda s: names.setdefault(s, len(names))
         self.first = [number(s) for s in byte_symbols()]
