@@ -3,7 +3,9 @@
 An archive is a ZIP file of two stored (uncompressed) members: ``archive/data.warc.gz``, one gzip member per record,
 and ``indexes/index.cdxj``, one JSON line per record with its offset and length inside the first. The reader finds the
 end-of-central-directory record (and the ZIP64 one where it is used), lists the central directory, locates the data of
-the stored members behind their local headers, and reads index and records as byte ranges; nothing is extracted.
+the stored members behind their local headers, and reads index and records as byte ranges of the stored file; nothing is
+extracted and no archive is loaded, so one may be of any size. One stage reads directories and indexes, and deals spans of
+records over tasks, which read each record's range.
 
 Writing shuffles each page once, to join it by digest with the smallest page_id of repeated payloads. That side is
 pre-aggregated and holds repeated digests only; a hot digest is split by Spark's skew join. Archives hold at most about
@@ -13,6 +15,7 @@ pre-aggregated and holds repeated digests only; a hot digest is split by Spark's
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import io
 import json
@@ -26,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILE_BYTES, arrow_rows, read_blobs, shared_dir, write_blobs
+from .common import FILE_BYTES, arrow_rows, byte_slices, shared_dir, write_blobs
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+PIECE = 1 << 20  #: bytes of an index that are read at once
+SPAN = 4 << 20  #: bytes of records that one row deals to a task
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -131,14 +136,37 @@ class ZipRanges:
         return offset + 30 + sum(struct.unpack_from("<HH", local, 26)), size
 
 
-def read_archive(read_at: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int | None, dict[str, str], bytes]]:
-    """``(page_id, headers, block)`` of every indexed record, each read as one range."""
+def indexed(read_at: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int | None, int, int]]:
+    """``(page_id, offset in the archive, length)`` of every indexed record. The index is read in pieces."""
     ranges = ZipRanges(read_at, size)
     data, _ = ranges.locate(DATA)
-    for line in read_at(*ranges.locate(INDEX)).splitlines():
-        entry = json.loads(line)
-        raw = zlib.decompress(read_at(data + entry["offset"], entry["length"]), 31)
-        yield entry["page_id"], *parse_record(raw)
+    at, left = ranges.locate(INDEX)
+    rest = b""
+    while left or rest:
+        piece = read_at(at, min(left, PIECE))
+        at, left = at + len(piece), left - len(piece)
+        *lines, rest = (rest + piece).split(b"\n")
+        if not left:
+            lines, rest = [*lines, rest], b""
+        for line in lines:
+            if line.strip():
+                entry = json.loads(line)
+                yield entry["page_id"], data + entry["offset"], entry["length"]
+
+
+def read_record(read_at: Callable[[int, int], bytes], offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """Headers and block of the record in one range."""
+    return parse_record(zlib.decompress(read_at(offset, length), 31))
+
+
+@contextlib.contextmanager
+def opened(uri: str):
+    """``read_at(offset, length)`` of a stored file: local, or in any store that Arrow opens (hdfs, s3, gs, ...)."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as f:
+        yield lambda at, n: f.read_at(n, at)
 
 
 def _gzip(raw: bytes) -> bytes:
@@ -166,8 +194,8 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, date: str
     def run(batches):
         held, n = [], 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array([pack_archive(held)], pa.binary())], names=["blob"])
-        for columns in arrow_rows(batches, "page_id", "url", "payload", "refers", step=64):
-            for page_id, url, body, to in zip(*columns):
+        for columns in byte_slices(batches, "page_id", "url", "refers", "payload", rows=64):
+            for page_id, url, to, body in zip(*columns):
                 member = _gzip(record(page_id, url, body, to, date))
                 if held and n + len(member) > file_bytes:
                     yield flush()
@@ -182,7 +210,9 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, date: str
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """Every record of the archives under ``path``: ``page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to`` (and ``payload``, null for revisits). Digest and length of responses are those of the bytes read."""
+    refers_to`` (and ``payload``, null for revisits). Digest and length of responses are those of the bytes read.
+
+    ``path`` is in a store that tasks can open by ranges (``opened``); no archives, or empty ones, give no rows."""
     columns = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if with_payload else "")
     names = [c.split()[0] for c in columns.split(", ")]
 
@@ -190,20 +220,39 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
         text = urn.strip("<>").rpartition(":")[2]
         return int(text) if text else None
 
+    def spans(batches):
+        for paths, lengths in arrow_rows(batches, "path", "length", step=1):
+            with opened(paths[0]) as read_at:
+                held, size = [], 0
+                for entry in indexed(read_at, lengths[0]):
+                    if held and size + entry[2] > SPAN:
+                        yield span(paths[0], held)
+                        held, size = [], 0
+                    held.append(entry)
+                    size += entry[2]
+                if held:
+                    yield span(paths[0], held)
+
+    def span(path, held):
+        ids, at, n = (pa.array([list(x)], pa.list_(pa.int64())) for x in zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([held[0][1]], pa.int64()), ids, at, n], names=["path", "first", "ids", "at", "n"])
+
     def run(batches):
-        for (contents,) in arrow_rows(batches, "content", step=1):
-            content, out = memoryview(contents[0]), []
-            for page_id, head, block in read_archive(lambda at, n: bytes(content[at : at + n]), len(content)):
-                http, _, body = block.partition(b"\r\n\r\n")
-                kind = head["warc-type"]
-                if kind == "revisit":
-                    n = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                    out.append((page_id, head.get("warc-target-uri"), n, head["warc-payload-digest"].removeprefix("sha1:"), kind, number(head["warc-refers-to"]), None))
-                else:
-                    out.append((page_id, head.get("warc-target-uri"), len(body), digest32(body), kind, None, body if with_payload else None))
-                if len(out) == 500:
-                    yield batch(out)
-                    out = []
+        for paths, ids, ats, ns in arrow_rows(batches, "path", "ids", "at", "n", step=1):
+            out = []
+            with opened(paths[0]) as read_at:
+                for page_id, at, n in zip(ids[0], ats[0], ns[0]):
+                    head, block = read_record(read_at, at, n)
+                    http, _, body = block.partition(b"\r\n\r\n")
+                    kind = head["warc-type"]
+                    if kind == "revisit":
+                        n = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                        out.append((page_id, head.get("warc-target-uri"), n, head["warc-payload-digest"].removeprefix("sha1:"), kind, number(head["warc-refers-to"]), None))
+                    else:
+                        out.append((page_id, head.get("warc-target-uri"), len(body), digest32(body), kind, None, body if with_payload else None))
+                    if len(out) == 500:
+                        yield batch(out)
+                        out = []
             if out:
                 yield batch(out)
 
@@ -211,7 +260,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)][: len(names)], names=names)
 
-    return read_blobs(spark, path).select("content").mapInArrow(run, columns)
+    files = spark.read.format("binaryFile").load(path).where("length > 1").select("path", "length")  # no content is read
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.mapInArrow(spans, "path string, first long, ids array<long>, at array<long>, n array<long>").repartition(parts, "path", "first")
+    return dealt.select("path", "ids", "at", "n").mapInArrow(run, columns)
 
 
 def archive_pages(pages: DataFrame, revisit_from: int = 0) -> DataFrame:

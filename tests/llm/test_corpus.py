@@ -103,7 +103,7 @@ def pages(spark):
     return spark.createDataFrame([(*r, "x") for r in PAGES], "page_id long, url string, html string, digest string")
 
 
-def test_archives_round_trip(spark, tmp_path):
+def test_archives_round_trip(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/arc"
     warc_zip.write_archives(pages(spark).repartition(3), path, file_bytes=200)
     got = warc_zip.read_archives(spark, path, with_payload=True).collect()
@@ -119,6 +119,8 @@ def test_archives_round_trip(spark, tmp_path):
             assert bytes(r.payload) == digests[r.payload_digest].encode()
     kinds = {(r.page_id, r.record_type, r.refers_to) for r in got}
     assert {(1, "response", None), (2, "revisit", 1), (3, "revisit", 1), (4, "response", None), (5, "revisit", 4), (None, "revisit", 1), (None, "response", None), (8, "response", None)} <= kinds
+    monkeypatch.setattr(warc_zip, "SPAN", 100)
+    assert sorted(map(str, warc_zip.read_archives(spark, path, with_payload=True).collect())) == sorted(map(str, got)), "spans of single records"
     files = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect()]
     assert len(files) > 3
     for f in files:
@@ -146,8 +148,10 @@ def test_ranges_of_zip_and_zip64(zip64, monkeypatch):
         reads.append(n)
         return raw[at : at + n]
 
-    found = list(warc_zip.read_archive(read_at, len(raw)))
-    assert [f[0] for f in found] == [5, 6] and found[0][2].endswith(b"body")
+    monkeypatch.setattr(warc_zip, "PIECE", 7)
+    found = list(warc_zip.indexed(read_at, len(raw)))
+    assert [f[0] for f in found] == [5, 6] and max(reads[-3:]) <= 7
+    assert warc_zip.read_record(read_at, *found[1][1:])[1].endswith(b"body") and reads[-1] == len(member)
     with pytest.raises(ValueError):
         warc_zip.ZipRanges(lambda at, n: b"no zip here"[at : at + n], 11)
     squeezed = BytesIO()
