@@ -7,8 +7,9 @@ share a bucket. With 32 bands of 4 rows a pair of similarity 0.75 shares none wi
 Within a bucket only stars are compared at first: every member with the smallest. Pairs whose signatures say 0.5 or
 more (0.75 less six standard errors) are confirmed on the full sets, and the confirmed links are joined into
 components. Links that the stars cannot have seen lie between members of one bucket in different components; those
-buckets are then compared across components, in blocks, and only links leave a task. So no link between different texts
-that share a bucket is lost, and no group is expanded into all its pairs.
+buckets are then compared across components, in blocks, and of the links in a block only those leave a task that join
+components which the block has not joined yet. So every component of texts that share buckets is found whole, and no group
+is expanded into all its pairs.
 
 Joins with texts and sets are merge joins at every size: their sides grow with the corpus.
 
@@ -26,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, arrow_rows, cut, texts_as_bytes
+from .common import TwoGenerations, byte_slices, cut, discard, texts_as_bytes
 
-BLOCK = 1024  #: members of a bucket on one side of a block comparison
+BLOCK = 512  #: members of a bucket on one side of a block comparison
+BLOCK_BYTES = 8 << 20  #: and about the bytes of their sets
 
 
 class _WordHashes(TwoGenerations):
@@ -78,7 +80,7 @@ def features(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         hashes, minhash = _WordHashes(300_000), MinHash(bands, rows)
-        for keys, texts in arrow_rows(batches, "doc_id", "text", step=512):
+        for keys, texts in byte_slices(batches, "doc_id", "text", rows=512):
             sets = [shingle_set(t, size, hashes) for t in texts]
             columns = [
                 pa.array(keys, pa.int64()),
@@ -96,7 +98,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         hashes = _WordHashes(300_000)
-        for keys, texts in arrow_rows(batches, "doc_id", "text", step=128):
+        for keys, texts in byte_slices(batches, "doc_id", "text", rows=128):
             sets = [shingle_set(t, size, hashes).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
@@ -124,7 +126,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
     def run(batches):
-        for us, vs, sa, sb in arrow_rows(batches, "a", "b", "sa", "sb", step=256):
+        for us, vs, sa, sb in byte_slices(batches, "a", "b", "sa", "sb", rows=256):
             keep = []
             for x, y in zip(sa, sb):
                 n, m = len(x) // 8, len(y) // 8
@@ -155,7 +157,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         below = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
         least = below.groupBy("u").agg(F.min("v").alias("m"))
         small = below.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        last, edges = edges, cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(last)
         after = state(edges)
         if after == before:
             break
@@ -165,18 +168,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     )
 
 
-def across(members: DataFrame, sets: DataFrame, bands: int, percent: int, least: float, block: int = BLOCK) -> DataFrame:
-    """Links ``a, b`` between components, inside buckets of ``members(bucket, band, node, component)`` that hold several.
+def across(members: DataFrame, sets: DataFrame, bands: int, percent: int, least: float, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links ``a, b`` that join components inside buckets of ``members(bucket, band, node, component, size)`` that hold several.
 
     Members outside the bucket's largest component are compared with all members of other components: by signature, then
-    on the full sets of ``sets(node, signature, shingles)``, so that only links leave a task. A pair is compared in the
-    first band that it shares. Both sides are cut into blocks of about ``block`` members, and a block of one side meets
-    a block of the other in a task of its own.
+    on the full sets of ``sets(node, signature, shingles)``. A pair is compared in the first band that it shares. Both
+    sides are cut into blocks of about ``block`` members and ``block_bytes`` of sets, and a block of one side meets a block
+    of the other in a task of its own, which emits fewer links than it has members.
     """
-    counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    buckets = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
+    counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("mass"))
+    buckets = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"), F.count("*").alias("kinds"), F.max(F.struct("n", "component", "mass")).alias("top")).where("kinds > 1")
+    cells = lambda n, mass: F.greatest(F.ceil(n / block), F.ceil(8 * mass / block_bytes)).cast("int")
     buckets = buckets.select(
-        "bucket", F.col("top.component").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("high")
+        "bucket", F.col("top.component").alias("top"), cells(F.col("n"), F.col("mass")).alias("wide"), cells(F.col("n") - F.col("top.n"), F.col("mass") - F.col("top.mass")).alias("high")
     )
     rows = members.join(buckets, "bucket").join(sets.hint("merge"), "node")
     cell = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
@@ -190,20 +194,23 @@ def across(members: DataFrame, sets: DataFrame, bands: int, percent: int, least:
         signature = np.stack([np.frombuffer(x, "<u2") for x in table.column("signature").to_pylist()])
         shingles = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         rest, a, b = np.flatnonzero(~few), [], []
+        names, own_part = np.unique(part, return_inverse=True)
+        root = np.arange(len(names))  # of the components that the block has joined, the smallest one
+
         for i in np.flatnonzero(few):
             equal = signature[rest] == signature[i]
-            near = np.flatnonzero((part[rest] != part[i]) & (equal.mean(axis=1) >= least))
+            near = np.flatnonzero((root[own_part[rest]] != root[own_part[i]]) & (equal.mean(axis=1) >= least))
             near = rest[near[equal[near].reshape(len(near), bands, signature.shape[1] // bands).all(axis=2).argmax(axis=1) == band]]
-            if not len(near):
-                continue
-            sizes = np.array([len(shingles[k]) for k in near])
-            flat = np.concatenate([shingles[k] for k in near])
             own = shingles[i]
-            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-            both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
-            for k in near[100 * both >= percent * (len(own) + sizes - both)].tolist():
-                a.append(min(node[i], node[k]))
-                b.append(max(node[i], node[k]))
+            for k in near.tolist():
+                p, q = root[own_part[i]], root[own_part[k]]
+                if p == q:
+                    continue
+                both = np.count_nonzero(own[np.minimum(np.searchsorted(own, shingles[k]), len(own) - 1)] == shingles[k])
+                if 100 * both >= percent * (len(own) + len(shingles[k]) - both):
+                    a.append(min(node[i], node[k]))
+                    b.append(max(node[i], node[k]))
+                    root[root == max(p, q)] = min(p, q)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return few.unionAll(all_).groupBy("bucket", "y", "x").applyInArrow(compare, "a long, b long").distinct()
@@ -220,24 +227,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     """
     texts = texts_as_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     found = cut(features(texts, size, bands, rows), "near-features")
-    classes = found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+    classes = found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
     classes = cut(classes, "near-classes")
-    signatures = classes.where("node is not null").select("node", "signature")
+    signatures = classes.where("node is not null").select("node", "signature", "size")
     width = 2 * rows
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)).alias("bucket")) for i in range(bands)])
-    placed = signatures.select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.bucket")
+    placed = signatures.select("node", "size", F.explode(keys).alias("k")).select("node", "size", "k.band", "k.bucket")
     shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("bucket", "hub")
-    members = cut(placed.join(shared.hint("merge"), "bucket").select("bucket", "band", "node", "hub"), "near-members")
+    members = cut(placed.join(shared.hint("merge"), "bucket").select("bucket", "band", "node", "size", "hub"), "near-members")
     needed = members.select("node").distinct()
     sets = shingle_sets(texts.join(needed.hint("merge"), texts["doc_id"] == needed["node"], "left_semi"), size)
-    sets = cut(sets.join(signatures.hint("merge"), "node"), "near-sets")
+    sets = cut(sets.join(signatures.select("node", "signature").hint("merge"), "node"), "near-sets")
 
     error = (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
     least = percent / 100 - 6 * error
     pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(confirmed(likely(pairs, sets, least), sets, percent), "near-links")
     parts = components(links)
-    labelled = members.join(parts, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+    labelled = members.join(parts, "node", "left").select("bucket", "band", "node", "size", F.coalesce("component", "node").alias("component"))
     more = cut(across(labelled, sets, bands, percent, least), "near-across")
     if more.head(1):
         parts = components(links.unionAll(more))
