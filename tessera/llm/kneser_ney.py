@@ -12,32 +12,29 @@ distinct words and bigrams of a slice of documents up by binary search, and neve
 system keeps the pages in use. Nothing passes through the driver but file names, totals and counts of counts. All of
 what is counted grows with the corpus: nothing is pruned.
 
-Where the shared folder is not mounted on the workers, its files reach them by ``SparkContext.addFile``.
+Lookups are sorted and touch a file only where a key falls into its range; where the shared folder is not mounted on a
+worker, those files are fetched one by one on first use (``mapped``). No model is sent to all workers.
 """
 
 from __future__ import annotations
 
-import os
-import struct
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, cut, read_blobs, shared_dir, texts_as_bytes, write_blobs
+from .common import arrow_rows, byte_slices, cut, read_blobs, shared_dir, texts_as_bytes
+from .mapped import Mapped, pack, unpack, written
 
 END = b""  #: the token behind each text; no word is empty
 SEGMENT = 1 << 20  #: ids in a unigram file
-FILE_ROWS = 2 << 20  #: rows in a vocabulary or bigram file
-HELD = 2 << 20  #: tokens that are counted together
+FILE_ROWS = 1 << 20  #: rows in a vocabulary or bigram file
+HELD = 1 << 20  #: tokens that are counted together
 SENT = 1 << 16  #: rows of one Arrow batch to Spark
-HEAD = struct.Struct("<Q")
 
 
 class _Index(dict):
@@ -54,85 +51,18 @@ def hashes_of(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64).view(np.int64)
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    """Rows, then each array in the order given; 8 bytes a row, and 4 for 32-bit arrays."""
-    return HEAD.pack(len(next(iter(arrays.values())))) + b"".join(a.tobytes() for a in arrays.values())
-
-
-def unpack_bigrams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of a bigram file."""
-    n = HEAD.unpack_from(blob)[0]
-    return np.frombuffer(blob, "<i8", n, HEAD.size), np.frombuffer(blob, "<u4", n, HEAD.size + 8 * n)
-
-
-class Mapped:
-    """Files of the same arrays, in order, mapped into memory."""
-
-    def __init__(self, files: list[str], kinds: dict[str, str]):
-        self.parts: list[dict[str, np.ndarray]] = []
-        for name in files:
-            raw = np.memmap(_local(name), np.uint8, "r")
-            n, at, part = HEAD.unpack(raw[: HEAD.size].tobytes())[0], HEAD.size, {}
-            for k, kind in kinds.items():
-                size = n * np.dtype(kind).itemsize
-                part[k] = raw[at : at + size].view(kind)
-                at += size
-            self.parts.append(part)
-        self.sizes = np.array([len(next(iter(p.values()))) for p in self.parts], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-
-    def find(self, column: str, wanted: np.ndarray) -> np.ndarray:
-        """Places of the sorted distinct ``wanted`` in the sorted ``column`` over all files, -1 where absent."""
-        out = np.full(len(wanted), -1, np.int64)
-        if not len(self.parts) or not len(wanted):
-            return out
-        firsts = np.array([p[column][0] for p in self.parts])
-        edges = np.concatenate([[0], np.searchsorted(wanted, firsts[1:]), [len(wanted)]])
-        for k in np.flatnonzero(np.diff(edges)):
-            a, b = edges[k], edges[k + 1]
-            have = self.parts[k][column]
-            at = np.searchsorted(have, wanted[a:b])
-            hit = have[np.minimum(at, len(have) - 1)] == wanted[a:b]
-            out[a:b] = np.where(hit, at + self.starts[k], -1)
-        return out
-
-    def take(self, column: str, places: np.ndarray) -> np.ndarray:
-        """Values at ``places`` over all files; places need not be sorted."""
-        out = np.zeros(len(places), self.parts[0][column].dtype if self.parts else np.int64)
-        which = np.searchsorted(self.starts, places, side="right") - 1
-        for k in np.unique(which):
-            at = which == k
-            out[at] = self.parts[k][column][places[at] - self.starts[k]]
-        return out
-
-
-def _local(uri: str) -> str:
-    parts = urlparse(uri)
-    return unquote(parts.path) if parts.scheme in ("", "file") else SparkFiles.get(os.path.basename(parts.path))
-
-
-def _files(spark: SparkSession, path: str) -> list[str]:
-    """The files under ``path`` in the order of partitions, known to all workers."""
-    names = [r["path"] for r in read_blobs(spark, path).select("path").collect()]
-    for n in names:
-        if urlparse(n).scheme not in ("", "file"):
-            spark.sparkContext.addFile(n)
-    number = lambda n: tuple(int(x) for x in (os.path.basename(n).split("-")[1], n.rpartition("-c")[2].split(".")[0]))
-    return sorted(names, key=number)
-
-
 VOCABULARY = {"hash": "<i8", "count": "<i8", "before": "<i8"}
-BIGRAMS = {"key": "<i8", "count": "<u4"}
+BIGRAMS = {"key": "<i8", "count": "<i8"}
 UNIGRAMS = {"count": "<i8", "again": "<f8", "backoff": "<f8"}
 
 
 @dataclass
 class Model:
-    """File names and totals; ``discounts`` are those of bigrams."""
+    """Files (``mapped.written``) and totals; ``discounts`` are those of bigrams."""
 
-    vocabulary: list[str]
-    bigrams: list[str]
-    unigrams: list[str]
+    vocabulary: list[tuple[str, int, int]]
+    bigrams: list[tuple[str, int, int]]
+    unigrams: list[tuple[str, int, int]]
     tokens: int
     words: int
     texts: int
@@ -155,7 +85,7 @@ def discounts_of(n: list[int]) -> tuple[float, float, float]:
 def slices(batches, keys: list[str]):
     """For slices of documents: the key columns, distinct words, the documents' token numbers (the last is the end), and
     the numbers of tokens of each."""
-    for *columns, texts in arrow_rows(batches, *keys, "text", step=1024):
+    for *columns, texts in byte_slices(batches, *keys, "text"):
         index = _Index()
         ids = [np.fromiter(map(index.__getitem__, [*words_of(t), END]), np.int64) for t in texts]
         yield columns, list(index), np.concatenate(ids), np.array([len(i) for i in ids], np.int64)
@@ -247,10 +177,9 @@ def fit(docs: DataFrame) -> Model:
 
     def vocabulary_files(batches):
         for k, n in _sorted_runs(batches, "hash"):
-            yield pa.RecordBatch.from_arrays([pa.array([pack(hash=k, count=n, before=np.cumsum(n) - n)], pa.binary())], names=["blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([pack(int(k[0]), hash=k, count=n, before=np.cumsum(n) - n)], pa.binary())], names=["blob"])
 
-    write_blobs(words.repartitionByRange("hash").sortWithinPartitions("hash").mapInArrow(vocabulary_files, "blob binary"), "blob", path)
-    names = _files(spark, path)
+    names = written(words.repartitionByRange("hash").sortWithinPartitions("hash").mapInArrow(vocabulary_files, "blob binary"), path)
 
     # bigrams, dealt by their place in the training mass
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -258,7 +187,7 @@ def fit(docs: DataFrame) -> Model:
 
     def bigram_counts(batches):
         vocabulary = Mapped(names, VOCABULARY)
-        mass = np.concatenate([[0], np.cumsum([int(p["before"][-1] + p["count"][-1]) for p in vocabulary.parts])])
+        mass = np.concatenate([[0], np.cumsum([int(p["before"][-1] + p["count"][-1]) for p in map(vocabulary.part, range(len(names)))])])
         held, n = [], 0
 
         def close():
@@ -289,16 +218,15 @@ def fit(docs: DataFrame) -> Model:
 
     def bigram_files(batches):
         for k, n in _sorted_runs(batches, "key"):
-            yield pa.RecordBatch.from_arrays([pa.array([pack(key=k, count=np.minimum(n, 0xFFFFFFFF).astype("<u4"))], pa.binary())], names=["blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([pack(int(k[0]), key=k, count=n.astype("<i8"))], pa.binary())], names=["blob"])
 
     path2 = shared_dir(spark, "lm-bigrams")
     dealt = texts.mapInArrow(bigram_counts, "part int, key long, n long").repartitionById(parts, "part")
-    write_blobs(dealt.sortWithinPartitions("key").select("key", "n").mapInArrow(bigram_files, "blob binary"), "blob", path2)
-    bigram_names = _files(spark, path2)
+    bigram_names = written(dealt.sortWithinPartitions("key").select("key", "n").mapInArrow(bigram_files, "blob binary"), path2)
 
     def contents(batches):
         for (blobs,) in arrow_rows(batches, "content", step=1):
-            yield unpack_bigrams(blobs[0])
+            yield unpack(blobs[0], BIGRAMS).values()
 
     def continuations(batches):
         for key, _ in contents(batches):
@@ -335,15 +263,15 @@ def fit(docs: DataFrame) -> Model:
         table = [b for b in batches if b.num_rows]
         if table:
             column = lambda c: np.concatenate([b.column(c).to_numpy() for b in table])
-            yield pa.RecordBatch.from_arrays([pa.array([pack(count=column("count"), again=column("again"), backoff=column("backoff"))], pa.binary())], names=["blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([pack(int(column("id")[0]), count=column("count"), again=column("again"), backoff=column("backoff"))], pa.binary())], names=["blob"])
 
     path3 = shared_dir(spark, "lm-unigrams")
     segments = max(1, -(-(v + 1) // SEGMENT))
-    write_blobs(rows.repartitionById(segments, "part").sortWithinPartitions("id").mapInArrow(unigram_files, "blob binary"), "blob", path3)
-    return Model(names, bigram_names, _files(spark, path3), tokens, v, ends, (d1, d2, d3), unseen)
+    unigram_names = written(rows.repartitionById(segments, "part").sortWithinPartitions("id").mapInArrow(unigram_files, "blob binary"), path3)
+    return Model(names, bigram_names, unigram_names, tokens, v, ends, (d1, d2, d3), unseen)
 
 
-def _numbered(spark: SparkSession, names: list[str]) -> DataFrame:
+def _numbered(spark: SparkSession, names: list[tuple[str, int, int]]) -> DataFrame:
     """``id long, count long`` from the vocabulary's files, a task for each file."""
     if not names:
         return spark.createDataFrame([], "id long, count long")
@@ -353,7 +281,7 @@ def _numbered(spark: SparkSession, names: list[str]) -> DataFrame:
         for (places,) in arrow_rows(batches, "file"):
             for k in places:
                 for at in range(0, int(files.sizes[k]), 100_000):
-                    n = np.array(files.parts[k]["count"][at : at + 100_000])
+                    n = np.array(files.part(k)["count"][at : at + 100_000])
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)) + at + files.starts[k]), pa.array(n)], names=["id", "count"])
 
     return spark.range(0, len(names), 1, len(names)).select(F.col("id").alias("file")).mapInArrow(run, "id long, count long")

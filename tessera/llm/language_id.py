@@ -143,7 +143,7 @@ def fit(labelled: DataFrame, per_language: int = 5000, order: int = 4, smooth: f
             scores = np.zeros(n.shape, "<f4")
             for kind, below in base.items():
                 scores[kinds == kind] = np.log((n[kinds == kind] + smooth) / below)
-            yield pa.RecordBatch.from_arrays([pa.array([pack(hash=hashes, scores=scores)], pa.binary())], names=["blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([pack(int(hashes[0]), hash=hashes, scores=scores)], pa.binary())], names=["blob"])
 
     parts = max(1, -(-sum(r["keys"] for r in totals.values()) // FILE_ROWS))
     blobs = by_key.repartitionByRange(parts, "hash").sortWithinPartitions("hash").mapInArrow(files, "blob binary")

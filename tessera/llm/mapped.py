@@ -1,7 +1,7 @@
 """Sorted arrays in files of the shared folder that workers map into memory.
 
-A file holds a row count and arrays of that length behind each other; the files of a folder are consecutive ranges. A
-worker maps a file when a lookup first falls into it and keeps at most ``OPEN`` maps, so descriptors stay bounded. Files
+A file holds a row count, the smallest key (or first row number) and arrays of that length behind each other; the files
+of a folder are consecutive ranges. A worker maps a file when a lookup first falls into it and keeps at most ``OPEN`` maps, so descriptors stay bounded. Files
 in a store that is not mounted on the worker are fetched one by one into its temporary folder, also on first use.
 """
 
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_blobs, write_blobs
 
-HEAD = struct.Struct("<Q")
+HEAD = struct.Struct("<Qq")
 OPEN = 512  #: maps that a worker keeps
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    """Rows, then each array in the order given."""
-    return HEAD.pack(len(next(iter(arrays.values())))) + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values())
+def pack(first: int, **arrays: np.ndarray) -> bytes:
+    """Rows and ``first``, then each array in the order given."""
+    return HEAD.pack(len(next(iter(arrays.values()))), first) + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values())
 
 
 def unpack(blob: bytes, kinds: dict[str, str]) -> dict[str, np.ndarray]:
@@ -36,6 +36,11 @@ def unpack(blob: bytes, kinds: dict[str, str]) -> dict[str, np.ndarray]:
     return out
 
 
+def head_of(blob: pa.Buffer) -> tuple[int, int]:
+    """Rows and first key; no rows for what is too short to be a file."""
+    return HEAD.unpack_from(blob) if len(blob) >= HEAD.size else (0, 0)
+
+
 def local_file(uri: str) -> str:
     """A path that this machine can map; files of other stores are copied once to its temporary folder."""
     parts = urlparse(uri)
@@ -107,18 +112,16 @@ class Mapped:
 
 
 def written(blobs: DataFrame, path: str) -> list[tuple[str, int, int]]:
-    """Write ``blobs(blob)``, made by ``pack`` with a sorted 64-bit column first, and name the files with their rows and
-    smallest keys in ascending order: the driver sees 16 bytes of each."""
+    """Write ``blobs(blob)``, made by ``pack``, and name the files with their rows and first keys in ascending order: the
+    driver sees 16 bytes of each."""
     spark: SparkSession = blobs.sparkSession
     write_blobs(blobs, "blob", path)
 
     def heads(batches):
         for batch in batches:
-            content = batch.column("content")
-            first = [np.frombuffer(x.as_buffer(), "<i8", 2) if len(x.as_buffer()) >= 16 else None for x in content]
-            keep = [i for i, f in enumerate(first) if f is not None and f[0]]
-            columns = [batch.column("path").take(pa.array(keep, pa.int64())), pa.array([int(first[i][0]) for i in keep], pa.int64()), pa.array([int(first[i][1]) for i in keep], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "n", "first"])
+            found = [(p.as_py(), *head_of(x.as_buffer())) for p, x in zip(batch.column("path"), batch.column("content"))]
+            columns = list(zip(*[f for f in found if f[1]])) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["path", "n", "first"])
 
     rows = read_blobs(spark, path).mapInArrow(heads, "path string, n long, first long").collect()
     return sorted(((r["path"], r["n"], r["first"]) for r in rows), key=lambda r: r[2])
