@@ -96,6 +96,7 @@ class Model:
 def fit(labelled: DataFrame, per_language: int = 5000, order: int = 4, smooth: float = 0.5) -> Model:
     """Train on ``labelled(doc_id, text, lang, ...)``; rows without text or lang are left out.
 
+    ``smooth``: count added to every key of the language with the largest total, and in proportion to theirs of the others.
     ``per_language``: expected documents sampled of each language (all of them where there are fewer); what the model
     holds is bounded by this sample. Repeated ids are sampled together, rows without id too. No rows give a model without
     languages. The driver holds the distinct labels, the classes of the model.
@@ -132,7 +133,10 @@ def fit(labelled: DataFrame, per_language: int = 5000, order: int = 4, smooth: f
     by_key = counts.groupBy("hash", "kind").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(len(languages))])
     by_key = cut(by_key, "language-counts")  # read for the totals of each order, then for the scores
     totals = {r["kind"]: r for r in by_key.groupBy("kind").agg(F.count("*").alias("keys"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(languages))]).collect()}
-    base = {kind: np.array([r[f"n{k}"] + smooth * (r["keys"] + 1) for k in range(len(languages))]) for kind, r in totals.items()}
+    sums = {kind: np.array([r[f"n{k}"] for k in range(len(languages))], np.float64) for kind, r in totals.items()}
+    # in proportion to a language's total, so that a key which it lacks weighs the same in every language
+    added = {kind: smooth * n / max(n.max(), 1) for kind, n in sums.items()}
+    base = {kind: n + added[kind] * (totals[kind]["keys"] + 1) for kind, n in sums.items()}
 
     def files(batches):  # one file a partition of about FILE_ROWS keys
         held = [b for b in batches if b.num_rows]
@@ -142,7 +146,7 @@ def fit(labelled: DataFrame, per_language: int = 5000, order: int = 4, smooth: f
             n = np.stack([table.column(f"n{k}").to_numpy() for k in range(len(languages))], axis=1).astype(np.float64)
             scores = np.zeros(n.shape, "<f4")
             for kind, below in base.items():
-                scores[kinds == kind] = np.log((n[kinds == kind] + smooth) / below)
+                scores[kinds == kind] = np.log(np.maximum(n[kinds == kind] + added[kind], 1e-9) / np.maximum(below, 1e-9))
             yield pa.RecordBatch.from_arrays([pa.array([pack(int(hashes[0]), hash=hashes, scores=scores)], pa.binary())], names=["blob"])
 
     parts = max(1, -(-sum(r["keys"] for r in totals.values()) // FILE_ROWS))
@@ -150,6 +154,12 @@ def fit(labelled: DataFrame, per_language: int = 5000, order: int = 4, smooth: f
     return Model(languages, written(blobs, shared_dir(spark, "language-model")), order, uuid.uuid4().hex)
 
 
+class _Index(dict):
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class _Scorer:
     """The mapped model and the scores of words seen lately."""
 
@@ -165,11 +175,22 @@ class _Scorer:
         self.memo.update((w, r) for w, r in fresh.items() if len(w) <= 64)
         return out
 
-
-class _Index(dict):
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
+    def predicted(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text."""
+        index = _Index()
+        found = [np.fromiter(map(index.__getitem__, words_of(t)), np.int64) for t in texts]
+        matrix = self.matrix(list(index)) if index and self.model.languages else None
+        names, scores = [], []
+        for ids in found:
+            if matrix is None or not len(ids):
+                names.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            total = matrix[ids].sum(axis=0)
+            best = int(total.argmax())
+            names.append(self.model.languages[best])
+            scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+        return names, scores
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -187,30 +208,27 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         with kept(("language", model.name), lambda: _Scorer(model)) as scorer:
             for keys, texts in byte_slices(batches, "doc_id", "text", rows=512):
-                index = _Index()
-                found = [np.fromiter(map(index.__getitem__, words_of(t)), np.int64) for t in texts]
-                matrix = scorer.matrix(list(index)) if index and model.languages else None
-                names, scores = [], []
-                for ids in found:
-                    if matrix is None or not len(ids):
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    total = matrix[ids].sum(axis=0)
-                    best = int(total.argmax())
-                    names.append(model.languages[best])
-                    scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+                names, scores = scorer.predicted(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def identified(docs: DataFrame, predicted: DataFrame, least: float = 0.5, key: str = "doc_id") -> DataFrame:
-    """``docs`` without those that language identification rejects: no letters, or a score below ``least``.
+def identified(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
+    """``docs(text, ...)`` without those that language identification rejects: no letters, or a score below ``least``, by
+    default 1.2 times what an even split over the model's languages gives, so that short texts are not taken for junk.
 
-    Predictions, whose ``doc_id`` holds values of the column ``key``, are joined by it; where one repeats, its best score
-    decides, and rows without it are kept if any row without it is. So each row is judged alone under a key of rows, as
-    ``common.numbered`` gives. ``docs`` keeps its columns, whatever their names.
+    Each row is judged alone in one narrow stage, so ids may be null or repeated, and ``docs`` keeps its columns, whatever
+    their names. Null and empty texts go; a model without languages keeps nothing.
     """
-    good = predicted.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(F.col("doc_id").alias("good_id"))
-    return docs.join(good, docs[key].eqNullSafe(good["good_id"]), "left_semi")
+    bound = 1.2 / max(2, len(model.languages)) if least is None else least
+
+    def run(batches):
+        with kept(("language", model.name), lambda: _Scorer(model)) as scorer:
+            for batch in batches:
+                good: list[bool] = []
+                for (texts,) in byte_slices([batch], "text", rows=512):
+                    good += [name != UNKNOWN and score >= bound for name, score in zip(*scorer.predicted(texts))]
+                yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

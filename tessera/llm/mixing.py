@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, byte_slices, cut
+from .common import arrow_rows, byte_slices, cut, discard
 
 RUN = 256  #: shards that a task draws at once
 WORD = r"[^\x20\x09-\x0D]+"
@@ -161,7 +161,9 @@ def planned(docs: DataFrame, keys: list[str], block_words: int, shard_blocks: in
     rows = docs.select(*keys, F.col("doc_id").alias("m_doc"), F.xxhash64("text").alias("m_mark"), F.col("source").cast("string").alias("source"), size.alias("size"))
     rows = cut(rows, "mix-sizes")
     sources = cut(sources_of(rows, block_words), "mix-sources")
-    return pieces(keys, sources, rows, block_words), slots_of(sources, shard_blocks, seed)
+    cuts = pieces(keys, sources, rows, block_words)
+    discard(rows)  # all that is needed of them has been written in order
+    return cuts, slots_of(sources, shard_blocks, seed)
 
 
 def counted(cuts: DataFrame, slots: DataFrame) -> DataFrame:

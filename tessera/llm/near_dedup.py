@@ -248,6 +248,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     more = cut(across(labelled, sets, bands, percent, least), "near-across")
     if more.head(1):
         parts = components(links.unionAll(more))
+    discard(members, sets, links, more)
     ids = classes.join(parts, "node", "left").select(F.col("set_key").alias("class_key"), F.coalesce("component", "node").alias("component_id"))
     out = found.join(ids, (F.col("set_key") == F.col("class_key")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
