@@ -22,9 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row is judged alone, whether its id is null, repeated or its own."""
     docs = docs.select(*COLUMNS)
-    rows = numbered(docs, "language-rows")
-    predicted = language_id.predict(rows.select(F.col("row_key").alias("doc_id"), "text"), language_id.fit(docs))
-    return language_id.identified(rows, predicted, key="row_key").drop("row_key")
+    return language_id.identified(docs, language_id.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
