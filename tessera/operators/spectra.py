@@ -320,7 +320,7 @@ def periodicity(frames: DataFrame, s: Signal, lowest: float = 60.0, highest: flo
 
 def cepstral_peak(frames: DataFrame, s: Signal, lowest: float = 60.0, highest: float = 500.0) -> DataFrame:
     """``rec_id, frame, FrameCPP``: how far the real cepstrum's peak at a period between the two pitches stands above the
-    straight line through the whole of it."""
+    straight line through the whole of it. The cepstrum is even, so the lower pitch should have two periods in a frame."""
     low, high = int(s.rate // highest), min(int(s.rate // lowest), s.size - 1)
     taper = np.hanning(s.size)
     rows = transformed(frames.select("rec_id", "frame", "samples"), "samples", "c", lambda x: np.fft.irfft(np.log(np.abs(np.fft.rfft(x * taper, axis=1)) ** 2 + EPS), s.size, axis=1))

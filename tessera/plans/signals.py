@@ -98,10 +98,10 @@ def fr_periodicity(spark, folder):
     return rounded(sp.periodicity(sp.framed(recordings(spark, folder), S), S, 16.0, 80.0))
 
 
-@query(f"WITH {PF}, w AS (SELECT *, x * (0.5 - 0.5 * cos(2 * pi() * j / 15)) AS y FROM pf), lg AS (SELECT rec_id, frame, b, ln(sum(y * cos(2 * pi() * b * j / 16)) ** 2 + sum(y * sin(2 * pi() * b * j / 16)) ** 2 + 1e-12) AS g FROM w CROSS JOIN (SELECT unnest(range(16)) AS b) GROUP BY ALL), c AS (SELECT rec_id, frame, q, sum(g * cos(2 * pi() * b * q / 16)) / 16 AS c FROM lg CROSS JOIN (SELECT unnest(range(16)) AS q) GROUP BY ALL), k AS (SELECT rec_id, frame, max(c) FILTER (q BETWEEN 2 AND 9) AS peak, arg_max(q, c) FILTER (q BETWEEN 2 AND 9) AS pos, avg(c) AS m, sum(c * (q - 7.5)) / 340 AS s FROM c GROUP BY ALL) SELECT rec_id, frame::INT AS frame, round(peak - m - s * (pos - 7.5), 6) AS \"FrameCPP\" FROM k")
+@query(f"WITH {PF}, w AS (SELECT *, x * (0.5 - 0.5 * cos(2 * pi() * j / 15)) AS y FROM pf), lg AS (SELECT rec_id, frame, b, ln(sum(y * cos(2 * pi() * b * j / 16)) ** 2 + sum(y * sin(2 * pi() * b * j / 16)) ** 2 + 1e-12) AS g FROM w CROSS JOIN (SELECT unnest(range(16)) AS b) GROUP BY ALL), c AS (SELECT rec_id, frame, q, sum(g * cos(2 * pi() * b * q / 16)) / 16 AS c FROM lg CROSS JOIN (SELECT unnest(range(16)) AS q) GROUP BY ALL), k AS (SELECT rec_id, frame, max(c) FILTER (q BETWEEN 2 AND 7) AS peak, arg_max(q, c) FILTER (q BETWEEN 2 AND 7) AS pos, avg(c) AS m, sum(c * (q - 7.5)) / 340 AS s FROM c GROUP BY ALL) SELECT rec_id, frame::INT AS frame, round(peak - m - s * (pos - 7.5), 6) AS \"FrameCPP\" FROM k")
 def fr_cepstral_peak(spark, folder):
     """FrameCPP: the cepstral peak above the line through the cepstrum."""
-    return rounded(sp.cepstral_peak(sp.framed(recordings(spark, folder), S), S, 16.0, 80.0))
+    return rounded(sp.cepstral_peak(sp.framed(recordings(spark, folder), S), S, 20.0, 80.0))
 
 
 BANDS, KEEP = 5, 4
