@@ -105,11 +105,16 @@ def total(x: Column, f: Callable[[Column, Column], Column] | None = None) -> Col
     return F.aggregate(F.transform(x, f) if f else x, F.lit(0.0), lambda s, v: s + v)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with ``value`` computed once and not again for every element of a function inside ``f``."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalised(x: Column) -> Column:
     """V0: no offset, peak at 0.95."""
-    centred = F.transform(x, lambda v: v - total(x) / F.size(x))
-    peak = F.array_max(F.transform(x, lambda v: F.abs(v - total(x) / F.size(x))))
-    return F.transform(centred, lambda v: v / (peak + 1e-8) * 0.95)
+    centred = bound(F.try_divide(total(x), F.size(x)), lambda mean: F.transform(x, lambda v: v - mean))
+    scaled = lambda y: bound(F.array_max(F.transform(y, F.abs)) + 1e-8, lambda peak: F.transform(y, lambda v: v / peak * 0.95))
+    return bound(centred, scaled)
 
 
 # --- frames
@@ -179,11 +184,12 @@ def spectral_measures(frames: DataFrame, s: Signal) -> DataFrame:
     rows = rows.withColumn("mid", total(F.col("share"), lambda v, i: v * hertz(i))).withColumn("centre", total(F.col("mag"), lambda v, i: v * hertz(i)) / F.when(F.col("mags") > 0, F.col("mags")).otherwise(1.0))
     rows = rows.withColumn("spread", F.sqrt(total(F.col("share"), lambda v, i: v * F.pow(hertz(i) - F.col("mid"), F.lit(2.0))) + EPS))
     before = F.lag("mag").over(W.partitionBy("rec_id").orderBy("frame"))
-    rows = rows.withColumn("before", F.coalesce(before, F.col("mag"))).withColumn("norm_before", F.sqrt(total(F.col("before"), lambda v, i: v * v)))
+    rows = rows.withColumn("before", F.coalesce(before, F.col("mag")))
     moment = lambda k: total(F.col("share"), lambda v, i: v * F.pow((hertz(i) - F.col("mid")) / F.col("spread"), F.lit(float(k))))
     run = F.aggregate(p, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["n"] + F.when(a["sum"] + v < 0.85 * (F.col("sum") + EPS), 1).otherwise(0)).alias("n")))
     squares = sum((k - middle) ** 2 for k in range(s.bins))
-    away = F.zip_with("mag", "before", lambda a, b: F.pow(a / (F.col("norm") + EPS) - b / (F.col("norm_before") + EPS), F.lit(2.0)))
+    length = F.sqrt(total(F.col("before"), lambda v, i: v * v)) + EPS
+    away = bound(length, lambda n: F.zip_with("mag", "before", lambda a, b: F.pow(a / (F.col("norm") + EPS) - b / n, F.lit(2.0))))
     return rows.select(
         "rec_id", "frame",
         F.least(F.greatest(F.exp(total(F.col("logs")) / n) / (F.col("sum") / n + EPS), F.lit(0.0)), F.lit(1.0)).alias("FrameSF"),
@@ -268,7 +274,7 @@ def slopes(rows: DataFrame, column: str, name: str, order: int, width: int = 9)
 def spread_of(x: Column) -> Column:
     """Variance over an array."""
     n = F.size(x)
-    return total(x, lambda v, i: v * v) / n - F.pow(total(x) / n, F.lit(2.0))
+    return bound(total(x) / n, lambda m: total(F.transform(x, lambda v: (v - m) * (v - m))) / n)
 
 
 def cepstral_measures(cepstrum: DataFrame) -> DataFrame:
