@@ -41,23 +41,24 @@ BOUNDARIES = {
 STATISTICS = [*(f"Hist{k}" for k in range(10)), "Mean", "Std", "Skew", "Kurt", "Median", "IQR", "P5", "P95", "Range"]
 LEAST_FRAMES = 10
 
-# First match wins; "^" binds to the start of the lower-cased name, and "frame+x" needs both.
+# Fixed values: (prefix, parts, category); the first row whose prefix begins the lower-cased name, and one of whose parts
+# is in it, names the category.
 CATEGORIES_S = [
-    ("noise", ["snr", "noise", "click", "dropout", "saturation", "agc", "dnsmos", "nisqa"]),
-    ("reverberation", ["reverb", "rt60", "c50", "srmr", "drr"]),
-    ("spectral", ["spectral", "ltas", "alpha", "hammarberg", "mfcc", "delta", "ac_", "autocorr", "cepstral", "cpp"]),
-    ("spectral", ["sf_", "ss_", "sc_", "scf_", "shr_", "sflux_", "se_", "sbw_", "skurt_", "sskew_"]),
-    ("spectral", ["^frame+sf", "^frame+ss", "^frame+sc", "^frame+sbw", "^frame+sflux", "^frame+se", "^frame+sr_", "^frame+skurt", "^frame+sskew", "^frame+scf", "^frame+shr"]),
-    ("dynamics", ["energy", "power", "onset", "clipping", "dynamicrange", "peak"]),
-    ("dynamics", ["^framee_", "^framepc_"]),
-    ("voice", ["hnr", "nhr", "f0", "pitch", "jitter", "shimmer", "voice", "unvoiced", "tremor", "glottal", "naq", "qoq", "hrf", "psp", "gci", "goi", "gne", "h1h2", "h1a3", "mdvp", "avqi", "dsi", "csid", "formant", "f1_", "f2_", "f3_", "vocal"]),
-    ("temporal", ["zcr", "speech", "pause", "rate", "turn", "continuity", "interrupt", "duration", "silence", "vad"]),
-    ("channel", ["dc", "hum", "bandwidth", "quantiz", "musical", "subband", "low_to_high", "lpc", "modulation"]),
+    ("", ["snr", "noise", "click", "dropout", "saturation", "agc", "dnsmos", "nisqa"], "noise"),
+    ("", ["reverb", "rt60", "c50", "srmr", "drr"], "reverberation"),
+    ("", ["spectral", "ltas", "alpha", "hammarberg", "mfcc", "delta", "ac_", "autocorr", "cepstral", "cpp", "sf_", "ss_", "sc_", "scf_", "shr_", "sflux_", "se_", "sbw_", "skurt_", "sskew_"], "spectral"),
+    ("frame", ["sf", "ss", "sc", "sbw", "sflux", "se", "sr_", "skurt", "sskew", "scf", "shr"], "spectral"),
+    ("", ["energy", "power", "onset", "clipping", "dynamicrange", "peak"], "dynamics"),
+    ("framee_", [""], "dynamics"),
+    ("framepc_", [""], "dynamics"),
+    ("", ["hnr", "nhr", "f0", "pitch", "jitter", "shimmer", "voice", "unvoiced", "tremor", "glottal", "naq", "qoq", "hrf", "psp", "gci", "goi", "gne", "h1h2", "h1a3", "mdvp", "avqi", "dsi", "csid", "formant", "f1_", "f2_", "f3_", "vocal"], "voice"),
+    ("", ["zcr", "speech", "pause", "rate", "turn", "continuity", "interrupt", "duration", "silence", "vad"], "temporal"),
+    ("", ["dc", "hum", "bandwidth", "quantiz", "musical", "subband", "low_to_high", "lpc", "modulation"], "channel"),
 ]
 CATEGORIES_V = [
-    ("cepstral", ["mfcc", "lpcc", "lfcc", "deltamfcc", "lsf", "lpc", "reflect", "logarea", "ltfd", "ltas", "mgdcc", "spectral"]),
-    ("formant", ["f1", "f2", "f3", "formant", "vocaltract"]),
-    ("prosodic", ["f0", "speech", "rhythm", "pause", "jitter", "shimmer", "hnr", "articulation", "tempo"]),
+    ("", ["mfcc", "lpcc", "lfcc", "deltamfcc", "lsf", "lpc", "reflect", "logarea", "ltfd", "ltas", "mgdcc", "spectral"], "cepstral"),
+    ("", ["f1", "f2", "f3", "formant", "vocaltract"], "formant"),
+    ("", ["f0", "speech", "rhythm", "pause", "jitter", "shimmer", "hnr", "articulation", "tempo"], "prosodic"),
 ]
 
 
@@ -66,20 +67,12 @@ def feature_names() -> list[str]:
     return [f"{p}_{s}" for p in BOUNDARIES for s in STATISTICS]
 
 
-def category(name: Column, rules: list[tuple[str, list[str]]]) -> Column:
-    """category of a feature name."""
-    low, out = F.lower(name), None
-
-    def one(part: str) -> Column:
-        if part.startswith("^frame+"):
-            return low.startswith("frame") & low.contains(part[7:])
-        return low.startswith(part[1:]) if part.startswith("^") else low.contains(part)
-
-    for label, parts in rules:
-        any_ = one(parts[0])
-        for p in parts[1:]:
-            any_ = any_ | one(p)
-        out = F.when(any_, label) if out is None else out.when(any_, label)
+def category(name: Column, rules: list[tuple[str, list[str], str]]) -> Column:
+    """category of a feature name; ``other`` where no rule holds."""
+    low, out = F.lower(name), F.when(F.lit(False), "")
+    for prefix, parts, label in rules:
+        held = F.exists(F.array(*map(F.lit, parts)), lambda part: low.contains(part)) if len(parts) > 1 else low.contains(parts[0])
+        out = out.when(low.startswith(prefix) & held, label)
     return out.otherwise("other")
 
 

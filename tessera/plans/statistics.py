@@ -84,12 +84,8 @@ def m4_feature_erc_area(spark, folder):
 
 
 def _category_sql(rules) -> str:
-    def one(p):
-        if p.startswith("^frame+"):
-            return f"(starts_with(n, 'frame') AND contains(n, '{p[7:]}'))"
-        return f"starts_with(n, '{p[1:]}')" if p.startswith("^") else f"contains(n, '{p}')"
-
-    return "CASE " + " ".join(f"WHEN {' OR '.join(map(one, parts))} THEN '{label}'" for label, parts in rules) + " ELSE 'other' END"
+    held = lambda parts: " OR ".join(f"contains(n, '{p}')" for p in parts)
+    return "CASE " + " ".join(f"WHEN starts_with(n, '{prefix}') AND ({held(parts)}) THEN '{label}'" for prefix, parts, label in rules) + " ELSE 'other' END"
 
 
 NAMES = "nm AS (SELECT feature, lower(feature) AS n FROM (VALUES " + ", ".join(f"('{n}')" for n in st.feature_names()) + ") v(feature))"
