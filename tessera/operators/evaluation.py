@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.semantics import average_rank, ratio
+from ..functions.semantics import ratio
+from .order import matched, percentiles, running
 
 PLACES = 9
 BINS = [(0, 20, "very_low"), (21, 40, "low"), (41, 60, "medium"), (61, 80, "high"), (81, 100, "very_high")]
@@ -29,13 +30,13 @@ def error_rates(pairs: DataFrame, tau: float) -> DataFrame:
 
 def percentile_tau(pairs: DataFrame, share: float, genuine: int, keys: list[str]) -> DataFrame:
     """Linear-interpolated percentile of one class's scores, by key."""
-    return pairs.where(F.col("genuine") == genuine).groupBy(*keys).agg(F.round(F.percentile("score", share), PLACES).alias("tau"))
+    return percentiles(pairs.where(F.col("genuine") == genuine), keys, "score", [share]).select(*keys, F.round(F.col("pct")[0], PLACES).alias("tau"))
 
 
 def reject_curve(pairs: DataFrame, fnmr: float, keys: list[str]) -> DataFrame:
     """``*keys, t, n_gen, n_imp, reject_frac, fnmr, fmr`` for t = 0..100, keeping pairs of quality ``q >= t``.
 
-    For whole t, q >= t is floor(q) >= t, so counts per floor(q) and their sums from above give every row. Rejection is
+    ``pairs`` is read four times: pass a written table where it is dear. For whole t, q >= t is floor(q) >= t, so counts per floor(q) and their sums from above give every row. Rejection is
     relative to all pairs; rates are null where no pair is kept.
     """
     tau = percentile_tau(pairs, fnmr, 1, keys)
@@ -101,15 +102,16 @@ def equal_error(curve: DataFrame, keys: list[str]) -> DataFrame:
 
 def fnmr_at_fmr(pairs: DataFrame, keys: list[str], fmrs: tuple[float, ...] = (0.01, 0.001)) -> DataFrame:
     """FNMR at the impostor percentile of 100 (1 - fmr)."""
-    goals = [F.struct(F.lit(f).alias("target_fmr"), F.round(F.percentile(F.when(F.col("genuine") == 0, F.col("score")), 1 - f), PLACES).alias("tau")) for f in fmrs]
-    taus = pairs.groupBy(*keys).agg(F.array(*goals).alias("x")).select(*keys, F.explode("x").alias("x")).select(*keys, "x.target_fmr", "x.tau")
+    impostor = percentiles(pairs.where("genuine = 0"), keys, "score", [1 - f for f in fmrs])
+    goals = [F.struct(F.lit(f).alias("target_fmr"), F.round(F.col("pct")[k], PLACES).alias("tau")) for k, f in enumerate(fmrs)]
+    taus = impostor.select(*keys, F.explode(F.array(*goals)).alias("x")).select(*keys, "x.target_fmr", "x.tau")
     below = F.avg(F.when(F.col("genuine") == 1, (F.col("score") < F.col("tau")).cast("int")))
     return pairs.join(F.broadcast(taus), keys).groupBy(*keys, "target_fmr").agg(F.max("tau").alias("tau"), below.alias("fnmr"))
 
 
 def ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs with the group of their quality: below P15 bottom, above P85 top, else middle."""
-    edges = pairs.groupBy(*keys).agg(F.percentile("q", F.array(F.lit(0.15), F.lit(0.85))).alias("e"))
+    edges = percentiles(pairs, keys, "q", [0.15, 0.85]).withColumnRenamed("pct", "e")
     group = F.when(F.col("q") < F.col("e")[0], "bottom").when(F.col("q") > F.col("e")[1], "top").otherwise("middle")
     return pairs.join(F.broadcast(edges), keys).withColumn("grp", group).drop("e")
 
@@ -136,28 +138,33 @@ def confusion(rows: DataFrame, threshold: float) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", zero(tp + tn, tp + fp + fn + tn).alias("accuracy"), zero(tp, tp + fp).alias("precision"), zero(tp, tp + fn).alias("recall"), zero(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def by_score(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each distinct score its positives ``p`` and negatives ``n``, those up to it and those of the key."""
+    per = rows.groupBy(*keys, "score").agg(count_if(F.col("label") == 1).alias("p"), count_if(F.col("label") == 0).alias("n"))
+    return running(per, keys, ["score"], ["p", "n"])
+
+
 def roc_points(rows: DataFrame, keys: list[str]) -> DataFrame:
     """For each distinct score from above, what is at or above it: ``tp, fp, tpr, fpr, precision``."""
-    per = rows.groupBy(*keys, "score").agg(count_if(F.col("label") == 1).alias("p"), count_if(F.col("label") == 0).alias("n"))
-    w, total = W.partitionBy(*keys).orderBy(F.desc("score")), W.partitionBy(*keys)
-    c = per.select(*keys, "score", "p", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(total).alias("ps"), F.sum("n").over(total).alias("ns"))
+    at_least = lambda c: (F.col(f"all_{c}") - F.col(f"upto_{c}") + F.col(c)).alias({"p": "tp", "n": "fp"}[c])
+    c = by_score(rows, keys).select(*keys, "score", "p", at_least("p"), at_least("n"), F.col("all_p").alias("ps"), F.col("all_n").alias("ns"))
     return c.select(*keys, "score", "p", "tp", "fp", ratio(F.col("tp"), F.col("ps")).alias("tpr"), ratio(F.col("fp"), F.col("ns")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), "ps")
 
 
 def roc_auc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Share of (positive, negative) pairs in order, ties a half, from counts per distinct score."""
-    per = rows.groupBy(*keys, "score").agg(count_if(F.col("label") == 1).alias("p"), count_if(F.col("label") == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    c = per.select(*keys, "p", "n", (F.col("p") * (below + F.col("n") / 2.0)).alias("u"))
+    c = by_score(rows, keys).withColumn("u", F.col("p") * (F.col("upto_n") - F.col("n") / 2.0))
     groups = c.groupBy(*keys) if keys else c.groupBy()
     return groups.agg(ratio(F.sum("u"), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def mann_whitney(rows: DataFrame) -> DataFrame:
-    """U of the positives from average ranks."""
-    ranked_ = rows.select("label", average_rank("score").alias("r"))
-    n1 = count_if(F.col("label") == 1)
-    return ranked_.agg((F.sum(F.when(F.col("label") == 1, F.col("r"))) - n1 * (n1 + 1) / 2.0).alias("u"), n1.alias("n1"), count_if(F.col("label") == 0).alias("n0"))
+    """U of the positives from average ranks, which all rows of a score share."""
+    both = F.col("upto_p") + F.col("upto_n")
+    rank = both - (F.col("p") + F.col("n") - 1) / 2.0
+    n1 = F.coalesce(F.sum("p"), F.lit(0))
+    c = by_score(rows, []).agg(F.sum(F.col("p") * rank).alias("s"), n1.alias("n1"), F.coalesce(F.sum("n"), F.lit(0)).alias("n0"))
+    return c.select((F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u"), "n1", "n0")
 
 
 def youden(points: DataFrame) -> DataFrame:
@@ -193,13 +200,11 @@ def quality_bin(score: Column) -> Column:
 
 
 def ecdf(rows: DataFrame, group: str, value: str, key: str) -> DataFrame:
-    """Sorted values of each group with i / n; equal values keep steps of their own."""
-    w = W.partitionBy(group).orderBy(value, key)
-    return rows.select(group, key, value, (F.row_number().over(w) / F.count("*").over(W.partitionBy(group))).alias("cdf"))
+    """Sorted values of each group with i / n; equal values keep steps of their own, in the order of ``key``."""
+    x = running(rows.select(group, key, value, F.lit(1).alias("one")), [group], [value, key], ["one"])
+    return x.select(group, key, value, (F.col("upto_one") / F.col("all_one")).alias("cdf"))
 
 
 def ks_statistic(rows: DataFrame) -> DataFrame:
     """Largest difference of the two classes' distribution functions."""
-    per = rows.groupBy("score").agg(count_if(F.col("label") == 1).alias("p"), count_if(F.col("label") == 0).alias("n"))
-    w, total = W.orderBy("score"), W.partitionBy()
-    return per.select((F.abs(F.sum("p").over(w) / F.sum("p").over(total) - F.sum("n").over(w) / F.sum("n").over(total))).alias("d")).agg(F.max("d").alias("ks"))
+    return by_score(rows, []).agg(F.max(F.abs(F.col("upto_p") / F.col("all_p") - F.col("upto_n") / F.col("all_n"))).alias("ks"))

@@ -7,12 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.semantics import portable_hash, ratio
+from .order import percentiles
 
 
 def thresholds(genuine: DataFrame, impostor: DataFrame) -> DataFrame:
     """A5: per provider the 90th percentile of genuine and the 99.9th of impostor scores."""
-    a = genuine.groupBy("provider").agg(F.round(F.percentile("score", 0.9), 9).alias("percentile_90"))
-    b = impostor.groupBy("provider").agg(F.round(F.percentile("score", 0.999), 9).alias("fmr_001"))
+    a = percentiles(genuine, ["provider"], "score", [0.9]).select("provider", F.round(F.col("pct")[0], 9).alias("percentile_90"))
+    b = percentiles(impostor, ["provider"], "score", [0.999]).select("provider", F.round(F.col("pct")[0], 9).alias("fmr_001"))
     return a.join(b, "provider")
 
 
@@ -76,7 +77,8 @@ def regression_target(wide: DataFrame, columns: list[str]) -> DataFrame:
 def target_statistics(rows: DataFrame, column: str) -> DataFrame:
     """Count, mean, std (ddof 0), extremes, median, biased skewness and excess kurtosis."""
     x = F.col(column)
-    return rows.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, 0.5).alias("median"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"))
+    moments = rows.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"))
+    return moments.join(percentiles(rows, [], column, [0.5]).select(F.col("pct")[0].alias("median")), how="left")
 
 
 def score_statistics(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.semantics import mapped_score, ratio
 from ..operators import evaluation as ev
 from ..operators import labels as lb
+from ..operators.order import percentiles, running
 from ..sources import tables as src
 from .registry import query, rounded
 
@@ -113,7 +114,7 @@ QUART = "q AS (SELECT quantile_cont(score, 0.25) AS a, quantile_cont(score, 0.5)
 def r9_quartile_cdf(spark, folder):
     """Distribution of the second score by quartile of the first."""
     r = rows(spark, folder)
-    q = r.agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = percentiles(r, [], "score", [0.25, 0.5, 0.75]).withColumnRenamed("pct", "q")
     x = r.crossJoin(F.broadcast(q)).withColumn("quartile", F.when(F.col("score") <= F.col("q")[0], 1).when(F.col("score") <= F.col("q")[1], 2).when(F.col("score") <= F.col("q")[2], 3).otherwise(4))
     return rounded(ev.ecdf(x, "quartile", "score_v", "row_idx"))
 
@@ -330,8 +331,8 @@ def x7_random_rejection(spark, folder):
     """FNMR-like error of random rejection at each fraction: a seeded hash ranks the samples of each draw."""
     r = rows(spark, folder)
     wrong = ((F.col("score") >= 50) != (F.col("label") == 1)).cast("int")
-    base = r.select("row_idx", wrong.alias("wrong"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("draw"))
-    order = W.partitionBy("draw").orderBy(F.xxhash64("row_idx", "draw"), "row_idx")
-    ranked = base.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy("draw")))
+    base = r.select("row_idx", wrong.alias("wrong"), F.explode(F.sequence(F.lit(1), F.lit(100))).alias("draw"))
+    hashed = base.withColumn("h", F.xxhash64("row_idx", "draw")).withColumn("one", F.lit(1))
+    ranked = running(hashed, ["draw"], ["h", "row_idx"], ["one"]).withColumnsRenamed({"upto_one": "r", "all_one": "n"})
     kept = ranked.select("draw", "wrong", F.explode(F.array(*[F.lit(x / 10) for x in range(10)])).alias("fraction"), "r", "n").where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * (1 - F.col("fraction")))))
     return rounded(kept.groupBy("fraction", "draw").agg(F.avg("wrong").alias("error")).groupBy("fraction").agg(F.avg("error").alias("mean_error"), F.stddev_pop("error").alias("std_error")))

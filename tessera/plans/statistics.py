@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import correlation, ratio
 from ..operators import statistics as st
+from ..operators.order import percentiles
 from ..sources import tables as src
 from .registry import query, rounded
 
@@ -212,7 +213,7 @@ def a16_duration_boxes(spark, folder):
 def r7_quantile_marks(spark, folder):
     """Marks on the sorted durations."""
     marks = [10, 25, 50, 75, 90, 99]
-    q = src.manifest(spark, folder).agg(F.percentile("duration", F.array(*[F.lit(m / 100) for m in marks])).alias("q"))
+    q = percentiles(src.manifest(spark, folder), [], "duration", [m / 100 for m in marks]).withColumnRenamed("pct", "q")
     return rounded(q.select(F.explode(F.arrays_zip(F.array(*[F.lit(m) for m in marks]).alias("pct"), F.col("q").alias("duration"))).alias("r")).select("r.pct", "r.duration"))
 
 
@@ -220,7 +221,7 @@ def r7_quantile_marks(spark, folder):
 def r8_outlier_trim(spark, folder):
     """What is at or below the 99th percentile."""
     d = src.manifest(spark, folder)
-    p = d.agg(F.percentile("duration", 0.99).alias("p99"))
+    p = percentiles(d, [], "duration", [0.99]).select(F.col("pct")[0].alias("p99"))
     return rounded(d.crossJoin(F.broadcast(p)).where(F.col("duration") <= F.col("p99") + 1e-9).agg(F.count("*").alias("n"), F.avg("duration").alias("mean"), F.max("duration").alias("max")))
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.semantics import correlation, dot, norm, ratio, unit
+from ..functions.storage import kept
 from ..operators import evaluation as ev
 from ..operators import labels as lb
 from ..operators import vectors as vx
+from ..operators.order import matched, percentiles
 from ..sources import tables as src
 from .registry import query, rounded
 
@@ -52,11 +54,11 @@ def cohort(e: DataFrame) -> DataFrame:
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored pairs with the pair qualities (L4: the smaller of the two)."""
+    """Scored pairs with the pair qualities (L4: the smaller of the two), written once for the passes over them."""
     q = src.qualities(spark, folder)
     a, b = (q.select(F.col("row_idx").alias(k), F.col("q_s").alias(f"{k}_s"), F.col("q_v").alias(f"{k}_v")) for k in "ij")
     p = vx.pair_scores(src.embeddings(spark, folder)).join(a, "i").join(b, "j")
-    return p.select("i", "j", "genuine", "score", F.least("i_s", "j_s").alias("p_s"), F.least("i_v", "j_v").alias("p_v"))
+    return kept(p.select("i", "j", "genuine", "score", F.least("i_s", "j_s").alias("p_s"), F.least("i_v", "j_v").alias("p_v")), "pairs")
 
 
 def provider_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +69,7 @@ def provider_pairs(spark: SparkSession, folder: str) -> DataFrame:
         out = one if out is None else out.unionByName(one)
     q = src.qualities(spark, folder)
     a, b = (q.select(F.col("row_idx").alias(k), F.col("q_s").alias(f"{k}_s")) for k in "ij")
-    return out.join(a, "i").join(b, "j").withColumn("q", F.least("i_s", "j_s")).select("provider", "i", "j", "genuine", "score", "q")
+    return kept(out.join(a, "i").join(b, "j").withColumn("q", F.least("i_s", "j_s")).select("provider", "i", "j", "genuine", "score", "q"), "pairs")
 
 
 PROVIDER_PAIRS = """p AS (SELECT a.provider, a.row_idx AS i, b.row_idx AS j, (a.speaker = b.speaker)::INT AS genuine, round(list_dot_product(a.u, b.u), 9) AS score,
@@ -189,7 +191,7 @@ def _provider_scores(spark, folder):
     a = c.select("provider", F.col("speaker").alias("a"), F.col("centroid").alias("ca"))
     b = c.select("provider", F.col("speaker").alias("b"), F.col("centroid").alias("cb"))
     impostor = a.join(b, "provider").where("a < b").select("provider", "a", "b", F.round(dot(F.col("ca"), F.col("cb")), 9).alias("score"))
-    return genuine, impostor
+    return kept(genuine, "genuine"), kept(impostor, "impostor")
 
 
 PROVIDER_SCORES = f"""WITH {E}, {PROVIDERS},
@@ -373,19 +375,19 @@ FROM {source} JOIN ends {on} CROSS JOIN (SELECT unnest(range(500)) AS ix) GROUP
 @query(f"WITH {E}, {PAIRS}, {det_sql('p', '')} SELECT i::INT AS i, round(threshold, 6) AS threshold, round(fmr, 6) AS fmr, round(fnmr, 6) AS fnmr FROM dt")
 def e6_det(spark, folder):
     """The detection error tradeoff at 500 thresholds."""
-    return rounded(ev.det(vx.pair_scores(src.embeddings(spark, folder)).withColumn("k", F.lit(0)), ["k"]).drop("k"))
+    return rounded(ev.det(kept(vx.pair_scores(src.embeddings(spark, folder)), "pairs").withColumn("k", F.lit(0)), ["k"]).drop("k"))
 
 
 @query(f"WITH {E}, {PAIRS}, {det_sql('p', '')}, r AS (SELECT *, row_number() OVER (ORDER BY round(abs(fmr - fnmr), 9), i) AS r FROM dt) SELECT round((fmr + fnmr) / 2, 6) AS eer, round(threshold, 6) AS threshold FROM r WHERE r = 1")
 def e6_equal_error(spark, folder):
     """The equal error rate."""
-    return rounded(ev.equal_error(ev.det(vx.pair_scores(src.embeddings(spark, folder)).withColumn("k", F.lit(0)), ["k"]), ["k"]).drop("k"))
+    return rounded(ev.equal_error(ev.det(kept(vx.pair_scores(src.embeddings(spark, folder)), "pairs").withColumn("k", F.lit(0)), ["k"]), ["k"]).drop("k"))
 
 
 @query(f"WITH {E}, {PAIRS}, f AS (SELECT unnest([0.01, 0.001]) AS f), t AS (SELECT f, round(quantile_cont(score, 0.99), 9) AS a, round(quantile_cont(score, 0.999), 9) AS b FROM p, f WHERE genuine = 0 GROUP BY f) SELECT f::DOUBLE AS target_fmr, round(CASE WHEN f = 0.01 THEN a ELSE b END, 6) AS tau, round(avg((score < CASE WHEN f = 0.01 THEN a ELSE b END)::INT) FILTER (genuine = 1), 6) AS fnmr FROM p, t GROUP BY f, a, b")
 def e7_fnmr_at_fmr(spark, folder):
     """FNMR where the FMR is 1 and 0.1 %."""
-    return rounded(ev.fnmr_at_fmr(vx.pair_scores(src.embeddings(spark, folder)).withColumn("k", F.lit(0)), ["k"]).drop("k"))
+    return rounded(ev.fnmr_at_fmr(kept(vx.pair_scores(src.embeddings(spark, folder)), "pairs").withColumn("k", F.lit(0)), ["k"]).drop("k"))
 
 
 RANKED = f"WITH {E}, {PAIRS}, {QUALITY}, rk AS (SELECT genuine, score, CASE WHEN p_s < lo THEN 'bottom' WHEN p_s > hi THEN 'top' ELSE 'middle' END AS grp FROM pq, (SELECT quantile_cont(p_s, 0.15) AS lo, quantile_cont(p_s, 0.85) AS hi FROM pq)), {det_sql('rk', 'grp')}"
@@ -402,7 +404,7 @@ def e8_ranked_det(spark, folder):
 def e10_quadrants(spark, folder):
     """Quadrants of recordings at the medians."""
     q = src.qualities(spark, folder)
-    m = q.agg(F.percentile("q_s", 0.5).alias("ms"), F.percentile("q_v", 0.5).alias("mv"))
+    m = percentiles(q, [], "q_s", [0.5]).select(F.col("pct")[0].alias("ms")).crossJoin(percentiles(q, [], "q_v", [0.5]).select(F.col("pct")[0].alias("mv")))
     return q.crossJoin(F.broadcast(m)).select("row_idx", ev.quadrant(F.col("q_s"), F.col("q_v"), F.col("ms"), F.col("mv")).alias("quadrant"))
 
 
@@ -411,8 +413,8 @@ QUADRANTS = f"WITH {E}, {PAIRS}, {QUALITY}, m AS (SELECT genuine, median(p_s) AS
 
 def _pair_quadrants(spark, folder):
     p = pairs(spark, folder)
-    m = p.groupBy("genuine").agg(F.percentile("p_s", 0.5).alias("ms"), F.percentile("p_v", 0.5).alias("mv"))
-    return p.join(F.broadcast(m), "genuine").withColumn("quadrant", ev.quadrant(F.col("p_s"), F.col("p_v"), F.col("ms"), F.col("mv")))
+    s, v = (percentiles(p, ["genuine"], f"p_{k}", [0.5]).select("genuine", F.col("pct")[0].alias(f"m{k}")) for k in "sv")
+    return matched(matched(p, s, ["genuine"], small=True), v, ["genuine"], small=True).withColumn("quadrant", ev.quadrant(F.col("p_s"), F.col("p_v"), F.col("ms"), F.col("mv")))
 
 
 @query(f"{QUADRANTS} SELECT quadrant, genuine, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM qd GROUP BY ALL")
