@@ -42,11 +42,12 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: list[str])
     return matched(placed, per, [*keys, "_part"], small=True).select(*rows.columns, *upto, *[f"all_{c}" for c in sums])
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], cells: int = 4096) -> DataFrame:
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], cells: int = 1 << 16) -> DataFrame:
     """``*keys, pct array<double>``: linearly interpolated percentiles of the non-null values, as of a sorted list.
 
     Counts in ``cells`` equal intervals (map-side) say which cells hold the wanted ranks; only rows of those are counted
-    by value and ordered. The cells save work and decide nothing: ranks are exact. ``rows`` is read three times.
+    by value, and only a cell's distinct values are ordered in one task: of scores of 9 places some 30,000 whatever the
+    number of rows. The cells save work and decide nothing: ranks are exact. ``rows`` is read three times.
     """
     x = rows.select(*keys, F.col(value).cast("double").alias("x")).where("x is not null")
     ends = x.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -62,7 +63,7 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float
         wanted = wanted | inside(r)
     n = n.where(wanted).select(*keys, "cell", (F.col("upto") - F.col("c")).alias("before"), "n")
     counted = matched(placed, n, [*keys, "cell"], small=True).groupBy(*keys, "cell", "x", "before", "n").agg(F.count("*").alias("c"))
-    found = running(counted, [*keys, "cell"], ["x"], ["c"]).withColumn("upto", F.col("before") + F.col("upto_c"))
+    found = counted.withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy(*keys, "cell").orderBy("x")))
     picked = found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(inside(r), F.col("x"))).alias(f"r{k}") for k, r in enumerate(ranks)])
 
     def between(k: int, p: float):
