@@ -74,6 +74,14 @@ def fnmr_reduction(curve: DataFrame, keys: list[str], targets: tuple[float, ...]
     return picked.select(*keys, "target", share.alias("reduction"), F.col("at.reject_frac").alias("actual_reject_frac"))
 
 
+def relative_reduction(curve: DataFrame, keys: list[str], targets: tuple[float, ...] = (0.1, 0.2, 0.3)) -> DataFrame:
+    """As ``fnmr_reduction``, but null where an error is null or that at t = 0 is 0: nothing is put in its place."""
+    goals = curve.withColumn("target", F.explode(F.array(*[F.lit(x) for x in targets])))
+    near = F.struct(F.round(F.abs(F.col("reject_frac") - F.col("target")), PLACES).alias("d"), F.col("t"))
+    picked = goals.groupBy(*keys, "target").agg(F.min_by("fnmr", near).alias("at"), F.min_by("fnmr", "t").alias("base"))
+    return picked.select(*keys, "target", (ratio(F.col("base") - F.col("at"), F.col("base")) * 100).alias("reduction"))
+
+
 def det(pairs: DataFrame, keys: list[str], points: int = 500) -> DataFrame:
     """``*keys, i, threshold, fmr, fnmr`` at ``points`` evenly spaced thresholds from the least to the largest score.
 

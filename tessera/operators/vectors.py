@@ -37,19 +37,41 @@ def leave_one_out(e: DataFrame, c: DataFrame, *keys: str) -> DataFrame:
     return joined.select("row_idx", *keys, "u", "centroid", raw.alias("genuine_raw"))
 
 
+def moments(cohort: DataFrame) -> DataFrame:
+    """One row of the cohort's mean unit vector and its covariance (``mean array<double>, cov array<array<double>>``).
+
+    Tasks add up outer products of centred vectors, so what is shuffled and broadcast is the square of the dimension
+    whatever the cohort's size. The mean, one vector, passes through the driver for the second pass.
+    """
+    units = cohort.select(unit(F.col("v")).alias("k"))
+    mean = [r["m"] for r in units.select(F.posexplode("k").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m")).orderBy("pos").collect()]
+    d = len(mean)
+
+    def partial(batches):
+        total, n = np.zeros((d, d)), 0
+        for batch in batches:
+            x = batch.column("k").combine_chunks() if isinstance(batch.column("k"), pa.ChunkedArray) else batch.column("k")
+            x = x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d) - np.array(mean)
+            total, n = total + x.T @ x, n + batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64())), pa.array(np.full(d, n))], names=["i", "row", "n"])
+
+    parts = units.mapInArrow(partial, "i int, row array<double>, n long").select("i", "n", F.posexplode("row").alias("j", "x"))
+    cells = parts.groupBy("i", "j").agg((F.sum("x") / F.sum("n")).alias("c")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "c"))).alias("row"))
+    packed = cells.agg(F.array_sort(F.collect_list(F.struct("i", F.transform("row", lambda s: s["c"]).alias("row")))).alias("m"))
+    return packed.select(F.array(*map(F.lit, mean)).cast("array<double>").alias("mean"), F.transform("m", lambda s: s["row"]).alias("cov"))
+
+
 def cohort_stats(vectors: DataFrame, column: str, cohort: DataFrame, name: str) -> DataFrame:
     """Mean and population deviation of ``column``'s cosine with every cohort vector, as ``{name}_mu, {name}_sd``.
 
-    The cohort is packed into one row; its size is fixed by the caller (a thousand speaker means), so each row meets
-    it in its own task.
+    Both follow from ``moments``: the mean is the product with the mean vector, the variance the quadratic form of the
+    covariance. An empty cohort gives nulls.
     """
-    packed = cohort.agg(F.collect_list(unit(F.col("v"))).alias("cohort"))
-    cos = F.transform("cohort", lambda k: dot(k, F.col(column)))
-    n = F.size("c").cast("double")
-    mean = F.aggregate("c", F.lit(0.0), lambda a, x: a + x) / n
-    rows = vectors.crossJoin(F.broadcast(packed)).withColumn("c", cos).drop("cohort").withColumn(f"{name}_mu", mean)
-    spread = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + (x - F.col(f"{name}_mu")) * (x - F.col(f"{name}_mu"))) / n)
-    return rows.withColumn(f"{name}_sd", F.greatest(spread, F.lit(FLOOR))).drop("c")
+    rows = vectors.crossJoin(F.broadcast(moments(cohort)))
+    form = F.aggregate(F.zip_with("cov", column, lambda r, x: x * dot(r, F.col(column))), F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumn(f"{name}_mu", dot(F.col("mean"), F.col(column)))
+    return rows.withColumn(f"{name}_sd", F.greatest(F.sqrt(F.greatest(form, F.lit(0.0))), F.lit(FLOOR))).drop("mean", "cov")
 
 
 def s_norm(raw, a: str, b: str):
@@ -109,15 +131,33 @@ def pair_snorm(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     return pairs.join(a, "i").join(b, "j").select("i", "j", "genuine", "score", s_norm(F.col("score"), "a", "b").alias("score_norm"))
 
 
-def mutual_best(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+def mutual_best(a: DataFrame, b: DataFrame, least: float, block: int = 512) -> DataFrame:
     """Pairs that are each other's best match of at least ``least``; ties go to the smaller key.
 
-    ``a(key_a, u)``, ``b(key_b, u)`` with unit vectors. Each side keeps its best by an aggregate, not by a sort.
+    ``a(key_a, u)``, ``b(key_b, u)`` with integer keys and unit vectors. A task multiplies a block of each and hands on
+    only the best of every row on either side, so each side keeps its best by one aggregate of n^2 / block rows.
     """
-    every = a.withColumnRenamed("u", "ua").join(b.withColumnRenamed("u", "ub"), how="cross").select("key_a", "key_b", F.round(dot(F.col("ua"), F.col("ub")), 9).alias("s"))
-    best_a = every.groupBy("key_a").agg(F.max(F.struct("s", (-F.col("key_b")).alias("k"))).alias("m")).select("key_a", (-F.col("m.k")).alias("key_b"), F.col("m.s").alias("score"))
-    best_b = every.groupBy("key_b").agg(F.max(F.struct("s", (-F.col("key_a")).alias("k"))).alias("m")).select((-F.col("m.k")).alias("key_a"), "key_b")
-    return best_a.join(best_b, ["key_a", "key_b"]).where(F.col("score") >= least)
+
+    def blocks(rows: DataFrame, key: str, side: str) -> DataFrame:
+        per = rows.groupBy((F.col(key) / block).cast("long").alias(f"{side}_blk"))
+        return per.agg(F.collect_list(F.col(key).cast("long")).alias(f"{side}_ids"), F.flatten(F.collect_list("u")).alias(f"{side}_m"))
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = {c: batch.column(c)[r].values.to_numpy() for c in ("a_ids", "a_m", "b_ids", "b_m")}
+                i, j = np.argsort(x["a_ids"]), np.argsort(x["b_ids"])
+                cos = np.round(x["a_m"].reshape(len(i), -1)[i] @ x["b_m"].reshape(len(j), -1)[j].T, 9)
+                ids, others = x["a_ids"][i], x["b_ids"][j]
+                for side, m, own, other in (("a", cos, ids, others), ("b", cos.T, others, ids)):
+                    at = m.argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([side] * len(own)), pa.array(own), pa.array(other[at]), pa.array(np.ascontiguousarray(m[np.arange(len(own)), at]))], names=["side", "key", "other", "s"])
+
+    both = blocks(a, "key_a", "a").join(blocks(b, "key_b", "b"), how="cross").repartition("a_blk", "b_blk")
+    found = both.mapInArrow(run, "side string, key long, other long, s double")
+    best = found.groupBy("side", "key").agg(F.max(F.struct("s", (-F.col("other")).alias("k"))).alias("m")).select("side", "key", (-F.col("m.k")).alias("other"), F.col("m.s").alias("s"))
+    pair = best.select(F.when(F.col("side") == "a", F.col("key")).otherwise(F.col("other")).alias("key_a"), F.when(F.col("side") == "a", F.col("other")).otherwise(F.col("key")).alias("key_b"), "s")
+    return pair.groupBy("key_a", "key_b").agg(F.count("*").alias("n"), F.max("s").alias("score")).where((F.col("n") == 2) & (F.col("score") >= least)).select("key_a", "key_b", "score")
 
 
 def embedding_qa(e: DataFrame) -> DataFrame:

@@ -342,6 +342,12 @@ def e5_fnmr_reduction(spark, folder):
     return rounded(ev.fnmr_reduction(_curve(pairs(spark, folder).withColumn("q", F.col("p_s"))), ["k"]).drop("k"))
 
 
+@query(f"{ERC}, {_REDUCTION.format(k='')} SELECT target, round(CASE WHEN base = 0 THEN NULL ELSE (base - fnmr) / base * 100 END, 6) AS reduction FROM rk, b WHERE r = 1")
+def e5b_relative_reduction(spark, folder):
+    """The reduction with missing errors left missing."""
+    return rounded(ev.relative_reduction(_curve(pairs(spark, folder).withColumn("q", F.col("p_s"))), ["k"]).drop("k"))
+
+
 COMBINED = f"WITH {E}, {PAIRS}, {QUALITY}, {STRATEGIES}, {curve_sql('st', 'strategy', 0.1)}"
 
 
