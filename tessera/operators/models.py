@@ -6,16 +6,14 @@ import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.semantics import mapped_score
+from ..functions.semantics import dot, mapped_score
 
 FAMILIES = {
     "forest": lambda: RandomForestClassifier(numTrees=50, minInstancesPerNode=5, seed=42, weightCol="weight"),
@@ -23,7 +21,7 @@ FAMILIES = {
     "logistic": lambda: LogisticRegression(weightCol="weight"),
     "linear_svm": lambda: LinearSVC(weightCol="weight"),
 }
-REGRESSORS = {"forest": lambda: RandomForestRegressor(numTrees=50, minInstancesPerNode=5, seed=42), "boosting": lambda: GBTRegressor(maxIter=20, maxDepth=6, stepSize=0.05, seed=42)}
+REGRESSORS = {"forest": lambda: RandomForestRegressor(numTrees=20, minInstancesPerNode=5, seed=42), "boosting": lambda: GBTRegressor(maxIter=10, maxDepth=6, stepSize=0.05, seed=42)}
 
 
 def perceptron(inputs: int) -> MultilayerPerceptronClassifier:
@@ -99,11 +97,30 @@ def prune_by_importance(rows: DataFrame, names: list[str], share: float = 0.005,
     return names
 
 
-def tuned_forest(rows: DataFrame, trees: tuple[int, ...] = (20, 50), depths: tuple[int, ...] = (4, 6), folds: int = 3):
-    """M5: grid search by cross-validation (there is no out-of-bag estimate here)."""
-    forest = RandomForestClassifier(seed=42, weightCol="weight", minInstancesPerNode=5)
-    grid = ParamGridBuilder().addGrid(forest.numTrees, list(trees)).addGrid(forest.maxDepth, list(depths)).build()
-    return CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=42, parallelism=2).fit(weighted(rows))
+def regressor_errors(data: DataFrame, target: str) -> DataFrame:
+    """M7: ``family, n, rmse, r2`` on fold 0 of regressors fitted on the rest (``features``, ``fold``)."""
+    train, test = data.where("fold <> 0"), data.where("fold = 0")
+    y = F.col(target)
+    out = None
+    for name, make in REGRESSORS.items():
+        e = make().setLabelCol(target).fit(train).transform(test).withColumn("e", y - F.col("prediction"))
+        one = e.agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), (1 - F.try_divide(F.avg(F.col("e") * F.col("e")), F.var_pop(y))).alias("r2")).select(F.lit(name).alias("family"), "n", "rmse", "r2")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def plane(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``x, y``, the centred ``features`` on their first two principal components; a component's sign
+    is that which makes its largest loading positive."""
+    import numpy as np
+
+    pc = PCA(k=2, inputCol="features", outputCol="pc").fit(rows).pc.toArray()
+    pc = pc * np.sign(pc[np.abs(pc).argmax(axis=0), [0, 1]])
+    v = vector_to_array("features")
+    mean = rows.select(F.posexplode(v).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m")).orderBy("pos").collect()
+    shift = np.array([r["m"] for r in mean]) @ pc
+    on = [dot(v, F.array(*[F.lit(float(w)) for w in pc[:, k]])) - float(shift[k]) for k in (0, 1)]
+    return rows.withColumn("x", on[0]).withColumn("y", on[1]).drop("features")
 
 
 def components_for(rows: DataFrame, share: float, inputs: int) -> tuple[int, object]:
@@ -123,6 +140,15 @@ def scoring_pipeline(names: list[str], classifier) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), classifier])
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """The fitted pipeline under a new path of a file system that driver and executors share."""
+    model.write().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def scored(model: PipelineModel, rows: DataFrame, names: list[str]) -> DataFrame:
     """``rows`` with ``p`` and the integer ``quality``; missing or non-finite features count as 0."""
     clean = rows.withColumns({n: F.coalesce(F.when(F.isnan(F.col(n)) | (F.abs(F.col(n)) == math.inf), None).otherwise(F.col(n)), F.lit(0.0)) for n in names})

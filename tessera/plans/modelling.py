@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from ..functions.storage import kept, shared_path
+from ..operators import families as fm
 from ..operators import models as md
 from ..sources import tables as src
 from ..streaming import frames as sf
@@ -46,15 +46,89 @@ def m3_forest_importances(spark, folder):
     return rounded(md.importances(md.FAMILIES["forest"]().fit(data), ["x1", "x2", "x3"], spark))
 
 
+@query()
+def m3_pruned_features(spark, folder):
+    """M3: what is left after dropping features of less than 0.5 % of the largest importance; ``x4`` is constant."""
+    return spark.createDataFrame([(n,) for n in md.prune_by_importance(_labelled(spark, folder).withColumn("x4", F.lit(1.0)), ["x1", "x2", "x3", "x4"])], "feature string")
+
+
+FOLD = "('0x' || substr(md5(doc_id || '|42'), 1, 8))::BIGINT % 5"
+
+
+def _folded(spark, folder):
+    """Labelled rows with two families of features and folds, written once for the fits over them."""
+    return kept(fm.folded(_labelled(spark, folder).withColumn("x4", (F.col("row_idx") % 31).cast("double")), "row_idx"), "folded")
+
+
+S, V = ["x1", "x3"], ["x2", "x4"]
+
+
+@query(f"SELECT ({FOLD})::INT AS fold, quality AS label, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL")
+def m5_folds(spark, folder):
+    """M5: rows of each class in each fold that models are judged on."""
+    return _folded(spark, folder).groupBy("fold", F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query()
+def m5_grid(spark, folder):
+    """M5: settings of a forest by held-out accuracy, and the cross-validation of the best two."""
+    return rounded(fm.grid(_folded(spark, folder), S + V, [10, 20, 40], ["sqrt", "all"]))
+
+
+@query()
+def m7_regressors(spark, folder):
+    """M7: error and explained variance on held-out rows of a forest and of boosted trees."""
+    rows = fm.folded(_regression(spark, folder).withColumn("row_idx", F.concat_ws("/", *NAMES, "target")), "row_idx")
+    data = kept(VectorAssembler(inputCols=NAMES, outputCol="features").transform(rows).select("features", "target", "fold"), "folded")
+    return rounded(md.regressor_errors(data, "target"))
+
+
+@query()
+def m13_combined(spark, folder):
+    """M13 A: cross-validated accuracy of either family and both, with paired tests."""
+    return rounded(fm.combined(_folded(spark, folder), S, V))
+
+
+@query()
+def m13_redistribution(spark, folder):
+    """M13 C: importances in the combined model against each family's own."""
+    return rounded(fm.redistribution(_folded(spark, folder), S, V))
+
+
+@query()
+def m13_ablation(spark, folder):
+    """M13 D: loss of accuracy where a family's columns are permuted, ten seeds."""
+    return rounded(fm.ablation(_folded(spark, folder), "row_idx", S, V))
+
+
+@query()
+def m13_cross_prediction(spark, folder):
+    """M13 E: whether one family foretells the other's decisions."""
+    return rounded(fm.cross_prediction(_folded(spark, folder), S, V))
+
+
+@query()
+def m13_held_out(spark, folder):
+    """M13 F: either family and both on held-out rows."""
+    return rounded(fm.held_out_comparison(_folded(spark, folder), S, V))
+
+
+@query()
+def m18_plane(spark, folder):
+    """Embeddings on their first two principal components, each signed so that its largest loading is positive."""
+    e = src.embeddings(spark, folder).select("row_idx", F.col("speaker"), md.array_to_vector("v").alias("features"))
+    return rounded(md.plane(e).select("row_idx", "speaker", "x", "y"))
+
+
 @query()
 def m8_model_families(spark, folder):
-    """M8: area under the ROC curve, on the training rows, of each family of classifiers."""
+    """M8: area under the ROC curve, on held-out rows, of each family of classifiers."""
     from ..operators.evaluation import roc_auc
 
-    data = VectorAssembler(inputCols=["x1", "x2", "x3"], outputCol="features").transform(md.weighted(_labelled(spark, folder))).cache()
+    data = kept(VectorAssembler(inputCols=["x1", "x2", "x3"], outputCol="features").transform(md.weighted(_folded(spark, folder))).select("label", "weight", "features", "fold"), "folded")
     out = None
-    for name, make in md.FAMILIES.items():
-        raw = make().fit(data).transform(data)
+    for name, make in (md.FAMILIES | {"perceptron": lambda: md.perceptron(3)}).items():
+        raw = make().fit(data.where("fold <> 0")).transform(data.where("fold = 0"))
         one = roc_auc(raw.select("label", md.vector_to_array("rawPrediction")[1].alias("score")), []).withColumn("family", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return rounded(out.select("family", "auc"))
@@ -77,19 +151,15 @@ def m9_principal_components(spark, folder):
 
 @query()
 def m17_score_samples(spark, folder):
-    """Integer quality of every labelled sample from a fitted pipeline."""
-    rows = md.weighted(_labelled(spark, folder))
-    model = md.scoring_pipeline(["x1", "x2", "x3"], md.FAMILIES["forest"]()).fit(rows)
-    return rounded(md.scored(model, rows, ["x1", "x2", "x3"]).select("row_idx", "p", "quality"))
+    """Integer quality of every labelled sample from a pipeline fitted without fold 0, saved and loaded."""
+    rows = md.weighted(_folded(spark, folder))
+    path = shared_path(spark, "model")
+    md.save(md.scoring_pipeline(["x1", "x2", "x3"], md.FAMILIES["forest"]()).fit(rows.where("fold <> 0")), path)
+    return rounded(md.scored(md.load(path), rows, ["x1", "x2", "x3"]).select("row_idx", "p", "quality", (F.col("fold") == 0).alias("held_out")))
 
 
 def _stream(spark, folder, stream, keys):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     sf.run_to_end(stream, f"{base}/state", f"{base}/out")
     return sf.latest(spark, f"{base}/out", keys)
 
