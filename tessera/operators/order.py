@@ -47,7 +47,8 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float
 
     Counts in ``cells`` equal intervals (map-side) say which cells hold the wanted ranks; only rows of those are counted
     by value, and only a cell's distinct values are ordered in one task: of scores of 9 places some 30,000 whatever the
-    number of rows. The cells save work and decide nothing: ranks are exact. ``rows`` is read three times.
+    number of rows. The cells save work and decide nothing: ranks are exact. ``rows`` is read three times. A key without
+    values has no row; without keys and values there is one row of nulls, as of any aggregate.
     """
     x = rows.select(*keys, F.col(value).cast("double").alias("x")).where("x is not null")
     ends = x.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))

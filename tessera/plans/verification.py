@@ -429,12 +429,14 @@ def e10b_pair_quadrants(spark, folder):
     return rounded(_pair_quadrants(spark, folder).groupBy("quadrant", "genuine").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")))
 
 
-@query(f"{QUADRANTS}, {det_sql('qd', 'quadrant')}, r AS (SELECT *, row_number() OVER (PARTITION BY quadrant ORDER BY round(abs(fmr - fnmr), 9), i) AS r FROM dt), tf AS (SELECT quadrant, round(quantile_cont(score, 0.99) FILTER (genuine = 0), 9) AS tau FROM qd GROUP BY quadrant), fn AS (SELECT quadrant, avg((score < tau)::INT) FILTER (genuine = 1) AS f FROM qd JOIN tf USING (quadrant) GROUP BY quadrant) SELECT quadrant, round((fmr + fnmr) / 2, 6) AS eer, round(f, 6) AS fnmr_at_1pct FROM r JOIN fn USING (quadrant) WHERE r = 1")
+@query(f"{QUADRANTS}, {det_sql('qd', 'quadrant')}, r AS (SELECT *, row_number() OVER (PARTITION BY quadrant ORDER BY round(abs(fmr - fnmr), 9), i) AS r FROM dt), tf AS (SELECT quadrant, round(quantile_cont(score, 0.99) FILTER (genuine = 0), 9) AS tau, round(quantile_cont(score, 0.999) FILTER (genuine = 0), 9) AS tau2 FROM qd GROUP BY quadrant), fn AS (SELECT quadrant, avg((score < tau)::INT) FILTER (genuine = 1) AS f, avg((score < tau2)::INT) FILTER (genuine = 1) AS f2 FROM qd JOIN tf USING (quadrant) GROUP BY quadrant) SELECT quadrant, round((fmr + fnmr) / 2, 6) AS eer, round(f, 6) AS fnmr_at_1pct, round(f2, 6) AS fnmr_at_01pct FROM r JOIN fn USING (quadrant) WHERE r = 1")
 def e11_quadrant_performance(spark, folder):
     """Error rates within each quadrant."""
     p = _pair_quadrants(spark, folder).select("quadrant", "genuine", "score")
     eer = ev.equal_error(ev.det(p, ["quadrant"]), ["quadrant"]).select("quadrant", "eer")
-    return rounded(eer.join(ev.fnmr_at_fmr(p, ["quadrant"], (0.01,)).select("quadrant", F.col("fnmr").alias("fnmr_at_1pct")), "quadrant"))
+    at = lambda f: F.max(F.when(F.col("target_fmr") == f, F.col("fnmr")))
+    rates = ev.fnmr_at_fmr(p, ["quadrant"]).groupBy("quadrant").agg(at(0.01).alias("fnmr_at_1pct"), at(0.001).alias("fnmr_at_01pct"))
+    return rounded(eer.join(rates, "quadrant"))
 
 
 CROSS = f"WITH {E}, {PROVIDERS}, {PROVIDER_PAIRS}, {curve_sql('p', 'provider', 0.1)}"
