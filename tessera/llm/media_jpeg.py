@@ -1,13 +1,15 @@
 """Media columns: baseline JPEG images whose DC-only luminance thumbnail holds a payload, and a decoder for such columns.
 
 The encoder turns a payload into grey baseline JPEG frames: every 8 x 8 block is flat, its quantised DC coefficient is
-one payload byte less 128 (DC quantiser 8), its AC coefficients are absent. A block row is one restart interval.
+one payload byte less 128 (DC quantiser 8), its AC coefficients are absent. A block row is one restart interval. The
+Huffman table gives every block 16 bits, so that blocks begin at whole bytes and repeated text gives repeated bytes: media
+are written as a Parquet column, whose compression then finds them. Shorter codes, about nine bits a block, leave it little.
 The decoder parses the markers of any 8-bit baseline image (one or more components, any sampling, any Huffman and
 quantiser tables, restart intervals), Huffman-decodes the scan and keeps the DC coefficients of the first component: the
 thumbnail of one pixel per block. For flat blocks this is exact, so payloads survive byte for byte.
 
 Restart intervals are independent, so all intervals of all images of an Arrow slice are decoded in lockstep: a numpy
-step reads one Huffman symbol of every interval. Encoding is one table lookup per sample and a bit-packing scatter.
+step reads one Huffman symbol of every interval. Encoding is one table lookup per sample.
 The operators are narrow Arrow stages: no shuffle, memory bounded by a slice of ``SLICE`` bytes or one payload.
 """
 
@@ -23,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, texts_as_bytes
+from .common import byte_slices, cut, texts_as_bytes
 
 WIDTH = 192  #: blocks in a row of the encoder's frames
 MAX_ROWS = 8191  #: block rows of a frame: 65,528 lines
 SLICE = 2 << 20  #: payload bytes that are coded together
 
-# Code lengths of DC categories 0..8 (none is all ones) and the single AC symbol, end of block.
-DC_LENGTHS = {4: 2, 5: 2, 3: 3, 6: 3, 7: 3, 2: 4, 0: 5, 1: 6, 8: 7}
+SAMPLE = 16  #: bits of a block: DC code, magnitude, end of block
+# A DC category k has k bits of magnitude, the end of block one; the DC code takes the rest, and none is all ones.
 AC_LENGTHS = {0x00: 1}
+DC_LENGTHS = {k: SAMPLE - AC_LENGTHS[0x00] - k for k in range(9)}
 
 
 def canonical(counts: list[int], symbols: list[int]) -> dict[int, tuple[int, int]]:
@@ -58,19 +61,17 @@ def _table(lengths: dict[int, int]) -> tuple[list[int], list[int]]:
     return [sum(v == n for v in lengths.values()) for n in range(1, 17)], sorted(lengths, key=lambda s: (lengths[s], s))
 
 
-def _sample_codes() -> tuple[np.ndarray, np.ndarray]:
-    """Bits and their number for every difference -255..255 (index + 255): DC code, magnitude, end of block."""
-    dc, eob = canonical(*_table(DC_LENGTHS)), canonical(*_table(AC_LENGTHS))[0]
-    bits, sizes = np.zeros(511, np.uint32), np.zeros(511, np.int64)
+def _sample_codes() -> np.ndarray:
+    """The ``SAMPLE`` bits of every difference -255..255 (index + 255): DC code, magnitude, end of block."""
+    dc, (eob, spare) = canonical(*_table(DC_LENGTHS)), canonical(*_table(AC_LENGTHS))[0]
+    out = np.zeros(511, ">u2")
     for d in range(-255, 256):
         k = abs(d).bit_length()
-        code, n = dc[k]
-        value = ((code << k | (d if d >= 0 else d + (1 << k) - 1)) << eob[1]) | eob[0]
-        bits[d + 255], sizes[d + 255] = value, n + k + eob[1]
-    return bits, sizes
+        out[d + 255] = (dc[k][0] << k | (d if d >= 0 else d + (1 << k) - 1)) << spare | eob
+    return out
 
 
-SAMPLE_BITS, SAMPLE_SIZES = _sample_codes()
+SAMPLE_CODES = _sample_codes()
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -94,27 +95,10 @@ def frame_header(rows: int, width: int = WIDTH) -> bytes:
 
 def pack_rows(samples: np.ndarray) -> list[bytes]:
     """Entropy-coded bytes of each row of ``uint8`` samples, with stuffed zeros, without restart markers."""
-    values = samples.astype(np.int16) - 128
-    diff = values.copy()
-    diff[:, 1:] -= values[:, :-1]
-    index = diff + 255
-    bits, sizes = SAMPLE_BITS[index], SAMPLE_SIZES[index]
-    ends = np.cumsum(sizes, axis=1)
-    row_bytes = -(-ends[:, -1] // 8)
-    row_at = np.concatenate([[0], np.cumsum(row_bytes)])
-    at = (ends - sizes + 8 * row_at[:-1, None]).reshape(-1)
-    sizes, bits = sizes.reshape(-1), bits.reshape(-1).astype(np.uint64)
-    # A code of at most 24 bits that starts within a byte touches 4 bytes; codes do not overlap, so sums are unions.
-    window = bits << (32 - sizes - (at & 7)).astype(np.uint64)
-    out = np.zeros(row_at[-1] + 4)
-    for k in range(4):
-        part = (window >> np.uint64(24 - 8 * k)) & np.uint64(0xFF)
-        out += np.bincount((at >> 3) + k, weights=part, minlength=len(out))
-    out = out[:-4].astype(np.uint8)
-    spare = 8 * row_bytes - ends[:, -1]  # rows end in ones
-    out[row_at[1:] - 1] |= ((1 << spare) - 1).astype(np.uint8)
-    raw = out.tobytes()
-    return [raw[a:b].replace(b"\xff", b"\xff\x00") for a, b in zip(row_at, row_at[1:])]
+    diff = samples.astype(np.int16) - 128
+    diff[:, 1:] -= diff[:, :-1].copy()
+    raw, width = SAMPLE_CODES[diff + 255].tobytes(), samples.shape[1] * SAMPLE // 8
+    return [raw[a : a + width].replace(b"\xff", b"\xff\x00") for a in range(0, len(raw), width)]
 
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
@@ -369,6 +353,11 @@ def encode_media(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return texts_as_bytes(docs, "doc_id").mapInArrow(run, schema)
 
 
+def store_media(docs: DataFrame) -> DataFrame:
+    """``encode_media`` written to the shared folder as a column of Parquet files, and read back from them."""
+    return cut(encode_media(docs), "media")
+
+
 def decode_media(rows: DataFrame) -> DataFrame:
     """Decode ``media`` of ``rows(doc_id, n_bytes, media)``: pixel dimensions, frames, thumbnail digests and its hash.
 
@@ -386,7 +375,7 @@ def decode_media(rows: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for keys, n_bytes, media in byte_slices(batches, "doc_id", "n_bytes", "media", limit=SLICE):
+        for keys, n_bytes, media in byte_slices(batches, "doc_id", "n_bytes", "media", limit=SLICE * SAMPLE // 8):
             images = iter(safe_thumbnails([m for m in media if m is not None]))
             out = []
             for m in media:

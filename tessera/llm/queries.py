@@ -33,8 +33,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text as JPEG media and what is read back from them; a null text is stored as an empty one."""
-    return media_jpeg.decode_media(media_jpeg.encode_media(read(spark, sf_dir, "documents"))).drop("error")
+    """Every document's text written as JPEG media and what the stored files give; a null text is stored as an empty one."""
+    return media_jpeg.decode_media(media_jpeg.store_media(read(spark, sf_dir, "documents"))).drop("error")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,16 @@ def test_payloads_survive():
     assert all(m[:2] == b"\xff\xd8" and m[-2:] == b"\xff\xd9" for m in media)
 
 
+def test_blocks_are_whole_bytes():
+    """Every difference has its own 16 bits, no DC code begins another, and blocks without stuffing lie two bytes apart."""
+    assert len(set(mj.SAMPLE_CODES.tolist())) == 511
+    codes = [format(c, f"0{n}b") for c, n in mj.canonical(*mj._table(mj.DC_LENGTHS)).values()]
+    assert not any(a != b and b.startswith(a) for a in codes for b in codes) and not any(set(c) == {"1"} for c in codes)
+    word = b"repeated words "
+    row = mj.pack_rows(np.frombuffer((word * 13)[:192], np.uint8)[None])[0]
+    assert b"\xff" not in row and len(row) == 384 and row[2:].count(row[32:60]) > 10
+
+
 def test_payloads_beyond_one_frame():
     payload = bytes(range(192)) * (mj.MAX_ROWS + 3)
     images = mj.thumbnails(mj.encode_payloads([payload]))[0]
@@ -80,14 +90,14 @@ def test_what_is_not_baseline_is_refused():
 
 
 def test_awkward_rows(spark):
-    got = mj.decode_media(mj.encode_media(docs.table(spark))).collect()
+    got = mj.decode_media(mj.store_media(docs.table(spark))).collect()
     assert len(got) == len(docs.ROWS)
     for r in got:
         raw = [(t or "").encode() for i, t, *_ in docs.ROWS if i == r.doc_id and len((t or "").encode()) == r.n_bytes][0]
         payload = raw + b" " * (-len(raw) % 192 or 192 * (not raw))
         assert r.payload_bytes == len(payload) and r.payload_sha256 == hashlib.sha256(payload).hexdigest()
         assert r.tail_crc32 == zlib.crc32(payload[-16:])
-    assert mj.decode_media(mj.encode_media(docs.empty(spark))).count() == 0
+    assert mj.decode_media(mj.store_media(docs.empty(spark))).count() == 0
     nothing = mj.decode_media(spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")).collect()[0]
     assert nothing.media_sha256 is None and nothing.error is None
 
