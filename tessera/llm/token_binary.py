@@ -113,7 +113,10 @@ class _Pieces(TwoGenerations):
         self.model, self.symbols = tokenizer.model, dict(enumerate(byte_symbols()))
 
     def make(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))]).tobytes()
+        return self.ids(piece.encode().decode("latin-1").translate(self.symbols))
+
+    def ids(self, symbols: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
 
 class _Chunks(TwoGenerations):
@@ -123,14 +126,18 @@ class _Chunks(TwoGenerations):
     def __init__(self, tokenizer, limit: int):
         super().__init__(limit)
         self.pieces, self.find = _Pieces(tokenizer, 20_000), regex.compile(PRETOKEN).findall
+        self.space = self.pieces.symbols[32]
 
     def make(self, chunk: str) -> bytes | int:
+        if chunk.isascii() and chunk.isalpha():  # one pre-token, whose symbols are its letters
+            return self.pieces.ids(self.space + chunk)
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return 0
         first, *rest = self.find(" " + chunk)
         if not rest:
             return self.pieces.make(first)
-        return self.pieces.make(first) + b"".join(map(self.pieces.__getitem__, rest))
+        known = self.get(first[1:]) or self.old.get(first[1:])  # a chunk that is this pre-token alone
+        return (known or self.pieces.make(first)) + b"".join(map(self.pieces.__getitem__, rest))
 
 
 @functools.lru_cache(maxsize=2)

@@ -35,6 +35,17 @@ def test_memoised_ids_are_the_library_s(library):
         assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_chunks_that_begin_with_a_known_chunk(library):
+    """Words alone, before and after forms of them with signs, contractions, digits and line ends, in a small memo too."""
+    rng = random.Random(3)
+    ends = ["", ",", "'s", "'ll", ".\n", "12", "-ing", "\xa0x", "'", "é"]
+    for memo in (600_000, 3):
+        encode = token_binary.encoder(PATH, memo)
+        for _ in range(400):
+            t = " ".join(rng.choice(["the", "Ndedti", "erü", "12", "'", "I", "ª"]) + rng.choice(ends) for _ in range(rng.randint(1, 9)))
+            assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_counts_of_awkward_rows(spark, library):
     got = token_counts.token_counts(docs.table(spark), PATH).collect()
     want = [(r[0], len((r[1] or "").encode()), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in docs.ROWS]
