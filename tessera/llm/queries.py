@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, language_id, media_jpeg, mixing, near_dedup, substring_dedup, token_binary, token_counts, warc_zip
+from . import conversation_repair, decontaminate, filter_audit, kneser_ney, language_id, media_jpeg, mixing, near_dedup, secret_scan, substring_dedup, token_binary, token_counts, warc_zip
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,7 +79,27 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", remainder(1).alias("held_out"), *names, F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_jpeg_media, op4_near_duplicates, op5_decontamination, op6_source_mix, op7_substring_dedup, op8_warc_archives, op9_language_id, op10_kneser_ney)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document as spans; null and empty texts have none."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select("doc_id", *[count(k) for k in secret_scan.BASE], F.sha2(named(base), 256).alias("base_sha256"), named("spans").alias("spans"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation; a null conv_id is a conversation of its own."""
+    conversations = read(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(conversations), conversations.select("conv_id").distinct())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every language in each of their orders; null languages are the part ''."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_jpeg_media, op4_near_duplicates, op5_decontamination, op6_source_mix, op7_substring_dedup, op8_warc_archives, op9_language_id, op10_kneser_ney, op11_secret_scan, op12_conversation_repair, op13_filter_audit)}
 
 _WARC = """
 WITH p AS (
@@ -192,4 +212,134 @@ SELECT doc_id, NOT any_value(train) AS held_out, count(*) AS n_tokens, count(uc)
 FROM s GROUP BY doc_id
 """.replace("CRC_VALUE", _CRC)
 
-ORACLES = {"op10_kneser_ney": _KNESER_NEY, "op4_near_duplicates": _NEAR, "op5_decontamination": _DECONTAMINATION, "op8_warc_archives": _WARC}
+#: Spans of a pattern: the text is marked around each match and cut behind it, so positions are sums of the pieces' lengths.
+_SPANS_OF = """
+  SELECT doc_id, row_id, 'KIND' AS kind, ORDINAL AS k, start, start + length(run) AS stop, run FROM (
+    SELECT doc_id, row_id, substr(piece, strpos(piece, chr(57344)) + 1) AS run,
+      (sum(length(piece) - 1) OVER (PARTITION BY row_id ORDER BY n) - (length(piece) - strpos(piece, chr(57344))))::BIGINT AS start
+    FROM (SELECT doc_id, row_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS n FROM (
+      SELECT doc_id, row_id, string_split(regexp_replace(t, '(PATTERN)', chr(57344) || '\\1' || chr(57345), 'g'), chr(57345)) AS pieces FROM t))
+    WHERE strpos(piece, chr(57344)) > 0)
+"""
+_QUOTE = "[\"'']?"
+_NAMES = "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) + q for w, q in (("password", ""), ("passwd", ""), ("secret", ""), ("token", ""))) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_GIVEN = f"{_NAMES}{_QUOTE}\\x20*[:=]\\x20*{_QUOTE}"
+
+
+def _spans_of(kind: str, ordinal: int, pattern: str) -> str:
+    return _SPANS_OF.replace("KIND", kind).replace("ORDINAL", str(ordinal)).replace("PATTERN", pattern)
+
+
+_SECRETS = f"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS t FROM documents
+), base AS (
+  SELECT * FROM ({_spans_of("assign", 1, _GIVEN + "[A-Za-z0-9+/_.=-]+")}) WHERE length(regexp_replace(run, '^{_GIVEN}', '')) >= 12
+  UNION ALL SELECT * FROM ({_spans_of("access", 2, "AKIA[A-Z0-9]+")}) WHERE length(run) >= 18
+  UNION ALL SELECT * FROM ({_spans_of("hex", 3, "[0-9a-f]+")}) WHERE length(run) >= 16
+), runs AS (
+  SELECT *, 24 AS size, 3.0 AS bits, 2 AS kinds FROM ({_spans_of("hexrun", 4, "[0-9a-fA-F]+")})
+  UNION ALL SELECT *, 24, 4.0, 3 FROM ({_spans_of("random", 5, "[A-Za-z0-9+/_-]+")})
+), wanted AS (
+  SELECT * FROM runs WHERE length(run) >= size AND NOT regexp_matches(run, '(?i)example|placeholder|changeme|dummy|sample|xxxx|abcdefghij|0123456789')
+    AND NOT regexp_matches(run, '^[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{12}}$')
+    AND NOT regexp_matches(run, '^(?:[A-Z]?[a-z]*[0-9]{{0,4}}[/_+-])*[A-Z]?[a-z]*[0-9]{{0,4}}$')
+), windows AS (
+  SELECT doc_id, row_id, kind, k, size, bits, kinds, start + i AS a, substr(run, i + 1, size) AS w FROM (SELECT *, unnest(range(length(run) - size + 1)) AS i FROM wanted)
+), found AS (
+  SELECT doc_id, row_id, kind, k, a, a + size AS b FROM windows
+  WHERE regexp_matches(w, '[a-z]')::INT + regexp_matches(w, '[A-Z]')::INT + regexp_matches(w, '[0-9]')::INT >= kinds
+    AND list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: round((size - length(replace(w, c, ''))) * log2(size - length(replace(w, c, ''))) * 1048576)::BIGINT))
+      <= round(size * log2(size) * 1048576)::BIGINT - round(bits * size * 1048576)::BIGINT
+), islands AS (
+  SELECT *, sum(CASE WHEN a <= reached THEN 0 ELSE 1 END) OVER (PARTITION BY row_id, k ORDER BY a) AS island
+  FROM (SELECT *, max(b) OVER (PARTITION BY row_id, k ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM found)
+), s AS (
+  SELECT row_id, kind, k, start, stop FROM base UNION ALL SELECT row_id, any_value(kind), k, min(a), max(b) FROM islands GROUP BY row_id, k, island
+), named AS (
+  SELECT row_id, count(*) FILTER (k = 1) AS n_assign, count(*) FILTER (k = 2) AS n_access, count(*) FILTER (k = 3) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 4) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans
+  FROM s GROUP BY row_id
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN named USING (row_id)
+"""
+
+_AUDIT = """
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), m AS (
+  SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE)::INT AS m FROM d
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m LEFT JOIN l USING (doc_id) GROUP BY part, m
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), s AS (
+  SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS filter, 1 << (ascii(filter) - 65) AS bit, list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, k, 1)) - 65))) AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, step, filter, sum(n) FILTER (m & bit = 0 AND m & b = 0) AS kept, sum(n) FILTER (m & bit > 0 AND m & b = 0) AS removed, sum(n) FILTER (m & bit > 0 AND m & b > 0) AS redundant,
+    sum(n) FILTER (m = bit) AS unique_fails, sum(g) FILTER (m & bit > 0 AND m & b = 0) AS good_lost, sum(x) FILTER (m & bit > 0 AND m & b = 0) AS toxic_lost
+  FROM c, (SELECT *, coalesce(before, 0)::INT AS b FROM s) GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley
+FROM r
+"""
+
+_BEST = "list_sort(list_filter([{}], lambda x: x IS NOT NULL))[1]"
+
+
+def _edit(cost: str, letter: str, line: str, then: str) -> str:
+    return f"{{'c': {cost} + {then}.c, 'a': '{letter}' || {then}.a, 't': {line} || {then}.t}}"
+
+
+def _row_edits(state: str, keeps: dict[str, str], role: str, to: str) -> str:
+    """The best of the edits that use a turn up in one state of the grammar."""
+    line = "chr(10) || role || ':' || text"
+    kept = ", ".join(f"CASE WHEN NOT must AND initial = '{i}' THEN {_edit('cut', 'K', line, s)} END" for i, s in keeps.items())
+    given = f"CASE WHEN NOT must THEN {_edit('3 + cut', 'R', f"chr(10) || '{role}:' || text", to)} END"
+    return _BEST.format(f"{_edit('4', 'D', "''", state)}, {kept}, {given}")
+
+
+_REPAIR = f"""
+WITH RECURSIVE x AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, CRC_VALUE % 20 AS fault FROM conversations
+), y AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM x
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank FROM y
+), o AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS seen, lag(initial) OVER (PARTITION BY conv_id ORDER BY p) || initial AS two FROM z
+), f AS (
+  SELECT *, NOT blank AND NOT seen AND NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS truncated, blank OR seen AS must, CASE WHEN truncated THEN 3 ELSE 0 END AS cut FROM o
+), r AS (
+  SELECT conv_id, max(p) AS p, {{'c': 0, 'a': '', 't': ''}} AS s0, {{'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s1,
+    {{'c': 3, 'a': 'I', 't': chr(10) || 'assistant:'}} AS s2, {{'c': 0, 'a': '', 't': ''}} AS s3 FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, p, {_BEST.format("g0, " + _edit("3", "I", "chr(10) || 'user:'", "c2"))}, {_BEST.format("g1, " + _edit("3", "I", "chr(10) || 'user:'", "c2"))}, c2, c3 FROM (
+    SELECT *, {_BEST.format("g2, " + _edit("3", "I", "chr(10) || 'assistant:'", "g3"))} AS c2, {_BEST.format("g3, " + _edit("3", "I", "chr(10) || 'user:'", "g2"))} AS c3 FROM (
+      SELECT f.conv_id, f.p - 1 AS p, {_row_edits("s0", {"s": "s1", "u": "s2"}, "user", "s2")} AS g0, {_row_edits("s1", {"u": "s2"}, "user", "s2")} AS g1,
+        {_row_edits("s2", {"a": "s3"}, "assistant", "s3")} AS g2, {_row_edits("s3", {"u": "s2"}, "user", "s2")} AS g3
+      FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.p = r.p
+    )
+  )
+), n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (seen) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations
+)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(s0.c, 0)::BIGINT AS cost, coalesce(s0.a, '') AS audit, sha256(substr(coalesce(s0.t, ''), 2)) AS repaired_sha256
+FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM ids.conv_id AND r.p = 0
+""".replace("CRC_VALUE", _CRC.replace("doc_id::VARCHAR", "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"))
+
+ORACLES = {"op10_kneser_ney": _KNESER_NEY, "op4_near_duplicates": _NEAR, "op5_decontamination": _DECONTAMINATION, "op8_warc_archives": _WARC, "op11_secret_scan": _SECRETS, "op12_conversation_repair": _REPAIR, "op13_filter_audit": _AUDIT}
