@@ -338,17 +338,26 @@ def cepstral_peak(frames: DataFrame, s: Signal, lowest: float = 60.0, highest: f
     return rows.select("rec_id", "frame", (F.col("peak") - line).alias("FrameCPP"))
 
 
-def unpredicted(x: np.ndarray, order: int) -> np.ndarray:
-    """Energy that linear prediction of the Hamming-windowed rows (Burg's lattice) leaves of them, and their energy."""
-    forward = x * np.hamming(x.shape[1])
-    backward, filters = forward[:, :-1], np.pad(np.ones((len(x), 1)), ((0, 0), (0, order)))
-    forward = forward[:, 1:]
+def prediction_filters(x: np.ndarray, order: int) -> np.ndarray:
+    """Filters ``1, a1, ...`` of linear prediction of the rows (Burg's lattice); a row of zeros has ``1, 0, ...``."""
+    forward, backward = x[:, 1:], x[:, :-1]
+    filters = np.pad(np.ones((len(x), 1)), ((0, 0), (0, order)))
     for m in range(1, order + 1):
         k = -2 * np.einsum("ij,ij->i", forward, backward) / (np.square(forward).sum(axis=1) + np.square(backward).sum(axis=1) + EPS)
         filters[:, 1 : m + 1] += k[:, None] * filters[:, m - 1 :: -1][:, :m] if m > 1 else k[:, None]
         forward, backward = (forward + k[:, None] * backward)[:, 1:], (backward + k[:, None] * forward)[:, :-1]
-    left = sum(filters[:, j, None] * np.pad(x, ((0, 0), (j, 0)))[:, : x.shape[1]] for j in range(order + 1))
-    return np.stack([np.square(left).sum(axis=1), np.square(x).sum(axis=1)], axis=1)
+    return filters
+
+
+def residual_energy(x: np.ndarray, filters: np.ndarray) -> np.ndarray:
+    """Energy of what the filters leave of the rows."""
+    return np.square(sum(filters[:, j, None] * np.pad(x, ((0, 0), (j, 0)))[:, : x.shape[1]] for j in range(filters.shape[1]))).sum(axis=1)
+
+
+def unpredicted(x: np.ndarray, order: int) -> np.ndarray:
+    """Energy that linear prediction of the Hamming-windowed rows leaves of them, and their energy."""
+    filters = prediction_filters(x * np.hamming(x.shape[1]), order)
+    return np.stack([residual_energy(x, filters), np.square(x).sum(axis=1)], axis=1)
 
 
 def predictability(frames: DataFrame, order: int = 14) -> DataFrame:
