@@ -306,32 +306,3 @@ def permuted_block(wide: DataFrame, key: str, block: list[str], seed: int) -> Da
     left = placed(wide.drop(*block), 2 * seed, "permute_place")
     right = placed(wide.select(key, *block), 2 * seed + 1, "permute_place").drop(key)
     return left.join(right, "permute_place").select(*wide.columns)
-
-
-def parallel_analysis(wide: DataFrame, names: list[str], draws: int = 20, seed: int = 1) -> int:
-    """Components whose eigenvalue exceeds the 95th percentile of those of column-permuted data.
-
-    Correlation matrices are one aggregation each, of the square of the number of columns; eigenvalues are taken on the
-    driver.
-    """
-    import numpy as np
-
-    def eigenvalues(df: DataFrame) -> np.ndarray:
-        pairs = [(a, b) for k, a in enumerate(names) for b in names[k:]]
-        r = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)]).head()
-        m = np.zeros((len(names), len(names)))
-        for k, (a, b) in enumerate(pairs):
-            i, j = names.index(a), names.index(b)
-            m[i, j] = m[j, i] = r[k]
-        return np.sort(np.linalg.eigvalsh(m))[::-1]
-
-    found = eigenvalues(wide)
-    key = "parallel_row"
-    rows = wide.select(F.monotonically_increasing_id().alias(key), *names)
-    chance = []
-    for d in range(draws):
-        shuffled = rows
-        for k, c in enumerate(names[1:]):
-            shuffled = permuted_block(shuffled, key, [c], seed + d * len(names) + k)
-        chance.append(eigenvalues(shuffled))
-    return int((found > np.percentile(np.stack(chance), 95, axis=0)).sum())

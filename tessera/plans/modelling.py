@@ -6,6 +6,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..functions.storage import kept, shared_path
+from ..operators import bags as bg
+from ..operators import components as cp
 from ..operators import families as fm
 from ..operators import models as md
 from ..sources import tables as src
@@ -176,3 +178,68 @@ def s2_sessions(spark, folder):
     """Sessions of a recording's events, by the batch form of the streaming operator."""
     e = src.table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("rec_id"), "value")
     return rounded(sf.sessions(e).select("rec_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "mean", "peak"))
+
+
+DIMENSIONS = [f"e{k:02d}" for k in range(64)]
+
+
+def _dimensions(spark, folder):
+    """Embeddings as rows of 64 features."""
+    return src.embeddings(spark, folder).select(*[F.get("v", k).alias(n) for k, n in enumerate(DIMENSIONS)])
+
+
+@query("WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS k FROM embeddings) SELECT 'e' || lpad(a.k::VARCHAR, 2, '0') AS a, 'e' || lpad(b.k::VARCHAR, 2, '0') AS b, round(corr(a.v, b.v), 6) AS r FROM e a JOIN e b USING (vec_id) WHERE a.k < b.k GROUP BY a.k, b.k")
+def r12_feature_matrix(spark, folder):
+    """Correlations of all pairs of 64 features, from one aggregate of products."""
+    return rounded(cp.correlation_rows(_dimensions(spark, folder), DIMENSIONS))
+
+
+@query()
+def r12_feature_merges(spark, folder):
+    """Average linkage of 64 features by correlation distance, a row per merge; tested against brute force."""
+    return rounded(cp.clustered(cp.correlation_rows(_dimensions(spark, folder), DIMENSIONS)))
+
+
+@query()
+def r12_feature_clusters(spark, folder):
+    """The tree cut where correlations fall below a half."""
+    return cp.feature_clusters(cp.correlation_rows(_dimensions(spark, folder), DIMENSIONS), 0.5)
+
+
+@query()
+def m10_parallel_analysis(spark, folder):
+    """Eigenvalues of 64 features against the 95th percentile of 100 permutations of their columns."""
+    return rounded(cp.parallel_analysis(_dimensions(spark, folder), DIMENSIONS))
+
+
+@query()
+def m10_independent(spark, folder):
+    """Mixing weights of eight independent components of 64 features."""
+    mixing = cp.independent(kept(_dimensions(spark, folder), "dimensions"), DIMENSIONS, 8)[1]
+    rows = [(k + 1, n, float(mixing[i, k])) for i, n in enumerate(DIMENSIONS) for k in range(mixing.shape[1])]
+    return rounded(spark.createDataFrame(rows, "component int, feature string, weight double"), 4)
+
+
+@query()
+def m11_factor_sweep(spark, folder):
+    """Bayesian information of factor models of 64 features, coarse and fine."""
+    return rounded(cp.factor_sweep(_dimensions(spark, folder), DIMENSIONS, start=2, stop=26, step=6, half=1, fine=2), 4)
+
+
+_TIMES = " + ".join(f"(u >= {p!r})::INT" for p in bg.POISSON)
+
+
+@query(f"WITH t AS (SELECT unnest(range(5)) AS tree), u AS (SELECT tree, ('0x' || substr(md5(doc_id || '|' || tree || '|42'), 1, 8))::BIGINT / 4294967296 AS u FROM labels JOIN documents USING (doc_id), t) SELECT tree::INT AS tree, ({_TIMES})::INT AS times, count(*) AS n FROM u GROUP BY ALL")
+def m5_bag_weights(spark, folder):
+    """M5: how often the first five trees draw how many rows."""
+    rows = _labelled(spark, folder).select("row_idx", F.explode(F.array(*map(F.lit, range(5)))).alias("tree"))
+    times = sum((F.when(F.col("tree") == t, bg.draws(F.col("row_idx"), t)).otherwise(0) for t in range(5)), F.lit(0))
+    return rows.groupBy("tree", times.alias("times")).agg(F.count("*").alias("n"))
+
+
+@query()
+def m5_out_of_bag(spark, folder):
+    """M5: out-of-bag accuracy of the first 5, 10 and 20 trees, and the smallest forest that has converged."""
+    rows = _labelled(spark, folder).withColumn("x4", (F.col("row_idx") % 31).cast("double"))
+    cast = bg.votes(rows, "row_idx", ["x1", "x2", "x3", "x4"], 20)
+    return rounded(bg.convergence(bg.out_of_bag(cast, "row_idx", [5, 10, 20]), least=10))

@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.operators import components as cp
 from tessera.operators import statistics as st
 from tessera.operators import vectors as vx
 from tessera.sources import tables as src
@@ -57,7 +58,10 @@ def test_parallel_analysis_counts_the_real_components(spark):
     base = rng.normal(size=(400, 1))
     x = np.hstack([base + 0.3 * rng.normal(size=(400, 1)) for _ in range(3)] + [rng.normal(size=(400, 1))])
     d = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double")
-    assert st.parallel_analysis(d, list("abcd"), draws=4) == 1
+    for block in (None, 50):
+        found = cp.parallel_analysis(d, list("abcd"), draws=20, block=block).orderBy("component").collect()
+        assert [r.retained for r in found] == [True, False, False, False]
+        assert np.allclose([r.eigenvalue for r in found], np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1])
 
 
 def test_streams_drop_late_events_and_agree_with_batch(spark, tmp_path):
