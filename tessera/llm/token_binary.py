@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import string
 import struct
 import zlib
 from array import array
@@ -105,6 +106,10 @@ def read_file(content: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
     return partition, sequence, doc_ids, counts, names[unpack(control, data, n_ids)] if n_ids else np.empty(0, "<u4")
 
 
+#: Up to here a letter is a letter in every edition of Unicode.
+LATIN = "\u024f"
+
+
 class _Pieces(TwoGenerations):
     """Memo from a pre-token to the ids that the library's model gives it."""
 
@@ -129,15 +134,26 @@ class _Chunks(TwoGenerations):
         self.space = self.pieces.symbols[32]
 
     def make(self, chunk: str) -> bytes | int:
-        if chunk.isascii() and chunk.isalpha():  # one pre-token, whose symbols are its letters
-            return self.pieces.ids(self.space + chunk)
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return 0
+        if (ids := self.word(chunk, self.space)) is not None:
+            return ids
+        line, parted, rest = chunk.partition("\n")
+        if parted and rest and not rest[0].isspace() and line and not line[-1].isspace():  # a lone line end is a pre-token
+            ids, more = self.word(line, self.space), self.word(rest, "")
+            if ids is not None and more is not None:
+                return ids + self.pieces["\n"] + more
         first, *rest = self.find(" " + chunk)
-        if not rest:
-            return self.pieces.make(first)
-        known = self.get(first[1:]) or self.old.get(first[1:])  # a chunk that is this pre-token alone
-        return (known or self.pieces.make(first)) + b"".join(map(self.pieces.__getitem__, rest))
+        return self.pieces.make(first) + b"".join(map(self.pieces.__getitem__, rest))
+
+    def word(self, text: str, lead: str) -> bytes | None:
+        """Ids of Latin letters, behind ``lead``, and what punctuation follows them: a pre-token each. None of other texts."""
+        letters = text.rstrip(string.punctuation)
+        if not letters.isalpha() or max(letters) > LATIN:
+            return None
+        if len(letters) < len(text):
+            return (self if lead else self.pieces)[letters] + self.pieces[text[len(letters) :]]
+        return self.pieces.ids(lead + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.pieces.symbols)))
 
 
 @functools.lru_cache(maxsize=2)
