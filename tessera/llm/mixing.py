@@ -1,15 +1,16 @@
 """Mixing sources to target weights: output shards draw sources multinomially, and slots take blocks by permutations.
 
 The words of a source's documents, in ascending ``doc_id``, form one stream that is cut into blocks of ``block_words``. A
-source gets as many slots as its target needs; all slots together fill output shards of ``shard_blocks`` blocks. Each shard
-draws how many blocks it takes of every source from a multinomial over the sources' shares of the slots, by a generator
-seeded with the shard's number, so any shard can be drawn anywhere and reruns agree.
+source's target is so many slots, and these shares of all slots are what output shards of ``shard_blocks`` blocks draw by:
+a shard takes the whole part of its share of every source, and the rest of its blocks multinomially over the fractional
+parts, by a generator seeded with the shard's number, so any shard can be drawn anywhere and reruns agree. What a source
+gets is the sum of its draws: its expectation is the target, from which it strays by about the square root of the number of
+shards in blocks (drawing all blocks multinomially would stray by the square root of the source's own slots, a tenth of a
+small source). Only what would be a fourth pass over a source is not filled.
 
-A source's slots are numbered through the shards in a keyed order. What the draws give a source beyond its slots is not
-filled, and what they leave of its slots goes to a closing shard behind the others; that is about the square root of its
-slots either way, so shards are full but for a few blocks and every source meets its target. Slot k of a source takes
-block ``p(k mod blocks)``, where ``p`` is a pseudorandom permutation (a Feistel network) keyed by seed, dealing, source and
-pass over the source. Blocks are joined with the documents by index; what is taken is counted from the shards.
+A source's slots are numbered through the shards in a keyed order. Slot k of a source takes block ``p(k mod blocks)``, where
+``p`` is a pseudorandom permutation (a Feistel network) keyed by seed, source and pass over the source. Blocks are joined
+with the documents by index; what is taken is counted from the rows of the shards.
 
 Positions in a source's stream are prefix sums over a range partitioning by (source, doc_id, hash of the text): sums within
 a partition by one window, sums of partitions by another over a row per partition and source. So neither a hot source nor
@@ -78,13 +79,17 @@ def sources_of(sizes: DataFrame, block_words: int) -> DataFrame:
 
 
 def draw(shard: int, size: int, slots: np.ndarray, seed: int) -> np.ndarray:
-    """How many of its ``size`` blocks a shard takes of each source: multinomial over the sources' shares of the slots."""
-    return np.random.default_rng([seed, shard]).multinomial(size, slots / slots.sum())
+    """How many of its ``size`` blocks a shard takes of each source: the whole part of its share, and the blocks that are
+    left multinomially by the fractional parts."""
+    share = size * (slots / slots.sum())
+    whole = np.floor(share).astype(np.int64)
+    rest, parts = size - int(whole.sum()), share - whole
+    return whole + (np.random.default_rng([seed, shard]).multinomial(rest, parts / parts.sum()) if rest else 0)
 
 
 def draws_of(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
-    """``source_no int, shard long, first long, n long, blocks long, slots long``: the slots ``first`` to ``first + n - 1``
-    of a source are in that shard. Every slot of ``sources`` is in one."""
+    """``source_no int, shard long, first long, n long, blocks long``: the slots ``first`` to ``first + n - 1`` of a source
+    are in that shard, as its draw says."""
     some = sources.where("slots > 0").select("source_no", F.col("slots").alias("s"))
     row = some.agg(F.array_sort(F.collect_list(F.struct("source_no", "s"))).alias("of"), F.sum("s").alias("total")).where("total > 0")
     runs = row.select("of", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / shard_blocks), F.lit(RUN).cast("long"))).alias("at"))
@@ -101,17 +106,14 @@ def draws_of(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
     drawn = runs.repartition(parts, "at").mapInArrow(run, "source_no int, shard long, n long")
     order = W.partitionBy("source_no").orderBy(F.xxhash64("source_no", "shard", F.lit(seed)), "shard").rowsBetween(W.unboundedPreceding, -1)
     drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    of = sources.select(F.col("source_no").alias("d_source"), "blocks", "slots")
+    of = sources.select(F.col("source_no").alias("d_source"), "blocks")
     placed = drawn.join(of, F.col("source_no") == F.col("d_source"))
-    placed = placed.withColumn("n", F.least("n", F.greatest(F.col("slots") - F.col("first"), F.lit(0).cast("long")))).where("n > 0")
-    got = drawn.groupBy("source_no").agg(F.sum("n").alias("got"))
-    left = of.where("slots > 0").join(got, F.col("d_source") == F.col("source_no"), "left").select("d_source", "blocks", "slots", F.coalesce("got", F.lit(0).cast("long")).alias("got")).where("got < slots")
-    closing = left.select(F.col("d_source").alias("source_no"), F.lit(-1).cast("long").alias("shard"), F.col("got").alias("first"), (F.col("slots") - F.col("got")).alias("n"), "blocks", "slots")
-    return placed.select("source_no", "shard", "first", "n", "blocks", "slots").unionAll(closing)
+    fits = F.least("n", F.greatest(REPEATS * F.col("blocks") - F.col("first"), F.lit(0).cast("long")))
+    return placed.withColumn("n", fits).where("n > 0").select("source_no", "shard", "first", "n", "blocks")
 
 
 def slots_of(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
-    """``source_no int, slot long, shard long, block long`` for every slot of ``sources``; the closing shard is -1."""
+    """``source_no int, slot long, shard long, block long`` for every slot that the shards have drawn."""
     chunk = 1 << 16
     chunks = draws_of(sources, shard_blocks, seed).withColumn("at", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(chunk).cast("long"))))
 
@@ -121,7 +123,7 @@ def slots_of(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
                 slot = np.arange(first, min(first + chunk, end))
                 turn, index, block = slot // blocks, slot % blocks, np.empty(len(slot), np.int64)
                 for t in np.unique(turn).tolist():
-                    block[turn == t] = permuted(index[turn == t], blocks, (seed, shard_blocks, source, t))
+                    block[turn == t] = permuted(index[turn == t], blocks, (seed, source, t))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), source, np.int32)), pa.array(slot), pa.array(np.full(len(slot), shard)), pa.array(block)], names=["source_no", "slot", "shard", "block"])
 
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -178,8 +180,9 @@ def mix(docs: DataFrame, block_words: int = 64, shard_blocks: int = 1 << 14, see
     """``doc_id, size long, source_size long, target double, taken long`` for each row of ``docs(doc_id, source, text, ...)``.
 
     Sources weigh 1, 2, 3 in turn of their code point order (null last) and share the total size; targets stop at three
-    times the source's size and the excess is shared again by weight. A source's taken words differ from its target by
-    less than two blocks; a document is taken at most three times. Null texts have no words, null sources are a source of
+    times the source's size and the excess is shared again by weight. A source's taken words are what the shards have drawn
+    of it, its target but for about the square root of the number of shards in blocks; a document is taken at most three
+    times. Null texts have no words, null sources are a source of
     their own; rows of no words are returned with 0 taken; repeated rows are rows of their own, and of rows of equal id
     and text any may stand for the other; an empty table gives an empty result. Other columns are not read.
     """
@@ -198,7 +201,7 @@ def _spans(text: str | None) -> tuple[bytes, list[tuple[int, int]]]:
 def mixed_shards(docs: DataFrame, block_words: int = 64, shard_blocks: int = 1 << 14, seed: int = 1) -> DataFrame:
     """The mixed corpus itself: ``shard long, place long, source string, block long, text string``, a row per slot.
 
-    ``place`` numbers a shard's blocks in a keyed order from 0; the closing shard is -1. A block's text is its documents'
+    ``place`` numbers a shard's blocks in a keyed order from 0. A block's text is its documents'
     pieces behind each other, parted by newlines; white space inside pieces stays. No words give no rows.
     """
     rows = cut(docs.select(F.monotonically_increasing_id().alias("mix_row"), "doc_id", "source", F.col("text").cast("string").alias("text")), "mix-rows")
