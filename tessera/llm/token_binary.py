@@ -134,10 +134,10 @@ class _Chunks(TwoGenerations):
         self.space = self.pieces.symbols[32]
 
     def make(self, chunk: str) -> bytes | int:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return 0
         if (ids := self.word(chunk, self.space)) is not None:
             return ids
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            return 0
         line, parted, rest = chunk.partition("\n")
         if parted and rest and not rest[0].isspace() and line and not line[-1].isspace():  # a lone line end is a pre-token
             ids, more = self.word(line, self.space), self.word(rest, "")
@@ -148,12 +148,14 @@ class _Chunks(TwoGenerations):
 
     def word(self, text: str, lead: str) -> bytes | None:
         """Ids of Latin letters, behind ``lead``, and what punctuation follows them: a pre-token each. None of other texts."""
+        if text.isalpha():
+            if text.isascii():
+                return self.pieces.ids(lead + text)
+            return self.pieces.ids(lead + text.encode().decode("latin-1").translate(self.pieces.symbols)) if max(text) <= LATIN else None
         letters = text.rstrip(string.punctuation)
-        if not letters.isalpha() or max(letters) > LATIN:
+        if not letters.isalpha() or not letters.isascii() and max(letters) > LATIN:
             return None
-        if len(letters) < len(text):
-            return (self if lead else self.pieces)[letters] + self.pieces[text[len(letters) :]]
-        return self.pieces.ids(lead + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.pieces.symbols)))
+        return (self if lead else self.pieces)[letters] + self.pieces[text[len(letters) :]]
 
 
 @functools.lru_cache(maxsize=2)
