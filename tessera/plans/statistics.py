@@ -84,28 +84,50 @@ def m4_feature_erc_area(spark, folder):
     return rounded(st.erc_area(x.unpivot(["label", "score"], ["a", "b"], "feature", "value")))
 
 
-def _category_sql(rules) -> str:
-    held = lambda parts: " OR ".join(f"contains(n, '{p}')" for p in parts)
-    return "CASE " + " ".join(f"WHEN starts_with(n, '{prefix}') AND ({held(parts)}) THEN '{label}'" for prefix, parts, label in rules) + " ELSE 'other' END"
+#: Names of features from a given table: the words of the documents, every third of them as a frame measure's column.
+NAMES = """w AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents WHERE text IS NOT NULL), nm AS (
+  SELECT CASE WHEN length(w) % 3 = 0 THEN 'Frame' || w || '_Mean' ELSE w END AS feature, count(*) AS n FROM w WHERE w <> '' GROUP BY 1
+), lo AS (SELECT feature, n, lower(feature) AS l FROM nm)"""
 
 
-NAMES = "nm AS (SELECT feature, lower(feature) AS n FROM (VALUES " + ", ".join(f"('{n}')" for n in st.feature_names()) + ") v(feature))"
+def _names(spark, folder):
+    w = src.table(spark, folder, "documents").where("text is not null").select(F.explode(F.split("text", " ", -1)).alias("w")).where("w <> ''")
+    named = F.when(F.length("w") % 3 == 0, F.concat(F.lit("Frame"), F.col("w"), F.lit("_Mean"))).otherwise(F.col("w"))
+    return w.groupBy(named.alias("feature")).agg(F.count("*").alias("n"))
 
 
-def _names(spark):
-    return spark.createDataFrame([(n,) for n in st.feature_names()], "feature string")
+def _by_category(names, rules):
+    rows = names.withColumn("category", st.category(F.col("feature"), rules))
+    return rows.groupBy("category").agg(F.count("*").alias("features"), F.sum("n").alias("n"), F.min("feature").alias("first"), F.max("feature").alias("last"))
 
 
-@query(f"WITH {NAMES} SELECT feature, {_category_sql(st.CATEGORIES_S)} AS category FROM nm")
+_COUNTED = 'count(*) AS features, sum(n)::BIGINT AS n, min(feature) AS "first", max(feature) AS "last"'
+
+
+@query(f"""WITH {NAMES}, c AS (SELECT feature, n, CASE
+  WHEN regexp_matches(l, 'snr|noise|click|dropout|saturation|agc|dnsmos|nisqa') THEN 'noise'
+  WHEN regexp_matches(l, 'reverb|rt60|c50|srmr|drr') THEN 'reverberation'
+  WHEN regexp_matches(l, 'spectral|ltas|alpha|hammarberg|mfcc|delta|ac_|autocorr|cepstral|cpp|sf_|ss_|sc_|scf_|shr_|sflux_|se_|sbw_|skurt_|sskew_') THEN 'spectral'
+  WHEN regexp_matches(l, '^frame.*(sf|ss|sc|sbw|sflux|se|sr_|skurt|sskew|scf|shr)', 's') THEN 'spectral'
+  WHEN regexp_matches(l, 'energy|power|onset|clipping|dynamicrange|peak') THEN 'dynamics'
+  WHEN regexp_matches(l, '^framee_|^framepc_') THEN 'dynamics'
+  WHEN regexp_matches(l, 'hnr|nhr|f0|pitch|jitter|shimmer|voice|unvoiced|tremor|glottal|naq|qoq|hrf|psp|gci|goi|gne|h1h2|h1a3|mdvp|avqi|dsi|csid|formant|f1_|f2_|f3_|vocal') THEN 'voice'
+  WHEN regexp_matches(l, 'zcr|speech|pause|rate|turn|continuity|interrupt|duration|silence|vad') THEN 'temporal'
+  WHEN regexp_matches(l, 'dc|hum|bandwidth|quantiz|musical|subband|low_to_high|lpc|modulation') THEN 'channel'
+  ELSE 'other' END AS category FROM lo) SELECT category, {_COUNTED} FROM c GROUP BY category""")
 def f13_signal_categories(spark, folder):
-    """categories of signal features."""
-    return _names(spark).select("feature", st.category(F.col("feature"), st.CATEGORIES_S).alias("category"))
+    """categories of feature names, which are the words of a table, as signal features."""
+    return _by_category(_names(spark, folder), st.CATEGORIES_S)
 
 
-@query(f"WITH {NAMES} SELECT feature, {_category_sql(st.CATEGORIES_V)} AS category FROM nm")
+@query(f"""WITH {NAMES}, c AS (SELECT feature, n, CASE
+  WHEN regexp_matches(l, 'mfcc|lpcc|lfcc|deltamfcc|lsf|lpc|reflect|logarea|ltfd|ltas|mgdcc|spectral') THEN 'cepstral'
+  WHEN regexp_matches(l, 'f1|f2|f3|formant|vocaltract') THEN 'formant'
+  WHEN regexp_matches(l, 'f0|speech|rhythm|pause|jitter|shimmer|hnr|articulation|tempo') THEN 'prosodic'
+  ELSE 'other' END AS category FROM lo) SELECT category, {_COUNTED} FROM c GROUP BY category""")
 def f14_voice_categories(spark, folder):
-    """categories of voice features."""
-    return _names(spark).select("feature", st.category(F.col("feature"), st.CATEGORIES_V).alias("category"))
+    """categories of the same names as voice features."""
+    return _by_category(_names(spark, folder), st.CATEGORIES_V)
 
 
 IMP = "im AS (SELECT * FROM (VALUES ('quantity', 0.4), ('price', 0.3), ('discount', 0.2), ('tax', 0.1)) v(feature, importance))"
