@@ -42,18 +42,46 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: list[str])
     return matched(placed, per, [*keys, "_part"], small=True).select(*rows.columns, *upto, *[f"all_{c}" for c in sums])
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], cells: int = 1 << 16) -> DataFrame:
+def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the rank of ``value`` from 1 within its key, ties sharing their mean rank."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    upto = running(counts, keys, [value], ["_c"])
+    return matched(rows, upto.select(*keys, value, (F.col("upto__c") - (F.col("_c") - 1) / 2).alias(name)), [*keys, value])
+
+
+#: Bounds of cells by approximate quantiles, one less than a power of two, and equal parts of each.
+CUTS, PARTS = 1023, 64
+
+
+def cells_of(x: DataFrame, keys: list[str]) -> DataFrame:
+    """``x(*keys, x)`` with ``cell``, which never falls as ``x`` rises: approximate quantiles of the key cut its values into
+    cells of about as many rows each, whatever outliers there are, and each of these is cut into equal parts."""
+    shares = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
+    ends = x.groupBy(*keys).agg(F.array_sort(F.percentile_approx("x", shares, 10_000)).alias("cuts"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    placed = matched(x, ends, keys, small=True)
+    # how many cuts are up to x, by halving
+    at, step = F.lit(0), (CUTS + 1) // 2
+    while step:
+        at = at + F.when(F.get("cuts", at + (step - 1)) <= F.col("x"), step).otherwise(0)
+        placed = placed.withColumn("at", at)
+        at, step = F.col("at"), step // 2
+    low = F.when(F.col("at") == 0, F.col("lo")).otherwise(F.get("cuts", F.col("at") - 1))
+    high = F.when(F.col("at") == CUTS, F.col("hi")).otherwise(F.get("cuts", F.col("at")))
+    share = F.coalesce(F.try_divide(F.col("x") / 2 - low / 2, high / 2 - low / 2), F.lit(0.0))  # halves, for sums of extremes overflow
+    part = F.greatest(F.least(F.floor(share * PARTS), F.lit(PARTS - 1)), F.lit(0))
+    return placed.select(*keys, "x", (F.col("at") * PARTS + part).alias("cell"))
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """``*keys, pct array<double>``: linearly interpolated percentiles of the non-null values, as of a sorted list.
 
-    Counts in ``cells`` equal intervals (map-side) say which cells hold the wanted ranks; only rows of those are counted
-    by value, and only a cell's distinct values are ordered in one task: of scores of 9 places some 30,000 whatever the
-    number of rows. The cells save work and decide nothing: ranks are exact. ``rows`` is read three times. A key without
-    values has no row; without keys and values there is one row of nulls, as of any aggregate.
+    Counts by cell (map-side) say which cells hold the wanted ranks; only rows of those are counted by value, and only a
+    cell's distinct values are ordered in one task: cells have about as many rows each, however the values lie. The cells
+    save work and decide nothing: ranks are exact. ``rows`` is read three times. A key without values has no row; without
+    keys and values there is one row of nulls, as of any aggregate.
     """
     x = rows.select(*keys, F.col(value).cast("double").alias("x")).where("x is not null")
-    ends = x.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    at = F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * cells)
-    placed = matched(x, ends, keys, small=True).select(*keys, "x", F.coalesce(F.least(at, F.lit(cells - 1)), F.lit(0)).alias("cell"))
+    placed = cells_of(x, keys)
     one = W.partitionBy(*keys)
     n = placed.groupBy(*keys, "cell").agg(F.count("*").alias("c"))
     n = n.select(*keys, "cell", "c", F.sum("c").over(one.orderBy("cell")).alias("upto"), F.sum("c").over(one).alias("n"))

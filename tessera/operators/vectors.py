@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.semantics import dot, norm, unit
+from .spectra import transformed
 
 FLOOR = 1e-8
 
@@ -37,41 +39,43 @@ def leave_one_out(e: DataFrame, c: DataFrame, *keys: str) -> DataFrame:
     return joined.select("row_idx", *keys, "u", "centroid", raw.alias("genuine_raw"))
 
 
-def moments(cohort: DataFrame) -> DataFrame:
-    """One row of the cohort's mean unit vector and its covariance (``mean array<double>, cov array<array<double>>``).
+def moments(cohort: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The mean of the cohort's unit vectors and their covariance; None of an empty cohort.
 
-    Tasks add up outer products of centred vectors, so what is shuffled and broadcast is the square of the dimension
-    whatever the cohort's size. The mean, one vector, passes through the driver for the second pass.
+    Tasks add up outer products of centred vectors, so what is shuffled and reaches the driver is the square of the
+    dimension whatever the cohort's size.
     """
     units = cohort.select(unit(F.col("v")).alias("k"))
-    mean = [r["m"] for r in units.select(F.posexplode("k").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m")).orderBy("pos").collect()]
+    mean = np.array([r["m"] for r in units.select(F.posexplode("k").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m")).orderBy("pos").collect()])
     d = len(mean)
+    if not d:
+        return None
 
     def partial(batches):
         total, n = np.zeros((d, d)), 0
         for batch in batches:
-            x = batch.column("k").combine_chunks() if isinstance(batch.column("k"), pa.ChunkedArray) else batch.column("k")
-            x = x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d) - np.array(mean)
+            x = batch.column("k").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d) - mean
             total, n = total + x.T @ x, n + batch.num_rows
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64())), pa.array(np.full(d, n))], names=["i", "row", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d)), pa.array(total.reshape(-1)), pa.array(np.full(d * d, n))], names=["at", "x", "n"])
 
-    parts = units.mapInArrow(partial, "i int, row array<double>, n long").select("i", "n", F.posexplode("row").alias("j", "x"))
-    cells = parts.groupBy("i", "j").agg((F.sum("x") / F.sum("n")).alias("c")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "c"))).alias("row"))
-    packed = cells.agg(F.array_sort(F.collect_list(F.struct("i", F.transform("row", lambda s: s["c"]).alias("row")))).alias("m"))
-    return packed.select(F.array(*map(F.lit, mean)).cast("array<double>").alias("mean"), F.transform("m", lambda s: s["row"]).alias("cov"))
+    cells = units.mapInArrow(partial, "at long, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("c")).orderBy("at")
+    return mean, np.array([r["c"] for r in cells.collect()]).reshape(d, d)
 
 
-def cohort_stats(vectors: DataFrame, column: str, cohort: DataFrame, name: str) -> DataFrame:
+def cohort_stats(vectors: DataFrame, column: str, cohort: DataFrame | tuple | None, name: str) -> DataFrame:
     """Mean and population deviation of ``column``'s cosine with every cohort vector, as ``{name}_mu, {name}_sd``.
 
-    Both follow from ``moments``: the mean is the product with the mean vector, the variance the quadratic form of the
-    covariance. An empty cohort gives nulls.
+    ``cohort``: its vectors, or their ``moments``. The mean is the product with the mean vector, the variance the quadratic
+    form of the covariance, both by matrix products over batches. An empty cohort gives nulls.
     """
-    rows = vectors.crossJoin(F.broadcast(moments(cohort)))
-    form = F.aggregate(F.zip_with("cov", column, lambda r, x: x * dot(r, F.col(column))), F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumn(f"{name}_mu", dot(F.col("mean"), F.col(column)))
-    return rows.withColumn(f"{name}_sd", F.greatest(F.sqrt(F.greatest(form, F.lit(0.0))), F.lit(FLOOR))).drop("mean", "cov")
+    known = moments(cohort) if isinstance(cohort, DataFrame) else cohort
+    if known is None:
+        return vectors.withColumn(f"{name}_mu", F.lit(None).cast("double")).withColumn(f"{name}_sd", F.lit(None).cast("double"))
+    mean, cov = known
+    of = lambda x: np.stack([x @ mean, np.maximum(np.sqrt(np.maximum(((x @ cov) * x).sum(axis=1), 0)), FLOOR)], axis=1)
+    rows = transformed(vectors, column, "cohort_stats", of)
+    return rows.withColumn(f"{name}_mu", F.get("cohort_stats", 0)).withColumn(f"{name}_sd", F.get("cohort_stats", 1)).drop("cohort_stats")
 
 
 def s_norm(raw, a: str, b: str):
@@ -81,20 +85,46 @@ def s_norm(raw, a: str, b: str):
 
 def genuine_scores(e: DataFrame, cohort: DataFrame) -> DataFrame:
     """``row_idx, speaker, genuine_raw, genuine_norm``; the speaker's full centroid is normalised once per speaker."""
-    c = cohort_stats(centroids(e, "speaker"), "centroid", cohort, "spk")
+    known = moments(cohort)
+    c = cohort_stats(centroids(e, "speaker"), "centroid", known, "spk")
     scored = leave_one_out(e, c.select("speaker", "centroid", "n"), "speaker")
-    scored = cohort_stats(scored.drop("centroid"), "u", cohort, "utt").join(c.select("speaker", "spk_mu", "spk_sd"), "speaker")
+    scored = cohort_stats(scored.drop("centroid"), "u", known, "utt").join(c.select("speaker", "spk_mu", "spk_sd"), "speaker")
     return scored.select("row_idx", "speaker", "genuine_raw", s_norm(F.col("genuine_raw"), "utt", "spk").alias("genuine_norm"))
 
 
 def impostor_scores(e: DataFrame, cohort: DataFrame) -> DataFrame:
     """Centroids of all speakers i < j against each other, raw and normalised."""
     c = cohort_stats(centroids(e, "speaker"), "centroid", cohort, "spk").drop("n")
-    a = c.select(*[F.col(x).alias(f"a_{x}") for x in c.columns])
-    b = c.select(*[F.col(x).alias(f"b_{x}") for x in c.columns])
-    raw = dot(F.col("a_centroid"), F.col("b_centroid"))
-    both = a.join(b, F.col("a_speaker") < F.col("b_speaker")).withColumn("raw", raw)
-    return both.select(F.col("a_speaker").alias("spk_a"), F.col("b_speaker").alias("spk_b"), "raw", s_norm(F.col("raw"), "a_spk", "b_spk").alias("norm"))
+    both = pair_products(c, [], "speaker", "centroid").select(F.col("a").alias("spk_a"), F.col("b").alias("spk_b"), F.col("score").alias("raw"))
+    for side in "ab":
+        both = both.join(c.select(F.col("speaker").alias(f"spk_{side}"), F.col("spk_mu").alias(f"{side}_mu"), F.col("spk_sd").alias(f"{side}_sd")), f"spk_{side}")
+    return both.select("spk_a", "spk_b", "raw", s_norm(F.col("raw"), "a", "b").alias("norm"))
+
+
+def pair_products(rows: DataFrame, keys: list[str], name: str, vector: str, block: int = 256) -> DataFrame:
+    """``*keys, a long, b long, score``: products of the vectors of every two rows a < b of one key, ``name`` being whole
+    numbers that tell a key's rows apart.
+
+    Rows are packed into blocks of ``block`` numbers and a task multiplies two blocks, so no key is one task. The result is
+    quadratic by definition; keys of hundreds of thousands of rows send each row to its key's blocks once.
+    """
+    packed = rows.groupBy(*keys, F.floor(F.col(name) / block).alias("blk")).agg(F.collect_list(F.struct(F.col(name).cast("long").alias("k"), F.col(vector).alias("v"))).alias("of"))
+    side = lambda s: packed.select(*keys, F.col("blk").alias(f"{s}_blk"), F.transform("of", lambda r: r["k"]).alias(f"{s}_k"), F.flatten(F.transform("of", lambda r: r["v"])).alias(f"{s}_v"))
+    a, b = side("a"), side("b")
+    both = (a.join(b, keys) if keys else a.crossJoin(b)).where("a_blk <= b_blk").repartition(*keys, "a_blk", "b_blk")
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, j, x, y = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("a_k", "b_k", "a_v", "b_v"))
+                m = x.reshape(len(i), -1) @ y.reshape(len(j), -1).T
+                left, right = np.broadcast_to(i[:, None], m.shape), np.broadcast_to(j[None], m.shape)
+                keep = left < right if batch.column("a_blk")[r] == batch.column("b_blk")[r] else np.ones(m.shape, bool)
+                names = [pa.array([batch.column(k)[r].as_py()] * int(keep.sum()), batch.schema.field(k).type) for k in keys]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(left[keep]), pa.array(right[keep]), pa.array(m[keep])], names=schema.names)
+
+    return both.mapInArrow(run, schema)
 
 
 def pair_scores(e: DataFrame, places: int = 9, block: int = 512) -> DataFrame:

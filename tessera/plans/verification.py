@@ -10,7 +10,7 @@ from ..functions.storage import kept
 from ..operators import evaluation as ev
 from ..operators import labels as lb
 from ..operators import vectors as vx
-from ..operators.order import matched, percentiles
+from ..operators.order import average_ranks, matched, percentiles
 from ..sources import tables as src
 from .registry import query, rounded
 
@@ -183,15 +183,25 @@ def j11_mutual_best(spark, folder):
     return rounded(vx.mutual_best(a, b, 0.3))
 
 
-def _provider_scores(spark, folder):
+def _genuine_scores(spark, folder):
     e = src.provider_embeddings(spark, folder)
     g = vx.leave_one_out(e, vx.centroids(e, "provider", "speaker"), "provider", "speaker")
-    genuine = g.select("provider", "row_idx", "speaker", F.round("genuine_raw", 9).alias("score"))
-    c = vx.centroids(e, "provider", "speaker")
-    a = c.select("provider", F.col("speaker").alias("a"), F.col("centroid").alias("ca"))
-    b = c.select("provider", F.col("speaker").alias("b"), F.col("centroid").alias("cb"))
-    impostor = a.join(b, "provider").where("a < b").select("provider", "a", "b", F.round(dot(F.col("ca"), F.col("cb")), 9).alias("score"))
-    return kept(genuine, "genuine"), kept(impostor, "impostor")
+    return g.select("provider", "row_idx", "speaker", F.round("genuine_raw", 9).alias("score"))
+
+
+def _impostor_scores(spark, folder):
+    c = vx.centroids(src.provider_embeddings(spark, folder), "provider", "speaker")
+    return vx.pair_products(c, ["provider"], "speaker", "centroid").withColumn("score", F.round("score", 9))
+
+
+def _provider_scores(spark, folder):
+    """Genuine and impostor scores, for one reading of each."""
+    return _genuine_scores(spark, folder), _impostor_scores(spark, folder)
+
+
+def _limits(spark, folder):
+    """Thresholds, whose percentiles read their scores several times: both are written."""
+    return lb.thresholds(*(kept(df, name) for df, name in zip(_provider_scores(spark, folder), ("genuine", "impostor"), strict=True)))
 
 
 PROVIDER_SCORES = f"""WITH {E}, {PROVIDERS},
@@ -210,39 +220,37 @@ P123 = ["P1", "P2", "P3"]
 
 
 def _wide(spark, folder):
-    genuine, impostor = _provider_scores(spark, folder)
-    wide = lb.wide_scores(genuine, P123).withColumn("duration", F.col("row_idx") * 29 % 97 / 10.0 - 1)
-    return wide, lb.thresholds(genuine, impostor)
+    return lb.wide_scores(_genuine_scores(spark, folder), P123).withColumn("duration", F.col("row_idx") * 29 % 97 / 10.0 - 1)
 
 
 @query(f"{PROVIDER_SCORES} SELECT provider, round(percentile_90, 6) AS percentile_90, round(fmr_001, 6) AS fmr_001 FROM th")
 def a5_thresholds(spark, folder):
     """Label thresholds of three systems."""
-    return rounded(lb.thresholds(*_provider_scores(spark, folder)))
+    return rounded(_limits(spark, folder))
 
 
 @query(f"{PROVIDER_SCORES} {WIDE} SELECT row_idx, round(score_P1, 6) AS \"score_P1\", round(score_P2, 6) AS \"score_P2\", round(score_P3, 6) AS \"score_P3\" FROM w")
 def j1_wide_scores(spark, folder):
     """Scores of all systems by recording."""
-    return rounded(_wide(spark, folder)[0].drop("duration"))
+    return rounded(_wide(spark, folder).drop("duration"))
 
 
 @query(f"{PROVIDER_SCORES} {WIDE} SELECT row_idx, label FROM lab WHERE label IS NOT NULL")
 def l3_labels(spark, folder):
     """Training labels; excluded rows are dropped."""
-    return lb.label(*_wide(spark, folder), P123).where("label is not null").select("row_idx", "label")
+    return lb.label(_wide(spark, folder), _limits(spark, folder), P123).where("label is not null").select("row_idx", "label")
 
 
 @query(f"{PROVIDER_SCORES} {WIDE} SELECT row_idx, label_v AS label FROM lab")
 def l3b_validation_labels(spark, folder):
     """Labels without the duration rule, null where unlabelled."""
-    return lb.label(*_wide(spark, folder), P123, use_duration=False).select("row_idx", "label")
+    return lb.label(_wide(spark, folder), _limits(spark, folder), P123, use_duration=False).select("row_idx", "label")
 
 
 @query(f"{PROVIDER_SCORES} {WIDE} SELECT count(*) AS total, count(*) FILTER (label IS NULL) AS excluded, count(label) AS labelled, count(*) FILTER (label = 1) AS class_1, count(*) FILTER (label = 0) AS class_0, round(count(label) / count(*), 6) AS labelled_share FROM lab")
 def r6_label_funnel(spark, folder):
     """How many recordings each step of labelling leaves."""
-    x = lb.label(*_wide(spark, folder), P123)
+    x = lb.label(_wide(spark, folder), _limits(spark, folder), P123)
     return rounded(x.agg(F.count("*").alias("total"), (F.count("*") - F.count("label")).alias("excluded"), F.count("label").alias("labelled"), ev.count_if(F.col("label") == 1).alias("class_1"), ev.count_if(F.col("label") == 0).alias("class_0"), ratio(F.count("label"), F.count("*")).alias("labelled_share")))
 
 
@@ -274,13 +282,13 @@ def r5_mean_vs_fisher(spark, folder):
 @query(f"{PROVIDER_SCORES} {WIDE}, m AS (SELECT row_idx, (score_P1 + score_P2 + score_P3) / 3 AS fused FROM w) SELECT row_idx, round(least(greatest((fused - lo) / (hi - lo), 0), 1), 6) AS target FROM m, (SELECT min(fused) AS lo, max(fused) AS hi FROM m)")
 def l5_regression_target(spark, folder):
     """Fused and scaled target."""
-    return rounded(lb.regression_target(_wide(spark, folder)[0], [f"score_{p}" for p in P123]))
+    return rounded(lb.regression_target(_wide(spark, folder), [f"score_{p}" for p in P123]))
 
 
 @query(f"{PROVIDER_SCORES} {WIDE}, m AS (SELECT row_idx, (score_P1 + score_P2 + score_P3) / 3 AS x FROM w), dv AS (SELECT x - avg(x) OVER () AS d, x FROM m) SELECT count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, round(median(x), 6) AS median, round(avg(d ** 3) / avg(d ** 2) ** 1.5, 6) AS skew, round(avg(d ** 4) / avg(d ** 2) ** 2 - 3, 6) AS kurt FROM dv")
 def a9_target_statistics(spark, folder):
     """Moments of the fused score."""
-    w = _wide(spark, folder)[0].withColumn("fused", (F.col("score_P1") + F.col("score_P2") + F.col("score_P3")) / 3)
+    w = _wide(spark, folder).withColumn("fused", (F.col("score_P1") + F.col("score_P2") + F.col("score_P3")) / 3)
     return rounded(lb.target_statistics(w, "fused"))
 
 
@@ -291,10 +299,8 @@ _PAIRWISE = [("P1", "P2"), ("P1", "P3"), ("P2", "P3")]
        "SELECT 'P1' AS a, 'P2' AS b, round(corr(score_P1, score_P2), 6) AS pearson, round(corr(k1, k2), 6) AS spearman FROM k UNION ALL SELECT 'P1', 'P3', round(corr(score_P1, score_P3), 6), round(corr(k1, k3), 6) FROM k UNION ALL SELECT 'P2', 'P3', round(corr(score_P2, score_P3), 6), round(corr(k2, k3), 6) FROM k")
 def r1_provider_correlation(spark, folder):
     """Pearson and Spearman between systems, complete rows."""
-    from ..functions.semantics import average_rank
-
-    w = _wide(spark, folder)[0].dropna()
-    long = w.unpivot(["row_idx"], [f"score_{p}" for p in P123], "provider", "x").withColumn("k", average_rank("x", "provider"))
+    w = _wide(spark, folder).dropna()
+    long = average_ranks(w.unpivot(["row_idx"], [f"score_{p}" for p in P123], "provider", "x"), ["provider"], "x", "k")
     by = long.groupBy("row_idx").agg(*[F.max(F.when(F.col("provider") == f"score_{p}", F.col(c))).alias(f"{c}{p}") for p in P123 for c in "xk"])
     one = by.agg(*[correlation(F.col(f"{c}{a}"), F.col(f"{c}{b}")).alias(f"{c}{a}{b}") for a, b in _PAIRWISE for c in "xk"])
     return rounded(one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"x{a}{b}").alias("pearson"), F.col(f"k{a}{b}").alias("spearman")) for a, b in _PAIRWISE])).alias("r")).select("r.*"))
@@ -304,7 +310,7 @@ def r1_provider_correlation(spark, folder):
 def r2_limits_of_agreement(spark, folder):
     """R2: bias and 95 % limits of the difference of two systems, over rows that have both."""
     d = F.col("score_P1") - F.col("score_P2")
-    w = _wide(spark, folder)[0].where(d.isNotNull())
+    w = _wide(spark, folder).where(d.isNotNull())
     return rounded(w.agg(F.count("*").alias("n"), F.avg(d).alias("bias"), (F.avg(d) - 1.96 * F.stddev_pop(d)).alias("low"), (F.avg(d) + 1.96 * F.stddev_pop(d)).alias("high")))
 
 
