@@ -21,7 +21,8 @@ def over_speech(x: Column, f=F.avg) -> Column:
 
 
 def between(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """``x`` within both bounds; null stays null, which ``greatest`` alone would pass over."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def log_ratio(a: Column, b: Column) -> Column:

@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import phonation as ph
 from ..operators import quality as ql
 from ..operators import spectra as sp
+from ..operators import voice as vo
 from ..sources import tables as src
 from .registry import query, rounded
 from .signals import _MFCC, _SHAPE, BANDS, KEEP, PF, PW, SIG, S, power, recordings
 from .statistics import FR
-from .voices import LOWEST, pitches
+from .voices import LOWEST, P, pitches
 
 SPEECH = "frame % 3 <> 0"
 SP = SPEECH
@@ -154,3 +156,50 @@ def fv_cepstral(spark, folder):
     c = sp.cepstra(power(spark, folder), S, KEEP, BANDS, 5.0, 80.0).withColumn("speech", F.expr(SPEECH))
     found = ql.cepstral_means(c, KEEP)
     return rounded(found.withColumn("V_LTFD_Kurtosis", F.round("V_LTFD_Kurtosis", 4)).withColumn("V_LTFD_Range", F.round("V_LTFD_Range", 3)), 5)
+
+
+VO = f"{FR}, vo AS (SELECT rec_id, frame, CASE WHEN speech AND frame % 9 < 7 THEN 80 + value / 5 ELSE 0 END AS f0, CASE WHEN frame % 5 > 0 THEN value / 10 - 4 END AS hnr, speech FROM fr)"
+
+
+def voice_rows(spark, folder) -> DataFrame:
+    """Pitch and harmonicity rows made of event values, with gaps."""
+    f = src.frames(spark, folder)
+    pitch = F.when(F.col("speech") & (F.col("frame") % 9 < 7), 80 + F.col("value") / 5).otherwise(0.0)
+    return f.select("rec_id", "frame", pitch.alias("FrameF0"), F.when(F.col("frame") % 5 > 0, F.col("value") / 10 - 4).alias("hnr"), "speech")
+
+
+@query(f"""WITH {VO}, v AS (SELECT *, (f0 > 0)::INT AS v, (f0 > 0)::INT - lag((f0 > 0)::INT) OVER w AS turn, sum((f0 > 0)::INT) OVER w AS i FROM vo WINDOW w AS (PARTITION BY rec_id ORDER BY frame)), s AS (
+  SELECT *, abs(1 / f0 - 1 / lag(f0) OVER (PARTITION BY rec_id ORDER BY frame)) AS step FROM v WHERE v = 1
+), a AS (SELECT rec_id, count(*) AS n, sum(v) AS k, count(*) FILTER (turn = 1) AS o, count(*) FILTER (turn = -1) AS e, sum(speech::INT) * 4 / 160 AS sec FROM v GROUP BY rec_id
+), b AS (SELECT rec_id, avg(f0) AS m, stddev_pop(f0) AS sd, max(f0) - min(f0) AS rg, max(f0) AS mx, CASE WHEN count(*) > 1 THEN regr_slope(f0, i) END AS sl, median(f0) AS md, avg(step) / (avg(1 / f0) + 1e-12) AS cv FROM s GROUP BY rec_id
+), h AS (SELECT rec_id, avg(hnr) AS hm, stddev_pop(hnr) AS hs, avg((hnr > 10)::INT) AS mo, avg((hnr < 5)::INT) AS br FROM vo GROUP BY rec_id)
+SELECT rec_id, round(o / (sec + 1e-12), 6) AS "V_ArticulationRate", round(coalesce(m, 0), 6) AS "V_F0_Mean", round(coalesce(sd, 0), 6) AS "V_F0_Std", round(coalesce(rg, 0), 6) AS "V_F0_Range", round(coalesce(mx, 0), 6) AS "V_F0_Max", round(coalesce(sl, 0), 6) AS "V_F0_Slope", round(coalesce(md, 0), 6) AS "V_F0_Median",
+  round(coalesce(cv, 0), 6) AS "Tremor_CycleVariation", round(CASE WHEN k > 0 THEN e / (k * 4 / 160 + 1e-12) ELSE 0 END, 6) AS "MDVP_DVB", round(1 - k / n, 6) AS "UnvoicedFrameRatio", round(sec, 6) AS "SpeechSeconds",
+  round(coalesce(hm, 0), 6) AS "CPP_Mean", round(coalesce(hs, 0), 6) AS "CPP_Std", round(coalesce(10 ** (-hm / 10), 1), 6) AS "NHR", round(coalesce(mo, 0.5), 6) AS "V_ModalProportion", round(coalesce(br, 0.5), 6) AS "V_BreathyProportion"
+FROM a JOIN h USING (rec_id) LEFT JOIN b USING (rec_id)""")
+def gf_phonation(spark, folder):
+    """Prosody, voice breaks, harmonicity and voice quality (§2.10, §2.11) of pitch and harmonicity rows."""
+    rows = voice_rows(spark, folder)
+    found = ph.pitch_features(rows, rows, S).join(ph.harmonic_features(rows), "rec_id")
+    return rounded(found)
+
+
+_PH = {"turbulence": 60.0, "soft": (10.0, 30.0, 60.0), "low_high": (20.0, 70.0), "alpha": (10.0, 20.0, 80.0)}
+
+
+@query(f"WITH {PW}, {MB} SELECT rec_id, round(coalesce(sum(w) FILTER (10 * b > 60), 0) / (sum(w) + 1e-12), 6) AS \"MDVP_VTI\", round((sum(w) FILTER (b BETWEEN 1 AND 3) + 1e-12) / (sum(w) FILTER (b BETWEEN 3 AND 6) + 1e-12), 5) AS \"MDVP_SPI\", round(sum(w) FILTER (b <= 2) / (sum(w) FILTER (b BETWEEN 2 AND 7) + 1e-12), 5) AS \"LowHigh\", round(10 * log10((sum(w) FILTER (b BETWEEN 1 AND 2) + 1e-12) / (sum(w) FILTER (b BETWEEN 2 AND 8) + 1e-12)), 5) AS \"V_AlphaRatio\", round(regr_slope(10 * log10(w + 1e-12), 10 * b), 6) AS \"V_SpectralTilt\" FROM mb GROUP BY rec_id")
+def gf_voice_bands(spark, folder):
+    """Turbulence, soft phonation, low over high, alpha ratio and tilt (§2.10, §2.11)."""
+    found = ph.band_features(spoken(spark, folder), S, _PH)
+    return rounded(found.withColumns({c: F.round(c, 5) for c in ("MDVP_SPI", "LowHigh", "V_AlphaRatio")}))
+
+
+@query()
+def gf_clinical(spark, folder):
+    """Tremor and clinical composites (§2.10) of whole recordings, from pitch, harmonicity, perturbation and bands."""
+    x, p = recordings(spark, folder), pitches(spark, folder)
+    mask = src.frames(spark, folder).select("rec_id", "frame", "speech")
+    shaken = vo.perturbation(vo.marks(x, p, P.rate, P.hop).withColumn("t", F.col("t") / 100))
+    known = ph.pitch_features(p, mask, P).join(ph.harmonic_features(ph.harmonic_levels(sp.framed(x, P))), "rec_id").join(ph.band_features(spoken(spark, folder), S, _PH), "rec_id")
+    known = known.join(shaken, "rec_id", "left").fillna(0.0, ["Jitter", "Shimmer"])
+    return rounded(ph.composites(known).join(ph.tremor(p, P.rate / P.hop), "rec_id").join(ph.source_shape(sp.framed(x, P), p, P, 3, LOWEST), "rec_id"))

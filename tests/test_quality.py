@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import phonation as ph
 from tessera.operators import quality as ql
 from tessera.operators import spectra as sp
 
@@ -121,3 +122,34 @@ def test_odd_recordings_have_defined_values(spark, recordings):
     assert c[1].V_LTFD_Flatness == c[1].V_LTFD_Entropy == c[1].V_LTFD_Range == 0 and c[1].V_MFCC_Std_2 >= 0
     for f in (ql.spectral_quality, ql.noise_spectra, ql.delay_cepstra):
         assert f(spoken(rows.where("false")) if f is ql.delay_cepstra else power.where("false"), S).count() == 0
+
+
+def test_tremor_of_a_moving_pitch(spark):
+    rate, t = 100.0, np.arange(300) / 100
+    f = 150 + 4 * np.sin(2 * np.pi * 5 * t)
+    rows = [(1, k, float(v)) for k, v in enumerate(f)] + [(2, k, 150.0 if k < 10 else 0.0) for k in range(40)] + [(3, k, 0.0) for k in range(30)]
+    d = spark.createDataFrame(rows, "rec_id int, frame int, FrameF0 double")
+    got = by_rec(ph.tremor(d, rate))
+    assert abs(got[1].Tremor_Freq - 5) < 0.34 and got[1].Tremor_Intensity > 0.95 and got[1].Tremor_Regularity > 0.9
+    assert tuple(got[2])[1:] == tuple(got[3])[1:] == (0.0, 0.0, 0.0)
+    p = by_rec(ph.pitch_features(d, d.withColumn("speech", F.lit(False)).where("rec_id < 3"), S))
+    assert abs(p[1].V_F0_Mean - f.mean()) < 1e-9 and p[2].MDVP_DVB > 0 and p[3].V_F0_Mean == p[3].MDVP_DVB == p[3].SpeechSeconds == 0 and p[3].UnvoicedFrameRatio == 1
+
+
+def test_harmonic_levels_composites_and_source_shape(spark, recordings):
+    _, rows = recordings
+    levels = ph.harmonic_levels(sp.framed(rows, S))
+    h = by_rec(ph.harmonic_features(levels))
+    assert h[1].CPP_Mean > 12 > h[2].CPP_Mean and h[1].V_ModalProportion > 0.9 and abs(h[1].NHR - 10 ** (-h[1].CPP_Mean / 10)) < 1e-9
+    assert tuple(h[3])[1:] == (0.0, 0.0, 1.0, 0.5, 0.5)
+    one = spark.createDataFrame([(1, 10.0, 0.01, 0.5, 200.0, 3.0, 10.0), (2, 100.0, 0.0, 0.0, 9000.0, 90.0, 1.0)], "rec_id int, CPP_Mean double, Jitter double, Shimmer double, V_F0_Max double, SpeechSeconds double, LowHigh double")
+    c = by_rec(ph.composites(one))
+    assert np.allclose(tuple(c[1])[1:], (4.152 - 1.77 - 0.06 - 0.0185, 0.13 * 3 + 0.0053 * 200 - 0.26 - 1.18 * 0.5 + 12.2, 5 + 0.3 - 0.2)) and tuple(c[2])[1:3] == (0.0, 15.0)
+    pitches = spark.createDataFrame([(1, 0, 100.0), (2, 0, 0.0)], "rec_id int, frame int, FrameF0 double")
+    frames = sp.framed(rows, S)
+    got = by_rec(ph.source_shape(frames.where("rec_id = 1"), pitches, S, order=4))
+    x = np.array([r.samples for r in frames.where("rec_id = 1").orderBy("frame").collect()])
+    a = sp.prediction_filters(x * np.hamming(64), 4)
+    flow = np.cumsum([np.convolve(row, f)[:64] for row, f in zip(x, a, strict=True)], axis=1)[:, :16]
+    assert abs(got[1].V_OQ - (flow > 0).mean(axis=1).mean()) < 1e-9 and abs(got[1].V_CQ + got[1].V_OQ - 1) < 1e-12
+    assert tuple(got[2])[1:] == (0.5, 0.5, 1.0, 1.0, 0.5, 1.0)
