@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .frames import runs
 from .spectra import EPS, Signal, cosine_basis, decibels, mel_filters, prediction_filters, spectral_measures, total, transformed
 
 
@@ -270,3 +271,48 @@ def cepstral_means(cepstra: DataFrame, keep: int = 14) -> DataFrame:
     some = lambda c: F.when(F.col("n") > 2, c).otherwise(0.0)
     names = [f"V_MFCC_{m}_{k + 1}" for m in ("Mean", "Std") for k in range(keep)]
     return a.select("rec_id", *names, some(flat).alias("V_LTFD_Flatness"), some(F.col("ent")).alias("V_LTFD_Entropy"), some(F.col("kurt")).alias("V_LTFD_Kurtosis"), some(F.col("range")).alias("V_LTFD_Range"))
+
+
+# --- long-term distribution
+
+LTAS = [(0.0, 500.0), (500.0, 1000.0), (1000.0, 2000.0), (2000.0, 4000.0), (4000.0, 8000.0)]
+
+
+def long_term(frames: DataFrame, s: Signal, bands: list[tuple[float, float]] = LTAS) -> DataFrame:
+    """``rec_id, V_LTAS_1..5, V_LTAS_LowMidRatio, V_LTAS_MidHighRatio, V_SpectralCentroid_Mean, V_SpectralCentroid_Std,
+    V_SpectralBW_Mean, V_SpectralEntropy_Mean, V_SpectralEntropy_Std`` of ``frames``: mean decibels of the speech spectrum by
+    band (-60 for a band without bins) and differences of the first, third and fifth; moments over speech frames of the
+    power's centroid, of its width about the recording's mean centroid, and of its entropy."""
+    p = F.col("power")
+    rows = frames.select("rec_id", "frame", "speech", "power", (total(p) + EPS).alias("sum"), total(p, lambda v, i: v * (i * s.step)).alias("moment"), total(p, lambda v, i: v * F.pow(i * s.step, F.lit(2.0))).alias("square"))
+    rows = rows.withColumn("centre", F.col("moment") / F.col("sum"))
+    rows = rows.withColumn("entropy", -total(F.transform("power", lambda v: v / F.col("sum") * F.ln(v / F.col("sum") + EPS))) / float(np.log(s.bins)))
+    whole = W.partitionBy("rec_id")
+    rows = rows.withColumn("mean", F.coalesce(F.avg(F.when(F.col("speech"), F.col("centre"))).over(whole), F.avg("centre").over(whole)))
+    # the sum of p (f - mean)^2, from sums that do not know the mean
+    width = F.sqrt(F.greatest(F.col("square") - 2 * F.col("mean") * F.col("moment") + F.pow("mean", F.lit(2.0)) * (F.col("sum") - EPS), F.lit(0.0)) / F.col("sum"))
+    short = rows.withColumn("width", width).groupBy("rec_id").agg(
+        over_speech(F.col("centre")).alias("V_SpectralCentroid_Mean"), over_speech(F.col("centre"), F.stddev_pop).alias("V_SpectralCentroid_Std"), over_speech(F.col("width")).alias("V_SpectralBW_Mean"),
+        over_speech(F.col("entropy")).alias("V_SpectralEntropy_Mean"), over_speech(F.col("entropy"), F.stddev_pop).alias("V_SpectralEntropy_Std"),
+    )
+    db = 10 * F.log10(F.coalesce("voice", "whole") + EPS)
+    level = [F.coalesce(F.avg(F.when((F.col("hertz") >= lo) & (F.col("hertz") < hi), db)), F.lit(-60.0)).alias(f"V_LTAS_{k}") for k, (lo, hi) in enumerate(bands, 1)]
+    long = mean_bins(frames, s).groupBy("rec_id").agg(*level)
+    long = long.withColumn("V_LTAS_LowMidRatio", F.col("V_LTAS_1") - F.col("V_LTAS_3")).withColumn("V_LTAS_MidHighRatio", F.col("V_LTAS_3") - F.col("V_LTAS_5"))
+    return long.join(short, "rec_id")
+
+
+def rhythm_features(mask: DataFrame, seconds: float) -> DataFrame:
+    """``rec_id, V_Rhythm_nPVI, V_Rhythm_VoicedPct, V_Rhythm_SpeechSegVar, V_Rhythm_SilenceSegVar, V_Rhythm_SpeechSilenceRatio`` of
+    ``mask(rec_id, frame, speech)``, ``seconds`` a frame: mean difference of neighbouring speech runs over their mean, share of
+    speech, deviations of both kinds of runs, and speech over silence up to 1000."""
+    r = runs(mask, "speech").withColumn("sec", F.col("length") * seconds)
+    near = F.lag("sec").over(W.partitionBy("rec_id", "speech").orderBy("first"))
+    r = r.withColumn("step", F.when(F.col("speech"), F.abs(F.col("sec") - near)))
+    of = lambda k: F.when(F.col("speech") == k, F.col("sec"))
+    none = F.lit(0.0)
+    length = lambda k: F.coalesce(F.sum(of(k)), none)
+    return r.groupBy("rec_id").agg(
+        F.coalesce(F.avg("step") / (F.avg(of(True)) + EPS), none).alias("V_Rhythm_nPVI"), (length(True) / F.sum("sec")).alias("V_Rhythm_VoicedPct"), F.coalesce(F.stddev_pop(of(True)), none).alias("V_Rhythm_SpeechSegVar"),
+        F.coalesce(F.stddev_pop(of(False)), none).alias("V_Rhythm_SilenceSegVar"), between(length(True) / (length(False) + EPS), 0, 1000).alias("V_Rhythm_SpeechSilenceRatio"),
+    )

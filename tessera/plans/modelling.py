@@ -10,8 +10,10 @@ from ..operators import bags as bg
 from ..operators import components as cp
 from ..operators import families as fm
 from ..operators import models as md
+from ..operators import spectra as sp
 from ..sources import tables as src
 from ..streaming import frames as sf
+from . import signals as sg
 from .registry import query, rounded
 
 NAMES = ["quantity", "discount", "tax"]
@@ -160,6 +162,25 @@ def m17_score_samples(spark, folder):
     return rounded(md.scored(md.load(path), rows, ["x1", "x2", "x3"]).select("row_idx", "p", "quality", (F.col("fold") == 0).alias("held_out")))
 
 
+@query()
+def m17_file_scores(spark, folder):
+    """From WAV files to scores in one job: decoding, levels and spectra of frames, their statistics, and a pipeline that is
+    fitted without fold 0, saved and loaded. Every third recording is labelled good."""
+    decoded = sp.decoded(sg.wav_files(spark, folder)).where("error is null")
+    x = decoded.select("rec_id", sp.normalised(F.col("samples")).alias("samples"))
+    plain, power = sp.framed(x, sg.S), sp.powered(sp.framed(x, sg.S, "zero"), sg.S)
+    found = sp.frame_features(sp.level_measures(plain)).unionByName(sp.frame_features(sp.spectral_measures(power, sg.S)))
+    names = {m: [f"{m}_{c}" for c in ("Mean", "Std", "Median")] for m in ("FrameE", "FrameSNR", "FrameSF", "FrameSE", "FrameSR")}
+    cell = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
+    wide = found.groupBy("rec_id").agg(*[cell(m, n.split("_")[1]) for m, own in names.items() for n in own])
+    features = [n for own in names.values() for n in own]
+    rows = kept(fm.folded(wide.withColumn("label", (F.col("rec_id") % 3 == 0).cast("double")), "rec_id"), "file-features")
+    path = shared_path(spark, "model")
+    train = md.weighted(rows.where("fold <> 0")).fillna(0.0, features)
+    md.save(md.scoring_pipeline(features, md.FAMILIES["forest"]()).fit(train), path)
+    return rounded(md.scored(md.load(path), rows, features).select("rec_id", "p", "quality", (F.col("fold") == 0).alias("held_out")))
+
+
 def _stream(spark, folder, stream, keys):
     base = shared_path(spark, "stream")
     sf.run_to_end(stream, f"{base}/state", f"{base}/out")

@@ -203,3 +203,27 @@ def gf_clinical(spark, folder):
     known = ph.pitch_features(p, mask, P).join(ph.harmonic_features(ph.harmonic_levels(sp.framed(x, P))), "rec_id").join(ph.band_features(spoken(spark, folder), S, _PH), "rec_id")
     known = known.join(shaken, "rec_id", "left").fillna(0.0, ["Jitter", "Shimmer"])
     return rounded(ph.composites(known).join(ph.tremor(p, P.rate / P.hop), "rec_id").join(ph.source_shape(sp.framed(x, P), p, P, 3, LOWEST), "rec_id"))
+
+
+_LTAS = [(0.0, 10.0), (10.0, 30.0), (30.0, 50.0), (50.0, 70.0), (70.0, 90.0)]
+
+
+@query(f"""WITH {PW}, {MB}, l AS (SELECT rec_id, b, 10 * log10(coalesce(v, w) + 1e-12) AS d FROM mb), lt AS (
+  SELECT rec_id, avg(d) FILTER (b = 0) AS l1, avg(d) FILTER (b BETWEEN 1 AND 2) AS l2, avg(d) FILTER (b BETWEEN 3 AND 4) AS l3, avg(d) FILTER (b BETWEEN 5 AND 6) AS l4, avg(d) FILTER (b >= 7) AS l5 FROM l GROUP BY rec_id
+), c AS (SELECT rec_id, frame, sum(p) + 1e-12 AS s, sum(p * 10 * b) / (sum(p) + 1e-12) AS c FROM pw GROUP BY ALL), m AS (SELECT *, coalesce(avg(c) FILTER ({SP}) OVER (PARTITION BY rec_id), avg(c) OVER (PARTITION BY rec_id)) AS m FROM c
+), f AS (SELECT rec_id, frame, any_value(c) AS c, sqrt(sum(p * (10 * b - m) ** 2) / any_value(s)) AS w, -sum(p / s * ln(p / s + 1e-12)) / ln(9) AS e FROM pw JOIN m USING (rec_id, frame) GROUP BY ALL
+), a AS (SELECT rec_id, {_spoken_mean("c")} AS cm, {_spoken_mean("c", "stddev_pop")} AS cs, {_spoken_mean("w")} AS wm, {_spoken_mean("e")} AS em, {_spoken_mean("e", "stddev_pop")} AS es FROM f GROUP BY rec_id
+) SELECT rec_id, round(l1, 5) AS "V_LTAS_1", round(l2, 5) AS "V_LTAS_2", round(l3, 5) AS "V_LTAS_3", round(l4, 5) AS "V_LTAS_4", round(l5, 5) AS "V_LTAS_5", round(l1 - l3, 5) AS "V_LTAS_LowMidRatio", round(l3 - l5, 5) AS "V_LTAS_MidHighRatio",
+  round(cm, 5) AS "V_SpectralCentroid_Mean", round(cs, 5) AS "V_SpectralCentroid_Std", round(wm, 5) AS "V_SpectralBW_Mean", round(em, 5) AS "V_SpectralEntropy_Mean", round(es, 5) AS "V_SpectralEntropy_Std" FROM lt JOIN a USING (rec_id)""")
+def fv_distribution(spark, folder):
+    """Long-term levels and spectral identity (§2.11)."""
+    return rounded(ql.long_term(spoken(spark, folder), S, _LTAS), 5)
+
+
+@query(f"""WITH {FR}, g AS (SELECT rec_id, frame, speech, row_number() OVER (PARTITION BY rec_id ORDER BY frame) - row_number() OVER (PARTITION BY rec_id, speech ORDER BY frame) AS g FROM fr
+), r AS (SELECT rec_id, speech, min(frame) AS first, count(*) / 100 AS sec FROM g GROUP BY rec_id, speech, g), d AS (SELECT *, CASE WHEN speech THEN abs(sec - lag(sec) OVER (PARTITION BY rec_id, speech ORDER BY first)) END AS step FROM r)
+SELECT rec_id, round(coalesce(avg(step) / (avg(sec) FILTER (speech) + 1e-12), 0), 6) AS "V_Rhythm_nPVI", round(coalesce(sum(sec) FILTER (speech), 0) / sum(sec), 6) AS "V_Rhythm_VoicedPct", round(coalesce(stddev_pop(sec) FILTER (speech), 0), 6) AS "V_Rhythm_SpeechSegVar",
+  round(coalesce(stddev_pop(sec) FILTER (NOT speech), 0), 6) AS "V_Rhythm_SilenceSegVar", round(least(coalesce(sum(sec) FILTER (speech), 0) / (coalesce(sum(sec) FILTER (NOT speech), 0) + 1e-12), 1000), 6) AS "V_Rhythm_SpeechSilenceRatio" FROM d GROUP BY rec_id""")
+def fv_rhythm_features(spark, folder):
+    """Rhythm (§2.11): runs of speech and silence in seconds."""
+    return rounded(ql.rhythm_features(src.frames(spark, folder).select("rec_id", "frame", "speech"), 0.01))

@@ -24,15 +24,8 @@ def recordings(spark, folder) -> DataFrame:
     return rows.select("rec_id", F.transform("x", lambda v: (v["value"] - 50) / 500).alias("samples"))
 
 
-def power(spark, folder) -> DataFrame:
-    return sp.powered(sp.framed(recordings(spark, folder), S, "zero"), S).select("rec_id", "frame", "power")
-
-
-
-
-@query(f"WITH {FR}, v AS (SELECT rec_id, frame, floor(value)::BIGINT AS v FROM fr) SELECT rec_id, count(*) AS n, round(sum((v * 2 - 7) / 2 / 32768), 9) AS mean_sum, round(sum(v / 32768), 9) AS first_sum, round(max((v * 2 - 7) / 2 / 32768), 9) AS peak FROM v GROUP BY rec_id")
-def o1_decoded_recordings(spark, folder):
-    """O1, O2: two-channel 16-bit WAV files made of event values, decoded with averaged and with first channels."""
+def wav_files(spark, folder) -> DataFrame:
+    """``rec_id, content``: two-channel 16-bit WAV files of 16 kHz made of a user's event values, the second channel 7 lower."""
     little = lambda c: F.concat(F.substring(F.lpad(F.hex(c), 16, "0"), 15, 2), F.substring(F.lpad(F.hex(c), 16, "0"), 13, 2))
     wide = lambda c: F.concat(little(c), F.substring(F.lpad(F.hex(c), 16, "0"), 11, 2), F.substring(F.lpad(F.hex(c), 16, "0"), 9, 2))
     v = F.floor("value").cast("long")
@@ -42,7 +35,17 @@ def o1_decoded_recordings(spark, folder):
     head = lambda text: F.hex(F.lit(text))
     form = "10000000" + "0100" + "0200" + "803E0000" + "00FA0000" + "0400" + "1000"  # 16 bytes: PCM, 2 channels, 16 kHz, 64,000 bytes a second, 4 bytes, 16 bits
     content = F.unhex(F.concat(head("RIFF"), wide(size + 36), head("WAVE"), head("fmt "), F.lit(form), head("data"), wide(size), "data"))
-    files = files.select("rec_id", content.alias("content"))
+    return files.select("rec_id", content.alias("content"))
+
+
+def power(spark, folder) -> DataFrame:
+    return sp.powered(sp.framed(recordings(spark, folder), S, "zero"), S).select("rec_id", "frame", "power")
+
+
+@query(f"WITH {FR}, v AS (SELECT rec_id, frame, floor(value)::BIGINT AS v FROM fr) SELECT rec_id, count(*) AS n, round(sum((v * 2 - 7) / 2 / 32768), 9) AS mean_sum, round(sum(v / 32768), 9) AS first_sum, round(max((v * 2 - 7) / 2 / 32768), 9) AS peak FROM v GROUP BY rec_id")
+def o1_decoded_recordings(spark, folder):
+    """O1, O2: two-channel 16-bit WAV files made of event values, decoded with averaged and with first channels."""
+    files = wav_files(spark, folder)
     mean = sp.decoded(files).select("rec_id", F.size("samples").cast("long").alias("n"), sp.total(F.col("samples")).alias("mean_sum"), F.array_max("samples").alias("peak"))
     first = sp.decoded(files, mono="first").select("rec_id", sp.total(F.col("samples")).alias("first_sum"))
     return rounded(mean.join(first, "rec_id"), 9)
