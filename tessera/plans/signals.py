@@ -108,9 +108,10 @@ def fr_cepstral_peak(spark, folder):
 
 
 BANDS, KEEP = 5, 4
-_FILTERS = ", ".join(f"({k}, {b}, {w!r})" for k, row in enumerate(sp.mel_filters(S, BANDS, 5.0, 80.0).tolist()) for b, w in enumerate(row))
+#: Triangles of equal area by their formula: below 1 kHz, as here, their corners are even in hertz.
+_FILTERS = f"SELECT m, b, greatest(0, least((10 * b - l) / (c - l), (r - 10 * b) / (r - c))) * 2 / (r - l) AS f FROM (SELECT m, 5 + 75 * m / {BANDS + 1} AS l, 5 + 75 * (m + 1) / {BANDS + 1} AS c, 5 + 75 * (m + 2) / {BANDS + 1} AS r FROM (SELECT unnest(range({BANDS})) AS m)), (SELECT unnest(range(9)) AS b)"
 _NEAR = "PARTITION BY rec_id, k ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING"
-_MFCC = f"""WITH {PW}, mf(m, b, f) AS (VALUES {_FILTERS}), me AS (
+_MFCC = f"""WITH {PW}, mf AS ({_FILTERS}), me AS (
   SELECT rec_id, frame, m, 10 * log10(greatest(sum(p * f), 1e-10)) AS d FROM pw JOIN mf USING (b) GROUP BY ALL
 ), fl AS (SELECT rec_id, frame, m, greatest(d, max(d) OVER (PARTITION BY rec_id) - 80) AS d FROM me), ce AS (
   SELECT rec_id, frame, k, sum(d * cos(pi() * k * (m + 0.5) / {BANDS}) * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / {BANDS})) AS c FROM fl CROSS JOIN (SELECT unnest(range({KEEP})) AS k) GROUP BY ALL
