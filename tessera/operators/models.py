@@ -28,6 +28,22 @@ def perceptron(inputs: int) -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(layers=[inputs, 16, 2], seed=42, maxIter=50)
 
 
+def fourier_features(rows: DataFrame, names: list[str], dims: int = 128, gamma: float | None = None, seed: int = 42) -> DataFrame:
+    """M8: ``rows`` with ``features``, a vector of ``dims`` random Fourier features of the standardised columns: their products
+    tend to the radial kernel ``exp(-gamma d^2)``, so a linear machine on them is a kernel machine whose cost grows with the
+    rows and not with their square. ``gamma``: one over the number of columns unless given."""
+    import numpy as np
+
+    from .spectra import transformed
+
+    rng = np.random.default_rng(seed)
+    w = rng.standard_normal((len(names), dims)) * np.sqrt(2 * (gamma or 1 / len(names)))
+    b = rng.uniform(0, 2 * np.pi, dims)
+    z = standardised(rows, names).withColumn("fourier_in", vector_to_array("features")).drop("features")
+    out = transformed(z, "fourier_in", "fourier", lambda x: np.sqrt(2 / dims) * np.cos(x @ w + b))
+    return out.withColumn("features", array_to_vector("fourier")).drop("fourier_in", "fourier")
+
+
 def standardised(rows: DataFrame, names: list[str]) -> DataFrame:
     """M9: ``features`` as a vector of the columns less their means, divided by population deviations (1 for constants)."""
     stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names])

@@ -130,9 +130,11 @@ def m8_model_families(spark, folder):
     from ..operators.evaluation import roc_auc
 
     data = kept(VectorAssembler(inputCols=["x1", "x2", "x3"], outputCol="features").transform(md.weighted(_folded(spark, folder))).select("label", "weight", "features", "fold"), "folded")
+    radial = kept(md.fourier_features(md.weighted(_folded(spark, folder)), ["x1", "x2", "x3"]).select("label", "weight", "features", "fold"), "folded")
     out = None
-    for name, make in (md.FAMILIES | {"perceptron": lambda: md.perceptron(3)}).items():
-        raw = make().fit(data.where("fold <> 0")).transform(data.where("fold = 0"))
+    for name, make in (md.FAMILIES | {"perceptron": lambda: md.perceptron(3), "radial_svm": md.FAMILIES["linear_svm"]}).items():
+        rows = radial if name == "radial_svm" else data
+        raw = make().fit(rows.where("fold <> 0")).transform(rows.where("fold = 0"))
         one = roc_auc(raw.select("label", md.vector_to_array("rawPrediction")[1].alias("score")), []).withColumn("family", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return rounded(out.select("family", "auc"))

@@ -5,6 +5,7 @@ import pytest
 
 from tessera.operators import bags
 from tessera.operators import components as cp
+from tessera.operators import models
 
 
 def rows_of(spark, x):
@@ -112,3 +113,19 @@ def test_bags_leave_rows_out_and_count_their_votes(spark):
     line = spark.createDataFrame([(10, 0.9, 0.1), (200, 0.9, 0.0952), (300, 0.9, 0.0949), (500, 0.9, 0.0945)], "trees int, oob_accuracy double, oob_error double")
     assert [r.trees for r in bags.convergence(line).where("converged").collect()] == [200]
     assert [r.trees for r in bags.convergence(line.where("trees < 200")).where("converged").collect()] == [10]
+
+
+def test_fourier_features_approach_the_radial_kernel_and_part_what_lines_cannot(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    rows = spark.createDataFrame([(float(t), 1.0, *map(float, v)) for t, v in zip(y, x, strict=True)], "label double, weight double, a double, b double")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    got = models.fourier_features(rows, ["a", "b"], dims=4096)
+    f = np.array([r.features.toArray() for r in got.collect()])
+    kernel = np.exp(-0.5 * np.square(z[:, None] - z[None]).sum(axis=2))
+    assert np.abs(f @ f.T - kernel).max() < 0.12
+    few = models.fourier_features(rows, ["a", "b"], dims=64, gamma=1.0).cache()
+    right = lambda m, d: m.fit(d).transform(d).where("prediction = label").count() / 400
+    plain = models.standardised(rows, ["a", "b"])
+    assert right(models.FAMILIES["linear_svm"](), few) > 0.9 > 0.75 > right(models.FAMILIES["linear_svm"](), plain)
