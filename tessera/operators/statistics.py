@@ -168,21 +168,45 @@ def varying(long: DataFrame) -> DataFrame:
     return long.groupBy("feature").agg(F.stddev_pop("value").alias("std")).where("std > 1e-12")
 
 
+def _average_ranks(long: DataFrame, name: str) -> DataFrame:
+    """``feature, value, name``: the rank of each distinct value of a feature, ties sharing their mean rank."""
+    r = ranked_values(long)
+    return r.select("feature", "value", (F.col("upto") - (F.col("c") - 1) / 2.0).alias(name))
+
+
 def spearman_to_targets(long: DataFrame, targets: DataFrame, names: list[str]) -> DataFrame:
     """M1: rank correlation of each feature with each target column, 0 for constants or fewer than ten rows, and its mean
-    and mean absolute value."""
+    and mean absolute value, over the rows that have both; ``long`` has a row and feature once, ``targets`` a row once.
+
+    Where every feature has a value in every row that has all targets, as one count tells, ranks do not depend on the pair:
+    features and targets are ranked once each and joined by row. Else they are ranked for each pair."""
+    known = F.lit(True)
+    for n in names:
+        known = known & F.col(n).isNotNull()
+    n_rows, n_whole = targets.agg(F.count("*"), F.count_if(known)).head()
+    counts = [r["count"] for r in long.where("value is not null").join(targets.select("row_idx"), "row_idx", "left_semi").groupBy("feature").count().collect()]  # a row a feature
+    if n_rows == n_whole and all(c == n_rows for c in counts):
+        return _spearman_of_whole(long.join(targets.select("row_idx"), "row_idx", "left_semi"), targets, names)
     both = long.join(targets, "row_idx")
     t = both.unpivot(["row_idx", "feature", "value"], names, "target", "y").where("y is not null and value is not null")
     t = t.select("feature", "target", F.col("value").alias("x"), "y", F.concat_ws("|", "feature", "target").alias("g"))
-
-    def ranks(column: str, name: str) -> DataFrame:
-        r = ranked_values(t.select(F.col("g").alias("feature"), F.col(column).alias("value")))
-        return r.select(F.col("feature").alias("g"), F.col("value").alias(column), (F.col("upto") - (F.col("c") - 1) / 2.0).alias(name))
-
+    ranks = lambda column, name: _average_ranks(t.select(F.col("g").alias("feature"), F.col(column).alias("value")), name).withColumnsRenamed({"feature": "g", "value": column})
     ranked = t.join(ranks("x", "rx"), ["g", "x"]).join(ranks("y", "ry"), ["g", "y"])
     rho = ranked.groupBy("feature", "target").agg(F.when(F.count("*") < 10, 0.0).otherwise(correlation(F.col("rx"), F.col("ry"))).alias("rho"))
-    wide = rho.groupBy("feature").agg(*[F.max(F.when(F.col("target") == n, F.col("rho"))).alias(f"rho_{n}") for n in names], F.avg("rho").alias("mean_rho"), F.avg(F.abs("rho")).alias("mean_abs_rho"))
-    return wide
+    return rho.groupBy("feature").agg(*[F.max(F.when(F.col("target") == n, F.col("rho"))).alias(f"rho_{n}") for n in names], F.avg("rho").alias("mean_rho"), F.avg(F.abs("rho")).alias("mean_abs_rho"))
+
+
+def _spearman_of_whole(long: DataFrame, targets: DataFrame, names: list[str]) -> DataFrame:
+    x = long.select("row_idx", "feature", "value").join(_average_ranks(long.select("feature", "value"), "rx"), ["feature", "value"]).select("row_idx", "feature", "rx")
+    own = targets.select("row_idx", *[F.col(n).cast("double").alias(n) for n in names])
+    ranks = _average_ranks(own.unpivot(["row_idx"], names, "feature", "value").select("feature", "value"), "ry")
+    for n in names:
+        own = own.join(ranks.where(F.col("feature") == n).select(F.col("value").alias(n), F.col("ry").alias(f"r_{n}")), n)
+    both = x.join(own.select("row_idx", *[f"r_{n}" for n in names]), "row_idx")
+    rho = both.groupBy("feature").agg(*[F.when(F.count("*") < 10, 0.0).otherwise(correlation(F.col("rx"), F.col(f"r_{n}"))).alias(f"rho_{n}") for n in names])
+    of = [F.col(f"rho_{n}") for n in names]
+    mean = lambda cs: sum(cs[1:], cs[0]) / len(cs)
+    return rho.select("feature", *of, mean(of).alias("mean_rho"), mean([F.abs(c) for c in of]).alias("mean_abs_rho"))
 
 
 def correlation_matrix(long: DataFrame, other: DataFrame | None = None) -> DataFrame:

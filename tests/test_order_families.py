@@ -148,3 +148,28 @@ def test_projection_and_saved_model(spark, families, tmp_path):
     md.save(model, f"file://{tmp_path}/model")
     one, two = (md.scored(m, families, ["a", "b"]).select("id", "p").orderBy("id").collect() for m in (model, md.load(f"file://{tmp_path}/model")))
     assert one == two
+
+
+@pytest.mark.parametrize("holes", [False, True])
+def test_rank_correlations_with_and_without_holes(spark, holes):
+    """Whole tables rank features and targets once; with nulls every pair has its own rows."""
+    from tessera.operators import statistics as st
+
+    rng = np.random.default_rng(7)
+    n = 80
+    data = {"a": rng.integers(0, 9, n).astype(float), "b": rng.standard_normal(n), "flat": np.ones(n)}
+    y = {"y1": data["a"] + rng.standard_normal(n), "y2": rng.integers(0, 4, n).astype(float)}
+    gone = lambda f, i: holes and (f == "b" and i % 7 == 0 or f == "y2" and i % 5 == 0)
+    long = spark.createDataFrame([(i, f, None if gone(f, i) else float(v)) for f, x in data.items() for i, v in enumerate(x)], "row_idx int, feature string, value double")
+    targets = spark.createDataFrame([(i, float(y["y1"][i]), None if gone("y2", i) else float(y["y2"][i])) for i in range(n)], "row_idx int, y1 double, y2 double")
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    def rho(f, t):
+        keep = [i for i in range(n) if not gone(f, i) and not gone(t, i)]
+        p, q = rank(data[f][keep]), rank(y[t][keep])
+        return 0.0 if p.std() == 0 or q.std() == 0 else np.corrcoef(p, q)[0, 1]
+
+    got = {r.feature: r for r in st.spearman_to_targets(long, targets, ["y1", "y2"]).collect()}
+    for f in data:
+        want = [rho(f, "y1"), rho(f, "y2")]
+        assert np.allclose([got[f].rho_y1, got[f].rho_y2, got[f].mean_rho, got[f].mean_abs_rho], [*want, np.mean(want), np.mean(np.abs(want))]), f
