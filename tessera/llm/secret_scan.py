@@ -65,19 +65,19 @@ def windows(run: str, size: int, bits: float, kinds: int) -> list[tuple[int, int
     # entropy is log2(size) - sum / size, in units of UNIT
     most = WEIGHT[size] - round(bits * size * UNIT)
     counts, held, mixed = dict.fromkeys(run, 0), 0, [0, 0, 0, 0]
-    kind = [0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in run]
+    kind = {c: 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in counts}
     out: list[tuple[int, int]] = []
     for i, c in enumerate(run):
         n = counts[c]
         held += WEIGHT[n + 1] - WEIGHT[n]
         counts[c] = n + 1
-        mixed[kind[i]] += 1
+        mixed[kind[c]] += 1
         if i >= size:
             c = run[i - size]
             n = counts[c]
             held -= WEIGHT[n] - WEIGHT[n - 1]
             counts[c] = n - 1
-            mixed[kind[i - size]] -= 1
+            mixed[kind[c]] -= 1
         if i >= size - 1 and held <= most and (mixed[0] > 0) + (mixed[1] > 0) + (mixed[2] > 0) >= kinds:
             start = i + 1 - size
             if out and out[-1][1] >= start:
