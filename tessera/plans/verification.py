@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.semantics import correlation, dot, norm, ratio, unit
+from ..functions.semantics import correlation, norm, ratio, unit
 from ..functions.storage import kept
 from ..operators import evaluation as ev
 from ..operators import labels as lb
