@@ -176,17 +176,19 @@ def _average_ranks(long: DataFrame, name: str) -> DataFrame:
 
 def spearman_to_targets(long: DataFrame, targets: DataFrame, names: list[str]) -> DataFrame:
     """M1: rank correlation of each feature with each target column, 0 for constants or fewer than ten rows, and its mean
-    and mean absolute value, over the rows that have both; ``long`` has a row and feature once, ``targets`` a row once.
+    and mean absolute value, over the rows that have both; a row that either table has several times is joined as often.
 
-    Where every feature has a value in every row that has all targets, as one count tells, ranks do not depend on the pair:
-    features and targets are ranked once each and joined by row. Else they are ranked for each pair."""
+    Where every feature has one value in every row and every row has all targets once, as counts tell, ranks do not depend on
+    the pair: features and targets are ranked once each and joined by row. Else they are ranked for each pair."""
     known = F.lit(True)
     for n in names:
         known = known & F.col(n).isNotNull()
-    n_rows, n_whole = targets.agg(F.count("*"), F.count_if(known)).head()
-    counts = [r["count"] for r in long.where("value is not null").join(targets.select("row_idx"), "row_idx", "left_semi").groupBy("feature").count().collect()]  # a row a feature
-    if n_rows == n_whole and all(c == n_rows for c in counts):
-        return _spearman_of_whole(long.join(targets.select("row_idx"), "row_idx", "left_semi"), targets, names)
+    n_rows, n_whole, n_keys = targets.agg(F.count("*"), F.count_if(known), F.count_distinct("row_idx")).head()
+    if n_rows == n_whole == n_keys:
+        matched = long.where("value is not null").join(targets.select("row_idx"), "row_idx", "left_semi")
+        cells = matched.groupBy("feature", "row_idx").agg(F.count("*").alias("c")).groupBy("feature").agg(F.count("*").alias("rows"), F.max("c").alias("most"))
+        if cells.where((F.col("rows") < n_rows) | (F.col("most") > 1)).isEmpty():
+            return _spearman_of_whole(matched, targets, names)
     both = long.join(targets, "row_idx")
     t = both.unpivot(["row_idx", "feature", "value"], names, "target", "y").where("y is not null and value is not null")
     t = t.select("feature", "target", F.col("value").alias("x"), "y", F.concat_ws("|", "feature", "target").alias("g"))

@@ -173,3 +173,7 @@ def test_rank_correlations_with_and_without_holes(spark, holes):
     for f in data:
         want = [rho(f, "y1"), rho(f, "y2")]
         assert np.allclose([got[f].rho_y1, got[f].rho_y2, got[f].mean_rho, got[f].mean_abs_rho], [*want, np.mean(want), np.mean(np.abs(want))]), f
+    # rows that a table has twice are joined and ranked as often
+    twice = st.spearman_to_targets(long.where("feature = 'a'"), targets.unionByName(targets.where("row_idx < 20")), ["y1"]).head()
+    i = np.append(np.arange(n), np.arange(20))
+    assert abs(twice.rho_y1 - np.corrcoef(rank(data["a"][i]), rank(y["y1"][i]))[0, 1]) < 1e-9
