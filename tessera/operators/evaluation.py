@@ -22,6 +22,10 @@ def count_if(c: Column) -> Column:
     return F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
 
 
+def total_if(n: Column, c: Column) -> Column:
+    return F.coalesce(F.sum(F.when(c, n).otherwise(0)), F.lit(0)).cast("long")
+
+
 def error_rates(pairs: DataFrame, tau: float) -> DataFrame:
     """Shares of genuine scores below and of impostor scores at or above ``tau``; null on an empty side."""
     gen, imp = F.col("genuine") == 1, F.col("genuine") == 0
@@ -46,7 +50,13 @@ def reject_curve(pairs: DataFrame, fnmr: float, keys: list[str]) -> DataFrame:
     cells = cells.groupBy(*keys, "t").agg(
         count_if(gen).alias("g"), count_if(imp).alias("i"), count_if(gen & (F.col("score") < F.col("tau"))).alias("ge"), count_if(imp & (F.col("score") >= F.col("tau"))).alias("ie")
     )
-    grid = tau.select(*keys, F.explode(F.sequence(F.lit(-1), F.lit(100))).alias("t"))
+    return curve_of(cells, tau, keys)
+
+
+def curve_of(cells: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
+    """The curve of counts ``*keys, t, g, i, ge, ie``: genuine and impostor pairs of quality t, those in error; a row set for
+    each key of ``present``."""
+    grid = present.select(*keys, F.explode(F.sequence(F.lit(-1), F.lit(100))).alias("t"))
     above = W.partitionBy(*keys).orderBy(F.desc("t"))
     total = W.partitionBy(*keys)
     dense = grid.join(cells, [*keys, "t"], "left").fillna(0, ["g", "i", "ge", "ie"])
@@ -95,6 +105,13 @@ def det(pairs: DataFrame, keys: list[str], points: int = 500) -> DataFrame:
     guess = F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("lo"), step)), F.lit(points - 1))
     rows = rows.withColumn("g", guess).withColumn("reached", F.least(F.lit(points), F.col("g") + 1 + F.when(F.col("score") >= at(F.col("g") + 1), 1).otherwise(0) - F.when(F.col("score") < at(F.col("g")), 1).otherwise(0)))
     cells = rows.groupBy(*keys, "reached").agg(count_if(F.col("genuine") == 1).alias("g"), count_if(F.col("genuine") == 0).alias("m"))
+    return det_of(ends, cells, keys, points)
+
+
+def det_of(ends: DataFrame, cells: DataFrame, keys: list[str], points: int = 500) -> DataFrame:
+    """The tradeoff from the ends ``*keys, lo, hi`` and counts ``*keys, reached, g, m`` by how many thresholds are reached."""
+    step = (F.col("hi") - F.col("lo")) / (points - 1)
+    at = lambda i: F.col("lo") + i * step
     grid = ends.withColumn("reached", F.explode(F.sequence(F.lit(0), F.lit(points)))).withColumn("threshold", at(F.col("reached")))
     dense = grid.join(cells, [*keys, "reached"], "left").fillna(0, ["g", "m"])
     upto, total = W.partitionBy(*keys).orderBy("reached"), W.partitionBy(*keys)
