@@ -188,11 +188,12 @@ def formants(recordings: DataFrame, rate: int = 16000, top: float = 5500.0, wind
     return rows.select("rec_id", "frame", *[F.nanvl(F.get("found", k), F.lit(None).cast("double")).alias(n) for k, n in enumerate(names)])
 
 
-def formant_features(tracks: DataFrame) -> DataFrame:
+def formant_features(tracks: DataFrame, positive: bool = True) -> DataFrame:
     """``rec_id, F1_Mean, F2_Mean, F3_Mean, FormantDispersion, F1_BW, F2_BW, F3_BW``; what no frame has takes the neutral
-    tract's values (500, 1500, 2500, bandwidths of 100)."""
+    tract's values (500, 1500, 2500, bandwidths of 100). ``positive``: only formants above 0 are taken, else all that are
+    not null; bandwidths are those of formants above 0 either way."""
     neutral = dict(f1=500.0, f2=1500.0, f3=2500.0, b1=100.0, b2=100.0, b3=100.0)
-    a = tracks.groupBy("rec_id").agg(*[F.coalesce(F.avg(F.when(F.col("f" + c[1]) > 0, F.col(c))), F.lit(v)).alias(c) for c, v in neutral.items()])
+    a = tracks.groupBy("rec_id").agg(*[F.coalesce(F.avg(F.when((F.col("f" + c[1]) > 0) | F.lit(c[0] == "f" and not positive), F.col(c))), F.lit(v)).alias(c) for c, v in neutral.items()])
     means, wide = [F.col(f"f{k}").alias(f"F{k}_Mean") for k in (1, 2, 3)], [F.col(f"b{k}").alias(f"F{k}_BW") for k in (1, 2, 3)]
     return a.select("rec_id", *means, ((F.col("f3") - F.col("f1")) / 2).alias("FormantDispersion"), *wide)
 

@@ -283,3 +283,19 @@ def test_decay_of_known_time(spark, seconds):
     assert got[3].RT60_Est == 160 / 16000 and got[3].DecayTime is None
     c = {r.rec_id: r.C50_Est for r in voice.clarity(rows).collect()}
     assert abs(c[1] - 10 * np.log10((x[:800] ** 2).sum() / (x[800:] ** 2).sum())) < 1e-9 and c[3] == -30 and abs(c[2] - 10 * np.log10(800 / 1200)) < 1e-9
+
+
+def test_formant_means_of_high_values_equal_sql(spark, tmp_path):
+    """Event values above 750 make second formants below 0, which the SQL's mean takes and its bandwidth leaves out."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    at = str(tmp_path / "events.parquet")
+    with duckdb.connect() as c:
+        c.sql(f"""COPY (SELECT k AS event_id, k % 3 AS user_id, TIMESTAMP '2024-01-01' + k * INTERVAL 1 SECOND AS ts, CASE k % 5 WHEN 0 THEN 'error' ELSE 'view' END AS event_type,
+          CASE WHEN k % 7 = 0 OR k % 3 = 2 THEN 790.0 ELSE 50.0 + k END AS value FROM range(60) t(k)) TO '{at}' (FORMAT parquet)""")
+        c.sql(f"CREATE VIEW events AS SELECT * FROM '{at}'")
+        want = c.sql(entry.oracle_sql()["gf_formant_means"]).df().set_index("rec_id").sort_index()
+    got = entry.queries()["gf_formant_means"](spark, str(tmp_path)).toPandas().set_index("rec_id").sort_index()
+    assert (abs(got[want.columns] - want) < 2e-6).all().all()
