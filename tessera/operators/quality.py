@@ -56,7 +56,9 @@ def spectral_quality(frames: DataFrame, s: Signal, split: float = 1000.0) -> Dat
         F.coalesce(F.regr_slope(10 * F.log10(F.col("p") + EPS), "hertz"), F.lit(0.0)).alias("LTAS_Slope"), (10 * F.log10(below(F.col("hertz") < split) / below(F.col("hertz") >= split))).alias("LTAS_Tilt"),
         moment(3).alias("SpectralSkewness"), (moment(4) - 3).alias("SpectralKurtosis"), (F.max("p") / (F.avg("p") + EPS)).alias("SpectralCrest"),
     )
-    m = spectral_measures(frames, s).join(frames.select("rec_id", "frame", "speech"), ["rec_id", "frame"])
+    m = spectral_measures(frames, s)
+    # a frame's measures have 6 places, as SQL gives them to the means
+    m = m.select("rec_id", "frame", "FrameSR", *[F.round(c, 6).alias(c) for c in ("FrameSFlux", "FrameSE", "Centroid")]).join(frames.select("rec_id", "frame", "speech"), ["rec_id", "frame"])
     first = F.col("frame") == F.min("frame").over(whole)
     m = m.withColumn("flux", F.when(~first, F.col("FrameSFlux")))
     none = F.lit(0.0)

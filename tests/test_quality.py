@@ -153,3 +153,18 @@ def test_harmonic_levels_composites_and_source_shape(spark, recordings):
     flow = np.cumsum([np.convolve(row, f)[:64] for row, f in zip(x, a, strict=True)], axis=1)[:, :16]
     assert abs(got[1].V_OQ - (flow > 0).mean(axis=1).mean()) < 1e-9 and abs(got[1].V_CQ + got[1].V_OQ - 1) < 1e-12
     assert tuple(got[2])[1:] == (0.5, 0.5, 1.0, 1.0, 0.5, 1.0)
+
+
+def test_spectral_quality_takes_rounded_frames(spark):
+    """Means of frames' measures, rounded to 6 places first, in every row of a table where that tells in the fifth place."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.01"
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+        want = c.sql(entry.oracle_sql()["gf_spectral_quality"]).df().set_index("rec_id").sort_index()
+    got = entry.queries()["gf_spectral_quality"](spark, folder).toPandas().set_index("rec_id").sort_index()
+    # an exact half in the sixth place may go either way; the deviations are small, where that would be more
+    assert (abs(got[want.columns] - want) <= 2e-6 * abs(want) + 1e-9).all().all()
