@@ -199,3 +199,17 @@ def test_rank_correlations_shuffle_values_and_not_rows(spark):
         want = [rho(c, a), rho(c[some], b[some])]
         assert np.allclose([got[f].rho_y, got[f].rho_z, got[f].mean_rho, got[f].mean_abs_rho], [*want, np.mean(want), np.mean(np.abs(want))]), f
     assert (got["few"].rho_y, got["few"].rho_z, got["few"].mean_rho) == (0.0, None, 0.0) and "none" not in got
+
+
+def test_boosting_on_cells_is_boosting_on_rows(spark):
+    """Boosted trees see a row per distinct vector, however many rows there are, and err as those fitted on all rows."""
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float(3 * a - b + rng.standard_normal()), int(k % 5)) for k, (a, b) in enumerate(zip(rng.integers(0, 6, 1500), rng.integers(0, 5, 1500), strict=True))]
+    data = md.VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, t double, fold int"))
+    train = data.where("fold <> 0")
+    held = md.cells(train, "t").collect()
+    assert len(held) == 30 and sum(r.weight for r in held) == train.count()
+    got = {r.family: r for r in md.regressor_errors(data.select("features", "t", "fold"), "t").collect()}
+    whole = md.REGRESSORS["boosting"]().setLabelCol("t").fit(train).transform(data.where("fold = 0")).select("t", "prediction").collect()
+    assert got["boosting"].n == len(whole) == 300
+    assert abs(got["boosting"].rmse - np.sqrt(np.mean([(r.t - r.prediction) ** 2 for r in whole]))) < 1e-9
