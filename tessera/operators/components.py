@@ -144,14 +144,15 @@ def independent(rows: DataFrame, names: list[str], k: int, steps: int = 200, tol
 # --- eigenvalues by chance
 
 
-def chance_eigenvalues(rows: DataFrame, names: list[str], draws: int = 100, seed: int = 1, block: int | None = None) -> np.ndarray:
-    """Eigenvalues (draws by features, descending) of the correlation of rows whose columns are permuted one by one.
+def chance_eigenvalues(rows: DataFrame, names: list[str], draws: int = 100, seed: int = 1, block: int | None = None, known: tuple[int, np.ndarray] | None = None) -> np.ndarray:
+    """Eigenvalues (draws by features, descending) of the correlation of rows whose columns are permuted one by one. ``known``:
+    the number of rows and their means, where the caller has them.
 
     Rows are dealt to random blocks of about ``block`` rows (four million values unless given), so that none is hot, and
     columns are permuted inside a block, all draws in one pass: rows that fit a block are permuted as a whole, of more rows
     each value still meets random others."""
     p = len(names)
-    n, mean, _ = covariance(rows, names)
+    n, mean = known or covariance(rows, names)[:2]
     if not n:
         return np.zeros((draws, p))
     blocks = max(1, -(-n // (block or max(1000, (1 << 22) // p))))
@@ -161,10 +162,11 @@ def chance_eigenvalues(rows: DataFrame, names: list[str], draws: int = 100, seed
             for number, values in zip(batch.column("b").to_pylist(), batch.column("xs"), strict=True):
                 x = values.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
                 x = x[np.lexsort(x.T[::-1])] - mean  # whatever the order in which the rows came
+                x = np.ascontiguousarray(x.T)  # a column's values lie together, for permuting goes all over them
                 rng, out = np.random.default_rng([seed, number]), np.empty((draws, p, p))
                 for d in range(draws):
-                    y = rng.permuted(x, axis=0)
-                    out[d] = y.T @ y
+                    y = rng.permuted(x, axis=1)
+                    out[d] = y @ y.T
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.reshape(-1))], ["at", "v"])
 
     x = rows.select(*names).dropna().select(F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
@@ -178,8 +180,9 @@ def chance_eigenvalues(rows: DataFrame, names: list[str], draws: int = 100, seed
 def parallel_analysis(rows: DataFrame, names: list[str], draws: int = 100, seed: int = 1, block: int | None = None) -> DataFrame:
     """``component, eigenvalue, chance, retained``: eigenvalues of the correlation matrix against the 95th percentile of
     those by chance."""
-    real = np.sort(np.linalg.eigvalsh(scaled(covariance(rows, names)[2])))[::-1]
-    limit = np.percentile(chance_eigenvalues(rows, names, draws, seed, block), 95, axis=0)
+    n, mean, cov = covariance(rows, names)
+    real = np.sort(np.linalg.eigvalsh(scaled(cov)))[::-1]
+    limit = np.percentile(chance_eigenvalues(rows, names, draws, seed, block, (n, mean)), 95, axis=0)
     return rows.sparkSession.createDataFrame([(k + 1, float(a), float(b), bool(a > b)) for k, (a, b) in enumerate(zip(real, limit, strict=True))], "component int, eigenvalue double, chance double, retained boolean")
 
 

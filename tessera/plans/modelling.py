@@ -207,8 +207,8 @@ DIMENSIONS = [f"e{k:02d}" for k in range(64)]
 
 
 def _dimensions(spark, folder):
-    """Embeddings as rows of 64 features."""
-    return src.embeddings(spark, folder).select(*[F.get("v", k).alias(n) for k, n in enumerate(DIMENSIONS)])
+    """Embeddings as rows of 64 features. Each is cast by itself: one taken out of a cast array casts the array anew."""
+    return src.table(spark, folder, "embeddings").select(*[F.get("embedding", k).cast("double").alias(n) for k, n in enumerate(DIMENSIONS)])
 
 
 @query("WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS k FROM embeddings) SELECT 'e' || lpad(a.k::VARCHAR, 2, '0') AS a, 'e' || lpad(b.k::VARCHAR, 2, '0') AS b, round(corr(a.v, b.v), 6) AS r FROM e a JOIN e b USING (vec_id) WHERE a.k < b.k GROUP BY a.k, b.k")

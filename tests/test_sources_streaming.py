@@ -64,6 +64,17 @@ def test_parallel_analysis_counts_the_real_components(spark):
         assert np.allclose([r.eigenvalue for r in found], np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1])
 
 
+def test_features_of_embeddings_cast_numbers_and_not_arrays(spark, small):
+    """64 features out of one array: no feature casts the whole array, and all values are those of the array."""
+    from tessera.plans import modelling as ml
+    from tessera.sources import tables as src
+
+    d = ml._dimensions(spark, small)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<double>" not in plan and "as double" in plan
+    assert sorted(tuple(r) for r in d.collect()) == sorted(tuple(r.v) for r in src.embeddings(spark, small).collect())
+
+
 def test_streams_drop_late_events_and_agree_with_batch(spark, tmp_path):
     events = tmp_path / "in"
     day = lambda d, h=0: dt.datetime(2024, 1, d, h)
