@@ -11,6 +11,9 @@ PAIR_LIST = T.StructType([T.StructField("label", T.IntegerType()), T.StructField
 #: Dimensions of the three embedding systems that share the stored 64 dimensions: first (from 1) and count.
 PROVIDERS = {"P1": (1, 22), "P2": (23, 21), "P3": (44, 21)}
 
+#: Features of ``measures`` and their columns of lineitem.
+MEASURES = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -59,12 +62,15 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     return l.join(d, "doc_id").select(F.col("doc_id").alias("row_idx"), F.col("source").alias("dataset"), F.col("quality").alias("label"), score.alias("score"), (F.col("n_chars") * 13 % 101).cast("long").alias("score_v"))
 
 
-def measures(spark: SparkSession, folder: str) -> DataFrame:
-    """``row_idx, feature, value``: the numeric columns of lineitem as a long feature table."""
+def wide_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """``row_idx, *MEASURES``: the numeric columns of lineitem as features. An index may occur several times."""
     l = table(spark, folder, "lineitem")
-    names = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
-    wide = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_idx"), *[F.col(c).cast("double").alias(k) for k, c in names.items()])
-    return wide.unpivot(["row_idx"], list(names), "feature", "value")
+    return l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_idx"), *[F.col(c).cast("double").alias(k) for k, c in MEASURES.items()])
+
+
+def measures(spark: SparkSession, folder: str) -> DataFrame:
+    """``row_idx, feature, value``: ``wide_measures`` as a long feature table."""
+    return wide_measures(spark, folder).unpivot(["row_idx"], list(MEASURES), "feature", "value")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
