@@ -80,12 +80,30 @@ def test_tradeoffs(spark, tiled, speakers):
         assert abs(r.tau - tau) < 2e-9 and r.fnmr == (p.score[(group == r.grp) & p.own] < r.tau).mean()
 
 
+@pytest.mark.parametrize("speakers", [4, 60])
+def test_cells_of_one_quality(spark, tiled, speakers):
+    p = Paired(spark, speakers)
+    tau = np.round(np.percentile(p.score[p.own], 10), 9)
+    got = {(r.q_s, r.genuine, r.below): r.n for r in pr.quality_cells(p.e, [], ["q_s"], 0.1).collect()}
+    want: dict = {}
+    for c in zip(p.q[0].tolist(), p.own.astype(int).tolist(), (p.score < tau).astype(int).tolist()):
+        want[c] = want.get(c, 0) + 1
+    assert got == want
+
+
+def test_keys_without_pairs_of_one_speaker_have_no_cells(spark, tiled):
+    e = Paired(spark, 4).e
+    both = e.selectExpr("'a' AS provider", "*").unionByName(e.selectExpr("'b' AS provider", "row_idx", "row_idx AS speaker", "v", "q_s", "q_v").dropDuplicates(["row_idx"]))
+    assert {r.provider for r in pr.quality_cells(both, ["provider"], ["q_s"], 0.1).collect()} == {"a"}
+
+
 def test_no_pairs(spark):
     one = Paired(spark, 4).e.limit(1)
     assert [d.count() for d in pr.tradeoffs(one, ["row_idx", "speaker"], pr.one_group(), 500, (0.01,))] == [0, 0, 0]
+    assert pr.quality_cells(one, [], ["q_s"], 0.1).count() == 0
 
 
-@pytest.mark.parametrize("name, most", [("e11_quadrant_performance", 2)])
+@pytest.mark.parametrize("name, most", [("e11_quadrant_performance", 2), ("e13_cross_system", 3)])
 def test_passes_over_pairs(name, most, spark, small, monkeypatch):
     """Quadrants were multiplied six times."""
     assert shared_path(spark, "x")
@@ -98,6 +116,7 @@ def test_passes_over_pairs(name, most, spark, small, monkeypatch):
 def test_stripes_of_many_vectors():
     """600,000 recordings in three systems were in 57 stripes, and each vector was shuffled 58 times."""
     assert pr.stripes_of(600_000, 22) == pr.stripes_of(600_000, 64) == 16
+    assert pr.stripes_of(600_000, 22, keys=3) == 9 and pr.stripes_of(1_000, 22, keys=500) == 1
     assert pr.stripes_of(600_000, 1_024) * pr.BYTES >= 600_000 * 1_024 * 8
 
 
