@@ -12,7 +12,7 @@ from tessera.plans import verification as vf
 def local(stripes):
     """``in_cells`` without workers, so that limits of this process hold: rows of a key in ``stripes`` stripes."""
 
-    def run(e, keys, columns, fold, schema, vector, other=None, most=0):
+    def run(e, keys, columns, fold, schema, vector, other=None, most=0, **_):
         rows, out = e.collect(), []
         for key in sorted({tuple(r[k] for k in keys) for r in rows}):
             mine = sorted((r for r in rows if tuple(r[k] for k in keys) == key), key=lambda r: r["row_idx"])
@@ -120,6 +120,13 @@ def test_stripes_of_many_vectors():
     assert pr.stripes_of(600_000, 1_024) * pr.BYTES >= 600_000 * 1_024 * 8
 
 
+def test_stripes_of_ordered_rows():
+    """Stripes of pairs that leave in order are large enough for equal scores to meet, and few enough to be held together."""
+    for n in (51_282, 102_564, 120_000):
+        k = pr.stripes_of(n, 64, pr.SQUARE, stripes=pr.FEW)
+        assert pr.ORDERED <= (n / k) ** 2 <= pr.TOGETHER
+
+
 @pytest.mark.parametrize("single, size", [(True, 4), (False, 8)])
 def test_vectors_travel_in_single_precision(spark, single, size):
     kind = "float" if single else "double"
@@ -128,3 +135,29 @@ def test_vectors_travel_in_single_precision(spark, single, size):
     assert sum(len(r["_v"]) for r in parts) == 50 * 3 * size + len(parts)
     x = [pr.stripe([(r["row_idx"], r["_v"]) for r in parts if r["stripe"] == s], ["row_idx"], "u") for s in range(2)]
     assert {int(i): row.tolist() for y in x for i, row in zip(y["row_idx"], y["_v"])} == {r["row_idx"]: r["v"] for r in e.collect()}
+
+
+@pytest.mark.parametrize("together, placed", [(1 << 20, 1 << 36), (3_000, 1 << 36), (3_000, 1_000_000)])
+def test_normalised_scores_of_large_stripes_leave_in_order(spark, together, placed, monkeypatch):
+    """Equal scores lay far apart, and a file took 8.4 bytes for a pair."""
+    for name, value in (("ORDERED", 1), ("TOGETHER", together), ("PLACED", placed), ("WAITING", 500), ("in_cells", local(2))):
+        monkeypatch.setattr(pr, name, value)
+    e = Paired(spark, 4).e.selectExpr("*", "q_s / 700 AS utt_mu", "(q_v + 1) / 200 AS utt_sd")
+    rows = e.collect()
+    want = []
+    for a in rows:
+        for b in rows:
+            if a.row_idx < b.row_idx:
+                u, v = (np.array(r.v) / np.linalg.norm(r.v) for r in (a, b))
+                s = np.round(u @ v, 9)
+                want.append((a.row_idx, b.row_idx, int(a.speaker == b.speaker and a.speaker is not None), np.round(((s - a.utt_mu) / a.utt_sd + (s - b.utt_mu) / b.utt_sd) / 2, 6)))
+    got = [tuple(r) for r in pr.scores(e, normalised=True).collect()]
+    assert len(got) == len(want)
+    assert all(g[:3] == w[:3] and abs(g[3] - w[3]) < 2e-6 for g, w in zip(sorted(got), sorted(want)))
+    falls = sum(a[3] > b[3] for a, b in zip(got, got[1:]))
+    assert falls <= 2 if together == 1 << 20 else placed < 1 << 36 or falls <= 12
+
+
+@pytest.mark.parametrize("x, whole", [(0.4999999999999999, 0), (0.5, 1), (-0.5, -1), (-2.5, -3), (1.4999999, 1), (-0.2, 0)])
+def test_halves_go_away_from_zero(x, whole):
+    assert pr.wholes(np.array([x]), 1.0)[0] == whole
